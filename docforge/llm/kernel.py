@@ -108,7 +108,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
     keep = np.arange(n) + width <= first[1:][own]
     for d in np.flatnonzero((counts > 0) & (counts < width)):
         a, c = first[d], counts[d]
-        out[a] = (hashes[a : a + c] * _SHINGLE[:c]).sum(dtype=np.uint64) + U(c) * U(_MULT)
+        out[a] = (hashes[a : a + c] * _SHINGLE[:c]).sum(dtype=np.uint64) ^ U(int(c) * _MULT % (1 << 64))
         keep[a] = True
     sizes = np.add.reduceat(np.append(keep, False).astype(np.int64), np.minimum(first[:-1], n)) * (counts > 0) if len(counts) else np.zeros(0, np.int64)
     return mix(out[keep]), np.concatenate([[0], np.cumsum(sizes)])

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, tokens
+from . import lines, minhash, mixing, quality, secrets, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (tokens.op3_token_counts, lines.op4_line_dedup, mixing.op8_mix_sources)
+    found = (quality.op2_quality_classifier, tokens.op3_token_counts, lines.op4_line_dedup, minhash.op6_near_duplicates, secrets.op7_secret_scan, mixing.op8_mix_sources)
     return {f.__name__: f for f in found}
 
 
