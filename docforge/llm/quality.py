@@ -102,16 +102,35 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The mean word vector of each text of a slice; zeros for a text without tokens."""
+    """What is pooled from the word vectors of each text of a slice; zeros for a text without tokens.
+
+    The mean vector; the lengths of its two halves, which grow as few words make up the text; the mean
+    likeness of own vectors one and two places apart, which grows as words repeat in a row; log tokens.
+    """
     rows, first = tokens(data, offsets)
-    out = np.zeros((len(offsets) - 1, vectors.shape[1]))
+    n, half = len(offsets) - 1, vectors.shape[1] // 2
+    out, near = np.zeros((n, vectors.shape[1])), np.zeros((n, 2))
     for at in range(0, len(rows), 1 << 16):  # bounded memory for a very long text
-        part = rows[at : at + (1 << 16)]
-        edge = np.clip(first - at, 0, len(part))
+        part = vectors[rows[at : at + (1 << 16) + 2]]
+        size = min(len(rows) - at, 1 << 16)
+        edge = np.clip(first - at, 0, size)
         some = np.flatnonzero(edge[1:] > edge[:-1])
-        if len(some):
-            out[some] += np.add.reduceat(vectors[part].astype(np.float64), edge[:-1][some], axis=0)
-    return out / np.maximum(np.diff(first), 1)[:, None]
+        if not len(some):
+            continue
+        out[some] += np.add.reduceat(part[:size].astype(np.float64), edge[:-1][some], axis=0)
+        for k in (1, 2):
+            alike = np.zeros(size)
+            pair = np.einsum("ij,ij->i", part[:-k, half:], part[k:, half:])[:size]
+            alike[: len(pair)] = pair
+            ends = first[1:][(first[1:] > at) & (first[1:] <= at + size + k)] - at
+            for back in range(1, k + 1):
+                last = ends - back
+                alike[last[(last >= 0) & (last < size)]] = 0
+            near[some, k - 1] += np.add.reduceat(alike, edge[:-1][some])
+    count = np.maximum(np.diff(first), 1)[:, None]
+    out, near = out / count, near / count
+    lengths = np.stack([np.linalg.norm(out[:, :half], axis=1), np.linalg.norm(out[:, half:], axis=1)], axis=1)
+    return np.hstack([out, lengths, near, np.log1p(np.diff(first))[:, None]])
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> dict:
@@ -179,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     sample = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(features, "id long, y double, x array<double>")
     rows = sample.dropDuplicates(["id"]).collect()  # LEARN_ROWS at most
     rows.sort(key=lambda r: r["id"])
-    x = np.array([r["x"] for r in rows]).reshape(len(rows), vectors.shape[1])
+    x = np.array([r["x"] for r in rows]).reshape(len(rows), vectors.shape[1] + 5)
     return vectors, fit(x, np.array([r["y"] for r in rows]))
 
 
