@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, minhash, mixing, quality, secrets, tokens
+from . import contamination, lines, minhash, mixing, neighbours, quality, secrets, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality.op2_quality_classifier, tokens.op3_token_counts, lines.op4_line_dedup, minhash.op6_near_duplicates, secrets.op7_secret_scan, mixing.op8_mix_sources)
+    found = (
+        neighbours.op1_nearest_neighbours,
+        quality.op2_quality_classifier,
+        tokens.op3_token_counts,
+        lines.op4_line_dedup,
+        minhash.op6_near_duplicates,
+        secrets.op7_secret_scan,
+        mixing.op8_mix_sources,
+        contamination.op9_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL}
+    return {"op4_line_dedup": lines.OP4_SQL, "op9_decontamination": contamination.OP9_SQL, "op8_mix_sources": mixing.OP8_SQL}
