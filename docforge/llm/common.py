@@ -104,3 +104,11 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
             break
     labels = stars.groupBy("a").agg(F.min("b").alias("component"))
     return labels.select(F.col("a").alias("id"), "component").unionByName(labels.select(F.col("component").alias("id"), "component").distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are out of reach."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
