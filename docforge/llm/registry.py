@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, minhash, mixing, neighbours, quality, secrets, tokens
+from . import contamination, lines, minhash, mixing, neighbours, quality, secrets, suffixes, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets.op7_secret_scan,
         mixing.op8_mix_sources,
         contamination.op9_decontamination,
+        suffixes.op10_suffix_dedup,
     )
     return {f.__name__: f for f in found}
 
