@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, minhash, mixing, neighbours, quality, secrets, suffixes, tokens
+from . import contamination, lines, minhash, mixing, neighbours, pitman_yor, quality, secrets, suffixes, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op2_quality_classifier,
         tokens.op3_token_counts,
         lines.op4_line_dedup,
+        pitman_yor.op5_language_model,
         minhash.op6_near_duplicates,
         secrets.op7_secret_scan,
         mixing.op8_mix_sources,
