@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import block_queries, page_queries, text_queries
+
+PARTS = (text_queries, block_queries, page_queries)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: f for part in PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return {k: s for part in PARTS for k, s in part.SQL.items()}
