@@ -6,19 +6,28 @@ All three passes look one line back only, so each is a lag and a running count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
 from docforge.options import Options
 
 PAGE = ("doc_id", "page_no")
-ORDER = Window.partitionBy(*PAGE).orderBy("line_no")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy(*PAGE)
 BIG, HUGE, BIG_CHARS = 1.08, 1.22, 80
 
 
+def whole() -> WindowSpec:
+    return Window.partitionBy(*PAGE)
+
+
+def order() -> WindowSpec:
+    return whole().orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return order().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def upper_median(values: Column) -> Column:
     """The element at half of the sorted array, upwards; 0 for none."""
     return F.coalesce(F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
@@ -26,7 +35,7 @@ def upper_median(values: Column) -> Column:
 
 def with_base(lines: DataFrame) -> DataFrame:
     """Adds base, the page's median size over lines of known size."""
-    return lines.withColumn("base", upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size"))).over(WHOLE)))
+    return lines.withColumn("base", upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size"))).over(whole())))
 
 
 def is_big() -> Column:
@@ -37,19 +46,19 @@ def with_split(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds heading (0, 2 or 3) and block_no: a paragraph's lines, with each big line alone."""
     big = is_big() if options.headings else F.lit(False)
     df = with_base(lines).withColumn("big", big).withColumn("heading", F.when(~F.col("big"), 0).when(F.col("size") >= F.col("base") * HUGE, 2).otherwise(3))
-    starts = F.col("big") | F.coalesce(F.lag("big").over(ORDER), F.lit(True)) | ~F.lag("para_no").over(ORDER).eqNullSafe(F.col("para_no"))
-    return df.withColumn("starts", starts).withColumn("block_no", F.sum(F.col("starts").cast("int")).over(SO_FAR))
+    starts = F.col("big") | F.coalesce(F.lag("big").over(order()), F.lit(True)) | ~F.lag("para_no").over(order()).eqNullSafe(F.col("para_no"))
+    return df.withColumn("starts", starts).withColumn("block_no", F.sum(F.col("starts").cast("int")).over(so_far()))
 
 
 def with_merge(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds merged_no: a block that carries on an unfinished one is joined to it."""
     df = with_split(lines, options)
-    before, level = F.lag("text").over(ORDER), F.lag("heading").over(ORDER)
+    before, level = F.lag("text").over(order()), F.lag("heading").over(order())
     carries = (level == 0) & (F.col("heading") == 0) & T.leading_marker(F.col("text")).isNull() & T.continues(F.col("text"))
     df = df.withColumn("_before", before).withColumn("_carries", F.coalesce(carries, F.lit(False)))
     joins = F.col("_carries") & T.looks_unfinished(F.col("_before"))
     df = df.withColumn("opens", F.col("starts") & ~F.coalesce(joins, F.lit(False)))
-    return df.withColumn("merged_no", F.sum(F.col("opens").cast("int")).over(SO_FAR)).drop("_before", "_carries")
+    return df.withColumn("merged_no", F.sum(F.col("opens").cast("int")).over(so_far())).drop("_before", "_carries")
 
 
 def with_groups(lines: DataFrame, options: Options = Options()) -> DataFrame:
@@ -62,8 +71,8 @@ def with_groups(lines: DataFrame, options: Options = Options()) -> DataFrame:
     every = F.min((F.col("_mark").isNotNull() & (F.col("heading") == 0)).cast("int")).over(own) == 1
     first = F.first("_mark").over(own.orderBy("line_no"))
     df = df.withColumn("marker", F.when(every, first))
-    same = F.coalesce(F.col("marker") == F.lag("marker").over(ORDER), F.lit(False))
-    return df.withColumn("group_no", F.sum((F.col("opens") & ~same).cast("int")).over(SO_FAR)).drop("_mark")
+    same = F.coalesce(F.col("marker") == F.lag("marker").over(order()), F.lit(False))
+    return df.withColumn("group_no", F.sum((F.col("opens") & ~same).cast("int")).over(so_far())).drop("_mark")
 
 
 def regroup(lines: DataFrame, options: Options = Options(), carry: tuple[str, ...] = ()) -> DataFrame:
