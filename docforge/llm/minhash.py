@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, documents, forget, written
+from .common import components, documents, release, written
 from .kernel import U
 
 WIDTH = 5
-#: Signature slots and the slots of a band: a pair at 0.75 misses all 32 bands with probability 5e-6.
-SLOTS, ROWS = 128, 4
+#: Signature slots and the slots of a band: a pair at 0.75 misses all 32 bands with probability 2e-4, at 0.8 with 3e-6.
+SLOTS, ROWS = 160, 5
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-STAR_ROUNDS = 3
-ELEMENTS = 1 << 15
+#: Elements signed at a time; members of a block of a cluster; bytes of sets compared in a task; columns of a product.
+ELEMENTS, BLOCK, BIN_BYTES, COLUMNS = 1 << 15, 384, 8 << 20, 4096
 
 
 def super_minhash(values: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -107,43 +107,93 @@ def sketch(docs: DataFrame, slots: int = SLOTS, rows: int = ROWS, width: int = W
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id"), "candidates")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """For each set the first set of its group of links, from exact intersections of all of them.
 
-    def run(batches):
+    Only columns (shingles) that two sets hold matter; they are counted by products of 0/1 matrices of
+    bounded width.
+    """
+    g = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(g), sizes)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    owner, column = owner[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    both = np.zeros((g, g), np.float64)
+    for at in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((g, min(COLUMNS, width - at)), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    left, right = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+    root = np.arange(g)
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    for i in range(g):
+        root[i] = root[root[i]]
+    return root
+
+
+def confirmed(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """Links (a, b) among the members (id, component) of each cluster, enough of them to join all that are linked.
+
+    Sets are compared where they are: no pair is sent anywhere. A cluster of more than BLOCK members is dealt into blocks,
+    and each two blocks meet in a task of their own, so a task's memory is bounded whatever the cluster.
+    """
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    parts = clusters.join(sizes, "component").select(F.col("id").alias("member"), "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("member"), "text").join(parts, "member").select("member", "component", "blocks", "text")
+
+    def sets(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for row, data, offsets in kernel.slices(pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(np.arange(2 * batch.num_rows).reshape(2, -1).T.ravel()))):
-                # texts stand in turn, a before b; a slice may end between them
+            out = []
+            for _, data, offsets in kernel.slices(batch.column(3)):
                 values, first = shingle_sets(data, offsets, width)
-                for r in range(len(offsets) - 1):
-                    own = values[first[r] : first[r + 1]]
-                    if (row + r) % 2 == 0:
-                        held = own
-                    elif len(held) and len(own):
-                        small, large = sorted((held, own), key=len)
-                        if 100 * len(small) >= percent * len(large):
-                            spot = np.searchsorted(large, small)
-                            same = int((large[np.minimum(spot, len(large) - 1)] == small).sum())
-                            keep[(row + r) // 2] = 100 * same >= percent * (len(small) + len(large) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "a long, b long")
+                out += [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["member", "component", "blocks", "body"])
+
+    made = written(texts.mapInArrow(sets, "member long, component long, blocks int, body binary"), "sets")
+    total = made.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("b")).first()["b"]
+    bins = max(1, -(-total // BIN_BYTES))
+    alone = made.where("blocks = 1").select("member", "component", "body", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own"))
+    many = made.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(others))
+    many = many.select("member", "component", "body", F.col("component").alias("bin"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("member", "ascending")])
+        members, groups = table["member"].to_numpy(), table["component"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
+        a, b = [], []
+        for low, high in zip(edge[:-1], edge[1:], strict=True):
+            if high - low > 1:
+                root = linked([np.frombuffer(x.as_py(), np.uint64) for x in table["body"][low:high]], percent)
+                joined = np.flatnonzero(root != np.arange(high - low))
+                a.append(members[low + joined])
+                b.append(members[low + root[joined]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return alone.unionByName(many).groupBy("bin", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
-    Documents with equal sets form one class, whose smallest id stands for it. Classes that share a band's bucket are
-    candidates. No bucket emits all its pairs: for a few rounds each bucket compares its members with one hub, and
-    only those not yet in the hub's component; what then still lies in different components of one bucket is compared in
-    full, so no candidate link is lost. Links are confirmed on full sets. Buckets of hot keys hold ids
-    only and skewed joins are split by adaptive execution.
+    Documents with equal sets form one class, whose smallest id stands for it. Classes that share a band's
+    bucket are candidates; a bucket sends each member once, tied to its smallest, and the ties join candidates into
+    clusters. Within a cluster all links are found on full sets, so none between candidates is lost.
 
     Null and empty texts, and texts of white space, have no shingles and are their own component; a null id
     is linked with nothing (component_id null, kept true). Equal ids are one document. No rows give none.
@@ -153,38 +203,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     reps = written(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands", ignorenulls=True).alias("bands")), "classes")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    crowded = written(buckets.join(shared, "key").select("key", "rep").distinct(), "buckets")
-    links = tried = labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is None:
-            marked = crowded.withColumn("label", F.col("rep"))
-        else:
-            marked = crowded.join(labels, crowded["rep"] == labels["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("order"), "rep", "label")).alias("hub")).where("low < high")
-        if turn < STAR_ROUNDS:
-            pairs = marked.join(mixed.select("key", F.col("hub.rep").alias("hub"), F.col("hub.label").alias("hub_label")), "key").where("label <> hub_label")
-            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        else:
-            left = marked.join(mixed.select("key"), "key")
-            right = left.select("key", F.col("rep").alias("other"), F.col("label").alias("other_label"))
-            pairs = left.join(right, "key").where("label < other_label").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            break
-        found = written(verified(pairs, base, percent, width), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    forget(docs.sparkSession, crowded)
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
+    ties = buckets.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    links = written(confirmed(components(written(ties, "ties")), base, percent, width), "links")
+    labels = components(links)
+    release(docs.sparkSession)
     members = some.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
-    if labels is not None:
-        members = members.join(labels, members["rep"] == labels["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    else:
-        members = members.select("doc_id", F.col("rep").alias("component"))
+    members = members.join(labels, members["rep"] == labels["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     # equal ids with different texts are one node: it takes the smallest component
     named = members.groupBy("doc_id").agg(F.min("component").alias("component")).withColumnRenamed("doc_id", "named_id")
     out = sketches.join(named, sketches["doc_id"] == named["named_id"], "left")
