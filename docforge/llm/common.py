@@ -48,6 +48,31 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The most bits of a filter of keys (8 MB), and the bits it should have for each key.
+FILTER_BITS, BITS_PER_KEY = 1 << 26, 16
+
+
+def holding(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among the values of ``wanted``, a table of one column, before an exact join.
+
+    Keys are marked in a bitmap of at most FILTER_BITS, built and broadcast by Spark, so that rows without a partner are
+    not shuffled. All rows with a partner stay, and a few others; with more than FILTER_BITS / 4 keys all
+    rows stay and the join shuffles them. Rows with a null key go.
+    """
+    n = wanted.count()
+    if n > FILTER_BITS // 4:
+        return rows
+    bits = min(FILTER_BITS, 1 << max(15, (BITS_PER_KEY * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    name = wanted.columns[0]
+    maps = wanted.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(place(F.col(name))).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(F.col(name)))).alias("_bits"))
+    at = F.bitmap_bit_position(place(F.col(key)))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = rows.where(F.col(key).isNotNull())
+    met = own.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(key))) == F.col("_bucket"))
+    return met.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).select(*rows.columns)
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(id, component): for each id in ``edges`` the smallest id it reaches.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, documents, release, written
+from .common import components, documents, holding, release, written
 from .kernel import U
 
 WIDTH = 5
@@ -152,7 +152,9 @@ def confirmed(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT, widt
     """
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     parts = clusters.join(sizes, "component").select(F.col("id").alias("member"), "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("member"), "text").join(parts, "member").select("member", "component", "blocks", "text")
+    parts = written(parts, "members")
+    texts = holding(docs.select(F.col("doc_id").cast("long").alias("member"), "text"), "member", parts.select("member"))
+    texts = texts.join(parts, "member").select("member", "component", "blocks", "text")
 
     def sets(batches):
         for batch in batches:
