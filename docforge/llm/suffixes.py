@@ -285,12 +285,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
        reaches 200; stretches that occur twice count as repeated. Ranges go back to all places of a stretch.
 
     A null text is empty. Strings are judged on the input, repeated rows count as elsewhere, matches never
-    cross rows. Rows are told apart by their place in the table, so the table must be read in one order, as
-    stored tables are. Null and equal ids are kept. Result: the id, n_bytes, n_removed, n_spans, kept_sha256; with
+    cross rows. Rows are numbered once and written, so they are told apart however the input is read. Null and equal ids are kept. Result: the id, n_bytes, n_removed, n_spans, kept_sha256; with
     ``payload`` also kept (bytes).
     """
     spark = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    base = written(base, "rows")  # numbered once: a later scan of the input may split it otherwise
 
     def grams(batches):
         for batch in batches:
