@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, documents, holding, release, written
+from .common import components, documents, forget, holding, release, written
 from .kernel import U
 
 WIDTH = 5
@@ -107,8 +107,8 @@ def sketch(docs: DataFrame, slots: int = SLOTS, rows: int = ROWS, width: int = W
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """For each set the first set of its group of links, from exact intersections of all of them.
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the first set of its group of links, from exact intersections of all of them, and how many it has.
 
     Only columns (shingles) that two sets hold matter; they are counted by products of 0/1 matrices of
     bounded width.
@@ -141,17 +141,21 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         root[max(i, j)] = min(i, j)
     for i in range(g):
         root[i] = root[root[i]]
-    return root
+    return root, np.bincount(left, minlength=g) + np.bincount(right, minlength=g)
 
 
-def confirmed(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def confirmed(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among the members (id, component) of each cluster, enough of them to join all that are linked.
 
-    Sets are compared where they are: no pair is sent anywhere. A cluster of more than BLOCK members is dealt into blocks,
-    and each two blocks meet in a task of their own, so a task's memory is bounded whatever the cluster.
+    Sets are compared where they are: no pair is sent anywhere. A small cluster is compared within one task. One of
+    more than ``block`` members is compared in blocks, each set sent once; of each group so found the member with the most
+    links stands for it in the next level, until these fit a block. Members still outside their
+    cluster's largest group are then compared with all others of the cluster, block by block, so no link that could join
+    two groups is missed, while a group of many copies costs as much as it has members.
     """
+    spark = docs.sparkSession
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    parts = clusters.join(sizes, "component").select(F.col("id").alias("member"), "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    parts = clusters.join(sizes, "component").select(F.col("id").alias("member"), "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     parts = written(parts, "members")
     texts = holding(docs.select(F.col("doc_id").cast("long").alias("member"), "text"), "member", parts.select("member"))
     texts = texts.join(parts, "member").select("member", "component", "blocks", "text")
@@ -165,37 +169,82 @@ def confirmed(clusters: DataFrame, docs: DataFrame, percent: int = PERCENT, widt
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["member", "component", "blocks", "body"])
 
     made = written(texts.mapInArrow(sets, "member long, component long, blocks int, body binary"), "sets")
-    total = made.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("b")).first()["b"]
+    total = made.where("blocks = 1").agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("b")).first()["b"]
     bins = max(1, -(-total // BIN_BYTES))
-    alone = made.where("blocks = 1").select("member", "component", "body", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own"))
-    many = made.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(others))
-    many = many.select("member", "component", "body", F.col("component").alias("bin"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def compare(table: pa.Table) -> pa.Table:
+        """Links of each cluster in the task; for a large one also (h, h, component) of each group's best linked member."""
         table = table.sort_by([("component", "ascending"), ("member", "ascending")])
-        members, groups = table["member"].to_numpy(), table["component"].to_numpy()
+        members, groups, many = table["member"].to_numpy(), table["component"].to_numpy(), table["blocks"].to_numpy() > 1
         edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
-        a, b = [], []
-        for low, high in zip(edge[:-1], edge[1:], strict=True):
+        none = np.zeros(0, np.int64)
+        a, b, of = [none], [none], [none]
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            root, degree = np.zeros(1, np.int64), np.zeros(1, np.int64)
             if high - low > 1:
-                root = linked([np.frombuffer(x.as_py(), np.uint64) for x in table["body"][low:high]], percent)
+                root, degree = linked([np.frombuffer(x.as_py(), np.uint64) for x in table["body"][low:high]], percent)
                 joined = np.flatnonzero(root != np.arange(high - low))
                 a.append(members[low + joined])
                 b.append(members[low + root[joined]])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+                of.append(np.full(len(joined), -1))
+            if many[low]:
+                order = np.lexsort((-degree, root))
+                hubs = order[np.flatnonzero(np.concatenate([[True], np.diff(root[order]) > 0]))]
+                a.append(members[low + hubs])
+                b.append(members[low + hubs])
+                of.append(groups[low : low + 1].repeat(len(hubs)))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "of": np.concatenate(of)})
 
-    return alone.unionByName(many).groupBy("bin", "low", "high").applyInArrow(compare, "a long, b long")
+    shape = "a long, b long, of long"
+    block_of = lambda n: F.pmod(F.xxhash64("member", F.lit(n)), F.col("blocks")).cast("int")
+    alone = F.col("blocks") == 1
+    level = made.select("member", "component", "blocks", "body", F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("bin"), F.when(alone, -1).otherwise(block_of(0)).alias("low"))
+    found = written(level.groupBy("bin", "low").applyInArrow(compare, shape), "found")
+    links = found.where("a <> b").select("a", "b")
+    before, depth = None, 0
+    while True:
+        hubs = found.where("a = b").select(F.col("a").alias("member"), F.col("of").alias("component"))
+        counts = hubs.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+        if size["most"] < 2 or before is not None and 2 * size["n"] > before:
+            break
+        before, depth = size["n"], depth + 1
+        hubs = hubs.join(counts.select("component", F.ceil(F.col("n") / block).cast("int").alias("hub_blocks")), "component").select("member", "hub_blocks")
+        level = holding(made.select("member", "component", "body"), "member", hubs.select("member")).join(hubs, "member")
+        level = level.withColumn("low", F.pmod(F.xxhash64("member", F.lit(depth)), F.col("hub_blocks")).cast("int")).withColumn("blocks", F.lit(2))
+        found = written(level.select("member", "component", "blocks", "body", "low").groupBy("component", "low").applyInArrow(compare, shape), "found")
+        links = links.unionByName(found.where("a <> b").select("a", "b"))
+    if before is None:
+        return links
+    links = written(links, "links")
+    large = parts.where("blocks > 1")
+    grouped = large.join(components(links).select(F.col("id").alias("member"), F.col("component").alias("label")), "member", "left").select("member", "component", "blocks", F.coalesce("label", "member").alias("label"))
+    grouped = written(grouped, "groups")
+    counts = grouped.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("component").agg(F.max(F.struct("n", (-F.col("label")).alias("label"))).alias("top"), F.sum("n").alias("all"))
+    main = main.select("component", (-F.col("top.label")).alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("others")).where("others > 0")
+    open_ = written(grouped.join(main, "component").select("member", (F.col("label") == F.col("main")).alias("settled"), "others"), "open")
+    rows = holding(made, "member", open_.select("member")).join(open_, "member")
+    # a settled member meets every block of the others; one of these meets every block of settled and of other members
+    rows = rows.withColumn("own", F.when(F.col("settled"), block_of(0)).otherwise(F.pmod(F.xxhash64("member", F.lit(-1)), F.col("others")).cast("int")))
+    settled = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.col("own").alias("low"), j.cast("int").alias("high")))
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(j.cast("int").alias("low"), F.col("own").alias("high"))),
+        F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct((-1 - F.least("own", j)).cast("int").alias("low"), F.greatest("own", j).cast("int").alias("high"))),
+    )
+    met = rows.select("member", "component", F.lit(1).alias("blocks"), "body", F.explode(F.when(F.col("settled"), settled).otherwise(outside)).alias("x"))
+    rest = met.select("member", "component", "blocks", "body", "x.low", "x.high").groupBy("component", "low", "high").applyInArrow(compare, shape)
+    links = written(links.unionByName(rest.select("a", "b")), "links")
+    forget(spark, made)
+    return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, slots: int = SLOTS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
     Documents with equal sets form one class, whose smallest id stands for it. Classes that share a band's
     bucket are candidates; a bucket sends each member once, tied to its smallest, and the ties join candidates into
-    clusters. Within a cluster all links are found on full sets, so none between candidates is lost.
+    clusters. Within a cluster links are found on full sets until none could join two groups, so no group is split.
 
     Null and empty texts, and texts of white space, have no shingles and are their own component; a null id
     is linked with nothing (component_id null, kept true). Equal ids are one document. No rows give none.
@@ -207,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     ties = buckets.join(shared, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    links = written(confirmed(components(written(ties, "ties")), base, percent, width), "links")
+    links = written(confirmed(components(written(ties, "ties")), base, percent, width, block), "links")
     labels = components(links)
     release(docs.sparkSession)
     members = some.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")

@@ -71,6 +71,27 @@ def test_near_duplicates_large_cluster(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_near_duplicates_blocks(spark):
+    """Chains that drift away from their start, copies around a hub and loners, all compared in small blocks."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(120)]
+    texts, w = [], list(base)
+    for i in range(60):
+        w = list(w)
+        w[rng.randrange(len(w))] = f"drift{i}"
+        texts.append(" ".join(w))
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = f"own{i}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    want = brute.near_duplicates(list(enumerate(texts)))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=8).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    assert len({c for _, c, _ in want.values()}) > 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 300) if i % 50] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(7, 7)]
