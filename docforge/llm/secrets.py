@@ -27,6 +27,13 @@ ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A decompressed layer larger than this is not followed (documented bound on one layer's memory).
 LAYER_BYTES = 64 << 20
+#: Where a gzip, bzip2, xz or zlib stream may begin.
+STREAM = re.compile(rb"(?=\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|[\x08\x18(8HXhx][\x00-\xff])", re.S)
+#: Compressed bytes taken, and bytes made of them, at a time.
+STEP, PIECE = 1 << 14, 1 << 20
+FAULTS = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
+#: Runs of ASCII in two or four bytes a character, either end first: pattern, width, place of the character.
+WIDE = [(re.compile(rb"(?:" + b"\\0" * at + rb"[\t-\r\x20-\x7e]" + b"\\0" * (width - 1 - at) + rb"){6,}"), width, at) for width, at in ((2, 0), (2, 1), (4, 0), (4, 3))]
 
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
@@ -41,33 +48,91 @@ def base_matches(text: bytes) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _printable(data: bytes) -> bool:
-    if not data:
-        return False
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return all(c >= " " or c in "\t\n\r\f\v" for c in text)
-
-
-def _inflate(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream; None if it is none."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            out = zlib.decompressobj(47)
-            got = out.decompress(data, LAYER_BYTES + 1)
-            return got if out.eof and len(got) <= LAYER_BYTES else None
-        if data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor(memlimit=LAYER_BYTES * 2)
-        else:
+def _decoder(data: bytes, at: int):
+    """A decoder for the gzip, zlib, bzip2 or xz stream that may begin at ``at``; None where none can."""
+    head = data[at : at + 10]
+    if head[:3] == b"\x1f\x8b\x08" or (len(head) > 2 and head[0] & 0x8F == 8 and not head[1] & 0x20 and (head[0] << 8 | head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=LAYER_BYTES * 2)
+    return None
+
+
+def _fed(out, data: bytes, at: int, stop: list):
+    """Chunks that ``out`` makes of the bytes from ``at``; ``stop`` gets where it ended, and whether at an end of stream."""
+    while at < len(data) and not out.eof:
+        rest = data[at : at + STEP]
+        at += len(rest)
+        try:
+            while True:
+                was = out.copy() if hasattr(out, "copy") else None
+                yield (got := out.decompress(rest, PIECE))
+                rest = getattr(out, "unconsumed_tail", b"")
+                if out.eof or not (rest or (len(got) == PIECE if was is not None else not out.needs_input)):
+                    break
+        except FAULTS:
+            for k in range(len(rest) if was is not None else 0):  # what comes before the fault
+                try:
+                    yield was.decompress(rest[k : k + 1])
+                except FAULTS:
+                    break
+            stop[:] = at, False
+            return
+    stop[:] = at - len(out.unused_data), out.eof
+
+
+def _stream(data: bytes, at: int, stop: list):
+    """The content of the streams that follow each other from ``at``, as far as they can be decoded."""
+    while (out := _decoder(data, at)) is not None:
+        yield from _fed(out, data, at, stop)
+        if not stop[1]:
+            return
+        at = stop[0]
+        pad = at
+        while data[pad : pad + 1] == b"\0":
+            pad += 1
+        at = pad if _decoder(data, pad) is not None else at
+
+
+def _whole(chunks) -> bytes | None:
+    """All chunks as one layer; None if it is too large."""
+    held, size = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size > LAYER_BYTES:
             return None
-        got = out.decompress(data, LAYER_BYTES + 1)
-        return got if out.eof and len(got) <= LAYER_BYTES else None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+    return b"".join(held)
+
+
+def _spread(low: np.ndarray, high: np.ndarray, a: int, b: int, n: int):
+    """Source ranges of ``n`` bytes that all stand for the bytes a to b of a layer."""
+    return np.broadcast_to(low[a:b].min(), n), np.broadcast_to(high[a:b].max(), n)
+
+
+def _inflate(data: bytes, low: np.ndarray, high: np.ndarray):
+    """The content of compressed streams anywhere in a layer."""
+    done = 0
+    for m in STREAM.finditer(data):
+        at = m.start()
+        if at < done or _decoder(data, at) is None:
+            continue
+        stop = [at, False]
+        got = _whole(_stream(data, at, stop))
+        if got:
+            yield got, *_spread(low, high, at, max(stop[0], at + 1), len(got))
+        if stop[1]:
+            done = stop[0]
+
+
+def _narrow(data: bytes, low: np.ndarray, high: np.ndarray):
+    """ASCII that is written with zero bytes between, as UTF-16 and UTF-32 do."""
+    for pattern, width, at in WIDE:
+        for m in pattern.finditer(data):
+            own = slice(m.start(), m.end(), width)
+            yield m[0][at::width], low[own], high[m.start() + width - 1 : m.end() : width]
 
 
 def _unescape(data: bytes, low: np.ndarray, high: np.ndarray):
@@ -95,7 +160,7 @@ def _unescape(data: bytes, low: np.ndarray, high: np.ndarray):
 
 
 def _unpack(data: bytes, low: np.ndarray, high: np.ndarray):
-    """Layers inside base64 runs, and what compressed streams in them hold."""
+    """Layers inside base64 runs, be they text or not."""
     for m in BASE64_RUN.finditer(data):
         body = m[0].rstrip(b"=")
         if len(body) % 4 == 1:
@@ -104,18 +169,24 @@ def _unpack(data: bytes, low: np.ndarray, high: np.ndarray):
             got = base64.b64decode(body.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        whole = _inflate(got)
-        if whole is not None and whole:
-            yield whole, np.full(len(whole), low[m.start()]), np.full(len(whole), high[m.end() - 1])
-        elif _printable(got):
-            group = m.start() + np.arange(len(got)) // 3 * 4
-            yield got, low[group], high[np.minimum(group + 3, m.end() - 1)]
+        group = m.start() + np.arange(len(got)) // 3 * 4
+        yield got, low[group], high[np.minimum(group + 3, m.end() - 1)]
+
+
+def _nested(data: bytes, low: np.ndarray, high: np.ndarray):
+    """Every layer one encoding below."""
+    yield from _inflate(data, low, high)
+    yield from _narrow(data, low, high)
+    yield from _unpack(data, low, high)
+    if (plain := _unescape(data, low, high)) is not None:
+        yield plain
 
 
 def deep_matches(text: bytes) -> list[tuple[str, int, int]]:
     """Matches of the text and of every layer nested in it, at the bytes of the text that carry them.
 
-    The worklist holds layers still to unwrap. A layer whose content and place were met before is not
+    The worklist holds layers still to unwrap: each is searched for compressed streams, wide ASCII, base64 runs and
+    escapes, whether it is clean text or not. A layer whose content and place were met before is not
     taken again, which ends cycles; every other step takes off one encoding, so the fixpoint is reached.
     """
     found = dict.fromkeys(base_matches(text))
@@ -127,10 +198,7 @@ def deep_matches(text: bytes) -> list[tuple[str, int, int]]:
         if key in met:
             continue
         met.add(key)
-        nested = list(_unpack(data, low, high))
-        if (plain := _unescape(data, low, high)) is not None:
-            nested.append(plain)
-        for layer in nested:
+        for layer in _nested(data, low, high):
             for kind, a, b in base_matches(layer[0]):
                 found.setdefault((kind, int(layer[1][a:b].min()), int(layer[2][a:b].max())))
             work.append(layer)

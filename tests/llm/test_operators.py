@@ -1,8 +1,11 @@
 """The corpus operators against plain versions, on fixtures with nulls, ties, copies and odd columns."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
+import zlib
 from urllib.parse import quote
 
 import pytest
@@ -140,6 +143,21 @@ def test_secrets_in_layers(spark, wrap):
     assert not secrets.deep_matches(clean["text"].encode())
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda s: b64(gzip.compress(gzip.compress(s))), lambda s: b64(bz2.compress(gzip.compress(s))), lambda s: b64(lzma.compress(zlib.compress(s))),
+    lambda s: quote(gzip.compress(s)), lambda s: "".join(f"\\x{c:02x}" for c in zlib.compress(s)),
+    lambda s: b64(gzip.compress(b"one") + gzip.compress(s)), lambda s: b64(bz2.compress(s[:12]) + bz2.compress(s[12:])), lambda s: b64(lzma.compress(b"one") + lzma.compress(s)),
+    lambda s: b64(s.decode().encode("utf-16")), lambda s: b64(s.decode().encode("utf-32-be")), lambda s: b64(b"\x01\xff" + s), lambda s: b64(gzip.compress(s * 30)[:-12]),
+])
+def test_secrets_in_compressed_and_unclean_layers(wrap):
+    text = ("é before " + wrap(b"api_key: 'Zx81+/abcd' and more ") + " after").encode()
+    assert any(kind == "assign" and 9 < a < b <= len(text) - 6 for kind, a, b in secrets.deep_matches(text))
+
+
 def test_suffix_dedup(docs, texts):
     plain = dict(zip([i for i, _ in texts], brute.repeated_bytes([t for _, t in texts]), strict=True))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeated_bytes(docs.select("doc_id", "text")).collect()}
