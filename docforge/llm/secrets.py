@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -25,27 +26,30 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A decompressed layer larger than this is not followed (documented bound on one layer's memory).
-LAYER_BYTES = 64 << 20
 #: Where a gzip, bzip2, xz or zlib stream may begin.
 STREAM = re.compile(rb"(?=\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|[\x08\x18(8HXhx][\x00-\xff])", re.S)
-#: Compressed bytes taken, and bytes made of them, at a time.
+#: Compressed bytes taken, and bytes made of them, at a time; a decoded layer larger than PIECE lies in a temporary file.
 STEP, PIECE = 1 << 14, 1 << 20
 FAULTS = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
 #: Runs of ASCII in two or four bytes a character, either end first: pattern, width, place of the character.
 WIDE = [(re.compile(rb"(?:" + b"\\0" * at + rb"[\t-\r\x20-\x7e]" + b"\\0" * (width - 1 - at) + rb"){6,}"), width, at) for width, at in ((2, 0), (2, 1), (4, 0), (4, 3))]
 
+URL_SAFE = bytes.maketrans(b"-_", b"+/")
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
 _B64 = np.zeros(256, bool)
 _B64[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 45, 95]] = True
 
 
+def _matches(text: bytes):
+    yield from (("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"])
+    yield from (("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"])
+    yield from (("hex", *m.span()) for m in HEX.finditer(text))
+
+
 def base_matches(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes; leftmost, non-overlapping for each kind."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-    found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    return list(_matches(text))
 
 
 def _decoder(data: bytes, at: int):
@@ -56,7 +60,7 @@ def _decoder(data: bytes, at: int):
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if head[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=LAYER_BYTES * 2)
+        return lzma.LZMADecompressor()
     return None
 
 
@@ -96,20 +100,32 @@ def _stream(data: bytes, at: int, stop: list):
         at = pad if _decoder(data, pad) is not None else at
 
 
-def _whole(chunks) -> bytes | None:
-    """All chunks as one layer; None if it is too large."""
-    held, size = [], 0
+def _whole(chunks):
+    """All chunks as one layer: bytes, or a mapped temporary file where they are more than PIECE."""
+    held, size, file = [], 0, None
     for chunk in chunks:
         held.append(chunk)
         size += len(chunk)
-        if size > LAYER_BYTES:
-            return None
-    return b"".join(held)
+        if size > PIECE:
+            file = file or tempfile.TemporaryFile()
+            file.write(b"".join(held))
+            held, size = [], 0
+    if file is None:
+        return b"".join(held)
+    with file:
+        file.write(b"".join(held))
+        file.flush()
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+
 
+def _spread(low: np.ndarray, high: np.ndarray, n: int):
+    """The source range of some bytes, for each of ``n`` bytes made of them; takes no memory for each."""
+    return np.broadcast_to(low[0] if _one(low) else low.min(), n), np.broadcast_to(high[0] if _one(high) else high.max(), n)
 
-def _spread(low: np.ndarray, high: np.ndarray, a: int, b: int, n: int):
-    """Source ranges of ``n`` bytes that all stand for the bytes a to b of a layer."""
-    return np.broadcast_to(low[a:b].min(), n), np.broadcast_to(high[a:b].max(), n)
+
+def _one(places: np.ndarray) -> bool:
+    """Whether all bytes stand for the same place, as those of a compressed stream do."""
+    return places.strides == (0,)
 
 
 def _inflate(data: bytes, low: np.ndarray, high: np.ndarray):
@@ -122,7 +138,7 @@ def _inflate(data: bytes, low: np.ndarray, high: np.ndarray):
         stop = [at, False]
         got = _whole(_stream(data, at, stop))
         if got:
-            yield got, *_spread(low, high, at, max(stop[0], at + 1), len(got))
+            yield got, *_spread(low[at : max(stop[0], at + 1)], high[at : max(stop[0], at + 1)], len(got))
         if stop[1]:
             done = stop[0]
 
@@ -131,25 +147,43 @@ def _narrow(data: bytes, low: np.ndarray, high: np.ndarray):
     """ASCII that is written with zero bytes between, as UTF-16 and UTF-32 do."""
     for pattern, width, at in WIDE:
         for m in pattern.finditer(data):
-            own = slice(m.start(), m.end(), width)
-            yield m[0][at::width], low[own], high[m.start() + width - 1 : m.end() : width]
+            a, b = m.span()
+            got = _whole(data[k + at : min(k + PIECE, b) : width] for k in range(a, b, PIECE))
+            yield got, low[a:b:width], high[a + width - 1 : b : width]
+
+
+def _plain(s: bytes) -> bytes | None:
+    """What an escape stands for; None if for nothing."""
+    if s[:1] == b"%":
+        return bytes([int(s[1:], 16)])
+    code = int(s[2:-1]) if s[:2] == b"&#" and s[2:3] != b"x" else int(re.sub(rb"[^0-9A-Fa-f]", b"", s[3:] if s[:3] == b"&#x" else s[2:]), 16)
+    if s[:2] == b"\\x" and code >= 128:
+        return bytes([code])
+    return None if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code).encode()
 
 
 def _unescape(data: bytes, low: np.ndarray, high: np.ndarray):
     """One pass over URL and Unicode escapes; the new bytes and, for each, the source range it stands for."""
+    if _one(low):
+        changed = [False]
+
+        def chunks():
+            at = 0
+            for m in ESCAPE.finditer(data):
+                if (got := _plain(m[0])) is not None:
+                    changed[0] = True
+                    yield from (data[k : min(k + PIECE, m.start())] for k in range(at, m.start(), PIECE))
+                    yield got
+                    at = m.end()
+            if changed[0]:
+                yield from (data[k : k + PIECE] for k in range(at, len(data), PIECE))
+
+        whole = _whole(chunks())
+        return (whole, *_spread(low, high, len(whole))) if changed[0] else None
     parts, lows, highs, at = [], [], [], 0
     for m in ESCAPE.finditer(data):
-        s = m[0]
-        if s[:1] == b"%":
-            got = bytes([int(s[1:], 16)])
-        else:
-            code = int(s[2:-1]) if s[:2] == b"&#" and s[2:3] != b"x" else int(re.sub(rb"[^0-9A-Fa-f]", b"", s[3:] if s[:3] == b"&#x" else s[2:]), 16)
-            if s[:2] == b"\\x" and code >= 128:
-                got = bytes([code])
-            elif code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
-                continue
-            else:
-                got = chr(code).encode()
+        if (got := _plain(m[0])) is None:
+            continue
         parts += [data[at : m.start()], got]
         lows += [low[at : m.start()], np.full(len(got), low[m.start()])]
         highs += [high[at : m.start()], np.full(len(got), high[m.end() - 1])]
@@ -162,15 +196,16 @@ def _unescape(data: bytes, low: np.ndarray, high: np.ndarray):
 def _unpack(data: bytes, low: np.ndarray, high: np.ndarray):
     """Layers inside base64 runs, be they text or not."""
     for m in BASE64_RUN.finditer(data):
-        body = m[0].rstrip(b"=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            got = base64.b64decode(body.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        a, b = m.span()
+        n = b - a - (data[b - 1 : b] == b"=") - (data[b - 2 : b] == b"==")
+        if n % 4 == 1:
             continue
-        group = m.start() + np.arange(len(got)) // 3 * 4
-        yield got, low[group], high[np.minimum(group + 3, m.end() - 1)]
+        got = _whole(base64.b64decode(data[k : min(k + PIECE, a + n)].translate(URL_SAFE) + b"=" * (-(min(k + PIECE, a + n) - k) % 4)) for k in range(a, a + n, PIECE))
+        if _one(low):
+            yield got, *_spread(low, high, len(got))
+        else:
+            group = a + np.arange(len(got)) // 3 * 4
+            yield got, low[group], high[np.minimum(group + 3, b - 1)]
 
 
 def _nested(data: bytes, low: np.ndarray, high: np.ndarray):
@@ -188,20 +223,26 @@ def deep_matches(text: bytes) -> list[tuple[str, int, int]]:
     The worklist holds layers still to unwrap: each is searched for compressed streams, wide ASCII, base64 runs and
     escapes, whether it is clean text or not. A layer whose content and place were met before is not
     taken again, which ends cycles; every other step takes off one encoding, so the fixpoint is reached.
+    Layers are unwrapped one at a time, and one of any size is scanned whole: above PIECE it lies in a
+    temporary file of the task, so that disk, not memory, grows with it.
     """
     found = dict.fromkeys(base_matches(text))
     n = np.arange(len(text))
-    work, met = [(text, n, n + 1)], set()
+    work, met = [iter([(text, n, n + 1)])], set()
     while work:
-        data, low, high = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        data, low, high = layer
         key = (hashlib.sha256(data).digest(), int(low[0]) if len(low) else 0, int(high[-1]) if len(high) else 0)
         if key in met:
             continue
         met.add(key)
-        for layer in _nested(data, low, high):
-            for kind, a, b in base_matches(layer[0]):
-                found.setdefault((kind, int(layer[1][a:b].min()), int(layer[2][a:b].max())))
-            work.append(layer)
+        if len(work) > 1:
+            for kind, a, b in _matches(data):
+                x, y = (low[a:b], high[a:b]) if not _one(low) else (low[:1], high[:1])
+                found.setdefault((kind, int(x.min()), int(y.max())))
+        work.append(_nested(*layer))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda x: (x[1], order[x[0]], x[2]))
 

@@ -158,6 +158,13 @@ def test_secrets_in_compressed_and_unclean_layers(wrap):
     assert any(kind == "assign" and 9 < a < b <= len(text) - 6 for kind, a, b in secrets.deep_matches(text))
 
 
+@pytest.mark.parametrize(("make", "head"), [(gzip.compress, 65 << 20), (lambda s: gzip.compress(b64(bz2.compress(s)).encode()), 3 << 20), (gzip.compress, (1 << 20) - 9)])
+def test_secrets_in_large_layers(make, head):
+    """A secret behind 65 MB of a layer, and across the border of two pieces."""
+    text = b"see " + b64(make(b"log line ok\n" * (head // 12) + b"." * (head % 12) + b" api_key: 'Zx81+/abcd' ")).encode() + b" end"
+    assert any(kind == "assign" and 3 < a < b <= len(text) - 4 for kind, a, b in secrets.deep_matches(text))
+
+
 def test_suffix_dedup(docs, texts):
     plain = dict(zip([i for i, _ in texts], brute.repeated_bytes([t for _, t in texts]), strict=True))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeated_bytes(docs.select("doc_id", "text")).collect()}
