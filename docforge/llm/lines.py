@@ -13,35 +13,35 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", payload: bool = False) -> DataFrame:
-    """Remove every unit whose normalised form occurs earlier, ordered by (doc_id, unit number).
+    """Remove every unit whose normalised form occurs earlier, ordered by (doc_id, row, unit number).
 
     A unit is normalised by lower-casing A-Z and reducing runs of white space to one space, trimmed; empty
     units always stay. Digests of normalised units are grouped with partial aggregation, so a unit that a third of all
     rows hold costs one row a task; the joins back are split by adaptive execution where keys are skewed.
-    Only digests and numbers are shuffled until the removed numbers meet their texts.
+    Only digests and numbers are shuffled until the removed numbers meet their texts. Rows are numbered once and
+    written, and removed numbers go back by row, so null and equal ids are as good as distinct ones.
 
     Result for each row: doc_id, n_units, n_removed, removed_spans (start:end of the removed units in the
     original text, in characters, end exclusive, joined by commas), kept_text (units that stay, joined by
-    the separator). A null text counts as empty: no units of weight, nothing removed. Repeated rows share an id, so
-    equal (doc_id, unit) ranks are one occurrence and both stay; give rows distinct ids to tell them apart.
-    A null id ranks last. No rows give none. With ``payload`` the table's other columns follow.
+    the separator). A null text counts as empty: no units of weight, nothing removed. Rows of equal ids rank in the
+    order they are read in. A null id ranks last. No rows give none. With ``payload`` the table's other columns follow.
     """
     mark = SEPARATORS[unit]
-    text = F.coalesce(F.col("text"), F.lit(""))
+    extra = [c for c in docs.columns if payload and c not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text")]
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *extra, F.coalesce("text", F.lit("")).alias("_whole"))
+    base = written(base, "rows")  # numbered once: a later scan of the input may split it otherwise
     low = F.translate(F.col("raw"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = F.regexp_replace(F.regexp_replace(low, BLANKS, " "), "^ | $", "")
-    units = docs.select("doc_id", F.posexplode(F.split(text, mark)).alias("no", "raw")).select("doc_id", "no", norm.alias("norm")).where("norm <> ''")
-    keyed = units.select("doc_id", "no", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "no")
+    units = base.select("_row", "doc_id", F.posexplode(F.split("_whole", mark)).alias("no", "raw")).select("_row", "doc_id", "no", norm.alias("norm")).where("norm <> ''")
+    keyed = units.select("_row", "doc_id", "no", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "no")
     keyed = written(keyed, "units")
-    first = keyed.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rest = keyed.join(first, "digest").where(~rank.eqNullSafe(F.col("first")))
-    gone = rest.groupBy("doc_id").agg(F.collect_set("no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    extra = [c for c in docs.columns if payload and c not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text")]
-    whole = docs.select("doc_id", *extra, text.alias("whole"))
-    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    first = keyed.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first._row").alias("first_row"), F.col("first.no").alias("first_no"))
+    rest = keyed.select("_row", "no", "digest").join(first, "digest").where("_row <> first_row OR no <> first_no")
+    gone = rest.groupBy("_row").agg(F.collect_set("no").alias("gone"))
+    joined = base.join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     step = F.length(F.lit(mark))
-    parts = F.split("whole", mark)
+    parts = F.split("_whole", mark)
     place = F.aggregate(
         parts,
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<string>").alias("spans")),
@@ -59,7 +59,7 @@ def repeated_units(docs: DataFrame, unit: str = "line", payload: bool = False) -
         F.size(parts).cast("long").alias("n_units"),
         F.size("gone").cast("long").alias("n_removed"),
         F.when(some, F.array_join(place, ",")).otherwise("").alias("removed_spans"),
-        F.when(some, kept).otherwise(F.col("whole")).alias("kept_text"),
+        F.when(some, kept).otherwise(F.col("_whole")).alias("kept_text"),
     )
 
 

@@ -237,6 +237,12 @@ def test_line_dedup_edges(spark, empty):
     assert got == {1: (2, 0, "", "a b\ny"), 2: (4, 1, "0:4", "x\n\n"), 3: (1, 0, "", ""), None: (1, 1, "0:1", "")}
 
 
+def test_line_dedup_null_and_equal_ids(spark):
+    rows = spark.createDataFrame([(None, "x\ny", 0), (None, "p\nq", 1), (1, "x", 2), (7, "s\nt", 3), (7, "s\nu\nx", 4)], "doc_id long, text string, k int").coalesce(1)
+    got = {r["k"]: (r["doc_id"], r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in lines.repeated_units(rows, payload=True).collect()}
+    assert got == {0: (None, 2, 1, "0:1", "y"), 1: (None, 2, 0, "", "p\nq"), 2: (1, 1, 0, "", "x"), 3: (7, 2, 0, "", "s\nt"), 4: (7, 3, 2, "0:1,4:5", "u")}
+
+
 def test_mix_keeps_targets(docs, texts):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(texts)
