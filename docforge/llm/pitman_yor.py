@@ -112,39 +112,35 @@ def _rate(ones: float, twos: float) -> float:
 
 
 class _Shard:
-    """The word pairs of one shard: requests of all blocks and counts of the training texts."""
+    """The word pairs of one shard: each once for every block that has it, with how often the block's training texts do."""
 
     def __init__(self, table: pa.Table):
-        words, left, right, docs, rows, ids, train = [], [], [], [], [], [], []
-        base = 0
+        words, left, right, trains = [], [], [], []
         for r in range(table.num_rows):
-            nw, nt, nd = (table[c][r].as_py() for c in ("n_words", "n_tokens", "n_docs"))
-            w, a, b, d = _unpack(table["body"][r].as_py(), (np.uint64, nw), (np.uint32, nt), (np.uint32, nt), (np.uint32, nt))
-            row, known, doc_id, learns = _unpack(table["docs"][r].as_py(), (np.int64, nd), (bool, nd), (np.int64, nd), (bool, nd))
+            nw, n = (table[c][r].as_py() for c in ("n_words", "n_pairs"))
+            w, a, b, train = _unpack(table["body"][r].as_py(), (np.uint64, nw), (np.uint32, n), (np.uint32, n), (np.int64, n))
             words.append(w)
-            left.append(w[a])
+            left.append(w[np.cumsum(a)])  # packed as steps, since they rise
             right.append(w[b])
-            docs.append(d.astype(np.int64) + base)
-            rows.append(row)
-            ids.append(np.where(known, doc_id, np.iinfo(np.int64).min))
-            train.append(learns)
-            base += nd
-        self.rows, self.ids, self.train = (np.concatenate(x) for x in (rows, ids, train))
-        self.doc = np.concatenate(docs)
+            trains.append(train)
+        self.blocks, self.sizes = table["block"].to_pylist(), [len(x) for x in trains]
         self.words = np.unique(np.concatenate(words))
-        self.u = np.searchsorted(self.words, np.concatenate(left)).astype(np.int64)
-        self.w = np.searchsorted(self.words, np.concatenate(right)).astype(np.int64)
+        u = np.searchsorted(self.words, np.concatenate(left)).astype(np.int64)
+        w = np.searchsorted(self.words, np.concatenate(right)).astype(np.int64)
         del words, left, right
-        key = self.u * len(self.words) + self.w
-        pairs, self.pair = np.unique(key, return_inverse=True)
+        pairs, self.pair = np.unique(u * len(self.words) + w, return_inverse=True)
         self.pair_u, self.pair_w = pairs // len(self.words), pairs % len(self.words)
-        learns = self.train[self.doc]
-        self.count = np.bincount(self.pair[learns], minlength=len(pairs))
-        self.word_count = np.bincount(self.w[learns], minlength=len(self.words))
+        self.count, self.word_count = np.zeros(len(pairs), np.int64), np.zeros(len(self.words), np.int64)
+        np.add.at(self.count, self.pair, np.concatenate(trains))
+        np.add.at(self.word_count, self.pair_w, self.count)
 
 
 def _requests(docs: DataFrame, shards: int) -> DataFrame:
-    """Blocks of texts as their word pairs, dealt to shards by pair."""
+    """Blocks of texts as the number of the word pair of each token, and their distinct pairs, dealt to shards.
+
+    A block's pairs are numbered in order of their shards.
+    """
+    names = ["shard", "block", "n_words", "n_pairs", "body", "n_docs", "n_tokens", "docs"]
 
     def run(batches):
         held: list[tuple] = []
@@ -152,21 +148,26 @@ def _requests(docs: DataFrame, shards: int) -> DataFrame:
 
         def flush():
             seqs, counts, rows, ids, train = (np.concatenate([h[i] for h in held]) for i in range(5))
-            before = np.concatenate([[END], seqs[:-1]])
-            doc = np.repeat(np.arange(len(counts)), counts)
-            shard = (kernel.mix(before * U(3) + seqs) % U(shards)).astype(np.int64)
+            block = int(rows[0])
+            words, index = np.unique(np.concatenate([[END], seqs]), return_inverse=True)
+            pairs, pair = np.unique(index[:-1] * len(words) + index[1:], return_inverse=True)
+            left, right = words[pairs // len(words)], words[pairs % len(words)]
+            learnt = np.bincount(pair[np.repeat(train, counts)], minlength=len(pairs))
+            shard = (kernel.mix(left * U(3) + right) % U(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
             known = ids != np.iinfo(np.int64).min
+            whole = _pack(number[pair], counts.astype(np.int64), known, ids, train)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], kind) for x, kind in zip((None, block, None, None, None, len(rows), len(seqs), whole), kinds, strict=True))], names)
             for s in range(shards):
                 own = order[cuts[s] : cuts[s + 1]]
                 if not len(own):
                     continue
-                words, index = np.unique(np.concatenate([before[own], seqs[own]]), return_inverse=True)
-                some, local = np.unique(doc[own], return_inverse=True)
-                body = _pack(words, index[: len(own)].astype(np.uint32), index[len(own) :].astype(np.uint32), local.astype(np.uint32))
-                who = _pack(rows[some], known[some], ids[some], train[some])
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(words)]), pa.array([len(own)]), pa.array([len(some)]), pa.array([body]), pa.array([who])], ["shard", "n_words", "n_tokens", "n_docs", "body", "docs"])
+                some, at = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
+                body = _pack(some, np.diff(at[: len(own)], prepend=0).astype(np.uint32), at[len(own) :].astype(np.uint32), learnt[own].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], kind) for x, kind in zip((s, block, len(some), len(own), body, None, None, None), kinds, strict=True))], names)
 
         for batch in batches:
             rows, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
@@ -183,7 +184,8 @@ def _requests(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "shard long, n_words long, n_tokens long, n_docs long, body binary, docs binary")
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2 + [pa.binary()]
+    return docs.mapInArrow(run, "shard long, block long, n_words long, n_pairs long, body binary, n_docs long, n_tokens long, docs binary")
 
 
 def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -195,8 +197,9 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     under parents estimated within a shard, then, with all tables counted, under the shared root; predictive
     probabilities are averaged over the sweeps. Discounts follow from how many dishes are met once and twice.
 
-    Word pairs are dealt to shards by a digest of both words, so a frequent context is spread over all of them; what a
-    shard needs to know of a word (count, root probability, tables as context) it asks of the word's
+    Word pairs are counted within blocks of texts and dealt to shards by a digest of both words, so a frequent context
+    is spread over all of them, and a frequent pair costs its shard one entry a block. A pair's probability
+    goes back to the blocks that have it, which sum by text. What a shard needs to know of a word (count, root probability, tables as context) it asks of the word's
     shard. Everything gathered grows with the corpus; only totals reach the driver. Null and empty texts
     have the end alone. Repeated rows and equal ids each give their row; no rows give none.
     """
@@ -205,7 +208,8 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), (~held).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = max(1, -(-size // shard_bytes))
-    blocks = written(_requests(base, shards), "pairs")
+    made = written(_requests(base, shards), "pairs")
+    blocks = made.where("shard IS NOT NULL").select("shard", "block", "n_words", "n_pairs", "body")
 
     def to_word_shards(words: np.ndarray):
         home = (words % U(shards)).astype(np.int64)
@@ -273,10 +277,12 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     shape = "home long, shard long, n long, body binary, ones long, twos long"
     asked = written(blocks.groupBy("shard").applyInArrow(seat_alone, shape), "words")
+    release(spark)
     pairs = asked.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("ones"), F.coalesce(F.sum("twos"), F.lit(0)).alias("twos")).first()
     rate = _rate(pairs["ones"], pairs["twos"])
     replies, sums = shared_root(asked)
     forget(spark, asked)
+    release(spark)
     n_tokens, n_known = sums["tokens"], sums["known"]
 
     def seat_shared(table: pa.Table, said: pa.Table) -> pa.Table:
@@ -287,6 +293,7 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     asked = written(blocks.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(seat_shared, shape), "words")
     forget(spark, replies)
+    release(spark)
     replies, _ = shared_root(asked)
     forget(spark, asked)
     release(spark)
@@ -298,17 +305,30 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         tables = seat(own.count, chance_before[own.pair_w], context_before[own.pair_u], rate, 3000 + shard)  # the seating that was counted
         below = STRENGTH + count[own.pair_u]
         log = np.log10((np.maximum(own.count - rate * tables, 0) + (STRENGTH + rate * context[own.pair_u]) * chance[own.pair_w]) / below)
+        out, at = [], 0
+        for block, n in zip(own.blocks, own.sizes, strict=True):
+            pair = own.pair[at : at + n]
+            out.append((block, shard, n, _pack(log[pair], count[own.pair_w[pair]])))
+            at += n
+        return pa.table([pa.array(c) for c in zip(*out, strict=True)], names=["block", "shard", "n", "body"])
+
+    def by_text(table: pa.Table, said: pa.Table) -> pa.Table:
+        """Sums over the tokens of each text of a block."""
+        nd, nt = table["n_docs"][0].as_py(), table["n_tokens"][0].as_py()
+        pair, sizes, known, ids, train = _unpack(table["docs"][0].as_py(), (np.uint32, nt), (np.int64, nd), (bool, nd), (np.int64, nd), (bool, nd))
+        said = said.sort_by("shard")
+        parts = [_unpack(b.as_py(), (np.float64, n.as_py()), (np.int64, n.as_py())) for b, n in zip(said["body"], said["n"], strict=True)]
+        log, count = (np.concatenate([p[k] for p in parts])[pair] for k in (0, 1))
         flat = np.log10((count + 0.5) / (n_tokens + 0.5 * (n_known + 1)))
-        docs_n = len(own.rows)
-        sums_of = lambda x: np.bincount(own.doc, weights=x, minlength=docs_n)
-        known = np.bincount(own.doc, weights=(count[own.w] > 0), minlength=docs_n).astype(np.int64)
+        doc = np.repeat(np.arange(nd), sizes)
+        sums_of = lambda x: np.bincount(doc, weights=x, minlength=nd)
         return pa.table({
-            "row": own.rows, "doc_id": pa.array(own.ids, mask=own.ids == np.iinfo(np.int64).min), "held_out": ~own.train,
-            "n_tokens": np.bincount(own.doc, minlength=docs_n), "n_known": known, "base_score": sums_of(flat[own.w]), "score": sums_of(log[own.pair]),
+            "doc_id": pa.array(ids, mask=~known), "held_out": ~train, "n_tokens": sizes, "n_known": sums_of(count > 0).astype(np.int64),
+            "base_score": sums_of(flat), "score": sums_of(log),
         })
 
-    parts = blocks.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(judge, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    whole = parts.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    scored = blocks.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(judge, "block long, shard long, n long, body binary")
+    whole = made.where("shard IS NULL").select("block", "n_docs", "n_tokens", "docs").groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(by_text, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -207,6 +207,17 @@ def test_language_model_learns_order(spark):
     assert sum(r["score"] for r in got) > 0.8 * sum(r["base_score"] for r in got)
 
 
+def test_language_model_counts_frequent_pairs_in_blocks(spark):
+    """A pair that fills the corpus reaches its shard once a block; scores are those of brute force all the same."""
+    rows = [(i, "same word " * 500 + f"w{i}") for i in range(40)]
+    base = spark.createDataFrame([(i, i, i % 2 == 0, t) for i, t in rows], "row long, doc_id long, train boolean, text string").coalesce(1)
+    asked = [r for r in pitman_yor._requests(base, 3).collect() if r["shard"] is not None]
+    assert sum(r["n_pairs"] for r in asked) == 2 + 2 * 40 + 1  # same word, word same; word wI, wI END; END same
+    plain = brute.base_scores(rows)
+    got = pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=20_000).collect()
+    assert len(got) == 40 and all((r["n_tokens"], r["n_known"]) == plain[r["doc_id"]][1:3] and r["base_score"] == pytest.approx(plain[r["doc_id"]][4]) for r in got)
+
+
 def test_token_counts(spark, docs, texts):
     encode = tokens._encoder(tokens.TOKENIZER)
     path = new_path(spark, "cache")
