@@ -33,6 +33,15 @@ def upper_median(values: Column) -> Column:
     return F.coalesce(F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
 
 
+def upper_median_by(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``upper_median`` of each key's values, from counts of equal values and their running sum, so that no key is one array."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    run = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_key").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)))
+    half = rows.groupBy(key).agg(F.floor(F.count(value) / 2).alias("_half"))
+    met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_upto") > F.col("_half")) & (F.col("_upto") - F.col("_n") <= F.col("_half"))
+    return half.join(run, met, "left").select(key, F.coalesce("_value", F.lit(0.0)).alias(name))
+
+
 def with_base(lines: DataFrame) -> DataFrame:
     """Adds base, the page's median size over lines of known size."""
     return lines.withColumn("base", upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size"))).over(whole())))

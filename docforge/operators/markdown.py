@@ -106,6 +106,15 @@ def build_documents(pages: DataFrame, lines: DataFrame, at: Column, options: Opt
 
 
 def combine(documents: DataFrame, order: str = "doc_id") -> DataFrame:
-    """One row: all documents in order, set apart by rules."""
+    """One row: all documents in order, set apart by rules. ``combined_pieces`` has no row that grows with the table."""
     whole = documents.agg(F.array_sort(F.collect_list(F.struct(order, T.trim(F.col("markdown")).alias("t")))).alias("x"))
     return whole.select(F.concat(F.array_join(F.transform("x", lambda s: s["t"]), "\n\n---\n\n"), F.lit("\n")).alias("markdown"))
+
+
+def combined_pieces(documents: DataFrame, order: str = "doc_id") -> DataFrame:
+    """One row a document, sorted by order over all partitions; the rows' texts, each ended by a line feed, are the combined text."""
+    texts = documents.select(F.struct(order, T.trim(F.col("markdown")).alias("t")).alias("x")).where("x.t IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    copies = texts.select("x", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    first = texts.agg(F.min("x").alias("first"))
+    ruled = F.when(F.col("x").eqNullSafe(F.col("first")) & (F.col("copy") == 1), F.col("x.t")).otherwise(F.concat(F.lit("\n---\n\n"), "x.t"))
+    return copies.crossJoin(F.broadcast(first)).orderBy("x", "copy").select(ruled.alias("markdown"))

@@ -74,7 +74,7 @@ def _(spark, d):
 
 @query("upper_median", "SELECT o_custkey, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS med FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return X.table(spark, d, "orders").groupBy("o_custkey").agg(B.upper_median(F.collect_list("o_totalprice")).alias("med"))
+    return B.upper_median_by(X.table(spark, d, "orders"), "o_custkey", "o_totalprice", "med")
 
 
 @query("big_lines", REGROUP + " SELECT doc_id, page_no, line_no, big FROM b2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from docforge.operators.markdown import combine
+from docforge.operators.markdown import combined_pieces
 from docforge.operators.run import unique_output_names
 
 
@@ -14,5 +14,5 @@ def write_each(documents: DataFrame, folder: str) -> None:
 
 
 def write_combined(documents: DataFrame, folder: str, order: str = "file_id") -> None:
-    """All documents in order as one text file."""
-    combine(documents, order).write.mode("overwrite").option("lineSep", "\n").text(folder)
+    """All documents in order as text files that, one after the other by name, are the combined text."""
+    combined_pieces(documents, order).write.mode("overwrite").option("lineSep", "\n").text(folder)

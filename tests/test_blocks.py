@@ -58,6 +58,13 @@ def test_medians(spark):
     assert [r[0] for r in df.select(B.upper_median(F.col("v"))).collect()] == [3.0, 0.0]
 
 
+def test_upper_median_by(spark):
+    rows = [(1, 2.0), (1, 2.0), (1, 5.0), (1, 3.0), (1, None), (2, None), (None, 4.0), (None, 1.0), (3, 7.0)]
+    got = B.upper_median_by(spark.createDataFrame(rows, "k int, v double"), "k", "v", "med")
+    assert {r["k"]: r["med"] for r in got.collect()} == {1: 3.0, 2: 0.0, None: 4.0, 3: 7.0}
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_row_order_does_not_matter(spark):
     lines = [[(random.Random(k).choice(["• x", "Y", "z sor", "NAGY", "vége."]), random.Random(k + 50).choice([0, 10, 13]))] for k in range(25)]
     df = page(spark, *lines)

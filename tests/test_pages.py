@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docforge.operators import files as FI
 from docforge.operators import layout as L
+from docforge.operators import markdown as M
 from docforge.operators import ocr as O
 from docforge.operators import raster as R
 from docforge.operators import run as U
@@ -86,6 +87,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("wholetext", True).text(f"file://{tmp_path}/one").first()[0].startswith("# x\n\n---\n\n# y\n\n---\n\nz")
 
 
+def test_combined_in_pieces(spark, tmp_path):
+    """No row holds the whole: files of several partitions, in order of name, are the combined text."""
+    rows = [(k // 2, f" # {k}\n" if k % 5 else None) for k in range(40)] + [(3, " # 7\n"), (None, "n"), (0, "")]
+    docs = spark.createDataFrame(rows, "file_id long, markdown string")
+    whole = M.combine(docs, "file_id").first()[0]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_combined(docs, f"file://{tmp_path}/many", "file_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = sorted((tmp_path / "many").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == whole
+    assert sum(f.stat().st_size > 0 for f in files) > 1
+
+
 def test_scan_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.png").write_bytes(b"123")
