@@ -43,7 +43,8 @@ def seat(counts: np.ndarray, parent: np.ndarray, tables: np.ndarray, discount: f
     anew: at a table in proportion to its customers less the discount, or at a new one in proportion to
     (strength + discount * tables) * parent. All dishes move at the same time, each as often in a sweep as it has customers.
     A dish with more than SEATS customers is seated customer by customer in growing blocks instead,
-    within which the chance of a new table is held; its moves would be as many as its customers.
+    within which the chance of a new table is held; its moves would be as many as its customers. This is not Gibbs
+    seating and opens too many tables (figures in the README).
     """
     rng = np.random.default_rng(seed)
     out = np.minimum(counts, 1).astype(np.float64)
@@ -194,8 +195,8 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     Tokens are lower-cased (A-Z) words and one end. Restaurants of one-word contexts share the root restaurant, whose
     own parent is uniform over the training tokens and one unknown. Training texts (crc32 of the id
     modulo 5 not 1; null ids learn) give each restaurant its customers; tables are sampled by Gibbs, first
-    under parents estimated within a shard, then, with all tables counted, under the shared root; predictive
-    probabilities are averaged over the sweeps. Discounts follow from how many dishes are met once and twice.
+    under parents estimated within a shard, then, with all tables counted, under the shared root; numbers of
+    tables, not probabilities, are averaged over the sweeps, and dishes of more than SEATS customers get no Gibbs moves. Discounts follow from how many dishes are met once and twice.
 
     Word pairs are counted within blocks of texts and dealt to shards by a digest of both words, so a frequent context
     is spread over all of them, and a frequent pair costs its shard one entry a block. A pair's probability
