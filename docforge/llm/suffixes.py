@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,35 +108,47 @@ def _induce_wide(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabe
     return out
 
 
+def _ranked(at: np.ndarray, slot: np.ndarray, ahead: np.ndarray) -> None:
+    """Order the suffixes ``at`` by their own slot, then by those ahead, twice as far with every pass.
+
+    ``slot`` holds the first slot of the ties each suffix is in, and gets its final one; ``ahead`` points along its run of
+    one type, at whose end a suffix of known slot points to itself. A pass sorts only what is still tied.
+    """
+    n = len(slot)
+    while len(at):
+        key = slot[at] * (n + 1) + slot[ahead[at]] + 1
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        was, place = slot[at], np.arange(len(at))
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], was[1:] != was[:-1]]), place, 0))
+        further = ahead[ahead[at]]
+        slot[at] = was + np.maximum.accumulate(np.where(fresh, place, 0)) - head
+        ahead[at] = further
+        at = at[~(fresh & np.append(fresh[1:], True))]
+
+
 def _induce_long(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabet: int) -> np.ndarray:
-    """The same by two linear scans, for a large alphabet."""
+    """The same for a large alphabet, in whole arrays: L suffixes follow from the seeds that end their runs, S suffixes from
+    the L suffixes that end theirs. In a bucket L suffixes come before S suffixes."""
     n = len(text)
-    end = np.cumsum(np.bincount(text, minlength=alphabet))
-    chars, is_small = text.tolist(), small.tolist()
-    tails = end.tolist()
-    out = [-1] * n
-    for p in seeds[::-1].tolist():
-        c = chars[p]
-        tails[c] -= 1
-        out[tails[c]] = p
-    heads = np.concatenate([[0], end[:-1]]).tolist()
-    c = chars[n - 1]
-    out[heads[c]] = n - 1
-    heads[c] += 1
-    for i in range(n):
-        p = out[i] - 1
-        if p >= 0 and not is_small[p]:
-            c = chars[p]
-            out[heads[c]] = p
-            heads[c] += 1
-    tails = end.tolist()
-    for i in range(n - 1, -1, -1):
-        p = out[i] - 1
-        if p >= 0 and is_small[p]:
-            c = chars[p]
-            tails[c] -= 1
-            out[tails[c]] = p
-    return np.array(out, np.int64)
+    start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))[:-1]])
+    larger, smaller = np.flatnonzero(~small), np.flatnonzero(small)
+    inside = start + np.bincount(text[larger], minlength=alphabet)  # where a bucket's S suffixes begin
+    slot = np.full(n + 1, -1, np.int64)  # the empty suffix at n comes before all
+    slot[larger] = start[text[larger]]
+    seeds = seeds[np.argsort(text[seeds], kind="stable")]
+    chars = text[seeds]
+    slot[seeds] = inside[chars] + np.arange(len(seeds)) - np.searchsorted(chars, chars)
+    for own, ends in ((larger, np.append(seeds, n)), (smaller, larger)):
+        ahead = np.arange(1, n + 2)
+        ahead[ends] = ends
+        if own is smaller:
+            slot[smaller] = inside[text[smaller]]
+        _ranked(own, slot, ahead)
+    out = np.empty(n, np.int64)
+    out[slot[:n]] = np.arange(n)
+    return out
 
 
 def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
@@ -256,7 +269,9 @@ def _pieces(texts: pa.Array):
 
 
 def shard_repeats(texts: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each distinct text of a shard its covered ranges (start, end) as rows."""
+    """For each distinct text of a shard its covered ranges (start, end) as rows; a text that occurs twice is covered whole."""
+    if not texts:
+        return []
     parts, at, begins = [], 0, []
     for t in texts:
         begins.append(at)
@@ -281,8 +296,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
     2. The stretches of windows around the other grams, each distinct one once with its count, are dealt to shards
        by gram. A gram that occurs more than ``frequent`` times has its windows dealt singly by their own digests, so
        no gram fills a shard however many texts hold it.
-    3. Each shard sorts its text by induced sorting and finds the windows whose permuted common prefix
-       reaches 200; stretches that occur twice count as repeated. Ranges go back to all places of a stretch.
+    3. A stretch that occurs twice, byte by byte, is repeated whole. Where the stretches of a gram differ, their shard sorts
+       them by induced sorting and finds the windows whose permuted common prefix reaches 200; a gram with one
+       distinct stretch has no other text to meet. Ranges go back to all places of a stretch.
 
     A null text is empty. Strings are judged on the input, repeated rows count as elsewhere, matches never
     cross rows. Rows are numbered once and written, so they are told apart however the input is read. Null and equal ids are kept. Result: the id, n_bytes, n_removed, n_spans, kept_sha256; with
@@ -300,10 +316,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
                 yield pa.RecordBatch.from_arrays([pa.array(rows[row + own]), pa.array(start + begin), pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))], ["row", "start", "size", "gram"])
 
     places = written(base.select("row", "body").mapInArrow(grams, "row long, start long, size int, gram long"), "grams")
-    again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join reads two plain tables and adaptive execution can split a gram that many places share
+    again = written(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     runs = places.join(again, "gram").groupBy("row").agg(F.collect_list(F.struct("start", "size", "gram", (F.col("n") > frequent).alias("often"))).alias("runs"))
     runs = written(runs, "runs")
     forget(spark, places)
+    forget(spark, again)
     release(spark)
 
     def stretches(batches):
@@ -348,10 +366,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
 
     def solve(table: pa.Table) -> pa.Table:
         own: dict[bytes, list] = {}
-        for digest, body, n in zip(table["digest"].to_pylist(), table["body"].to_pylist(), table["n"].to_pylist(), strict=True):
-            own.setdefault(digest, [body, 0])[1] += n
-        found = shard_repeats([v[0] for v in own.values()], [v[1] for v in own.values()])
-        some = [(d, x) for d, x in zip(own, found, strict=True) if len(x)]
+        for gram, digest, body, n in zip(*(table[c].to_pylist() for c in ("gram", "digest", "body", "n")), strict=True):
+            own.setdefault(digest, [gram, body, 0])[2] += n
+        kinds = Counter(v[0] for v in own.values())
+        mixed = {d: v for d, v in own.items() if kinds[v[0]] > 1}
+        found = dict(zip(mixed, shard_repeats([v[1] for v in mixed.values()], [v[2] for v in mixed.values()]), strict=True))
+        found |= {d: np.array([[0, len(v[1])]]) for d, v in own.items() if kinds[v[0]] == 1 and v[2] > 1}
+        some = [(d, x) for d, x in found.items() if len(x)]
         return pa.table({"digest": pa.array([d for d, _ in some], pa.binary()), "ranges": pa.array([x.tolist() for _, x in some], pa.list_(pa.list_(pa.int64())))})
 
     solved = bodies.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInArrow(solve, "digest binary, ranges array<array<long>>")

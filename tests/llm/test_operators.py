@@ -294,3 +294,18 @@ def test_quality(spark):
 @pytest.mark.parametrize("run", [lambda t: minhash.near_duplicates(t), lambda t: secrets.scan_secrets(t), lambda t: secrets.redact(t), lambda t: suffixes.repeated_bytes(t), lambda t: pitman_yor.score_texts(t), lambda t: mixing.mix_sources(t), lambda t: tokens.count_tokens(t, new_path(t.sparkSession, "cache"))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+@pytest.mark.parametrize("wide", [0, suffixes.WIDE])
+def test_suffix_array(monkeypatch, wide):
+    """Both ways to induce against sorted suffixes, on random and periodic strings."""
+    import numpy as np
+
+    monkeypatch.setattr(suffixes, "WIDE", wide)
+    rng = np.random.default_rng(1)
+    for k in range(80):
+        alphabet = int(rng.integers(1, 6))
+        text = rng.integers(0, alphabet, int(rng.integers(1, 300)))
+        text = np.tile(text[: max(1, len(text) // 7)], 8) if k % 3 == 0 else text
+        assert suffixes.suffix_array(text, alphabet).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert len(suffixes.suffix_array(np.zeros(0, np.int64), 4)) == 0
