@@ -377,6 +377,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
 
     solved = bodies.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInArrow(solve, "digest binary, ranges array<array<long>>")
     solved = written(solved, "repeats")
+    release(spark)
     spans = cut.where("body is null").select("digest", "row", "start").join(solved, "digest").select("row", F.transform("ranges", lambda x: F.struct((x[0] + F.col("start")).alias("a"), (x[1] + F.col("start")).alias("b"))).alias("spans"))
     spans = written(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     forget(spark, cut)
