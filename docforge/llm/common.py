@@ -52,25 +52,51 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 FILTER_BITS, BITS_PER_KEY = 1 << 26, 16
 
 
-def holding(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``key`` may be among the values of ``wanted``, a table of one column, before an exact join.
+#: Columns of the bitmap, named so that no table has them.
+BUCKET, BITS, MAY = "_docforge_bucket", "_docforge_bits", "_docforge_may"
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with the column MAY: whether ``key`` may be among the values of ``wanted``, a table of one column.
 
-    Keys are marked in a bitmap of at most FILTER_BITS, built and broadcast by Spark, so that rows without a partner are
-    not shuffled. All rows with a partner stay, and a few others; with more than FILTER_BITS / 4 keys all
-    rows stay and the join shuffles them. Rows with a null key go.
+    Keys are marked in a bitmap of at most FILTER_BITS, built and broadcast by Spark; with more than FILTER_BITS / 4 keys all
+    rows may hold one. A null key holds none.
     """
     n = wanted.count()
     if n > FILTER_BITS // 4:
-        return rows
+        return rows.withColumn(MAY, F.col(key).isNotNull())
     bits = min(FILTER_BITS, 1 << max(15, (BITS_PER_KEY * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     name = wanted.columns[0]
-    maps = wanted.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(place(F.col(name))).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(F.col(name)))).alias("_bits"))
+    maps = wanted.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(place(F.col(name))).alias(BUCKET)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(F.col(name)))).alias(BITS))
     at = F.bitmap_bit_position(place(F.col(key)))
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    own = rows.where(F.col(key).isNotNull())
-    met = own.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(key))) == F.col("_bucket"))
-    return met.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).select(*rows.columns)
+    byte = F.conv(F.hex(F.substring(BITS, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(key))) == F.col(BUCKET), "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False)).alias(MAY))
+
+
+def holding(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among the values of ``wanted``, a table of one column, before an exact join.
+
+    Rows without a partner are not shuffled then. All rows with a partner stay, and a few others. Rows with a null key go.
+    """
+    return _marked(rows, key, wanted).where(MAY).drop(MAY)
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``holding`` keeps, and all others, which have no partner for certain."""
+    marked = _marked(rows, key, wanted)
+    return marked.where(MAY).drop(MAY), marked.where(~F.col(MAY)).drop(MAY)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among the values of ``gone``, a table of one column; those with a null key stay.
+
+    Only rows that may have to go are shuffled.
+    """
+    maybe, others = parted(rows, key, gone)
+    name = gone.columns[0]
+    return others.unionByName(maybe.join(gone.withColumnRenamed(name, key), key, "left_anti").select(*rows.columns))
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:

@@ -1,84 +1,112 @@
-"""Substring dedup by hashing lines: of each repeated line the earliest occurrence stays."""
+"""Substring dedup by hashing lines, sentences or paragraphs: of each repeated unit the earliest occurrence stays."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, parted, written
 
-#: Lines, or paragraphs: what separates two units.
-SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
+#: What a unit is, with what separates it from the next: all units together are the whole text.
+UNITS = {"line": r"(?s).*?(?:\n|\z)", "sentence": r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|\z)", "paragraph": r"(?s).*?(?:\n{2,}|\z)"}
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: The least words of a run of repeated units that is removed. Short lines and stock phrases recur by chance or for good
+#: reason; half of a passage of fifty words is what is left of it where both ends are cut in the middle of a sentence.
+LEAST_WORDS = 25
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", payload: bool = False) -> DataFrame:
-    """Remove every unit whose normalised form occurs earlier, ordered by (doc_id, row, unit number).
+def _cut(batches):
+    """Arrow batches (text, spans, ...) with the kept text in place of the spans."""
+    for batch in batches:
+        kept = []
+        for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts, last = [], 0
+            for s in spans or ():
+                parts.append(text[last : s["start"]])
+                last = s["end"]
+            kept.append("".join([*parts, text[last:]]))
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *batch.columns[1:]], batch.schema.names)
 
-    A unit is normalised by lower-casing A-Z and reducing runs of white space to one space, trimmed; empty
-    units always stay. Digests of normalised units are grouped with partial aggregation, so a unit that a third of all
-    rows hold costs one row a task; the joins back are split by adaptive execution where keys are skewed.
-    Only digests and numbers are shuffled until the removed numbers meet their texts. Rows are numbered once and
-    written, and removed numbers go back by row, so null and equal ids are as good as distinct ones.
 
-    Result for each row: doc_id, n_units, n_removed, removed_spans (start:end of the removed units in the
-    original text, in characters, end exclusive, joined by commas), kept_text (units that stay, joined by
-    the separator). A null text counts as empty: no units of weight, nothing removed. Rows of equal ids rank in the
-    order they are read in. A null id ranks last. No rows give none. With ``payload`` the table's other columns follow.
+def repeated_units(docs: DataFrame, unit: str = "sentence", payload: bool = False, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Remove the runs of units whose normalised forms all occur earlier, ordered by (doc_id, row, unit number).
+
+    A ``unit`` is a line, a sentence (a line also ends after ., ! or ? and white space) or a paragraph, with the white space that
+    ends it. It is normalised by lower-casing A-Z and reducing runs of white space to one space, trimmed; a unit that is
+    blank breaks no run. Consecutive units with an earlier occurrence are a run, which goes if it has ``least_words`` words; with 0 every
+    repeated unit goes, however short.
+
+    Digests of normalised units are grouped with partial aggregation, so a unit that a third of all rows hold costs one row
+    a task; its places meet the result in a join of two plain tables, which adaptive execution splits where a
+    digest is frequent. Only digests and numbers are shuffled; a text moves only if it may lose something. Rows are numbered
+    once and written, and removed runs go back by row, so null and equal ids are as good as distinct ones.
+
+    Result for each row: doc_id, n_units, n_removed (units), removed_spans (start:end of the removed runs in the original
+    text, in characters, end exclusive, joined by commas), kept_text (the rest, in order). A null or empty text has no
+    units. Rows of equal ids, and repeated rows, rank in the order they are read in; a null id ranks last. No rows give
+    none. With ``payload`` the table's other columns follow, but those named as a column of the result or beginning with
+    ``_unit``.
     """
-    mark = SEPARATORS[unit]
-    extra = [c for c in docs.columns if payload and c not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text")]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *extra, F.coalesce("text", F.lit("")).alias("_whole"))
+    extra = [c for c in docs.columns if payload and c not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text") and not c.startswith("_unit")]
+    text = F.coalesce("text", F.lit(""))
+    pieces = lambda c: F.filter(F.regexp_extract_all(c, F.lit(UNITS[unit]), F.lit(0)), lambda x: x != "")
+    base = docs.select(F.monotonically_increasing_id().alias("_unit_row"), "doc_id", *extra, text.alias("_unit_text"), F.size(pieces(text)).cast("long").alias("n_units"))
     base = written(base, "rows")  # numbered once: a later scan of the input may split it otherwise
     low = F.translate(F.col("raw"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = F.regexp_replace(F.regexp_replace(low, BLANKS, " "), "^ | $", "")
-    units = base.select("_row", "doc_id", F.posexplode(F.split("_whole", mark)).alias("no", "raw")).select("_row", "doc_id", "no", norm.alias("norm")).where("norm <> ''")
-    keyed = units.select("_row", "doc_id", "no", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest"))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "no")
-    keyed = written(keyed, "units")
-    first = keyed.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first._row").alias("first_row"), F.col("first.no").alias("first_no"))
-    rest = keyed.select("_row", "no", "digest").join(first, "digest").where("_row <> first_row OR no <> first_no")
-    gone = rest.groupBy("_row").agg(F.collect_set("no").alias("gone"))
-    joined = base.join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    step = F.length(F.lit(mark))
-    parts = F.split("_whole", mark)
-    place = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<string>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x) + step).alias("at"),
-            (s["no"] + 1).alias("no"),
-            F.when(F.array_contains("gone", s["no"]), F.array_append(s["spans"], F.concat_ws(":", s["at"].cast("string"), (s["at"] + F.length(x)).cast("string")))).otherwise(s["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), mark)
-    some = F.size("gone") > 0
-    return joined.select(
-        "doc_id",
-        *extra,
-        F.size(parts).cast("long").alias("n_units"),
-        F.size("gone").cast("long").alias("n_removed"),
-        F.when(some, F.array_join(place, ",")).otherwise("").alias("removed_spans"),
-        F.when(some, kept).otherwise(F.col("_whole")).alias("kept_text"),
+    units = base.select("_unit_row", "doc_id", F.posexplode(pieces(F.col("_unit_text"))).alias("no", "raw")).select("_unit_row", "doc_id", "no", F.length("raw").alias("size"), norm.alias("norm"))
+    full = F.col("norm") != ""
+    digest = F.when(full, F.unhex(F.md5(F.col("norm").cast("binary"))))
+    words = F.when(full, F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).otherwise(0)
+    keyed = written(units.select("_unit_row", "doc_id", "no", "size", words.alias("words"), digest.alias("digest")), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_unit_row", "no")
+    first = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(first.select("digest", F.col("first._unit_row").alias("first_row"), F.col("first.no").alias("first_no")), "first")
+    gone = (F.col("_unit_row") != F.col("first_row")) | (F.col("no") != F.col("first_no"))
+    flagged = keyed.join(first, "digest", "left").select("_unit_row", "no", "size", "words", F.col("digest").isNull().alias("blank"), F.coalesce(gone, F.lit(False)).alias("gone"))
+    own = Window.partitionBy("_unit_row").orderBy("no")
+    placed = flagged.select(
+        "_unit_row", "size", "words", "gone",
+        F.sum(F.col("size").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("end"),
+        F.sum((~F.col("gone") & ~F.col("blank")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+    )
+    runs = placed.groupBy("_unit_row", "run").agg(
+        F.min(F.when(F.col("gone"), F.col("end") - F.col("size"))).alias("start"),
+        F.max(F.when(F.col("gone"), F.col("end"))).alias("end"),
+        F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("words"),
+        F.count_if("gone").alias("n_gone"),
     )
+    removed = runs.where((F.col("n_gone") > 0) & (F.col("words") >= least_words)).groupBy("_unit_row")
+    removed = written(removed.agg(F.sum("n_gone").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_unit_spans")), "spans")
+    maybe, others = parted(base, "_unit_row", removed.select("_unit_row"))  # texts that lose nothing stay where they are
+    cut = maybe.join(removed, "_unit_row", "left").select("_unit_text", "_unit_spans", "doc_id", *extra, "n_units", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+    cut = cut.mapInArrow(_cut, cut.schema)
+    said = F.array_join(F.transform("_unit_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    columns = ["doc_id", *extra, "n_units"]
+    kept = F.col("_unit_text").alias("kept_text")
+    cut = cut.select(*columns, "n_removed", F.coalesce(said, F.lit("")).alias("removed_spans"), kept)
+    return cut.unionByName(others.select(*columns, F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed_spans"), kept))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents by line, with a digest in place of the kept text."""
+    """All documents by lines and their sentences, with a digest in place of the kept text."""
     found = repeated_units(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_units", "n_removed", "removed_spans", F.octet_length("kept_text").cast("long").alias("n_kept_bytes"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-OP4_SQL = """
-WITH u AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
-p AS (
-  SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-         regexp_replace(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM u),
-r AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, no) > 1 AS gone FROM p)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
-       coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(raw) AS BIGINT), ',' ORDER BY no) FILTER (WHERE gone), '') AS removed_spans,
-       CAST(strlen(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS BIGINT) AS n_kept_bytes,
-       sha256(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+OP4_SQL = r"""
+WITH e AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|\z)'), lambda x: x <> '') AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS no FROM e),
+p AS (SELECT doc_id, no, raw, regexp_replace(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM u),
+f AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, no) > 1 AS gone FROM p),
+q AS (SELECT *, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY no) AS stop, sum(CASE WHEN gone OR norm = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM f),
+r AS (SELECT doc_id, run, CAST(min(stop - length(raw)) FILTER (WHERE gone) AS BIGINT) AS a, CAST(max(stop) FILTER (WHERE gone) AS BIGINT) AS b,
+             sum(length(norm) - length(replace(norm, ' ', '')) + 1) FILTER (WHERE gone) AS words, count(*) FILTER (WHERE gone) AS n_gone FROM q GROUP BY doc_id, run),
+s AS (SELECT doc_id, CAST(sum(n_gone) AS BIGINT) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, list(b ORDER BY a) AS ends, list(a ORDER BY a) AS starts FROM r WHERE words >= 25 GROUP BY doc_id),
+k AS (SELECT e.doc_id, len(l) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS removed_spans,
+             CASE WHEN spans IS NULL THEN text ELSE array_to_string(list_transform(range(len(starts) + 1), lambda i:
+               substring(text, CASE WHEN i = 0 THEN 1 ELSE ends[i] + 1 END, CASE WHEN i = len(starts) THEN length(text) ELSE starts[i + 1] - CASE WHEN i = 0 THEN 0 ELSE ends[i] END END)), '') END AS kept
+      FROM e LEFT JOIN s ON e.doc_id IS NOT DISTINCT FROM s.doc_id)
+SELECT doc_id, n_units, n_removed, removed_spans, CAST(strlen(kept) AS BIGINT) AS n_kept_bytes, sha256(kept) AS kept_sha256 FROM k
 """

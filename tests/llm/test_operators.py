@@ -5,10 +5,12 @@ import bz2
 import gzip
 import lzma
 import random
+import re
 import zlib
 from urllib.parse import quote
 
 import pytest
+from pyspark.sql import functions as F
 
 from docforge.llm import contamination, lines, minhash, mixing, neighbours, pitman_yor, quality, secrets, suffixes, tokens
 from docforge.llm.common import components, new_path
@@ -241,17 +243,66 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def plain_units(rows, unit, least):
+    """(doc_id, n_units, n_removed, removed_spans, kept_text) of rows in rank order, one unit at a time."""
+    ends = {"line": r"\n", "sentence": r"[.!?][ \t-\r]+|\n", "paragraph": r"\n{2,}"}[unit]
+    seen, out = set(), []
+    for i, text in rows:
+        text, at, units = text or "", 0, []
+        for m in [*re.finditer(ends, text), None]:
+            stop = m.end() if m else len(text)
+            if stop > at:
+                units.append((at, stop, " ".join(brute.words(text[at:stop]))))
+            at = stop
+        spans, run, n = [], [], 0
+        for a, b, norm in [*units, (len(text), len(text), None)]:
+            if norm == "":
+                continue
+            if norm in seen:
+                run.append((a, b, norm))
+                continue
+            seen.add(norm)
+            if run and sum(len(x[2].split(" ")) for x in run) >= least:
+                spans.append((run[0][0], run[-1][1]))
+                n += len(run)
+            run = []
+        kept, last = "", 0
+        for a, b in spans:
+            kept, last = kept + text[last:a], b
+        out.append((i, len(units), n, ",".join(f"{a}:{b}" for a, b in spans), kept + text[last:]))
+        seen.discard(None)
+    return out
+
+
+@pytest.mark.parametrize(("unit", "least"), [("sentence", 25), ("sentence", 0), ("line", 0), ("line", 8), ("paragraph", 0)])
+def test_line_dedup(spark, unit, least):
+    """Passages inside lines, blank units within runs, copies, a very long text, empty and null ones."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(text_of(rng, rng.randrange(2, 9)).capitalize() + rng.choice([".", "!", "?\n", ".\n\n", " "]) for _ in range(n))
+    passage = say(12)
+    texts = [say(6) for _ in range(12)] + [say(3) + passage + say(2) for _ in range(6)] + [passage, passage, None, "", "\n\n \n", "one", "One ", say(400), "é " + passage + "ü"]
+    rows = list(enumerate(texts))
+    got = lines.repeated_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), unit, least_words=least).collect()
+    assert sorted(map(tuple, got)) == plain_units(rows, unit, least)
+
+
 def test_line_dedup_edges(spark, empty):
     assert lines.repeated_units(empty).count() == 0
     rows = spark.createDataFrame([(2, "A  b\nx\n\n"), (1, "a b\ny"), (3, None), (None, "x")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in lines.repeated_units(rows).collect()}
-    assert got == {1: (2, 0, "", "a b\ny"), 2: (4, 1, "0:4", "x\n\n"), 3: (1, 0, "", ""), None: (1, 1, "0:1", "")}
-
-
-def test_line_dedup_null_and_equal_ids(spark):
-    rows = spark.createDataFrame([(None, "x\ny", 0), (None, "p\nq", 1), (1, "x", 2), (7, "s\nt", 3), (7, "s\nu\nx", 4)], "doc_id long, text string, k int").coalesce(1)
-    got = {r["k"]: (r["doc_id"], r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in lines.repeated_units(rows, payload=True).collect()}
-    assert got == {0: (None, 2, 1, "0:1", "y"), 1: (None, 2, 0, "", "p\nq"), 2: (1, 1, 0, "", "x"), 3: (7, 2, 0, "", "s\nt"), 4: (7, 3, 2, "0:1,4:5", "u")}
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in lines.repeated_units(rows, "line", least_words=0).collect()}
+    assert got == {1: (2, 0, "", "a b\ny"), 2: (3, 1, "0:5", "x\n\n"), 3: (0, 0, "", ""), None: (1, 1, "0:1", "")}
+
+
+def test_line_dedup_null_equal_ids_and_clashing_columns(spark):
+    """Rows that share an id lose only what repeats; repeated rows lose all but the first; columns of any name are kept apart."""
+    rows = spark.createDataFrame([(None, "x\ny", 0, "a"), (None, "p\nq", 1, "b"), (1, "x", 2, "c"), (7, "s\nt", 3, "d"), (7, "s\nu\nx", 4, "e"), (7, "s\nu\nx", 5, None)], "doc_id long, text string, gone int, n_units string").coalesce(1)
+    rows = rows.withColumns({"whole": F.lit(1), "spans": F.lit(2), "_unit_row": F.lit(3)})
+    got = lines.repeated_units(rows, "line", payload=True, least_words=0)
+    assert got.columns == ["doc_id", "gone", "whole", "spans", "n_units", "n_removed", "removed_spans", "kept_text"]
+    got = {r["gone"]: (r["doc_id"], r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in got.collect()}
+    assert got == {0: (None, 2, 1, "0:2", "y"), 1: (None, 2, 0, "", "p\nq"), 2: (1, 1, 0, "", "x"), 3: (7, 2, 0, "", "s\nt"), 4: (7, 3, 2, "0:2,4:5", "u\n"), 5: (7, 3, 3, "0:5", "")}
+    same = spark.createDataFrame([(5, "first\nsame line\nx"), (5, "alpha\nbeta precious\ngamma"), (1, "same line\nkeep a")], "doc_id long, text string").coalesce(1)
+    assert sorted(r["kept_text"] for r in lines.repeated_units(same, "line", least_words=0).collect()) == ["alpha\nbeta precious\ngamma", "first\nx", "same line\nkeep a"]
 
 
 def test_mix_keeps_targets(docs, texts):
