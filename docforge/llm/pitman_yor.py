@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -14,170 +17,139 @@ from .kernel import U
 
 #: The token that ends every text and is the context of the next first word.
 END = U(0x3C6EF372FE94F82B)
-#: Text in a block of requests, and for a shard of word pairs.
+#: Text in a block, and for a shard of word pairs.
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 20 << 20
-#: Gibbs sweeps that are dropped, and that are averaged. A pair with more than SEATS customers is seated in blocks.
-BURN_IN, SWEEPS, SEATS = 1, 2, 64
+#: Chains of Gibbs sweeps, all started with a table for each dish; sweeps of a chain that are dropped before the one that counts.
+CHAINS, BURN_IN = 3, 1
+#: Up to so many customers a dish's tables are drawn from their whole conditional distribution, beyond from its saddle point.
+EXACT = 1024
 STRENGTH = 1.0
 FOLDS, HELD = 5, 1
+#: All stages pass rows of one shape: what a row is, the group that takes it next, its place there, packed arrays, numbers to be summed.
+SHAPE = "kind int, key long, part long, body binary, sums array<long>"
+BLOCK, WORDS, IDS, COUNTS, PAIRS, STATE, INDEX, ASKED, REPLY, TABLES, SCORES = range(11)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
-
-
-def _unpack(blob: bytes, *kinds: tuple) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31), 0, []
-    for kind, n in kinds:
-        size = np.dtype(kind).itemsize * n
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += size
+    """Arrays as one compressed value, byte by byte of their items, so that leading zeros take no room."""
+    head = b"".join(x.dtype.str.encode().ljust(8) + len(x).to_bytes(8, "little") for x in arrays)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays).to_bytes(8, "little"), head, *planes]))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, out = int.from_bytes(raw[:8], "little"), []
+    at = 8 + 16 * n
+    for i in range(n):
+        kind, size = np.dtype(raw[8 + 16 * i : 16 + 16 * i].strip().decode()), int.from_bytes(raw[16 + 16 * i : 24 + 16 * i], "little")
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
     return out
 
 
-def seat(counts: np.ndarray, parent: np.ndarray, tables: np.ndarray, discount: float, seed: int, strength: float = STRENGTH, burn_in: int = BURN_IN, sweeps: int = SWEEPS) -> np.ndarray:
-    """The mean number of tables each dish has in its restaurant, over Gibbs sweeps of the seating.
+def _rows(items: Iterable[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    columns = list(zip(*items, strict=True)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "key", "part", "body", "sums"])
 
-    ``counts``: customers of the dish; ``parent``: its probability in the parent restaurant; ``tables``: tables of the
-    whole restaurant. A move takes a random customer away, with its table if it sat alone, and seats it
-    anew: at a table in proportion to its customers less the discount, or at a new one in proportion to
-    (strength + discount * tables) * parent. All dishes move at the same time, each as often in a sweep as it has customers.
-    A dish with more than SEATS customers is seated customer by customer in growing blocks instead,
-    within which the chance of a new table is held; its moves would be as many as its customers. This is not Gibbs
-    seating and opens too many tables (figures in the README).
-    """
-    rng = np.random.default_rng(seed)
-    out = np.minimum(counts, 1).astype(np.float64)
-    fresh = (strength + discount * tables) * parent
-    big = np.flatnonzero(counts > SEATS)
-    for i in big:
-        c, t = 1.0, 1.0
-        while c < counts[i]:
-            step = min(max(1.0, c // 8), counts[i] - c)
-            t += rng.binomial(int(step), fresh[i] / (fresh[i] + max(c - discount * t, 1e-9)))
-            c += step
-        out[i] = t
-    mid = np.flatnonzero((counts > 1) & (counts <= SEATS))
-    mid = mid[np.argsort(-counts[mid], kind="stable")]
-    for at in range(0, len(mid), 200_000):
-        own = mid[at : at + 200_000]
-        n = counts[own].astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(n)])[:-1]
-        table = np.zeros(int(n.sum()), np.int64)  # of each customer, by number within the dish
-        size = np.zeros(len(table), np.int64)
-        size[first] = n
-        free = np.arange(len(table)) - np.repeat(first, n)
-        free = np.repeat(n, n) - 1 - free  # stacks of unused numbers, smallest on top
-        spare = n - 1
-        new = fresh[own]
-        total = np.zeros(len(own))
-        for sweep in range(burn_in + sweeps):
-            for move in range(int(n[0])):
-                k = int(np.searchsorted(-n, -move, "left"))  # dishes with more customers than moves made
-                f, c, s = first[:k], n[:k], spare[:k]
-                who = f + (rng.random(k) * c).astype(np.int64)
-                left = f + table[who]
-                size[left] -= 1
-                gone = np.flatnonzero(size[left] == 0)
-                free[f[gone] + s[gone]] = table[who[gone]]
-                s[gone] += 1
-                used = c - s
-                opens = rng.random(k) * (new[:k] + c - 1 - discount * used) < new[:k]
-                up = np.flatnonzero(opens)
-                s[up] -= 1
-                table[who[up]] = free[f[up] + s[up]]
-                size[f[up] + table[who[up]]] += 1
-                rest = np.flatnonzero(~opens)
-                while len(rest):  # another customer's table, kept with chance (size - discount) / size
-                    mate = f[rest] + (rng.random(len(rest)) * (c[rest] - 1)).astype(np.int64)
-                    mate += mate >= who[rest]
-                    there = size[f[rest] + table[mate]]
-                    sits = rng.random(len(rest)) * there < there - discount
-                    done = rest[sits]
-                    table[who[done]] = table[mate[sits]]
-                    size[f[done] + table[who[done]]] += 1
-                    rest = rest[~sits]
-            if sweep >= burn_in:
-                total += n - spare
-        out[own] = total / sweeps
-    return out
 
+def _parts(table: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
+    """The rows of a kind in order of their places, unpacked."""
+    own = table.filter(pa.array(table["kind"].to_numpy() == kind)).sort_by("part")
+    return [(p, _unpack(b)) for p, b in zip(own["part"].to_pylist(), own["body"].to_pylist(), strict=True)]
 
-def _discount(counts: np.ndarray) -> tuple[int, int]:
-    """How many dishes have one customer, and two."""
-    return int((counts == 1).sum()), int((counts == 2).sum())
 
+@functools.cache
+def _log_stirling(discount: float, most: int) -> list[np.ndarray]:
+    """For each number of customers up to ``most`` the log weight of seatings at 1, 2, ... tables: generalised Stirling numbers."""
+    rows = [np.zeros(0), np.zeros(1)]
+    for c in range(1, most):
+        t = np.arange(1, c + 2)
+        stay = np.append(rows[c] + np.log(c - discount * t[:-1]), -np.inf)
+        rows.append(np.logaddexp(stay, np.concatenate([[-np.inf], rows[c]])))
+    return rows
 
-def _rate(ones: float, twos: float) -> float:
-    return min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
 
+def draw_tables(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator, exact: int = EXACT) -> np.ndarray:
+    """A Gibbs draw of the number of tables of each dish, given everything outside the dish.
 
-class _Shard:
-    """The word pairs of one shard: each once for every block that has it, with how often the block's training texts do."""
-
-    def __init__(self, table: pa.Table):
-        words, left, right, trains = [], [], [], []
-        for r in range(table.num_rows):
-            nw, n = (table[c][r].as_py() for c in ("n_words", "n_pairs"))
-            w, a, b, train = _unpack(table["body"][r].as_py(), (np.uint64, nw), (np.uint32, n), (np.uint32, n), (np.int64, n))
-            words.append(w)
-            left.append(w[np.cumsum(a)])  # packed as steps, since they rise
-            right.append(w[b])
-            trains.append(train)
-        self.blocks, self.sizes = table["block"].to_pylist(), [len(x) for x in trains]
-        self.words = np.unique(np.concatenate(words))
-        u = np.searchsorted(self.words, np.concatenate(left)).astype(np.int64)
-        w = np.searchsorted(self.words, np.concatenate(right)).astype(np.int64)
-        del words, left, right
-        pairs, self.pair = np.unique(u * len(self.words) + w, return_inverse=True)
-        self.pair_u, self.pair_w = pairs // len(self.words), pairs % len(self.words)
-        self.count, self.word_count = np.zeros(len(pairs), np.int64), np.zeros(len(self.words), np.int64)
-        np.add.at(self.count, self.pair, np.concatenate(trains))
-        np.add.at(self.word_count, self.pair_w, self.count)
-
-
-def _requests(docs: DataFrame, shards: int) -> DataFrame:
-    """Blocks of texts as the number of the word pair of each token, and their distinct pairs, dealt to shards.
-
-    A block's pairs are numbered in order of their shards.
+    ``counts``: customers of the dish; ``fresh``: the weight of a new table, (strength + discount * tables of the
+    restaurant) * probability in the parent. The seating of all customers of a dish is one block of the sampler: with the
+    sizes of the tables summed out, t tables have weight S(c, t) * fresh ** t, where S is the generalised Stirling number.
+    So a draw has no starting point to forget and costs as much as the dish has customers. Beyond ``exact`` customers
+    1 + a binomial number is drawn, with the mean and variance of the same conditional at its saddle point (a Poisson number
+    in the limit), which costs the same for any count.
     """
-    names = ["shard", "block", "n_words", "n_pairs", "body", "n_docs", "n_tokens", "docs"]
+    out = np.minimum(counts, 1).astype(np.int64)
+    mid = np.flatnonzero((counts > 1) & (counts <= exact))
+    mid = mid[np.argsort(counts[mid], kind="stable")]
+    sizes, first = np.unique(counts[mid], return_index=True)
+    rows = _log_stirling(round(discount, 3), exact)
+    edges = [*first.tolist(), len(mid)]
+    for c, a, b in zip(sizes.tolist(), edges[:-1], edges[1:], strict=True):
+        step = max(1, (1 << 20) // c)
+        t = np.arange(1, c + 1)
+        for at in range(a, b, step):
+            own = mid[at : min(at + step, b)]
+            weight = np.log(fresh[own])[:, None] * t + rows[c]
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[own] = 1 + (weight < (rng.random(len(own)) * weight[:, -1])[:, None]).sum(axis=1)
+    big = np.flatnonzero(counts > exact)
+    if len(big):
+        c, a, d = counts[big].astype(np.float64), fresh[big], discount
+        low, high = np.full(len(big), -700.0), np.zeros(len(big))  # log y, where x = 1 - y solves a * x * y ** (d - 1) = c
+        for _ in range(60):
+            mean = (low + high) / 2
+            over = a * -np.expm1(mean) * np.exp((d - 1) * mean) > c
+            low, high = np.where(over, mean, low), np.where(over, high, mean)
+        y = np.exp(low)
+        mean = np.maximum(a * (1 - y**d) / d, 1e-300)
+        spread = np.clip(mean - c * y / (1 - d * (1 - y)), 1e-12 * mean, mean)
+        share = 1 - spread / mean
+        few = share < 1e-3
+        more = np.where(few, rng.poisson(np.where(few, mean, 0)), rng.binomial(np.rint(np.where(few, 0, mean / np.maximum(share, 1e-3))).astype(np.int64), np.clip(share, 0, 1)))
+        out[big] = np.minimum(1 + more, counts[big])
+    return out
+
+
+def _rate(ones: int, twos: int) -> float:
+    """A discount from how many dishes are met once, and twice."""
+    return round(min(0.95, max(0.1, ones / max(ones + 2 * twos, 1))), 3)
+
+
+def _blocks(docs: DataFrame, homes: int) -> DataFrame:
+    """Blocks of texts as numbers of words, and the distinct words of each block, dealt to homes by digest."""
 
     def run(batches):
         held: list[tuple] = []
         size = 0
 
         def flush():
-            seqs, counts, rows, ids, train = (np.concatenate([h[i] for h in held]) for i in range(5))
+            seqs, counts, rows, ids, known, train = (np.concatenate([h[i] for h in held]) for i in range(6))
             block = int(rows[0])
-            words, index = np.unique(np.concatenate([[END], seqs]), return_inverse=True)
-            pairs, pair = np.unique(index[:-1] * len(words) + index[1:], return_inverse=True)
-            left, right = words[pairs // len(words)], words[pairs % len(words)]
-            learnt = np.bincount(pair[np.repeat(train, counts)], minlength=len(pairs))
-            shard = (kernel.mix(left * U(3) + right) % U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            number = np.empty(len(order), np.uint32)
-            number[order] = np.arange(len(order))
-            known = ids != np.iinfo(np.int64).min
-            whole = _pack(number[pair], counts.astype(np.int64), known, ids, train)
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], kind) for x, kind in zip((None, block, None, None, None, len(rows), len(seqs), whole), kinds, strict=True))], names)
-            for s in range(shards):
-                own = order[cuts[s] : cuts[s + 1]]
-                if not len(own):
-                    continue
-                some, at = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
-                body = _pack(some, np.diff(at[: len(own)], prepend=0).astype(np.uint32), at[len(own) :].astype(np.uint32), learnt[own].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], kind) for x, kind in zip((s, block, len(some), len(own), body, None, None, None), kinds, strict=True))], names)
+            words, index = np.unique(np.append(seqs, END), return_inverse=True)
+            learnt = np.bincount(index[:-1][np.repeat(train, counts)], minlength=len(words))
+            home = (words % U(homes)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words))
+            cuts = np.searchsorted(home[order], np.arange(homes + 1))
+            items = [(BLOCK, block, 0, _pack(number[index], counts.astype(np.uint32), ids, known, train), None)]
+            for h in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[h] : cuts[h + 1]]
+                items.append((WORDS, h, block, _pack(np.diff(words[own], prepend=U(0)), learnt[own]), None))
+            yield from _rows(items).to_batches()
 
         for batch in batches:
             rows, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            ids = batch.column(1).fill_null(np.iinfo(np.int64).min).to_numpy()
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(1).fill_null(0).to_numpy()
             for row, data, offsets in kernel.slices(batch.column(3)):
                 hashes, first = kernel.words(data, offsets)
-                n = len(offsets) - 1
-                own = slice(row, row + n)
-                held.append((np.insert(hashes, first[1:], END), np.diff(first) + 1, rows[own], ids[own], train[own]))
+                own = slice(row, row + len(offsets) - 1)
+                held.append((np.insert(hashes, first[1:], END), np.diff(first) + 1, rows[own], ids[own], known[own], train[own]))
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield from flush()
@@ -185,151 +157,219 @@ def _requests(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from flush()
 
-    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2 + [pa.binary()]
-    return docs.mapInArrow(run, "shard long, block long, n_words long, n_pairs long, body binary, n_docs long, n_tokens long, docs binary")
+    return docs.mapInArrow(run, SHAPE)
+
+
+def _numbered(table: pa.Table, homes: int) -> pa.Table:
+    """Numbers of the words of one home, small ones for frequent words, and training counts, for each block that has them."""
+    home, parts = table["key"][0].as_py(), _parts(table, WORDS)
+    hashes = [np.cumsum(p[0], dtype=np.uint64) for _, p in parts]
+    words, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    count = np.zeros(len(words), np.int64)
+    np.add.at(count, index, np.concatenate([p[1] for _, p in parts]))
+    rank = np.empty(len(words), np.int64)
+    order = np.argsort(-count, kind="stable")
+    rank[order] = np.arange(len(words))
+    items = [(COUNTS, home, 0, _pack(count[order]), [int((count > 0).sum()), int(count.sum()), int((count == 1).sum()), int((count == 2).sum())])]
+    at = 0
+    for block, p in parts:
+        own = index[at : at + len(p[0])]
+        items.append((IDS, block, home, _pack(rank[own] * homes + home, count[own]), None))
+        at += len(own)
+    return _rows(items)
+
+
+def _paired(table: pa.Table, shards: int, n_tokens: int, n_known: int) -> pa.Table:
+    """A block's texts as numbers of word pairs, with their base scores, and its distinct pairs, dealt to shards."""
+    block = table["key"][0].as_py()
+    ((_, (index, sizes, ids, known, train)),) = _parts(table, BLOCK)
+    said = [p for _, p in _parts(table, IDS)]
+    word, count = (np.concatenate([p[k] for p in said]) for k in (0, 1))
+    end = index[-1]  # stands behind the last text
+    index = index[:-1].astype(np.int64)
+    before = np.concatenate([[end], index[:-1]]).astype(np.int64)
+    pairs, pair = np.unique(before * len(word) + index, return_inverse=True)
+    learnt = np.bincount(pair[np.repeat(train, sizes)], minlength=len(pairs))
+    left, right = word[pairs // len(word)], word[pairs % len(word)]
+    shard = (kernel.mix(kernel.mix(left.astype(np.uint64)) * U(3) + right.astype(np.uint64)) % U(shards)).astype(np.int64)
+    order = np.lexsort((right, left, shard))
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order))
+    flat = np.log10((count + 0.5) / (n_tokens + 0.5 * (n_known + 1)))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    base, met = (np.bincount(doc, weights=x[index], minlength=len(sizes)) for x in (flat, count > 0))
+    items = [(BLOCK, block, 0, _pack(number[pair], sizes, ids, known, train, base, met.astype(np.int64)), None)]
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[s] : cuts[s + 1]]
+        items.append((PAIRS, s, block, _pack(np.diff(left[own], prepend=0), right[own], learnt[own]), None))
+    return _rows(items)
 
 
-def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+class _Shard:
+    """The distinct word pairs of one shard, and how their words are asked for at the words' homes."""
+
+    def __init__(self, key: int, body: list[np.ndarray], homes: int):
+        self.key, self.homes = key, homes
+        steps, left, self.right, self.count = body
+        self.words, self.left = np.cumsum(steps), np.cumsum(left)
+        home = self.words % homes
+        self.order = np.argsort(home, kind="stable")
+        self.cuts = np.searchsorted(home[self.order], np.arange(homes + 1))
+
+    def ask(self, tables: np.ndarray) -> list[tuple]:
+        """Each home gets its words' tables in this shard, as dishes and as contexts, of each chain (rows of ``tables``)."""
+        n = len(self.words)
+        dish, context = ([np.bincount(at, weights=t, minlength=n).astype(np.int64)[self.order] for t in tables] for at in (self.right, self.left))
+        items = []
+        for h in np.flatnonzero(np.diff(self.cuts)).tolist():
+            own = slice(self.cuts[h], self.cuts[h + 1])
+            rank = self.words[self.order[own]] // self.homes
+            items.append((ASKED, h, self.key, _pack(np.diff(rank, prepend=0), np.concatenate([x[own] for x in dish]), np.concatenate([x[own] for x in context])), None))
+        return items
+
+    def told(self, table: pa.Table, sums: dict, chains: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Customers of each word as a context; for each chain its root probability, and its tables as a context."""
+        parts = [p for _, p in _parts(table, REPLY)]
+        spread = lambda x: np.concatenate(x)[np.argsort(self.order)]
+        count = spread([p[0] for p in parts])
+        mass, context = (np.stack([spread([p[i].reshape(chains, -1)[k] for p in parts]) for k in range(chains)]) for i in (1, 2))
+        floor = (STRENGTH + sums["rate"] * sums["tables"]) / (sums["known"] + 1)
+        return count, (np.maximum(mass, 0) + floor[:, None]) / (STRENGTH + sums["customers"])[:, None], context
+
+
+def _merged(table: pa.Table, homes: int) -> pa.Table:
+    """The pairs of all blocks of a shard, each once, with where each block's pairs are among them, and the first questions."""
+    key, parts = table["key"][0].as_py(), _parts(table, PAIRS)
+    left, right = np.concatenate([np.cumsum(p[0]) for _, p in parts]), np.concatenate([p[1] for _, p in parts])
+    words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    pairs, pair = np.unique(at[: len(left)] * len(words) + at[len(left) :], return_inverse=True)
+    count = np.zeros(len(pairs), np.int64)
+    np.add.at(count, pair, np.concatenate([p[2] for _, p in parts]))
+    body = [np.diff(words, prepend=0), np.diff(pairs // len(words), prepend=0), pairs % len(words), count]
+    items, begin = [(STATE, key, 0, _pack(*body), [int((count == 1).sum()), int((count == 2).sum())])], 0
+    for block, p in parts:
+        items.append((INDEX, key, block, _pack(pair[begin : begin + len(p[0])].astype(np.uint32)), None))
+        begin += len(p[0])
+    return _rows(items + _Shard(key, body, homes).ask(np.minimum(count, 1)[None, :]))
+
+
+def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = CHAINS, burn_in: int = BURN_IN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Tokens are lower-cased (A-Z) words and one end. Restaurants of one-word contexts share the root restaurant, whose
     own parent is uniform over the training tokens and one unknown. Training texts (crc32 of the id
-    modulo 5 not 1; null ids learn) give each restaurant its customers; tables are sampled by Gibbs, first
-    under parents estimated within a shard, then, with all tables counted, under the shared root; numbers of
-    tables, not probabilities, are averaged over the sweeps, and dishes of more than SEATS customers get no Gibbs moves. Discounts follow from how many dishes are met once and twice.
-
-    Word pairs are counted within blocks of texts and dealt to shards by a digest of both words, so a frequent context
-    is spread over all of them, and a frequent pair costs its shard one entry a block. A pair's probability
-    goes back to the blocks that have it, which sum by text. What a shard needs to know of a word (count, root probability, tables as context) it asks of the word's
-    shard. Everything gathered grows with the corpus; only totals reach the driver. Null and empty texts
-    have the end alone. Repeated rows and equal ids each give their row; no rows give none.
+    modulo 5 not 1; null ids learn) give each restaurant its customers. Seating starts with one table for each dish; in a sweep
+    each dish's tables are drawn given the restaurant's tables and the root's probabilities of the sweep before
+    (``draw_tables``), then the root's are drawn under them. ``chains`` chains of ``burn_in`` dropped sweeps and one that
+    counts run side by side, and the predictive probabilities of the chains are averaged. Discounts follow from how
+    many pairs, and words, are met once and twice.
+
+    Words are numbered by how frequent they are, in homes by digest. Word pairs are counted within blocks of texts and
+    dealt to shards by a digest of both words, so a frequent context or word is spread over all of them, and a frequent
+    pair costs its shard one entry a block. A pair's probability goes back to the blocks that have it, which sum by text.
+    What a shard needs to know of a word (count, root probability, tables as context) it asks of the word's
+    home. Everything gathered grows with the corpus; only totals reach the driver. Null and empty texts
+    have the end alone. Repeated rows and equal ids each give their row, any long is an id; no rows give none.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), (~held).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = max(1, -(-size // shard_bytes))
-    made = written(_requests(base, shards), "pairs")
-    blocks = made.where("shard IS NOT NULL").select("shard", "block", "n_words", "n_pairs", "body")
-
-    def to_word_shards(words: np.ndarray):
-        home = (words % U(shards)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(shards + 1))
-        return [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s + 1] > cuts[s]]
-
-    def answers(said: pa.Table) -> list[np.ndarray]:
-        """Per word of the shard, in order of words: count, root probability, context tables; then the same two of the round before."""
-        parts = [_unpack(b.as_py(), (np.uint64, n.as_py()), (np.int64, n.as_py()), *[(np.float64, n.as_py())] * 4) for b, n in zip(said["body"], said["n"], strict=True)]
-        order = np.argsort(np.concatenate([p[0] for p in parts]))
-        return [np.concatenate([p[k] for p in parts])[order] for k in range(1, 6)]
-
-    def ask(own: _Shard, shard: int, tables: np.ndarray, chance: np.ndarray, context: np.ndarray) -> pa.Table:
-        as_dish = np.bincount(own.pair_w, weights=tables, minlength=len(own.words))
-        as_context = np.bincount(own.pair_u, weights=tables, minlength=len(own.words))
-        ones, twos = _discount(own.count)
-        out = []
-        for i, (home, at) in enumerate(to_word_shards(own.words)):
-            body = _pack(own.words[at], own.word_count[at], as_dish[at], as_context[at], chance[at], context[at])
-            out.append((home, shard, len(at), body, ones if i == 0 else 0, twos if i == 0 else 0))
-        return pa.table([pa.array(c) for c in zip(*out, strict=True)], names=["home", "shard", "n", "body", "ones", "twos"])
-
-    def seat_alone(table: pa.Table) -> pa.Table:
-        """Under parents estimated from the shard, which is a random part of all pairs."""
-        shard = table["shard"][0].as_py()
-        own = _Shard(table)
-        total = max(1, own.word_count.sum())
-        types = np.bincount(own.pair_u[own.count > 0], minlength=len(own.words)) * float(shards)
-        chance = (own.word_count + 0.5) / (total + 1)
-        return ask(own, shard, seat(own.count, chance[own.pair_w], types[own.pair_u], _rate(*_discount(own.count)), 1000 + shard), chance, types)
-
-    def root(table: pa.Table):
-        """Words of one home: their sums over all shards, and their tables in the root restaurant."""
-        parts = [_unpack(b.as_py(), (np.uint64, n.as_py()), (np.int64, n.as_py()), *[(np.float64, n.as_py())] * 4) for b, n in zip(table["body"], table["n"], strict=True)]
-        words, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count, dish, context = (np.bincount(index, weights=np.concatenate([p[k] for p in parts]), minlength=len(words)) for k in (1, 2, 3))
-        count, customers = count.astype(np.int64), np.rint(dish).astype(np.int64)
-        known = int((count > 0).sum())
-        ones, twos = _discount(customers)
-        tables = seat(customers, np.full(len(words), 1 / (known * shards + 1)), np.full(len(words), float(known * shards)), _rate(ones, twos), 2000 + table["home"][0].as_py())
-        return parts, words, count, dish, context, tables, known, ones, twos
-
-    def totals(table: pa.Table) -> pa.Table:
-        _, _, count, dish, _, tables, known, ones, twos = root(table)
-        return pa.table({"known": [known], "tokens": [int(count.sum())], "customers": [float(dish.sum())], "tables": [float(tables.sum())], "ones": [ones], "twos": [twos]})
-
-    def shared_root(asked: DataFrame) -> tuple[DataFrame, dict]:
-        """Answers to all shards from the root restaurant, and the totals of the corpus."""
-        sums = asked.groupBy("home").applyInArrow(totals, "known long, tokens long, customers double, tables double, ones long, twos long")
-        sums = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "tokens", "customers", "tables", "ones", "twos")]).first().asDict()
-        root_rate = _rate(sums["ones"], sums["twos"])
-        unseen = (STRENGTH + root_rate * sums["tables"]) / (STRENGTH + sums["customers"]) / (sums["known"] + 1)
 
-        def reply(table: pa.Table) -> pa.Table:
-            parts, words, count, dish, context, tables, *_ = root(table)
-            chance = np.maximum(dish - root_rate * tables, 0) / (STRENGTH + sums["customers"]) + unseen
-            out = []
-            for shard, part in zip(table["shard"].to_pylist(), parts, strict=True):
-                at = np.searchsorted(words, part[0])
-                out.append((shard, len(at), _pack(part[0], count[at], chance[at], context[at], part[4], part[5])))
-            return pa.table([pa.array(c) for c in zip(*out, strict=True)], names=["shard", "n", "body"])
-
-        return written(asked.groupBy("home").applyInArrow(reply, "shard long, n long, body binary"), "replies"), sums
-
-    shape = "home long, shard long, n long, body binary, ones long, twos long"
-    asked = written(blocks.groupBy("shard").applyInArrow(seat_alone, shape), "words")
-    release(spark)
-    pairs = asked.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("ones"), F.coalesce(F.sum("twos"), F.lit(0)).alias("twos")).first()
-    rate = _rate(pairs["ones"], pairs["twos"])
-    replies, sums = shared_root(asked)
-    forget(spark, asked)
-    release(spark)
-    n_tokens, n_known = sums["tokens"], sums["known"]
+    def grouped(run, *tables: DataFrame) -> DataFrame:
+        """Rows of one key from all tables, in one task."""
+        return functools.reduce(DataFrame.unionByName, tables).groupBy("key").applyInArrow(run, SHAPE)
 
-    def seat_shared(table: pa.Table, said: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        own = _Shard(table)
-        _, chance, context, _, _ = answers(said)
-        return ask(own, shard, seat(own.count, chance[own.pair_w], context[own.pair_u], rate, 3000 + shard), chance, context)
+    def of(table: DataFrame, *kinds: int) -> DataFrame:
+        return table.where(F.col("kind").isin(*kinds))
 
-    asked = written(blocks.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(seat_shared, shape), "words")
-    forget(spark, replies)
+    def total(table: DataFrame, kind: int, n: int) -> list[int]:
+        row = of(table, kind).agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(n)]).first()
+        return [int(x) for x in row]
+
+    made = written(_blocks(base, shards), "blocks")
+    numbered = written(grouped(lambda t: _numbered(t, shards), of(made, WORDS)), "numbers")
+    n_known, n_tokens, ones, twos = total(numbered, COUNTS, 4)
+    root_rate = _rate(ones, twos)
+    paired = written(grouped(lambda t: _paired(t, shards, n_tokens, n_known), of(made, BLOCK), of(numbered, IDS)), "pairs")
+    forget(spark, made)
     release(spark)
-    replies, _ = shared_root(asked)
-    forget(spark, asked)
+    merged = written(grouped(lambda t: _merged(t, shards), of(paired, PAIRS)), "shards")
+    rate = _rate(*total(merged, STATE, 2))
     release(spark)
 
-    def judge(table: pa.Table, said: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        own = _Shard(table)
-        count, chance, context, chance_before, context_before = answers(said)
-        tables = seat(own.count, chance_before[own.pair_w], context_before[own.pair_u], rate, 3000 + shard)  # the seating that was counted
-        below = STRENGTH + count[own.pair_u]
-        log = np.log10((np.maximum(own.count - rate * tables, 0) + (STRENGTH + rate * context[own.pair_u]) * chance[own.pair_w]) / below)
-        out, at = [], 0
-        for block, n in zip(own.blocks, own.sizes, strict=True):
-            pair = own.pair[at : at + n]
-            out.append((block, shard, n, _pack(log[pair], count[own.pair_w[pair]])))
-            at += n
-        return pa.table([pa.array(c) for c in zip(*out, strict=True)], names=["block", "shard", "n", "body"])
-
-    def by_text(table: pa.Table, said: pa.Table) -> pa.Table:
+    def root(asked: DataFrame, sweep: int, n: int) -> tuple[DataFrame, dict]:
+        """Answers to all shards from the root restaurants of ``n`` chains, and the totals that make them probabilities."""
+
+        def reply(table: pa.Table) -> pa.Table:
+            home, parts = table["key"][0].as_py(), _parts(table, ASKED)
+            ((_, (count,)),) = _parts(table, COUNTS)
+            rng = np.random.default_rng((2, sweep, home))
+            rank = [np.cumsum(p[0]) for _, p in parts]
+            every = np.concatenate(rank) if parts else np.zeros(0, np.int64)
+            mass, contexts, sums = [], [], []
+            for k in range(n):
+                dish, context = (np.bincount(every, weights=np.concatenate([p[i].reshape(n, -1)[k] for _, p in parts]) if parts else None, minlength=len(count)) for i in (1, 2))
+                customers = dish.astype(np.int64)
+                tables = draw_tables(customers, np.full(len(count), (STRENGTH + root_rate * n_known) / (n_known + 1)), root_rate, rng)
+                mass.append(customers - root_rate * tables)
+                contexts.append(context.astype(np.int64))
+                sums += [int(customers.sum()), int(tables.sum())]
+            items = [(REPLY, s, home, _pack(count[r], np.concatenate([x[r] for x in mass]), np.concatenate([x[r] for x in contexts])), sums if i == 0 else None) for i, ((s, _), r) in enumerate(zip(parts, rank, strict=True))]
+            return _rows(items)
+
+        replies = written(grouped(reply, of(asked, ASKED), of(numbered, COUNTS)), "replies")
+        sums = np.array(total(replies, REPLY, 2 * n), np.float64).reshape(n, 2)
+        release(spark)
+        return replies, {"customers": sums[:, 0], "tables": sums[:, 1], "known": n_known, "rate": root_rate}
+
+    def own_shard(table: pa.Table) -> _Shard:
+        ((_, body),) = _parts(table, STATE)
+        return _Shard(table["key"][0].as_py(), body, shards)
+
+    def sweep_of(number: int, sums: dict, n: int):
+        def run(table: pa.Table) -> pa.Table:
+            own = own_shard(table)
+            _, chance, context = own.told(table, sums, n)
+            rng = np.random.default_rng((1, number, own.key))
+            tables = [draw_tables(own.count, ((STRENGTH + rate * context[k % n])[own.left]) * chance[k % n][own.right], rate, rng) for k in range(chains)]
+            return _rows([(TABLES, own.key, 0, _pack(*[t.astype(np.uint32) for t in tables]), None), *own.ask(np.stack(tables))])
+
+        return run
+
+    replies, sums = root(merged, 0, 1)
+    asked = merged
+    for number in range(1, burn_in + 2):
+        before, asked = asked, written(grouped(sweep_of(number, sums, 1 if number == 1 else chains), of(merged, STATE), replies), "sweep")
+        forget(spark, replies)
+        if number > 1:
+            forget(spark, before)
+        release(spark)
+        replies, sums = root(asked, number, chains)
+
+    def judge(table: pa.Table) -> pa.Table:
+        own = own_shard(table)
+        ((_, tables),) = _parts(table, TABLES)
+        count, chance, context = own.told(table, sums, chains)
+        below = (STRENGTH + count)[own.left]
+        mean = sum(np.maximum(own.count - rate * tables[k], 0) + (STRENGTH + rate * context[k])[own.left] * chance[k][own.right] for k in range(chains)) / chains
+        log = np.log10(mean / below).astype(np.float32)
+        return _rows((SCORES, block, own.key, _pack(log[pair]), None) for block, (pair,) in _parts(table, INDEX))
+
+    def by_text(table: pa.Table) -> pa.Table:
         """Sums over the tokens of each text of a block."""
-        nd, nt = table["n_docs"][0].as_py(), table["n_tokens"][0].as_py()
-        pair, sizes, known, ids, train = _unpack(table["docs"][0].as_py(), (np.uint32, nt), (np.int64, nd), (bool, nd), (np.int64, nd), (bool, nd))
-        said = said.sort_by("shard")
-        parts = [_unpack(b.as_py(), (np.float64, n.as_py()), (np.int64, n.as_py())) for b, n in zip(said["body"], said["n"], strict=True)]
-        log, count = (np.concatenate([p[k] for p in parts])[pair] for k in (0, 1))
-        flat = np.log10((count + 0.5) / (n_tokens + 0.5 * (n_known + 1)))
-        doc = np.repeat(np.arange(nd), sizes)
-        sums_of = lambda x: np.bincount(doc, weights=x, minlength=nd)
-        return pa.table({
-            "doc_id": pa.array(ids, mask=~known), "held_out": ~train, "n_tokens": sizes, "n_known": sums_of(count > 0).astype(np.int64),
-            "base_score": sums_of(flat), "score": sums_of(log),
-        })
-
-    scored = blocks.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(judge, "block long, shard long, n long, body binary")
-    whole = made.where("shard IS NULL").select("block", "n_docs", "n_tokens", "docs").groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(by_text, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        ((_, (pair, sizes, ids, known, train, flat, met)),) = _parts(table, BLOCK)
+        log = np.concatenate([p[0] for _, p in _parts(table, SCORES)]).astype(np.float64)[pair]
+        score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log, minlength=len(sizes))
+        return pa.table({"doc_id": pa.array(ids, mask=~known), "held_out": ~train, "n_tokens": sizes.astype(np.int64), "n_known": met, "base_score": flat, "score": score})
+
+    scored = written(grouped(judge, of(merged, STATE, INDEX), of(asked, TABLES), replies), "scores")
+    for table in (merged, asked, replies, numbered):
+        forget(spark, table)
+    release(spark)
+    whole = of(paired, BLOCK).unionByName(scored).groupBy("key").applyInArrow(by_text, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -92,3 +93,87 @@ def nearest(rows, k=10, every=100):
             best = sorted((math.dist(x, y), i) for i, y in good if i != q and len(y) == len(x))[:k]
             out += [(q, r + 1, i, d) for r, (d, i) in enumerate(best)]
     return out
+
+
+def gibbs_scores(rows, discount, root_discount, strength=1.0, sweeps=60, burn_in=20, seed=1):
+    """doc_id -> log10 probability, from a two-level Pitman-Yor model that seats one customer at a time."""
+    rng = random.Random(seed)
+    tokens = {i: [*words(t), None] for i, t in rows}
+    train = [(a, b) for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for a, b in zip([None, *t], t)]
+    known = len({b for _, b in train})
+    tables, at = {}, [None] * len(train)  # of each dish (context, word): customers by table; the table of each customer
+    root, up = {}, {}  # the same for the root: dish word; up[context, word, table] is a table of the root
+    all_of, in_root = Counter(), 0  # tables of a context; tables of the root
+    customers = Counter()
+
+    def of_root(w, n):
+        own = root.get(w, [])
+        return (sum(own) - root_discount * sum(x > 0 for x in own) + (strength + root_discount * in_root) / (known + 1)) / (strength + n)
+
+    def choose(own, weight_new, d):
+        weights = [max(x - d, 0) if x else 0 for x in own] + [weight_new]
+        return rng.choices(range(len(weights)), weights)[0]
+
+    def sit(k, n):
+        nonlocal in_root
+        u, w = train[k]
+        own = tables.setdefault((u, w), [])
+        t = choose(own, (strength + discount * all_of[u]) * of_root(w, n), discount)
+        if t == len(own):
+            own.append(0)
+            all_of[u] += 1
+            top = root.setdefault(w, [])
+            r = choose(top, (strength + root_discount * in_root) / (known + 1), root_discount)
+            if r == len(top):
+                top.append(0)
+                in_root += 1
+            top[r] += 1
+            up[u, w, t] = r
+        own[t] += 1
+        customers[u] += 1
+        at[k] = t
+
+    def leave(k):
+        nonlocal in_root
+        u, w = train[k]
+        tables[u, w][at[k]] -= 1
+        customers[u] -= 1
+        if not tables[u, w][at[k]]:
+            all_of[u] -= 1
+            r = up.pop((u, w, at[k]))
+            root[w][r] -= 1
+            in_root -= not root[w][r]
+
+    total = lambda: sum(map(sum, root.values()))
+    for k in range(len(train)):
+        sit(k, total())
+    pairs = {(a, b) for t in tokens.values() for a, b in zip([None, *t], t)}
+    mean = dict.fromkeys(pairs, 0.0)
+    for sweep in range(sweeps):
+        n = total()
+        for k in range(len(train)):
+            leave(k)
+            sit(k, n)
+        if sweep >= burn_in:
+            n = total()
+            for u, w in pairs:
+                own = tables.get((u, w), [])
+                p = sum(own) - discount * sum(x > 0 for x in own) + (strength + discount * all_of[u]) * of_root(w, n)
+                mean[u, w] += p / (strength + customers[u]) / (sweeps - burn_in)
+    return {i: sum(math.log10(mean[a, b]) for a, b in zip([None, *t], t)) for i, t in tokens.items()}
+
+
+def mean_tables(customers, fresh, discount, moves=400_000, seed=1):
+    """The mean number of tables of one dish whose customers are moved one at a time."""
+    rng = random.Random(seed)
+    at, size, total = [0] * customers, {0: customers}, 0
+    for move in range(moves):
+        k = rng.randrange(customers)
+        size[at[k]] -= 1
+        if not size[at[k]]:
+            del size[at[k]]
+        names = [*size, move + 1]
+        at[k] = rng.choices(names, [*(x - discount for x in size.values()), fresh])[0]
+        size[at[k]] = size.get(at[k], 0) + 1
+        total += len(size) * (move >= moves // 10)
+    return total / (moves - moves // 10)

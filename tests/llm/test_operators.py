@@ -7,8 +7,11 @@ import lzma
 import random
 import re
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,13 +216,52 @@ def test_language_model_counts_frequent_pairs_in_blocks(spark):
     """A pair that fills the corpus reaches its shard once a block; scores are those of brute force all the same."""
     rows = [(i, "same word " * 500 + f"w{i}") for i in range(40)]
     base = spark.createDataFrame([(i, i, i % 2 == 0, t) for i, t in rows], "row long, doc_id long, train boolean, text string").coalesce(1)
-    asked = [r for r in pitman_yor._requests(base, 3).collect() if r["shard"] is not None]
-    assert sum(r["n_pairs"] for r in asked) == 2 + 2 * 40 + 1  # same word, word same; word wI, wI END; END same
+    blocks = pitman_yor._blocks(base, 1).toArrow()
+    kinds = lambda t, *some: t.filter(pa.array(np.isin(t["kind"].to_numpy(), some)))
+    numbers = pitman_yor._numbered(kinds(blocks, pitman_yor.WORDS), 1)
+    both = pa.concat_tables([kinds(blocks, pitman_yor.BLOCK), kinds(numbers, pitman_yor.IDS).cast(blocks.schema)])
+    asked = pitman_yor._parts(pitman_yor._paired(both, 3, 100, 10), pitman_yor.PAIRS)
+    assert sum(len(p[1]) for _, p in asked) == 2 + 2 * 40 + 1  # same word, word same; word wI, wI END; END same
     plain = brute.base_scores(rows)
     got = pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=20_000).collect()
     assert len(got) == 40 and all((r["n_tokens"], r["n_known"]) == plain[r["doc_id"]][1:3] and r["base_score"] == pytest.approx(plain[r["doc_id"]][4]) for r in got)
 
 
+@pytest.mark.parametrize("discount", [0.3, 0.7, 0.9])
+def test_language_model_draws_tables(discount):
+    """Draws from a dish's conditional against customers moved one by one, and its saddle point against the whole of it."""
+    rng = np.random.default_rng(3)
+    for c, fresh in ((6, 0.5), (40, 3.0)):
+        drawn = pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, fresh), discount, rng)
+        assert drawn.mean() == pytest.approx(brute.mean_tables(c, fresh, discount), rel=0.03)
+    for fresh in (0.05, 1.0, 100.0, 2000.0):
+        whole, saddle = (pitman_yor.draw_tables(np.full(4000, 1024), np.full(4000, fresh), discount, rng, exact) for exact in (1024, 100))
+        assert saddle.mean() == pytest.approx(whole.mean(), rel=0.05) and 1 <= saddle.min() and saddle.max() <= 1024
+
+
+def test_language_model_against_plain_gibbs(spark):
+    """Scores beside those of a sampler that seats single customers; any long is an id, and none."""
+    rng = random.Random(12)
+    follow = {w: [rng.randrange(60) for _ in range(4)] for w in range(60)}
+
+    def walk():
+        w, out = rng.randrange(60), []
+        for _ in range(25):
+            out.append(f"w{w}")
+            w = rng.choice(follow[w]) if rng.random() < 0.8 else rng.randrange(80) % 60
+        return " ".join(out)
+
+    rows = [(i, walk()) for i in range(80)] + [(-(1 << 63), "w1 w2"), (200, ""), (201, None)]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(spark.createDataFrame([*rows, (None, None)], "doc_id long, text string"), chains=8, burn_in=3).collect()}
+    pairs = Counter(p for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [[None, *brute.words(t), None]] for p in zip(w, w[1:]))
+    rate = lambda c: pitman_yor._rate(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    plain = brute.gibbs_scores(rows, rate(pairs), rate(Counter(w for p, n in pairs.items() for w in [p[1]] * n)))
+    assert got.keys() == {*plain, None}
+    for held in (True, False):
+        own = [i for i in plain if (zlib.crc32(str(i).encode()) % 5 == 1) == held]
+        assert sum(got[i] for i in own) == pytest.approx(sum(plain[i] for i in own), rel=0.03)
+
+
 def test_token_counts(spark, docs, texts):
     encode = tokens._encoder(tokens.TOKENIZER)
     path = new_path(spark, "cache")
