@@ -18,9 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, one is made if all tasks run in the
+    driver's own process; a cluster has to name it."""
     given = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not given:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="docforge-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")

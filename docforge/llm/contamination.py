@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, holding, without, written
 
 WIDTH = 5
 PERCENT = 75
@@ -46,9 +46,10 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, d
     Items are put in classes by the number of shingles, as powers of two. From an item of n come min(n - need + 1,
     draws) MinHash values, where need shingles must be shared: with all n - need + 1 drawn a text that
     contains the item shares one for certain, and otherwise misses all with probability 0.25 ** draws.
-    A text's shingles are looked up among the drawn values of every class; each (text, item) so found is checked on the
-    distinct shingles as text. Values drawn are broadcast when there are few (checked), else joined by
-    shuffle. Texts with equal ids count each by itself; null ids and null or empty texts hold nothing; an item without
+    The search is partitioned by these classes: a text's shingles meet the drawn values of the classes whose smallest item it
+    is long enough to hold, and no others; each (text, item) so found is checked on the distinct shingles as text. Values
+    drawn are broadcast when there are few (checked), else a bitmap of them thins the texts' shingles before a
+    join by shuffle. Texts with equal ids count each by itself; null ids and null or empty texts hold nothing; an item without
     words is in no text.
     """
     spark = docs.sparkSession
@@ -57,15 +58,18 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, d
     need = F.ceil(F.col("n_item") * percent / F.lit(100))
     drawn = F.slice(F.transform(F.array_sort(F.transform("keys", lambda k: F.struct(F.xxhash64(k, F.col("size_class")).alias("order"), k.alias("key")))), lambda s: s["key"]), F.lit(1), F.least(F.col("n_item") - need + 1, F.lit(draws)).cast("int"))
     sets = written(sets.withColumn("drawn", drawn).drop("keys"), "items")
-    values = sets.select(F.explode("drawn").alias("key"), "item_id", "size_class")
-    lookup = values.select("key").distinct()
-    if lookup.count() <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
-    own = docs.where("doc_id is not null").select("doc_id", words("text").alias("w")).select("doc_id", F.explode_outer(F.array_distinct(shingle_keys(F.col("w"), width))).alias("key"))  # plain explode would repeat its argument in a filter
-    hits = own.join(lookup, "key").join(values, "key").select("doc_id", "item_id").distinct()
+    # the shingles that the smallest item of a class asks for
+    least = F.ceil((F.floor(F.pow(F.lit(2.0), F.col("size_class") - 1)) + 1) * percent / F.lit(100)).cast("int")
+    values = sets.select(F.explode("drawn").alias("key"), "item_id", least.alias("class_need"))
+    lookup = values.groupBy("key").agg(F.min("class_need").alias("least_need"))
+    few = lookup.count() <= BROADCAST_ROWS
+    own = docs.where("doc_id is not null").select("doc_id", words("text").alias("w")).select("doc_id", F.array_distinct(shingle_keys(F.col("w"), width)).alias("keys"))
+    own = own.select("doc_id", F.size("keys").alias("n_doc"), F.explode_outer("keys").alias("key"))  # plain explode would repeat its argument in a filter
+    own = own.join(F.broadcast(lookup), "key") if few else holding(own, "key", lookup.select("key")).join(lookup, "key")
+    hits = own.where("n_doc >= least_need").join(values, "key").where("n_doc >= class_need").select("doc_id", "item_id").distinct()
     hits = written(hits, "suspects")
     ids = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "item_ids", words("text").alias("w")).select("doc_id", shingle_texts(F.col("w"), width).alias("doc_set"), F.explode_outer("item_ids").alias("item_id"))
+    texts = holding(docs.select("doc_id", "text"), "doc_id", hits.select("doc_id").distinct()).join(ids, "doc_id").select("doc_id", "item_ids", words("text").alias("w")).select("doc_id", shingle_texts(F.col("w"), width).alias("doc_set"), F.explode_outer("item_ids").alias("item_id"))
     both = texts.join(sets.select("item_id", "item_set", "n_item"), "item_id")
     checked = both.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("item_set", "doc_set")).cast("long").alias("n_shared"))
     return checked.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -73,8 +77,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, d
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The table without the rows whose text holds an item; rows with a null id stay."""
-    bad = contained_items(docs, items, percent).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = written(contained_items(docs, items, percent).select("doc_id").distinct(), "leaks")
+    return without(docs, "doc_id", bad)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

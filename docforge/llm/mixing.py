@@ -10,6 +10,7 @@ from .common import WORD, documents, forget, written
 WEIGHTS = (1, 2, 3)
 CAP = 3
 ROWS_PER_BUCKET = 4000
+SLOTS_PER_GROUP = 4096
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix", payload: bool = False) -> DataFrame:
@@ -24,7 +25,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     Running sums are taken in two levels, over bounded buckets and within them, so that no source is ever
     in one task. Documents of size 0 keep ``taken`` 0. Repeated rows count each; a null id has a key of its
     own; an empty table gives an empty one. Result: doc_id, size, source_size, target, taken; with
-    ``payload`` also the table's own columns (a column with one of the result's names is replaced).
+    ``payload`` also the table's own columns (a column with one of the result's names is replaced, and one beginning with ``_wfq`` is left out).
     """
     extra = [c for c in docs.columns if payload and c not in ("doc_id", "size", "source_size", "target", "taken") and not c.startswith("_wfq")]
     base = docs.select(
@@ -74,8 +75,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     line = queue.where("size > 0").select("doc_id", "size", "_wfq_turn", "_wfq_key", passes.alias("x")).select("doc_id", "size", "_wfq_turn", "_wfq_key", "x.*").withColumn("slot", slot)
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
     forget(docs.sparkSession, sized) if payload else None
-    up_to = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)  # one row for each slot
-    crossed = line.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(up_to)).where(F.col("upto") > budget).orderBy("slot").limit(1).first()
+    per_slot = written(line.groupBy("slot").agg(F.sum("size").alias("n")), "mix-slots")
+    group = F.floor(F.col("slot") / SLOTS_PER_GROUP)
+
+    def crossing(sums: DataFrame, place: str, before: int):
+        """The first row of ``sums`` at which the running sum passes the budget, with that sum as ``upto``."""
+        up_to = Window.partitionBy(F.lit(0)).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+        return sums.withColumn("upto", F.sum("n").over(up_to) + before).where(F.col("upto") > budget).orderBy(place).limit(1).first()
+
+    # in two levels: one row for each group of slots, then the slots of one group
+    whole = crossing(per_slot.groupBy(group.alias("slots")).agg(F.sum("n").alias("n")), "slots", 0)
+    crossed = whole and crossing(per_slot.where(group == whole["slots"]), "slot", whole["upto"] - whole["n"])
+    forget(docs.sparkSession, per_slot)
     order = F.struct("f", "_wfq_turn", "e", "_wfq_key", "doc_id", "size")
     stop = None
     if crossed is not None:

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.OP4_SQL, "op9_decontamination": contamination.OP9_SQL, "op8_mix_sources": mixing.OP8_SQL}
+    return {"op4_line_dedup": lines.OP4_SQL, "op6_near_duplicates": minhash.OP6_SQL, "op9_decontamination": contamination.OP9_SQL, "op8_mix_sources": mixing.OP8_SQL}

@@ -26,6 +26,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, and what no layer that matters lacks, but for a compressed stream: as many printable bytes as the shortest match.
+WRAPPED = re.compile(rb"(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+PRINTED = re.compile(rb"[\t-\r\x20-\x7e]{12}")
 #: Where a gzip, bzip2, xz or zlib stream may begin.
 STREAM = re.compile(rb"(?=\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|[\x08\x18(8HXhx][\x00-\xff])", re.S)
 #: Compressed bytes taken, and bytes made of them, at a time; a decoded layer larger than PIECE lies in a temporary file.
@@ -193,19 +196,43 @@ def _unescape(data: bytes, low: np.ndarray, high: np.ndarray):
     return b"".join([*parts, data[at:]]), np.concatenate([*lows, low[at:]]), np.concatenate([*highs, high[at:]])
 
 
-def _unpack(data: bytes, low: np.ndarray, high: np.ndarray):
-    """Layers inside base64 runs, be they text or not."""
-    for m in BASE64_RUN.finditer(data):
+def _joined(data: bytes, low: np.ndarray, high: np.ndarray):
+    """Base64 that is broken into lines, as one run."""
+    for m in WRAPPED.finditer(data):
         a, b = m.span()
-        n = b - a - (data[b - 1 : b] == b"=") - (data[b - 2 : b] == b"==")
-        if n % 4 == 1:
-            continue
-        got = _whole(base64.b64decode(data[k : min(k + PIECE, a + n)].translate(URL_SAFE) + b"=" * (-(min(k + PIECE, a + n) - k) % 4)) for k in range(a, a + n, PIECE))
+        got = m[0].translate(None, b" \t\r\n")
         if _one(low):
             yield got, *_spread(low, high, len(got))
         else:
-            group = a + np.arange(len(got)) // 3 * 4
-            yield got, low[group], high[np.minimum(group + 3, b - 1)]
+            at = a + np.flatnonzero(_B64[np.frombuffer(m[0], np.uint8)])
+            yield got[: len(at)], low[at], high[at]  # without the padding
+
+
+def _promising(data: bytes) -> bool:
+    """Whether a layer can hold a match or another layer."""
+    return bool(PRINTED.search(data) or any(p.search(data) for p, _, _ in WIDE) or any(_decoder(data, m.start()) is not None for m in STREAM.finditer(data)))
+
+
+def _unpack(data: bytes, low: np.ndarray, high: np.ndarray):
+    """Layers inside base64 runs, be they text or not; a run may begin with up to three letters of something else, or any more."""
+    for m in BASE64_RUN.finditer(data):
+        start, b = m.span()
+        for a in range(start, start + 4):
+            n = b - a - (data[b - 1 : b] == b"=") - (data[b - 2 : b] == b"==")
+            n -= n % 4 == 1
+            yield from _decoded(data, low, high, a, n, b)
+
+
+def _decoded(data: bytes, low: np.ndarray, high: np.ndarray, a: int, n: int, b: int):
+    """The layer of ``n`` base64 letters from ``a``, of a run that ends at ``b``."""
+    got = _whole(base64.b64decode(data[k : min(k + PIECE, a + n)].translate(URL_SAFE) + b"=" * (-(min(k + PIECE, a + n) - k) % 4)) for k in range(a, a + n, PIECE))
+    if not _promising(got):
+        return
+    if _one(low):
+        yield got, *_spread(low, high, len(got))
+    else:
+        group = a + np.arange(len(got)) // 3 * 4
+        yield got, low[group], high[np.minimum(group + 3, b - 1)]
 
 
 def _nested(data: bytes, low: np.ndarray, high: np.ndarray):
@@ -213,6 +240,7 @@ def _nested(data: bytes, low: np.ndarray, high: np.ndarray):
     yield from _inflate(data, low, high)
     yield from _narrow(data, low, high)
     yield from _unpack(data, low, high)
+    yield from _joined(data, low, high)
     if (plain := _unescape(data, low, high)) is not None:
         yield plain
 
@@ -221,7 +249,7 @@ def deep_matches(text: bytes) -> list[tuple[str, int, int]]:
     """Matches of the text and of every layer nested in it, at the bytes of the text that carry them.
 
     The worklist holds layers still to unwrap: each is searched for compressed streams, wide ASCII, base64 runs and
-    escapes, whether it is clean text or not. A layer whose content and place were met before is not
+    escapes, whether it is clean text or not; base64 may be broken into lines or follow other letters without a gap. A layer whose content and place were met before is not
     taken again, which ends cycles; every other step takes off one encoding, so the fixpoint is reached.
     Layers are unwrapped one at a time, and one of any size is scanned whole: above PIECE it lies in a
     temporary file of the task, so that disk, not memory, grows with it.
@@ -260,7 +288,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 at = body.find(needle, at + 1)
     spots = [np.array(hits, np.int64)]
     percent = np.flatnonzero(data[:-2] == 37) if len(data) > 2 else np.zeros(0, np.int64)
-    both = bytes.fromhex("30313233343536373839414243444546616263646566")
+    both = b"0123456789ABCDEFabcdef"
     digit = np.isin(data, np.frombuffer(both, np.uint8)) if len(percent) else None
     if digit is not None:
         spots.append(percent[digit[percent + 1] & digit[percent + 2]])

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docforge.llm import contamination, lines, minhash, mixing, neighbours, pitman_yor, quality, secrets, suffixes, tokens
+from docforge.llm import common, contamination, lines, minhash, mixing, neighbours, pitman_yor, quality, secrets, suffixes, tokens
 from docforge.llm.common import components, new_path
 
 from . import brute
@@ -156,6 +156,8 @@ def b64(data):
     lambda s: b64(gzip.compress(gzip.compress(s))), lambda s: b64(bz2.compress(gzip.compress(s))), lambda s: b64(lzma.compress(zlib.compress(s))),
     lambda s: quote(gzip.compress(s)), lambda s: "".join(f"\\x{c:02x}" for c in zlib.compress(s)),
     lambda s: b64(gzip.compress(b"one") + gzip.compress(s)), lambda s: b64(bz2.compress(s[:12]) + bz2.compress(s[12:])), lambda s: b64(lzma.compress(b"one") + lzma.compress(s)),
+    lambda s: base64.encodebytes(gzip.compress(s * 9)).decode(), lambda s: base64.encodebytes(s * 9).decode().replace("\n", "\r\n  "),
+    lambda s: "word" + b64(s), lambda s: "x" + b64(s) + "Y", lambda s: "abcdefghijklmnopqrstu" + b64(s), lambda s: "ab" + b64(zlib.compress(s)),
     lambda s: b64(s.decode().encode("utf-16")), lambda s: b64(s.decode().encode("utf-32-be")), lambda s: b64(b"\x01\xff" + s), lambda s: b64(gzip.compress(s * 30)[:-12]),
 ])
 def test_secrets_in_compressed_and_unclean_layers(wrap):
@@ -360,8 +362,12 @@ def test_mix_keeps_targets(docs, texts):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
-def test_decontamination(spark, docs, texts):
+@pytest.mark.parametrize("broadcast_rows", [contamination.BROADCAST_ROWS, 0])
+def test_decontamination(monkeypatch, spark, docs, texts, broadcast_rows):
+    """Items of all size classes, in texts too short for some of them, by a broadcast and by a thinned shuffle."""
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", broadcast_rows)
     items = [(1, texts[10][1]), (2, " ".join((texts[12][1] or "").split()[:6])), (3, None), (None, "x y z"), (4, "no such words at all here"), (5, "one")]
+    items += [(10 + k, " ".join((texts[k][1] or "").split()[: 3 + 2 * k])) for k in range(0, 60, 3)]
     table = spark.createDataFrame(items, "item_id long, text string")
     plain = set()
     for i, t in texts:
@@ -369,8 +375,32 @@ def test_decontamination(spark, docs, texts):
             own = brute.shingles(item)
             if j is not None and own and len(own & brute.shingles(t)) * 100 >= len(own) * 75:
                 plain.add((i, j))
-    got = {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(docs, table).collect()}
+    odd = docs.withColumns({"item_id": F.lit(1), "key": F.lit("k"), "n_doc": F.lit(2)})
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(odd, table).collect()}
     assert got == plain
+    left = contamination.decontaminate(odd, table)
+    assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in texts} - {i for i, _ in plain}
+
+
+def test_shared_folder_is_asked_for(spark):
+    """A cluster without spark.checkpoint.dir is refused; one process may use a folder of its own."""
+
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf, sparkContext = {}, Cluster
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_without(spark):
+    rows = spark.createDataFrame([(i % 90 if i % 7 else None, i) for i in range(300)], "k long, other int")
+    gone = spark.createDataFrame([(i,) for i in range(0, 90, 2)], "g long")
+    got = {r["other"] for r in common.without(rows, "k", gone).collect()}
+    assert got == {i for i in range(300) if not i % 7 or (i % 90) % 2}
 
 
 def test_quality(spark):
