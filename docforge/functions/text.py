@@ -25,7 +25,8 @@ def squeeze(c: Column) -> Column:
 
 
 def utf16_length(c: Column) -> Column:
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    """Characters, those beyond the basic plane as two."""
+    return F.length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
 def visible_length(c: Column) -> Column:
@@ -61,8 +62,8 @@ def safe_file_name(c: Column) -> Column:
 
 
 def safe_file_name_native(c: Column) -> Column:
-    """The device's rule: the whole name is cleaned, and .md is added unless it is there."""
-    clean = F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/:*?"<>|]+', "-"))
+    """The device's rule: the whole name is cleaned, without blanks and control characters at its ends, and .md is added unless it is there."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/:*?"<>|]+', "-"), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
     named = F.when(clean == "", f"{NO_TEXT_STEM}.md").otherwise(clean)
     return F.when(F.lower(named).endswith(".md"), named).otherwise(F.concat(named, F.lit(".md")))
 
@@ -93,7 +94,7 @@ def leading_marker(c: Column) -> Column:
 def looks_like_heading(c: Column) -> Column:
     letters, upper = F.regexp_count(c, F.lit(r"\p{L}")), F.regexp_count(c, F.lit(r"\p{Lu}"))
     outline = c.rlike(f"^[0-9]+(\\.[0-9]+)*\\.?[{WS}]+\\p{{Lu}}") & (F.size(F.split(c, f"[{WS}]+", -1)) <= 9)
-    return (F.length(c) <= 70) & ~c.rlike(r"[.!?:;,]\z") & (letters >= 3) & ((upper >= letters * F.lit(0.75)) | outline)
+    return (utf16_length(c) <= 70) & ~c.rlike(r"[.!?:;,]\z") & (letters >= 3) & ((upper >= letters * F.lit(0.75)) | outline)
 
 
 def looks_unfinished(c: Column) -> Column:

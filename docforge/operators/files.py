@@ -40,10 +40,15 @@ def admit(files: DataFrame) -> DataFrame:
 
 
 def deduplicate(files: DataFrame, present: DataFrame | None = None) -> DataFrame:
-    """Of files with one name and size the first by seq, unless it is already present."""
+    """Of files with one name and size the first by seq, unless it is already present; unknown names or sizes equal each other."""
     first = files.groupBy("name", "size").agg(F.min("seq").alias("seq"))
-    kept = files.join(first, ["name", "size", "seq"], "left_semi")
-    return kept if present is None else kept.join(present, ["name", "size"], "left_anti")
+
+    def kept_by(left: DataFrame, right: DataFrame, columns: tuple[str, ...], how: str) -> DataFrame:
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+        return left.alias("l").join(right.select(*columns).alias("r"), same, how)
+
+    kept = kept_by(files, first, ("name", "size", "seq"), "left_semi")
+    return kept if present is None else kept_by(kept, present, ("name", "size"), "left_anti")
 
 
 def with_ids(files: DataFrame) -> DataFrame:
@@ -90,6 +95,39 @@ def mime_by_extension(name: str, types: dict[str, str]) -> Column:
     return F.coalesce(table[F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))], F.lit(UNKNOWN_TYPE))
 
 
+def _resolved(path: Column, clamp: bool) -> Column:
+    """A path without . and .. segments; one that leaves the root is clamped to it, or null."""
+
+    def step(s, x):
+        up = x == ".."
+        out = F.when(x.isin(".", ""), s["out"]).when(up, F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0)))).otherwise(F.array_append(s["out"], x))
+        return F.struct(out.alias("out"), (s["left"] | (up & (F.size(s["out"]) == 0))).alias("left"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("left"))
+    folded = F.aggregate(F.split(path, "/", -1), start, step)
+    ends = F.when(path.rlike(r"(^|/)\.{0,2}\z") & (F.size(folded["out"]) > 0), "/").otherwise("")
+    whole = F.concat(F.lit("/"), F.array_join(folded["out"], "/"), ends)
+    return whole if clamp else F.when(~folded["left"], whole)
+
+
+def route_server(requests: DataFrame, present: DataFrame) -> DataFrame:
+    """Adds path and status to requests (url), as a server does that joins the decoded path to its root.
+
+    400 for a path that can't be decoded; a path that ends in / asks for its index.html; 403 where the decoded path leaves
+    the root, 404 where no file (column path of ``present``) is there, else 200. path is null where nothing is looked up.
+    """
+    raw = F.regexp_replace("url", r"(?s)[?#].*", "")
+    dots = F.regexp_replace(raw, r"(?i)(?<=/|^)(?:\.|%2e)(\.|%2e)?(?=/|\z)", ".$1")
+    dots = F.regexp_replace(dots, r"(?i)(?<=/|^)\.%2e(?=/|\z)", "..")
+    plain = F.try_url_decode(F.replace(_resolved(dots, True), F.lit("+"), F.lit("%2B")))
+    named = F.when(plain.endswith("/"), F.concat(plain, F.lit("index.html"))).otherwise(plain)
+    told = requests.withColumn("_plain", named).withColumn("path", _resolved(F.col("_plain"), False))
+    known = present.select(F.col("path").alias("_known")).distinct()
+    met = told.join(known, told["path"] == known["_known"], "left")
+    status = F.when(F.col("_plain").isNull(), 400).when(F.col("path").isNull(), 403).when(F.col("_known").isNull(), 404).otherwise(200)
+    return met.withColumn("status", status).drop("_plain", "_known")
+
+
 def route(requests: DataFrame, present: DataFrame) -> DataFrame:
     """Adds status to requests by path: 403 outside the root, 404 for what is not present (column name), else 200."""
     full = requests.withColumn("path", F.when(F.col("path").isin("", "/"), "/index.html").otherwise(F.col("path")))

@@ -217,12 +217,12 @@ def _(spark, d):
     return built(spark, d).select("doc_id", F.explode_outer(blocks).alias("b")).select("doc_id", H.block_html(F.col("b")).alias("html"))
 
 
-@query("output_names", BUILD + f" SELECT docs.doc_id, {D.safe_file_name('name')} AS file_name, length(markdown) AS chars FROM docs JOIN hd USING (doc_id)")
+@query("output_names", BUILD + f" SELECT docs.doc_id, {D.safe_file_name('name')} AS file_name, {D.utf16_length("markdown")} AS chars FROM docs JOIN hd USING (doc_id)")
 def _(spark, d):
     named = built(spark, d).join(pages(spark, d).select("doc_id", "name").distinct(), "doc_id")
-    return named.select("doc_id", T.safe_file_name(F.col("name")).alias("file_name"), F.length("markdown").cast("long").alias("chars"))
+    return named.select("doc_id", T.safe_file_name(F.col("name")).alias("file_name"), T.utf16_length(F.col("markdown")).cast("long").alias("chars"))
 
 
-@query("result_meta", BUILD + " SELECT count(*) AS documents, sum(length(markdown)) AS chars, count(*) >= 2 AS each FROM docs")
+@query("result_meta", BUILD + f" SELECT count(*) AS documents, CAST(sum({D.utf16_length('markdown')}) AS BIGINT) AS chars, count(*) >= 2 AS each FROM docs")
 def _(spark, d):
-    return built(spark, d).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("markdown").cast("long")).alias("chars"), (F.count(F.lit(1)) >= 2).alias("each"))
+    return built(spark, d).agg(F.count(F.lit(1)).alias("documents"), F.sum(T.utf16_length(F.col("markdown")).cast("long")).alias("chars"), (F.count(F.lit(1)) >= 2).alias("each"))

@@ -15,6 +15,10 @@ def squeeze(c):
     return trim(f"regexp_replace({c}, '[{WS}]+', ' ', 'g')")
 
 
+def utf16_length(c):
+    return f"(length({c}) + len(regexp_extract_all({c}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
 def visible_length(c):
     return f"length(regexp_replace({c}, '[{WS}]+', '', 'g'))"
 
@@ -42,7 +46,7 @@ def safe_file_name(c):
 
 
 def safe_file_name_native(c):
-    clean = f"""coalesce(nullif(trim(regexp_replace(coalesce({c}, ''), '[\\\\/:*?"<>|]+', '-', 'g')), ''), 'ocr-szoveg.md')"""
+    clean = f"""coalesce(nullif(regexp_replace(regexp_replace(coalesce({c}, ''), '[\\\\/:*?"<>|]+', '-', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), ''), 'ocr-szoveg.md')"""
     return f"CASE WHEN lower({clean}) LIKE '%.md' THEN {clean} ELSE {clean} || '.md' END"
 
 
@@ -69,7 +73,7 @@ def leading_marker(c):
 def looks_like_heading(c):
     letters, upper = f"len(regexp_extract_all({c}, '\\p{{L}}'))", f"len(regexp_extract_all({c}, '\\p{{Lu}}'))"
     outline = f"(regexp_matches({c}, '^[0-9]+(\\.[0-9]+)*\\.?[{WS}]+\\p{{Lu}}') AND len(regexp_split_to_array({c}, '[{WS}]+')) <= 9)"
-    return f"(length({c}) <= 70 AND NOT regexp_matches({c}, '[.!?:;,]$') AND {letters} >= 3 AND ({upper} >= {letters} * 0.75 OR {outline}))"
+    return f"({utf16_length(c)} <= 70 AND NOT regexp_matches({c}, '[.!?:;,]$') AND {letters} >= 3 AND ({upper} >= {letters} * 0.75 OR {outline}))"
 
 
 def looks_unfinished(c):

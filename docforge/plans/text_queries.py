@@ -24,11 +24,11 @@ def query(name, sql):
 
 def names(spark, d):
     k = F.col("seq") % 5
-    name = F.when(k == 1, F.concat(F.lit("a/b: "), "name")).when(k == 2, F.lit(".png")).when(k == 3, F.concat(F.lit(' x?"<y>|.tar'), "name", F.lit("  "))).when(k == 4, F.concat("name", F.lit(".MD"))).otherwise(F.col("name"))
+    name = F.when(k == 1, F.concat(F.lit("a/b: "), "name")).when(k == 2, F.lit(".png")).when(k == 3, F.concat(F.lit(' x?"<y>|.tar'), "name", F.lit("  "))).when(k == 4, F.concat(F.lit("\x01 "), "name", F.lit(".MD\t\x02"))).otherwise(F.col("name"))
     return X.files(spark, d).select("seq", "mime", "size", name.alias("name"))
 
 
-NAMES = "WITH " + X.FILES_SQL + """, names AS (SELECT seq, mime, size, CASE seq % 5 WHEN 1 THEN 'a/b: ' || name WHEN 2 THEN '.png' WHEN 3 THEN ' x?"<y>|.tar' || name || '  ' WHEN 4 THEN name || '.MD' ELSE name END AS name FROM files) """
+NAMES = "WITH " + X.FILES_SQL + """, names AS (SELECT seq, mime, size, CASE seq % 5 WHEN 1 THEN 'a/b: ' || name WHEN 2 THEN '.png' WHEN 3 THEN ' x?"<y>|.tar' || name || '  ' WHEN 4 THEN chr(1) || ' ' || name || '.MD' || chr(9) || chr(2) ELSE name END AS name FROM files) """
 LINES = "WITH " + X.LINES_SQL + " "
 MARKUP = "'**' || replace(text, ' ', CASE WHEN line_no % 3 = 0 THEN '  ' || chr(10) ELSE ' ' END) || '** `a<b>` *' || line_no || '* \\# \\> & "
 
@@ -69,9 +69,10 @@ def _(spark, d):
     return X.lines(spark, d).select("doc_id", "line_no", T.bullet(c).alias("bullet"), T.numbered(c).alias("number"), T.leading_marker(c).alias("marker"))
 
 
-@query("looks_like_heading", LINES + f"SELECT doc_id, line_no, {D.looks_like_heading('text')} AS heading FROM lines")
+@query("looks_like_heading", LINES + ", wide AS (SELECT doc_id, line_no, text || repeat('\U0001d54a', line_no % 25) AS text FROM lines) " + f"SELECT doc_id, line_no, {D.looks_like_heading('text')} AS heading FROM wide")
 def _(spark, d):
-    return X.lines(spark, d).select("doc_id", "line_no", T.looks_like_heading(F.col("text")).alias("heading"))
+    wide = F.concat("text", F.repeat(F.lit("\U0001d54a"), (F.col("line_no") % 25).cast("int")))
+    return X.lines(spark, d).select("doc_id", "line_no", T.looks_like_heading(wide).alias("heading"))
 
 
 @query("looks_unfinished", LINES + f"SELECT doc_id, line_no, {D.looks_unfinished('text')} AS unfinished FROM lines")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docforge.operators.markdown import combined_pieces
@@ -9,8 +13,26 @@ from docforge.operators.run import unique_output_names
 
 
 def write_each(documents: DataFrame, folder: str) -> None:
-    """One Markdown file a document (file_id, name, markdown), in a folder of its output name, by Spark's commit protocol."""
-    unique_output_names(documents).select("file_name", "markdown").write.mode("overwrite").partitionBy("file_name").option("lineSep", "\n").text(folder)
+    """One file a document (file_id, name, markdown): its output name in ``folder``, its text and nothing else as content.
+
+    ``folder`` is a URI of a file system that all tasks reach. A file is written under a name of its own and then renamed, so a task that
+    is lost and run again leaves whole files and no doubles.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write((text or "").encode())
+                store.move(part, f"{root}/{name}")
+            yield batch.select([0])
+
+    unique_output_names(documents).select("file_name", "markdown").mapInArrow(put, "file_name string").write.format("noop").mode("overwrite").save()
 
 
 def write_combined(documents: DataFrame, folder: str, order: str = "file_id") -> None:

@@ -82,9 +82,9 @@ def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a.png", "# x\n"), (2, "a.pdf", "# y\n"), (3, "b.pdf", "z")], "file_id long, name string, markdown string")
     assert sorted(r["file_name"] for r in U.unique_output_names(docs).collect()) == ["a-1.md", "a-2.md", "b.md"]
     sinks.write_each(docs, f"file://{tmp_path}/each")
-    assert len(spark.read.option("wholetext", True).text(f"file://{tmp_path}/each").collect()) == 3
+    assert {p.name: p.read_bytes() for p in (tmp_path / "each").iterdir()} == {"a-1.md": b"# x\n", "a-2.md": b"# y\n", "b.md": b"z"}
     sinks.write_combined(docs, f"file://{tmp_path}/one")
-    assert spark.read.option("wholetext", True).text(f"file://{tmp_path}/one").first()[0].startswith("# x\n\n---\n\n# y\n\n---\n\nz")
+    assert spark.read.text(f"file://{tmp_path}/one", wholetext=True).first()[0].startswith("# x\n\n---\n\n# y\n\n---\n\nz")
 
 
 def test_combined_in_pieces(spark, tmp_path):
