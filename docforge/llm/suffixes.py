@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -288,6 +289,17 @@ def shard_repeats(texts: list[bytes], counts: list[int], length: int = LENGTH) -
     return out
 
 
+def _packed(batches):
+    """Arrow batches (row, id, text) with compressed texts, which are written once and shuffled twice."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(x or b"") for x in batch.column(2).to_pylist()], pa.binary())], batch.schema.names)
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(x) for x in column.to_pylist()]
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = False, frequent: int = FREQUENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove each byte covered by a 200-byte string that also starts anywhere else.
 
@@ -306,12 +318,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
     """
     spark = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    base = written(base, "rows")  # numbered once: a later scan of the input may split it otherwise
+    base = written(base.mapInArrow(_packed, base.schema), "rows")  # numbered once: a later scan of the input may split it otherwise
 
     def grams(batches):
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for row, begin, data, offsets in _pieces(batch.column(1)):
+            for row, begin, data, offsets in _pieces(pa.array(_unpacked(batch.column(1)), pa.large_binary())):
                 own, start, size, digest = window_grams(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[row + own]), pa.array(start + begin), pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))], ["row", "start", "size", "gram"])
 
@@ -334,7 +346,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
         names = ["gram", "digest", "row", "start", "body", "n"]
         for batch in batches:
             for r in range(batch.num_rows):
-                row, body = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                row, body = batch.column(0)[r].as_py(), _unpacked(batch.column(1).slice(r, 1))[0]
                 digests, starts = [], []
                 for run in batch.column(2)[r].as_py():
                     cuts = [(run["start"], run["size"])] if not run["often"] else [(run["start"] + i, 1) for i in range(run["size"])]
@@ -386,7 +398,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", payload: bool = Fals
     def finish(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for body, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for body, own in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 kept, last, removed, count = [], 0, 0, 0
                 end = -1
                 for a, b in sorted((s["a"], s["b"]) for s in own or ()):
