@@ -287,6 +287,23 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_neighbours_over_full_shards(spark):
+    """Recall over three shards of the size in production; repeated rows count once."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 1, (60, 24))
+    vectors = (centres[rng.integers(0, 60, 10_000)] + 0.4 * rng.normal(0, 1, (10_000, 24))).astype(np.float32).astype(np.float64)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(table).collect()}
+    plain = set()
+    for q in range(0, 10_000, 100):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        plain |= {(q, int(i)) for i in np.lexsort((np.arange(10_000), far))[:10]}
+    assert len(got) == 1000 and len(got & plain) >= 0.9 * len(plain), len(got & plain)
+    print("recall", len(got & plain) / len(plain))
+
+
 def plain_units(rows, unit, least):
     """(doc_id, n_units, n_removed, removed_spans, kept_text) of rows in rank order, one unit at a time."""
     ends = {"line": r"\n", "sentence": r"[.!?][ \t-\r]+|\n", "paragraph": r"\n{2,}"}[unit]
