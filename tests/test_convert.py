@@ -70,7 +70,7 @@ def test_files_to_markdown(spark):
     assert (got[2]["pages"], got[2]["confidence"], got[2]["from_layer"]) == (2, 61, True)
     assert "## 1. oldal\n\nWord0 of a layer" in got[2]["markdown"] and "## 2. oldal\n\nseen P6 91 61 255" in got[2]["markdown"]
     assert "seen P6 8 2 255" in got[5]["markdown"] and got[5]["from_layer"] is False
-    assert got[6]["markdown"].endswith("tiff\n\nplain \U0001d54a\n") and got[6]["chars"] == len("tiff\n\nplain ") + 2
+    assert got[6]["markdown"].endswith("\n\ntiff plain \U0001d54a\n") and got[6]["chars"] == len("tiff\n\nplain ") + 2
     without = {r["doc_id"]: r for r in C.to_markdown(files.where("doc_id = 1"), engine, reader, decoder, F.lit(AT), Options(pdf_text=False)).collect()}
     assert without[1]["confidence"] == 61 and without[1]["from_layer"] is False
 
