@@ -14,9 +14,14 @@ from .common import written
 
 NEAREST = 10
 QUERY_EVERY = 100
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+#: The most vectors of a shard and their bytes, of which it has as many as fit; query classes in a block.
+SHARD_ROWS, SHARD_BYTES, BLOCK_ROWS = 1 << 14, 32 << 20, 512
 #: Links of a node on upper layers (twice as many on the lowest), candidates weighed for them, width of a search.
-LINKS, WEIGHED, BEAM = 16, 64, 96
+LINKS, WEIGHED, BEAM = 16, 64, 128
+#: Nodes that enter a graph together at most.
+BATCH = 256
+#: Nodes whose neighbours a search looks at in one step.
+TOGETHER = 4
 
 
 def _sound(batch: pa.RecordBatch):
@@ -36,91 +41,73 @@ def _key(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
-def build_graph(vectors: np.ndarray, links: int = LINKS, weighed: int = WEIGHED) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """(nodes of each layer, flat neighbour array of each layer, entry node) of one shard.
+def _apart(vectors: np.ndarray, at: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Squared distances of each query to its own row of nodes ``at``."""
+    return ((vectors[at] - queries[:, None, :]) ** 2).sum(axis=2)
 
-    Nodes enter in row order. On each of its layers a node weighs the ``weighed`` nearest of the nodes before it, found
-    exactly by blocks of distances, and links to at most ``links`` of them of which none is nearer to a link already
-    chosen than to the node; the links count both ways, and a node with more than its share keeps the
-    nearest. Layers thin out geometrically. Neighbour arrays have a fixed width; -1 fills up.
+
+def _chosen(vectors: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Which candidates each row links to: nearest first, at most ``most``, none nearer to a link already chosen than to the row.
+
+    ``near``: candidate nodes by distance, ``far``: the squared distances, infinite where there is no candidate.
     """
-    n = len(vectors)
-    draws = np.random.default_rng(n).random(n)
-    level = np.minimum((-np.log(np.maximum(draws, 1e-12)) / np.log(links)).astype(int), 6)
-    layers, tables = [], []
-    for depth in range(int(level.max()) + 1):
-        nodes = np.flatnonzero(level >= depth)
-        own = vectors[nodes].astype(np.float32)
-        size, width = len(nodes), links * 2 if depth == 0 else links
-        square = (own * own).sum(axis=1)
-        dist = np.maximum(square[:, None] + square[None, :] - 2 * own @ own.T, 0)
-        masked = np.where(np.tri(size, size, -1, dtype=bool), dist, np.inf)
-        count = min(weighed, size)
-        near = np.argpartition(masked, count - 1, axis=1)[:, :count]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(masked, near, 1), axis=1), 1)
-        far = np.take_along_axis(masked, near, 1)
-        chosen = np.full((size, links), -1)
-        taken = np.zeros(size, int)
-        rows = np.arange(size)
-        for c in range(count):
-            node, d = near[:, c], far[:, c]
-            good = np.isfinite(d) & (taken < links)
-            for s in range(links):
-                has = s < taken
-                if not has.any():
-                    break
-                good &= ~has | (dist[node, np.maximum(chosen[:, s], 0)] > d)
-            chosen[rows[good], taken[good]] = node[good]
-            taken += good
-        a = np.repeat(rows, links)[chosen.ravel() >= 0]
-        b = chosen.ravel()[chosen.ravel() >= 0]
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        order = np.lexsort((b, dist[a, b], a))
-        a, b = a[order], b[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        table = np.full((size, width), -1, np.int32)
-        keep = place < width
-        table[a[keep], place[keep]] = b[keep]
-        layers.append(nodes.astype(np.int32))
-        tables.append(table)
-    return layers, tables, int(layers[-1][0])
-
-
-def search_graph(queries: np.ndarray, vectors: np.ndarray, layers, tables, entry: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, nodes) of the ``beam`` nearest nodes met, nearest first; all queries step together."""
-    q, n = len(queries), len(vectors)
-    apart = lambda rows, nodes: ((vectors[nodes] - queries[rows][:, None, :]) ** 2).sum(axis=2)
-    at = np.full(q, entry)
-    best = apart(np.arange(q), at[:, None])[:, 0]
-    for depth in range(len(layers) - 1, 0, -1):
-        spot = np.full(n, -1)
-        spot[layers[depth]] = np.arange(len(layers[depth]))
-        live = np.arange(q)
+    own = vectors[near]
+    square = (own * own).sum(axis=2)
+    between = square[:, :, None] + square[:, None, :] - 2 * own @ own.transpose(0, 2, 1)
+    blocked = ~np.isfinite(far)
+    out = np.zeros(near.shape, bool)
+    taken = np.zeros(len(near), int)
+    for c in range(near.shape[1]):
+        good = ~blocked[:, c] & (taken < most)
+        out[good, c] = True
+        taken += good
+        blocked |= good[:, None] & (between[:, c, :] <= far)
+    return out
+
+
+def _descended(queries: np.ndarray, vectors: np.ndarray, tables: list[np.ndarray], down_to: int, entry: int = 0) -> np.ndarray:
+    """The node at which a greedy walk from the entry through the layers above ``down_to`` ends, for each query.
+
+    Nodes are places in the order of entry, in which those of a layer come before all others.
+    """
+    at = np.full(len(queries), entry)
+    best = _apart(vectors, at[:, None], queries)[:, 0]
+    for table in tables[: down_to : -1]:
+        live = np.arange(len(queries))
         while len(live):
-            local = tables[depth][spot[at[live]]]
-            d = np.where(local >= 0, apart(live, layers[depth][np.maximum(local, 0)]), np.inf)
+            next_ = table[at[live]]
+            d = np.where(next_ >= 0, _apart(vectors, np.maximum(next_, 0), queries[live]), np.inf)
             c = d.argmin(axis=1)
             d = d[np.arange(len(live)), c]
             better = d < best[live]
-            live, c, d, local = live[better], c[better], d[better], local[better]
+            live, c, d, next_ = live[better], c[better], d[better], next_[better]
             best[live] = d
-            at[live] = layers[depth][local[np.arange(len(live)), c]]
-    width = min(beam, n)
+            at[live] = next_[np.arange(len(live)), c]
+    return at
+
+
+def _walked(queries: np.ndarray, vectors: np.ndarray, table: np.ndarray, start: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, nodes) of the ``width`` nearest of the first ``n`` nodes met from ``start``, nearest first; all queries step together."""
+    q = len(queries)
     dist, node, done = np.full((q, width), np.inf), np.full((q, width), -1), np.ones((q, width), bool)
-    dist[:, 0], node[:, 0], done[:, 0] = best, at, False
+    dist[:, 0], node[:, 0], done[:, 0] = _apart(vectors, start[:, None], queries)[:, 0], start, False
     met = np.zeros((q, n), bool)
-    met[np.arange(q), at] = True
+    met[np.arange(q), start] = True
     live = np.arange(q)
     while len(live):
-        first = (~done[live]).argmax(axis=1)
-        open_ = ~done[live, first]
-        live, first = live[open_], first[open_]
+        pick = np.argsort(done[live], axis=1, kind="stable")[:, :TOGETHER]  # the nearest open ones
+        open_ = ~np.take_along_axis(done[live], pick, 1)
+        some = open_.any(axis=1)
+        live, pick, open_ = live[some], pick[some], open_[some]
         if not len(live):
             break
-        done[live, first] = True
-        next_ = tables[0][node[live, first]]
-        new = (next_ >= 0) & ~met[live[:, None], np.maximum(next_, 0)]
-        r, c = np.nonzero(new)
+        done[live[:, None], pick] = True
+        next_ = np.where(open_[:, :, None], table[node[live[:, None], pick]], -1).reshape(len(live), -1)
+        r, c = np.nonzero((next_ >= 0) & ~met[live[:, None], np.maximum(next_, 0)])
+        _, once = np.unique(r * n + next_[r, c], return_index=True)
+        r, c = r[once], c[once]
+        new = np.zeros(next_.shape, bool)
+        new[r, c] = True
         met[live[r], next_[r, c]] = True
         d = np.full(next_.shape, np.inf)
         d[r, c] = ((vectors[next_[r, c]] - queries[live[r]]) ** 2).sum(axis=1)
@@ -132,11 +119,89 @@ def search_graph(queries: np.ndarray, vectors: np.ndarray, layers, tables, entry
     return dist, node
 
 
+def _linked(vectors: np.ndarray, table: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+    """Add links a -> b of squared length d to the flat arrays; a node that gets more than its share chooses anew among all it has."""
+    width = table.shape[1]
+    room = width + width // 4  # the nearest that a full node weighs
+    own = np.unique(a)
+    has = table[own] >= 0
+    a = np.concatenate([np.repeat(own, has.sum(axis=1)), a])
+    b, d = np.concatenate([table[own][has], b]), np.concatenate([far[own][has], d])
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    row = np.searchsorted(own, a)
+    place = np.arange(len(a)) - np.searchsorted(a, own)[row]
+    keep = place < room
+    near, apart = np.full((len(own), room), -1), np.full((len(own), room), np.inf, np.float32)
+    near[row[keep], place[keep]], apart[row[keep], place[keep]] = b[keep], d[keep]
+    full = np.flatnonzero(np.isfinite(apart[:, width:]).any(axis=1))
+    for at in range(0, len(full), BATCH):
+        rows = full[at : at + BATCH]
+        pick = _chosen(vectors, np.maximum(near[rows], 0), apart[rows], width)
+        order = np.argsort(~pick, axis=1, kind="stable")  # the chosen first, then the nearest of the rest fill up
+        near[rows], apart[rows] = np.take_along_axis(near[rows], order, 1), np.take_along_axis(apart[rows], order, 1)
+    table[own], far[own] = near[:, :width], apart[:, :width]
+
+
+def build_graph(vectors: np.ndarray, links: int = LINKS, weighed: int = WEIGHED, batch: int = BATCH) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
+    """(order of entry, nodes in each layer, flat neighbour array of each layer) of one shard.
+
+    A node's top layer is drawn, layers thinning out geometrically; nodes enter from the highest down, so that a layer
+    is a prefix of the order, in which neighbours are numbered. A node finds its candidates by searching the graph as it
+    stands: greedily through the layers above, then with a beam of ``weighed`` through its own. Nodes enter in batches that are at most as
+    large as the graph, and those of one batch also weigh each other. A node links to at most ``links`` candidates
+    (``_chosen``), and they to it. Neighbour arrays have a fixed width; -1 fills up. The cost of a node follows the search, not the shard.
+    """
+    n = len(vectors)
+    draws = np.random.default_rng(n).random(n)
+    level = np.minimum((-np.log(np.maximum(draws, 1e-12)) / np.log(links)).astype(int), 6)
+    order = np.argsort(-level, kind="stable")
+    own = vectors[order].astype(np.float32)
+    sizes = [int((level >= depth).sum()) for depth in range(int(level.max()) + 1)]
+    tables: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(sizes)
+    for depth in range(len(sizes) - 1, -1, -1):
+        size, width = sizes[depth], links * 2 if depth == 0 else links
+        above = sizes[depth + 1] if depth + 1 < len(sizes) else 0
+        table, far = np.full((size, width), -1, np.int32), np.full((size, width), np.inf, np.float32)
+        tables[depth] = table
+        a = 0
+        while a < size:
+            b = min(size, a + min(batch, max(a, weighed)))
+            b = above if a < above < b else b
+            new = own[a:b]
+            near, apart = np.zeros((b - a, 0), np.int64), np.zeros((b - a, 0))
+            if a:
+                # those of the layer above are where a walk through it ends, so they enter from the first node
+                start = _descended(new, own, tables, depth) if a >= above else np.zeros(b - a, np.int64)
+                apart, near = _walked(new, own, table, start, min(weighed, a), a)
+            square = (new * new).sum(axis=1)
+            among = np.maximum(square[:, None] + square[None, :] - 2 * new @ new.T, 0)
+            among[np.triu_indices(b - a)] = np.inf  # the earlier ones of the batch
+            near = np.hstack([near, np.broadcast_to(np.arange(a, b), among.shape)])
+            apart = np.hstack([apart, among])
+            count = min(weighed, apart.shape[1])
+            best = np.argpartition(apart, count - 1, axis=1)[:, :count]
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(apart, best, 1), axis=1, kind="stable"), 1)
+            near, apart = np.take_along_axis(near, best, 1), np.take_along_axis(apart, best, 1).astype(np.float32)
+            row, at = np.nonzero(_chosen(own, np.maximum(near, 0), apart, links))
+            left, right, d = row + a, near[row, at], apart[row, at]
+            if len(left):
+                _linked(own, table, far, np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([d, d]))
+            a = b
+    return order, sizes, tables
+
+
+def search_graph(queries: np.ndarray, vectors: np.ndarray, tables: list[np.ndarray], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, nodes) of the ``beam`` nearest nodes met, nearest first; ``vectors`` are in the order of entry."""
+    start = _descended(queries, vectors, tables, 0)
+    return _walked(queries, vectors, tables[0], start, min(beam, len(vectors)), len(vectors))
+
+
 def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its ``k`` nearest rows.
 
     Equal vectors form one class, of which the k + 1 smallest ids are enough for any answer; classes are
-    dealt by digest to shards of about ``shard_rows``, each indexed by a graph. Blocks of query classes
+    dealt by digest to shards of about ``shard_rows`` (fewer where so many would exceed SHARD_BYTES), each indexed by a graph. Blocks of query classes
     meet every shard, and each class merges the shards' best by distance, then id, before its queries take their rows.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; only
     vectors of one length are compared. Repeated rows (equal id and vector) count once. With fewer than k candidates
@@ -174,20 +239,21 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
     parts = rows.mapInArrow(gather, "key binary, dims int, vector binary, ids array<long>, asks boolean")
     smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     classes = written(parts.groupBy("key").agg(F.first("dims").alias("dims"), F.first("vector").alias("vector"), smallest.alias("ids"), F.max("asks").alias("asks")), "vectors")
-    sizes = classes.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
+    sizes = classes.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max("dims").alias("dims")).first()
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * (sizes["dims"] or 1))))
     shards, blocks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["q"] // block_rows))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         vectors = np.stack([np.frombuffer(v, np.float64) for v in pdf["vector"]])
-        layers, tables, entry = build_graph(vectors)
+        order, layers, tables = build_graph(vectors)
         members = np.full((len(pdf), k + 1), np.iinfo(np.int64).max)
-        for r, ids in enumerate(pdf["ids"]):
+        for r, ids in enumerate(pdf["ids"].iloc[order]):
             members[r, : len(ids)] = ids
-        return pd.DataFrame({"dims": [pdf["dims"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "vectors": [vectors.tobytes()], "members": [members.tobytes()], "layers": [[x.tobytes() for x in layers]], "links": [[x.tobytes() for x in tables]], "entry": [entry]})
+        return pd.DataFrame({"dims": [pdf["dims"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "vectors": [vectors[order].tobytes()], "members": [members.tobytes()], "layers": [layers], "links": [[x.tobytes() for x in tables]]})
 
     shard = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int")
-    graphs = classes.select("key", "dims", "vector", "ids", shard.alias("shard")).groupBy("dims", "shard").applyInPandas(build, "dims int, shard int, vectors binary, members binary, layers array<binary>, links array<binary>, entry long")
+    graphs = classes.select("key", "dims", "vector", "ids", shard.alias("shard")).groupBy("dims", "shard").applyInPandas(build, "dims int, shard int, vectors binary, members binary, layers array<int>, links array<binary>")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dims": [pdf["dims"].iloc[0]], "keys": [b"".join(pdf["key"])], "queries": [b"".join(pdf["vector"])]})
@@ -204,9 +270,8 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
                 queries = np.frombuffer(own["queries"].as_py(), np.float64).reshape(-1, dims)
                 vectors = np.frombuffer(own["vectors"].as_py(), np.float64).reshape(-1, dims)
                 members = np.frombuffer(own["members"].as_py(), np.int64).reshape(len(vectors), -1)
-                layers = [np.frombuffer(x, np.int32) for x in own["layers"].as_py()]
-                links = [np.frombuffer(x, np.int32).reshape(len(nodes), -1) for x, nodes in zip(own["links"].as_py(), layers, strict=True)]
-                dist, node = search_graph(queries, vectors, layers, links, own["entry"].as_py(), beam)
+                links = [np.frombuffer(x, np.int32).reshape(size, -1) for x, size in zip(own["links"].as_py(), own["layers"].as_py(), strict=True)]
+                dist, node = search_graph(queries, vectors, links, beam)
                 keys, out_key, out_id, out_score = own["keys"].as_py(), [], [], []
                 for i in range(len(queries)):
                     some = np.isfinite(dist[i])
@@ -220,7 +285,7 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
                     out_score.append(d[best])
                 yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.binary()), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_score))], ["key", "vec_id", "score"])
 
-    found = met.select("dims", "keys", "queries", "vectors", "members", "layers", "links", "entry").mapInArrow(answer, "key binary, vec_id long, score double")
+    found = met.select("dims", "keys", "queries", "vectors", "members", "layers", "links").mapInArrow(answer, "key binary, vec_id long, score double")
     best = Window.partitionBy("key").orderBy("score", "vec_id")
     merged = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(asking, "key binary, query_id long").distinct()

@@ -288,20 +288,41 @@ def test_nearest_neighbours(spark):
 
 
 def test_nearest_neighbours_over_full_shards(spark):
-    """Recall over three shards of the size in production; repeated rows count once."""
+    """Recall over three shards and over one of the size in production; repeated rows count once."""
     rng = np.random.default_rng(11)
     centres = rng.normal(0, 1, (60, 24))
     vectors = (centres[rng.integers(0, 60, 10_000)] + 0.4 * rng.normal(0, 1, (10_000, 24))).astype(np.float32).astype(np.float64)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     table = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(table).collect()}
     plain = set()
     for q in range(0, 10_000, 100):
         far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
         far[q] = np.inf
         plain |= {(q, int(i)) for i in np.lexsort((np.arange(10_000), far))[:10]}
-    assert len(got) == 1000 and len(got & plain) >= 0.9 * len(plain), len(got & plain)
-    print("recall", len(got & plain) / len(plain))
+    for rows in (4096, neighbours.SHARD_ROWS):
+        got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(table, shard_rows=rows).collect()}
+        assert len(got) == 1000 and len(got & plain) >= 0.9 * len(plain), len(got & plain)
+        print("recall", rows, len(got & plain) / len(plain))
+
+
+def test_graph_by_insertion():
+    """Layers are prefixes of the order, links stay within their layer, a node is never its own neighbour, recall against brute force."""
+    vectors = np.random.default_rng(2).normal(size=(3000, 16))
+    order, sizes, tables = neighbours.build_graph(vectors)
+    assert sorted(order.tolist()) == list(range(3000)) and sizes == sorted(sizes, reverse=True) and sizes[0] == 3000
+    for size, table in zip(sizes, tables, strict=True):
+        assert table.shape[0] == size and table.max() < size
+        assert not (table == np.arange(size)[:, None]).any()
+        assert all(len(set(x)) == len(x) for x in ([n for n in row if n >= 0] for row in table.tolist()))
+    queries = np.random.default_rng(3).normal(size=(100, 16))
+    dist, node = neighbours.search_graph(queries, vectors[order], tables)
+    exact = ((queries[:, None, :] - vectors[None]) ** 2).sum(axis=2)
+    best = np.argsort(exact, axis=1)[:, :10]
+    assert (np.diff(dist[:, :10], axis=1) >= 0).all()
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(order[node[:, :10]].tolist(), best.tolist(), strict=True)]) >= 9.5
+    for n in (1, 2):
+        order, _, tables = neighbours.build_graph(vectors[:n])
+        assert sorted(order[neighbours.search_graph(queries[:1], vectors[order], tables)[1]][0].tolist()) == list(range(n))
 
 
 def plain_units(rows, unit, least):
