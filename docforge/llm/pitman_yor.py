@@ -238,19 +238,31 @@ class _Shard:
         return count, (np.maximum(mass, 0) + floor[:, None]) / (STRENGTH + sums["customers"])[:, None], context
 
 
+def _coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted arrays, and the place of every value among them; ``parts`` is emptied."""
+    distinct = np.unique(np.concatenate(parts))
+    places = np.concatenate([np.searchsorted(distinct, p).astype(np.uint32) for p in parts])
+    parts.clear()
+    return distinct, places
+
+
 def _merged(table: pa.Table, homes: int) -> pa.Table:
     """The pairs of all blocks of a shard, each once, with where each block's pairs are among them, and the first questions."""
     key, parts = table["key"][0].as_py(), _parts(table, PAIRS)
-    left, right = np.concatenate([np.cumsum(p[0]) for _, p in parts]), np.concatenate([p[1] for _, p in parts])
-    words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    pairs, pair = np.unique(at[: len(left)] * len(words) + at[len(left) :], return_inverse=True)
+    words = np.unique(np.concatenate([np.unique(x) for _, (left, right, _) in parts for x in (np.cumsum(left), right)]))
+    codes, learnt, sizes = [], [], [(block, len(p[0])) for block, p in parts]
+    while parts:  # block by block, so that a shard's pairs are held once
+        _, (left, right, count) = parts.pop(0)
+        codes.append(np.searchsorted(words, np.cumsum(left)) * len(words) + np.searchsorted(words, right))
+        learnt.append(count.astype(np.uint32))
+    pairs, pair = _coded(codes)
     count = np.zeros(len(pairs), np.int64)
-    np.add.at(count, pair, np.concatenate([p[2] for _, p in parts]))
+    np.add.at(count, pair, np.concatenate(learnt))
     body = [np.diff(words, prepend=0), np.diff(pairs // len(words), prepend=0), pairs % len(words), count]
     items, begin = [(STATE, key, 0, _pack(*body), [int((count == 1).sum()), int((count == 2).sum())])], 0
-    for block, p in parts:
-        items.append((INDEX, key, block, _pack(pair[begin : begin + len(p[0])].astype(np.uint32)), None))
-        begin += len(p[0])
+    for block, n in sizes:
+        items.append((INDEX, key, block, _pack(pair[begin : begin + n]), None))
+        begin += n
     return _rows(items + _Shard(key, body, homes).ask(np.minimum(count, 1)[None, :]))
 
 
