@@ -238,9 +238,16 @@ class _Shard:
         return count, (np.maximum(mass, 0) + floor[:, None]) / (STRENGTH + sums["customers"])[:, None], context
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of arrays, sorted in place: a table of hashes, as ``np.unique`` makes for integers, takes more time and memory."""
+    values = np.concatenate(parts)
+    values.sort(kind="stable")
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def _coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of sorted arrays, and the place of every value among them; ``parts`` is emptied."""
-    distinct = np.unique(np.concatenate(parts))
+    distinct = _distinct(parts)
     places = np.concatenate([np.searchsorted(distinct, p).astype(np.uint32) for p in parts])
     parts.clear()
     return distinct, places
@@ -249,7 +256,7 @@ def _coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _merged(table: pa.Table, homes: int) -> pa.Table:
     """The pairs of all blocks of a shard, each once, with where each block's pairs are among them, and the first questions."""
     key, parts = table["key"][0].as_py(), _parts(table, PAIRS)
-    words = np.unique(np.concatenate([np.unique(x) for _, (left, right, _) in parts for x in (np.cumsum(left), right)]))
+    words = _distinct([_distinct([x]) for _, (left, right, _) in parts for x in (np.cumsum(left), right)])
     codes, learnt, sizes = [], [], [(block, len(p[0])) for block, p in parts]
     while parts:  # block by block, so that a shard's pairs are held once
         _, (left, right, count) = parts.pop(0)
