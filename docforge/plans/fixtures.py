@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 STARTS = (0, 3, 6, 7, 8, 9, 10, 11, 12, 14, 16, 19)
 PAGE_LINES, LINE_WORDS = 30, 8
+#: Up to so many characters a line can serve as a heading or an unfinished end, or as a heading in capitals; longer ones stay whole.
+SHORT, CAPITALS = 60, 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,23 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_no, para_no, line_no, text, size: eight words a line, with headings, lists and broken words."""
+    """doc_id, page_no, para_no, line_no, text, size: eight words a line, with headings, lists and broken words.
+
+    Short lines in the places of headings and unfinished ends lose the punctuation at their end; no line loses words.
+    """
     words = F.split(F.regexp_replace("text", r"^\s+|\s+\z", ""), r"\s+")
     base = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", words.alias("w"))
     cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {LINE_WORDS} as int)")), lambda k: F.struct(k.alias("ln"), F.array_join(F.slice(F.col("w"), k * LINE_WORDS + 1, F.lit(LINE_WORDS)), " ").alias("raw")))
     rows = base.select("doc_id", F.explode_outer(cut).alias("x")).select("doc_id", F.col("x.ln").cast("long").alias("ln"), "x.raw")
     stem = r"'[^\\p{L}]+\\z'"
-    rows = rows.withColumn("r", F.pmod(F.col("ln") + F.col("doc_id"), F.lit(20))).withColumn("page_no", F.floor(F.col("ln") / PAGE_LINES) + 1).withColumn("cut", F.expr(f"regexp_replace(substring(raw, 1, 60), {stem}, '')"))
-    short = F.expr(f"upper(replace(regexp_replace(substring(cut, 1, 40), {stem}, ''), 'ß', 'ss'))")
+    rows = rows.withColumn("r", F.pmod(F.col("ln") + F.col("doc_id"), F.lit(20))).withColumn("page_no", F.floor(F.col("ln") / PAGE_LINES) + 1).withColumn("bare", F.expr(f"if(length(raw) <= {SHORT}, regexp_replace(raw, {stem}, ''), raw)"))
+    short = F.expr(f"if(length(raw) <= {CAPITALS}, upper(replace(bare, 'ß', 'ss')), raw)")
     text = (
-        F.when(F.col("r").isin(0, 5, 2), F.col("cut"))
+        F.when(F.col("r").isin(0, 5, 2), F.col("bare"))
         .when(F.col("r") == 6, short)
         .when(F.col("r").isin(8, 9, 10), F.concat(F.lit("• "), "raw"))
         .when(F.col("r").isin(12, 13), F.concat(F.lit("e "), "raw"))
         .when(F.col("r") == 14, F.concat(F.lit("1. "), "raw"))
         .when(F.col("r") == 15, F.concat(F.lit("2. "), "raw"))
         .when(F.col("r").isin(3, 18), F.lower("raw"))
-        .when(F.col("r") == 17, F.concat("cut", F.lit("-")))
+        .when(F.col("r") == 17, F.concat("bare", F.lit("-")))
         .when(F.col("r") == 19, F.concat(F.lit("# "), "raw"))
         .otherwise(F.col("raw"))
     )
@@ -42,15 +47,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page_no", F.sum(F.when(F.col("r").isin(*STARTS), 1).otherwise(0)).over(order).alias("para_no"), F.col("ln").alias("line_no"), text.alias("text"), size.alias("size"))
 
 
-_STEM = "regexp_replace(left({}, {}), '[^\\p{{L}}]+$', '')"
 LINES_SQL = f"""
 fw AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS w FROM documents WHERE regexp_matches(text, '\\S')),
 fl AS (SELECT doc_id, w, unnest(range((len(w) - 1) // {LINE_WORDS} + 1)) AS ln FROM fw),
 fr AS (SELECT doc_id, ln, array_to_string(w[ln * {LINE_WORDS} + 1:ln * {LINE_WORDS} + {LINE_WORDS}], ' ') AS raw, (ln + doc_id) % 20 AS r, ln // {PAGE_LINES} + 1 AS page_no FROM fl),
-fc AS (SELECT *, {_STEM.format("raw", 60)} AS cut FROM fr),
+fc AS (SELECT *, CASE WHEN length(raw) <= {SHORT} THEN regexp_replace(raw, '[^\\p{{L}}]+$', '') ELSE raw END AS bare FROM fr),
 lines AS (SELECT doc_id, page_no, CAST(sum(CASE WHEN r IN {STARTS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY ln ROWS UNBOUNDED PRECEDING) AS BIGINT) AS para_no, ln AS line_no,
-  CASE WHEN r IN (0, 5, 2) THEN cut WHEN r = 6 THEN upper(replace({_STEM.format("cut", 40)}, 'ß', 'ss')) WHEN r IN (8, 9, 10) THEN '• ' || raw WHEN r IN (12, 13) THEN 'e ' || raw
-       WHEN r = 14 THEN '1. ' || raw WHEN r = 15 THEN '2. ' || raw WHEN r IN (3, 18) THEN lower(raw) WHEN r = 17 THEN cut || '-' WHEN r = 19 THEN '# ' || raw ELSE raw END AS text,
+  CASE WHEN r IN (0, 5, 2) THEN bare WHEN r = 6 THEN CASE WHEN length(raw) <= {CAPITALS} THEN upper(replace(bare, 'ß', 'ss')) ELSE raw END WHEN r IN (8, 9, 10) THEN '• ' || raw WHEN r IN (12, 13) THEN 'e ' || raw
+       WHEN r = 14 THEN '1. ' || raw WHEN r = 15 THEN '2. ' || raw WHEN r IN (3, 18) THEN lower(raw) WHEN r = 17 THEN bare || '-' WHEN r = 19 THEN '# ' || raw ELSE raw END AS text,
   CAST(CASE WHEN r = 0 THEN 13 WHEN r = 5 THEN 11 WHEN ln % 29 = 28 THEN 0 ELSE 10 END AS DOUBLE) AS size FROM fc)"""
 
 
