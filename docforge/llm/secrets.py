@@ -27,10 +27,12 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, and what no layer that matters lacks, but for a compressed stream: as many printable bytes as the shortest match.
-WRAPPED = re.compile(rb"(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
 PRINTED = re.compile(rb"[\t-\r\x20-\x7e]{12}")
+#: The heads of zlib streams: deflate with a window of 256 bytes to 32 KB, no preset dictionary, divisible by 31.
+ZLIB = [bytes([a, b]) for a in range(0x08, 0x80, 0x10) for b in range(256) if not b & 0x20 and (a << 8 | b) % 31 == 0]
 #: Where a gzip, bzip2, xz or zlib stream may begin.
-STREAM = re.compile(rb"(?=\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|[\x08\x18(8HXhx][\x00-\xff])", re.S)
+STREAM = re.compile(rb"(?=[B\x1f\xfd\x08\x18(8HXhx])(?=\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|" + b"|".join(map(re.escape, ZLIB)) + rb")", re.S)
 #: Compressed bytes taken, and bytes made of them, at a time; a decoded layer larger than PIECE lies in a temporary file.
 STEP, PIECE = 1 << 14, 1 << 20
 FAULTS = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
@@ -58,7 +60,7 @@ def base_matches(text: bytes) -> list[tuple[str, int, int]]:
 def _decoder(data: bytes, at: int):
     """A decoder for the gzip, zlib, bzip2 or xz stream that may begin at ``at``; None where none can."""
     head = data[at : at + 10]
-    if head[:3] == b"\x1f\x8b\x08" or (len(head) > 2 and head[0] & 0x8F == 8 and not head[1] & 0x20 and (head[0] << 8 | head[1]) % 31 == 0):
+    if head[:3] == b"\x1f\x8b\x08" or (len(head) > 2 and head[:2] in ZLIB):
         return zlib.decompressobj(47)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
@@ -146,9 +148,18 @@ def _inflate(data: bytes, low: np.ndarray, high: np.ndarray):
             done = stop[0]
 
 
+def _spaced(data: bytes) -> bool:
+    """Whether six zero bytes stand two or four bytes apart, as all wide ASCII has them."""
+    for k in range(0, len(data), PIECE):
+        zero = np.frombuffer(data[k : k + PIECE + 24], np.uint8) == 0
+        if any(len(zero) > 5 * w and np.logical_and.reduce([zero[i * w : len(zero) - (5 - i) * w] for i in range(6)]).any() for w in (2, 4)):
+            return True
+    return False
+
+
 def _narrow(data: bytes, low: np.ndarray, high: np.ndarray):
     """ASCII that is written with zero bytes between, as UTF-16 and UTF-32 do."""
-    for pattern, width, at in WIDE:
+    for pattern, width, at in WIDE if _spaced(data) else ():
         for m in pattern.finditer(data):
             a, b = m.span()
             got = _whole(data[k + at : min(k + PIECE, b) : width] for k in range(a, b, PIECE))
@@ -209,8 +220,8 @@ def _joined(data: bytes, low: np.ndarray, high: np.ndarray):
 
 
 def _promising(data: bytes) -> bool:
-    """Whether a layer can hold a match or another layer."""
-    return bool(PRINTED.search(data) or any(p.search(data) for p, _, _ in WIDE) or any(_decoder(data, m.start()) is not None for m in STREAM.finditer(data)))
+    """Whether a layer can hold a match or another layer; a stream has to yield at least one byte."""
+    return bool(PRINTED.search(data) or _spaced(data) or any(any(_stream(data, m.start(), [0, False])) for m in STREAM.finditer(data)))
 
 
 def _unpack(data: bytes, low: np.ndarray, high: np.ndarray):
@@ -276,7 +287,7 @@ def deep_matches(text: bytes) -> list[tuple[str, int, int]]:
 
 
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of a slice that can hold a match or an encoded layer, from a few passes over all its bytes."""
+    """Rows of a slice that can hold a match or an encoded layer, from a few passes over all its bytes; all that ``deep_matches`` finds is in one."""
     raw = data.tobytes()
     low = raw.lower()
     hits: list[int] = []
@@ -286,7 +297,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             while at >= 0:
                 hits.append(at)
                 at = body.find(needle, at + 1)
-    spots = [np.array(hits, np.int64)]
+    spots = [np.array(hits, np.int64), np.flatnonzero(data == 0), np.fromiter((m.start() for m in STREAM.finditer(raw)), np.int64)]
     percent = np.flatnonzero(data[:-2] == 37) if len(data) > 2 else np.zeros(0, np.int64)
     both = b"0123456789ABCDEFabcdef"
     digit = np.isin(data, np.frombuffer(both, np.uint8)) if len(percent) else None
@@ -327,7 +338,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     The counts and the digest cover matches in the text itself; ``spans`` adds those found in URL, Unicode, base64
     and compressed layers, at the characters that carry them. One pass, no shuffle; memory follows the
     slice and the longest text. Null and empty texts have no match (counts 0, spans ''). Null ids, ties
-    and repeated rows each give their row.
+    and repeated rows each give their row; no rows give none.
     """
     return docs.select("doc_id", "text").mapInArrow(scan_batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -335,7 +346,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The table with every found span of ``text`` replaced by [REDACTED]; overlapping spans become one.
 
-    ``n_chars``, where the table has it, becomes the new length. Rows without a match are unchanged.
+    ``n_chars``, where the table has it, becomes the new length. Rows without a match are unchanged, as are null and empty
+    texts; null ids and repeated rows each give their row, no rows none.
     """
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -6,6 +6,7 @@ import gzip
 import lzma
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -165,6 +166,34 @@ def test_secrets_in_compressed_and_unclean_layers(wrap):
     assert any(kind == "assign" and 9 < a < b <= len(text) - 6 for kind, a, b in secrets.deep_matches(text))
 
 
+@pytest.mark.parametrize("size", [1 << 20, 4 << 20])
+def test_secrets_in_plain_base64_take_linear_time(size):
+    """Random bytes in base64, as an embedded image is, with a secret behind them; and letters without a line break."""
+    text = b"see " + base64.b64encode(random.Random(4).randbytes(size)) + b" password=hunter22 end"
+    began = time.perf_counter()
+    assert any(kind == "assign" and b == len(text) - 4 for kind, a, b in secrets.deep_matches(text))
+    assert time.perf_counter() - began < 8 * size / (1 << 20)
+    began = time.perf_counter()
+    secrets.deep_matches(b"A" * size)
+    assert time.perf_counter() - began < 8 * size / (1 << 20)
+
+
+def test_secrets_of_every_wrap_pass_the_filter_of_rows(spark):
+    """What the row filter passes over holds nothing: spans of a table are those of ``deep_matches`` on each text."""
+    s = b"api_key: 'Zx81+/abcd' AKIA" + b"Q" * 16
+    wraps = [bytes, lambda s: quote(s, safe="").encode(), base64.b64encode, lambda s: base64.encodebytes(s * 3), lambda s: base64.b64encode(gzip.compress(s)), lambda s: s.decode().encode("utf-16-le"), lambda s: s.decode().encode("utf-16-be"), lambda s: s.decode().encode("utf-32-be"), lambda s: base64.b64encode(s.decode().encode("utf-16")), lambda s: b"".join(b"\\u%04x" % c for c in s), lambda s: b"".join(b"&#%d;" % c for c in s), lambda s: "".join(f"\\x{c:02x}" for c in zlib.compress(s)).encode(), lambda s: b"plain words only"]
+    rows = [(i * 20 + j, "é " + outer(inner(s)).decode() + " end") for i, outer in enumerate(wraps) for j, inner in enumerate(wraps)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in rows:
+        raw = t.encode()
+        place = lambda at: len(raw[:at].decode())  # noqa: E731, B023
+        want = ",".join(f"{k}:{place(a)}:{place(b)}" for k, a, b in secrets.deep_matches(raw))
+        assert got[i] == want
+        found += bool(want)
+    assert found > 130
+
+
 @pytest.mark.parametrize(("make", "head"), [(gzip.compress, 65 << 20), (lambda s: gzip.compress(b64(bz2.compress(s)).encode()), 3 << 20), (gzip.compress, (1 << 20) - 9)])
 def test_secrets_in_large_layers(make, head):
     """A secret behind 65 MB of a layer, and across the border of two pieces."""
