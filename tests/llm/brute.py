@@ -177,3 +177,12 @@ def mean_tables(customers, fresh, discount, moves=400_000, seed=1):
         size[at[k]] = size.get(at[k], 0) + 1
         total += len(size) * (move >= moves // 10)
     return total / (moves - moves // 10)
+
+
+def rule_measures(text):
+    """(words, characters of words, symbols, repeated lines, words in repeated windows of 8)."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
