@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, minhash, mixing, neighbours, pitman_yor, quality, rules, secrets, suffixes, tokens
+from . import contamination, lines, minhash, mixing, negatives, neighbours, pitman_yor, quality, rules, secrets, suffixes, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op8_mix_sources,
         contamination.op9_decontamination,
         suffixes.op10_suffix_dedup,
+        negatives.op11_hard_negatives,
         rules.op12_quality_rules,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.OP4_SQL, "op6_near_duplicates": minhash.OP6_SQL, "op9_decontamination": contamination.OP9_SQL, "op8_mix_sources": mixing.OP8_SQL, "op12_quality_rules": rules.OP12_SQL}
+    return {"op4_line_dedup": lines.OP4_SQL, "op6_near_duplicates": minhash.OP6_SQL, "op9_decontamination": contamination.OP9_SQL, "op8_mix_sources": mixing.OP8_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op12_quality_rules": rules.OP12_SQL}
