@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, minhash, mixing, negatives, neighbours, pitman_yor, quality, rules, secrets, suffixes, tokens
+from . import alignment, contamination, lines, minhash, mixing, negatives, neighbours, pitman_yor, quality, rules, secrets, suffixes, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffixes.op10_suffix_dedup,
         negatives.op11_hard_negatives,
         rules.op12_quality_rules,
+        alignment.op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 

@@ -186,3 +186,63 @@ def rule_measures(text):
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     hit = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
+
+
+def tokenized(text):
+    """(tokens of A, tokens of B) as (id, bytes) by the libraries on whole texts; None where either doesn't give the text back."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    if not hasattr(tokenized, "models"):
+        a = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+        a.encode_special_tokens = True
+        tokenized.models = a, sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    a, b = tokenized.models
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in plain)}
+    one = [(i, bytes(byte[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+    two = [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()) for i in b.encode(text, num_threads=1) for p in [b.id_to_piece(i)]]
+    whole = b" " + text.encode()
+    return (one, two) if b"".join(x for _, x in one) == whole == b"".join(x for _, x in two) else None
+
+
+def alignment(rows):
+    """doc_id to (n_a, n_b, n_groups, n_links, n_best, count_sum, digest)."""
+    found, holders = {}, Counter()
+    for k, (i, text) in enumerate(rows):
+        both = tokenized(text) if text else None
+        if both is None:
+            found[k] = None
+            continue
+        spans = []
+        for side in both:
+            at, out = 0, []
+            for t, x in side:
+                out.append((t, at, at + len(x)))
+                at += len(x)
+            spans.append(out)
+        ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups, start = [], 0
+        for e in ends:
+            groups.append("|".join(",".join(str(t) for t, _, z in side if start < z <= e) for side in spans))
+            start = e
+        links = [(t, u) for t, x, y in spans[0] for u, v, w in spans[1] if x < w and v < y] if len(text) < 3000 else _swept(*spans)
+        holders.update(set(links))
+        found[k] = len(spans[0]), len(spans[1]), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest()
+    best = {}
+    for (t, _), n in holders.items():
+        best[t] = max(n, best.get(t, 0))
+    return {i: (0, 0, 0, 0, 0, 0, "") if found[k] is None else (*found[k][:3], len(found[k][3]), sum(holders[x] == best[x[0]] for x in found[k][3]), sum(holders[x] for x in found[k][3]), found[k][4]) for k, (i, _) in enumerate(rows)}
+
+
+def _swept(a, b):
+    links, j = [], 0
+    for t, x, y in a:
+        while b[j][2] <= x:
+            j += 1
+        k = j
+        while k < len(b) and b[k][1] < y:
+            links.append((t, b[k][0]))
+            k += 1
+    return links
