@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, forget, written
+from .common import documents, forget, release, written
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Overlaps within a group are found by bins of so many bytes.
 BIN = 64
 #: A text is cut before a single space between two of these; tokens of neither tokenizer reach over such a place.
@@ -91,53 +92,83 @@ def _tokens(coded: DataFrame, side: str) -> DataFrame:
 
 
 def align_units(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tokens, links) of units given as uid, a, b.
+    """(groups, links) of units given as uid, a, b.
 
-    Tokens: uid, side, pos, id, start, end, grp. Both sides' ends are met by unit and end; the cuts before a token, counted along the unit,
-    number its group. Links: uid, a_pos, a_id, b_pos, b_id, all pairs of a group whose byte ranges overlap, joined by unit,
+    Both sides' ends are met by unit and end; the cuts before a token, counted along the unit, number its group. Groups: uid, grp, a and b
+    (arrays of ids, in order). Links: uid, a_pos, a_id, b_pos, b_id, all pairs of a group whose byte ranges overlap, joined by unit,
     group and the bins of BIN bytes that both reach, each pair in the first of these alone. So a group that goes
     on for long makes pairs as its bytes, not as its tokens squared.
+
+    Units are dealt once, as arrays; within ``one_dealing`` all windows and joins keep to that.
     """
-    sides = {s: _tokens(coded, s) for s in ("a", "b")}
+    dealt = coded.repartition("uid")
+    sides = {s: _tokens(dealt, s) for s in ("a", "b")}
     before = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = {}
-    for own, other in (("a", "b"), ("b", "a")):
+
+    def grouped(own: str, other: str) -> DataFrame:
         cuts = sides[other].select("uid", "end", F.lit(1).alias("cut"))
-        met = sides[own].join(cuts, ["uid", "end"], "left")
-        grouped[own] = met.select("uid", F.lit(own).alias("side"), "pos", "id", "start", "end", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("grp"))
-    tokens = written(grouped["a"].unionByName(grouped["b"]), "aligned-tokens")
+        return sides[own].join(cuts, ["uid", "end"], "left").select("uid", "pos", "id", "start", "end", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int").alias("grp"))
+
+    placed = {"a": grouped("a", "b"), "b": grouped("b", "a")}
+
+    def listed(side: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "id")))
+        return placed[side].groupBy("uid", "grp").agg(F.transform(ordered, lambda x: x["id"]).alias(side))
 
     def binned(side: str) -> DataFrame:
         first, last = F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN)
         names = [F.col(c).alias(f"{side}_{c}") for c in ("pos", "id", "start", "end")]
-        return tokens.where((F.col("side") == side) & (F.col("end") > F.col("start"))).select("uid", "grp", *names, F.explode(F.sequence(first, last)).alias("bin"))
+        return placed[side].where(F.col("end") > F.col("start")).select("uid", "grp", *names, F.explode(F.sequence(first, last)).alias("bin"))
 
     both = binned("a").join(binned("b"), ["uid", "grp", "bin"]).where("a_start < b_end AND b_start < a_end")
     first_common = F.floor(F.greatest("a_start", "b_start") / BIN)
-    return tokens, both.where(F.col("bin") == first_common).select("uid", "a_pos", "a_id", "b_pos", "b_id")
+    return listed("a").join(listed("b"), ["uid", "grp"]), both.where(F.col("bin") == first_common).select("uid", "a_pos", "a_id", "b_pos", "b_id")
+
+
+@contextmanager
+def one_dealing(spark: SparkSession):
+    """Joins whose keys begin with what both sides are already dealt by don't deal them again; without broadcasts, so that all keep to it."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    was = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in was.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """block, ids, sizes, slots, units: documents packed to blocks, each text as the numbers of its units in the block's own list of distinct units."""
 
     def pack(batches):
-        made, number = [], TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         ids, units, slots, sizes, size = [], {}, [], [], 0
         for batch in batches:
-            for i, cut, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids.append(i)
-                slots += [units.setdefault(u, len(units)) for u in cut]
-                sizes.append(len(cut))
-                size += n
+            lists, grown = batch.column(1), np.cumsum(batch.column(2).to_numpy())
+            offsets = np.asarray(lists.offsets)
+            at = 0
+            while at < batch.num_rows:
+                done = grown[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(grown, done + block_bytes - size, "right")))
+                coded = lists.values.slice(offsets[at], offsets[to] - offsets[at]).dictionary_encode()
+                own = np.array([units.setdefault(u, len(units)) for u in coded.dictionary.to_pylist()], np.int32)
+                slots.append(own[coded.indices.to_numpy()])
+                sizes.append(np.diff(offsets[at : to + 1]).astype(np.int32))
+                ids.append(batch.column(0).slice(at, to - at))
+                size += grown[to - 1] - done
+                at = to
                 if size >= block_bytes:
                     yield row(number, ids, sizes, slots, units)
                     number += 1
                     ids, units, slots, sizes, size = [], {}, [], [], 0
-        if ids or made:
+        if ids:
             yield row(number, ids, sizes, slots, units)
 
     def row(number, ids, sizes, slots, units):
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(sizes, np.int32).tobytes()]), pa.array([np.array(slots, np.int32).tobytes()]), pa.array([list(units)], pa.list_(pa.string()))], ["block", "ids", "sizes", "slots", "units"])
+        whole = [[number], [pa.concat_arrays(ids)], [np.concatenate(sizes).tobytes()], [np.concatenate(slots).tobytes()], [list(units)]]
+        return pa.RecordBatch.from_arrays([pa.array(w, t) for w, t in zip(whole, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())), strict=True)], ["block", "ids", "sizes", "slots", "units"])
 
     text = F.coalesce("text", F.lit(""))
     cut = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SEAM))
@@ -234,18 +265,25 @@ def align_tokens(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK
     listed = blocks.select("block", F.posexplode("units").alias("slot", "unit"))
     units = encoded(listed.select("unit").distinct())
     coded = written(units.withColumn("uid", F.monotonically_increasing_id()), "units")
-    tokens, links = align_units(coded.where("sound").select("uid", "a", "b"))
-    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id")))), lambda x: x["id"].cast("string")), ",")
-    groups = tokens.groupBy("uid", "grp").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("said"), F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
-    said = groups.groupBy("uid").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "said"))), lambda x: x["said"]), ";").alias("groups"))
-    pair = (F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("pair")
-    linked = links.select("uid", pair).groupBy("uid").agg(F.collect_list("pair").alias("links"))
-    results = written(coded.select("uid", "unit", "sound").join(said, "uid", "left").join(linked, "uid", "left").drop("uid"), "unit-results")
-    forget(docs.sparkSession, tokens)
+    spark = docs.sparkSession
+    with one_dealing(spark):
+        groups, links = align_units(coded.where("sound").select("uid", "a", "b"))
+        row = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
+        every = F.array_sort(F.collect_list(F.struct("grp", row.alias("said"))))
+        said = groups.groupBy("uid").agg(F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(every, lambda x: x["said"]), ";").alias("groups"))
+        pair = F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")
+        linked = links.groupBy("uid").agg(F.collect_list(pair).alias("links"))
+        known = coded.select("uid", "unit", "sound").repartition("uid")
+        results = written(known.join(said, "uid", "left").join(linked, "uid", "left").drop("uid"), "unit-results")
+    forget(spark, coded)
+    release(spark)
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups")}
     found = listed.join(results, "unit").select(F.col("block").alias("home"), "slot", "sound", *zero.values(), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<long>")).alias("links"))
     of_block = "block long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, pairs array<long>, docs array<long>, ends binary, at binary, times binary"
     made = written(blocks.select("block", "ids", "sizes", "slots").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
+    forget(spark, results)
+    forget(spark, blocks)
+    release(spark)
     kinds = made.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("slot", "x")).select("block", "slot", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))
     counted = written(kinds.groupBy("pair").agg(F.sum("docs").alias("n")), "pair-counts")
     token = F.shiftright("pair", 32)
