@@ -181,6 +181,19 @@ def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(at - total[:-1], size) + np.arange(total[-1])
 
 
+def _parcels(batches):
+    """Rows of units' results, sorted by home, as one compressed parcel for each home and batch."""
+    for batch in batches:
+        home = batch.column(0).to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(home[1:] != home[:-1]) + 1, [len(home)]]) if len(home) else np.zeros(1, int)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            part = pa.record_batch(batch.columns[1:], names=batch.schema.names[1:]).slice(a, b - a)
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[a])]), pa.array([sink.getvalue().to_pybytes()])], ["home", "parcel"])
+
+
 def _composed(digest: bool):
     """For a block and the results of its units: the documents' rows, and the distinct pairs of each."""
     names = ["block", "ids", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "docs", "ends", "at", "times"]
@@ -189,6 +202,7 @@ def _composed(digest: bool):
         if not blocks.num_rows:
             return OF_BLOCK.empty_table()
         ids = blocks.column("ids")[0].as_py()
+        found = pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in found.column("parcel")]) if found.num_rows else _FOUND.empty_table()
         sizes, slots = (np.frombuffer(blocks.column(c)[0].as_py(), np.int32).astype(np.int64) for c in ("sizes", "slots"))
         order = np.argsort(found.column("slot").to_numpy()) if found.num_rows else np.zeros(0, np.int64)
         sound = found.column("sound").to_numpy()[order]
@@ -229,6 +243,7 @@ def _composed(digest: bool):
 
 
 _LONGS = pa.list_(pa.int64())
+_FOUND = pa.schema([("slot", pa.int32()), ("sound", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", _LONGS)])
 OF_BLOCK = pa.schema([("block", pa.int64()), ("ids", _LONGS), ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("n_links", _LONGS), ("groups", pa.list_(pa.string())), ("pairs", _LONGS), ("docs", _LONGS), ("ends", pa.binary()), ("at", pa.binary()), ("times", pa.binary())])
 
 
@@ -280,7 +295,7 @@ def align_tokens(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups")}
     found = listed.join(results, "unit").select(F.col("block").alias("home"), "slot", "sound", *zero.values(), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<long>")).alias("links"))
     of_block = "block long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, pairs array<long>, docs array<long>, ends binary, at binary, times binary"
-    made = written(blocks.select("block", "ids", "sizes", "slots").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
+    made = written(blocks.select("block", "ids", "sizes", "slots").groupBy("block").cogroup(found.sortWithinPartitions("home").mapInArrow(_parcels, "home long, parcel binary").groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
     forget(spark, results)
     forget(spark, blocks)
     release(spark)
