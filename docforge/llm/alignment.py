@@ -15,7 +15,7 @@ from .common import documents, forget, release, written
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Overlaps within a group are found by bins of so many bytes.
 BIN = 64
 #: A text is cut before a single space between two of these; tokens of neither tokenizer reach over such a place.
