@@ -30,8 +30,8 @@ def utf16_length(c: Column) -> Column:
 
 
 def visible_length(c: Column) -> Column:
-    """Characters that are no white space."""
-    return F.length(F.regexp_replace(c, f"[{WS}]+", ""))
+    """Characters that are no white space, those beyond the basic plane as two."""
+    return utf16_length(F.regexp_replace(c, f"[{WS}]+", ""))
 
 
 def normalize_raw(c: Column) -> Column:

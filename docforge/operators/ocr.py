@@ -58,3 +58,46 @@ def recognize(images: DataFrame, engine: Callable[[], Callable[[bytes, str, str]
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
     return images.mapInPandas(run, f"{own}, ok boolean, error string, {RESULT}")
+
+
+def recognize_by_language(images: DataFrame, engine: Callable[[str], Callable[[bytes, str], dict]], psm: str) -> DataFrame:
+    """``recognize`` for images that name their language (column lang; several as a+b).
+
+    ``engine(lang)`` makes a recogniser of one language. Images are dealt by language, a frequent one over many tasks, and sorted by it within each, so a
+    task makes an engine only where the language changes and holds one at a time: at most as many as it has languages. One with a
+    ``close`` is closed before the next is made, and at the end. A language that gives no engine fails its own images, a null one among them.
+    """
+    shape = images.drop("content").schema
+    lang = images.columns.index("lang")
+
+    def run(batches: Iterator):
+        import pandas as pd
+
+        held, made, fault = None, None, None
+
+        def close():
+            if made is not None and hasattr(made, "close"):
+                made.close()
+
+        for pdf in batches:
+            out = []
+            for content, own in zip(pdf["content"], pdf.iloc[:, lang], strict=True):
+                if (own,) != held:
+                    close()
+                    held, made, fault = (own,), None, None
+                    try:
+                        made = engine(own)
+                    except Exception as e:  # noqa: BLE001  (kept as a value of the language's rows)
+                        fault = str(e)
+                try:
+                    if made is None:
+                        raise ValueError(fault)
+                    out.append({"ok": True, "error": None, **made(bytes(content), psm)})
+                except Exception as e:  # noqa: BLE001  (kept as a value of the row)
+                    out.append({"ok": False, "error": str(e), "text": None, "confidence": None, "blocks": None})
+            yield pd.concat([pdf.drop(columns="content").reset_index(drop=True), pd.DataFrame(out)], axis=1)
+        close()
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
+    dealt = images.repartitionByRange("lang", F.xxhash64("content"))
+    return dealt.sortWithinPartitions("lang").mapInPandas(run, f"{own}, ok boolean, error string, {RESULT}")

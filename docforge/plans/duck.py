@@ -20,7 +20,7 @@ def utf16_length(c):
 
 
 def visible_length(c):
-    return f"length(regexp_replace({c}, '[{WS}]+', '', 'g'))"
+    return utf16_length(f"regexp_replace({c}, '[{WS}]+', '', 'g')")
 
 
 def _marks(c):
