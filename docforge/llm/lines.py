@@ -45,10 +45,10 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", payload: bool = Fals
     Result for each row: doc_id, n_units, n_removed (units), removed_spans (start:end of the removed runs in the original
     text, in characters, end exclusive, joined by commas), kept_text (the rest, in order). A null or empty text has no
     units. Rows of equal ids, and repeated rows, rank in the order they are read in; a null id ranks last. No rows give
-    none. With ``payload`` the table's other columns follow, but those named as a column of the result or beginning with
+    none. With ``payload`` the table's other columns follow, but those named, in any case, as a column of the result or beginning with
     ``_unit``.
     """
-    extra = [c for c in docs.columns if payload and c not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text") and not c.startswith("_unit")]
+    extra = [c for c in docs.columns if payload and c.lower() not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text") and not c.lower().startswith("_unit")]
     text = F.coalesce("text", F.lit(""))
     pieces = lambda c: F.filter(F.regexp_extract_all(c, F.lit(UNITS[unit]), F.lit(0)), lambda x: x != "")
     base = docs.select(F.monotonically_increasing_id().alias("_unit_row"), "doc_id", *extra, text.alias("_unit_text"), F.size(pieces(text)).cast("long").alias("n_units"))

@@ -25,9 +25,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     Running sums are taken in two levels, over bounded buckets and within them, so that no source is ever
     in one task. Documents of size 0 keep ``taken`` 0. Repeated rows count each; a null id has a key of its
     own; an empty table gives an empty one. Result: doc_id, size, source_size, target, taken; with
-    ``payload`` also the table's own columns (a column with one of the result's names is replaced, and one beginning with ``_wfq`` is left out).
+    ``payload`` also the table's own columns (a column with one of the result's names, in any case, is replaced, and one beginning with ``_wfq`` is left out).
     """
-    extra = [c for c in docs.columns if payload and c not in ("doc_id", "size", "source_size", "target", "taken") and not c.startswith("_wfq")]
+    extra = [c for c in docs.columns if payload and c.lower() not in ("doc_id", "size", "source_size", "target", "taken") and not c.lower().startswith("_wfq")]
     base = docs.select(
         "doc_id",
         *extra,
