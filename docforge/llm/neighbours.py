@@ -26,15 +26,13 @@ TOGETHER = 4
 
 def _sound(batch: pa.RecordBatch):
     """(ids, list of float64 vectors) of the rows that take part."""
-    ids, vectors = [], []
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        if i is None or not v.is_valid or len(v.values) == 0 or v.values.null_count:
-            continue
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-        if np.isfinite(x).all() and x.any():
-            ids.append(i)
-            vectors.append(x)
-    return ids, vectors
+    ids, lists = batch.column(0), batch.column(1)
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) + 0.0
+    at = np.concatenate([[0], np.cumsum(size)])
+    within = lambda mark: np.diff(np.concatenate([[0], np.cumsum(mark)])[at])
+    keep = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & (within(~np.isfinite(x)) == 0) & (within(x != 0) > 0))
+    return ids.take(pa.array(keep)).to_pylist(), [x[at[r] : at[r + 1]] for r in keep.tolist()]
 
 
 def _key(x: np.ndarray) -> bytes:
@@ -204,7 +202,8 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
     dealt by digest to shards of about ``shard_rows`` (fewer where so many would exceed SHARD_BYTES), each indexed by a graph. Blocks of query classes
     meet every shard, and each class merges the shards' best by distance, then id, before its queries take their rows.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; only
-    vectors of one length are compared. Repeated rows (equal id and vector) count once. With fewer than k candidates
+    vectors of one length are compared. Each row is a candidate and a query of its own, be its id or its vector that of another: a query leaves out
+    one row of its id and vector alone, and queries of one id each give their ranks. With fewer than k candidates
     all reached are given; an empty table gives no rows.
     """
     spark = table.sparkSession
@@ -214,11 +213,11 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
         held: dict[bytes, list] = {}
         for batch in batches:
             for i, x in zip(*_sound(batch), strict=True):
-                own = held.setdefault(_key(x), [x, set(), False])
-                own[1].add(i)
+                own = held.setdefault(_key(x), [x, [], False])
+                own[1].append(i)
                 own[2] |= i % every == 0
                 if len(own[1]) > 4 * (k + 1):
-                    own[1] = set(sorted(own[1])[: k + 1])
+                    own[1] = sorted(own[1])[: k + 1]
             if len(held) >= 20_000:
                 yield pack(held)
                 held = {}
@@ -237,7 +236,7 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
             yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in vectors], pa.binary()), pa.array(ids, pa.int64())], ["key", "query_id"])
 
     parts = rows.mapInArrow(gather, "key binary, dims int, vector binary, ids array<long>, asks boolean")
-    smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
+    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1)
     classes = written(parts.groupBy("key").agg(F.first("dims").alias("dims"), F.first("vector").alias("vector"), smallest.alias("ids"), F.max("asks").alias("asks")), "vectors")
     sizes = classes.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max("dims").alias("dims")).first()
     shard_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * (sizes["dims"] or 1))))
@@ -288,8 +287,9 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = QUERY_EVERY, shard_
     found = met.select("dims", "keys", "queries", "vectors", "members", "layers", "links").mapInArrow(answer, "key binary, vec_id long, score double")
     best = Window.partitionBy("key").orderBy("score", "vec_id")
     merged = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(asking, "key binary, query_id long").distinct()
-    joined = queries.join(merged, "key").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(asking, "key binary, query_id long")
+    own = F.array_position("near", F.struct(F.lit(0.0).alias("score"), F.col("query_id").alias("vec_id")))  # the query's row, or one just like it
+    joined = queries.join(merged, "key").select("query_id", F.slice(F.filter("near", lambda x, i: i + 1 != own), 1, k).alias("near"))
     return joined.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 

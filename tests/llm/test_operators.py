@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import random
 import re
 import time
@@ -314,6 +315,14 @@ def test_nearest_neighbours(spark):
     exact = {(q, i): d for q, _, i, d in plain}
     assert all(d == pytest.approx(exact[q, i]) for q, _, i, d in got if (q, i) in exact)
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    same = [(100, [1.0, 2.0]), (100, [5.0, 5.0]), (100, [5.0, 5.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (9, [2.0, 2.0, 2.0]), (200, [1.0, 1.0, 1.0])]
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(spark.createDataFrame(same, "vec_id long, embedding array<double>"), k=4).collect())
+    want = []
+    for q, (i, v) in enumerate(same):
+        if i % 100 == 0:
+            near = sorted((math.dist(v, w), j) for r, (j, w) in enumerate(same) if r != q and len(w) == len(v))
+            want += [(i, n + 1, j, round(d, 6)) for n, (d, j) in enumerate(near[:4])]
+    assert found == sorted(want)  # one query's rows for each row, lengths kept apart
 
 
 def test_nearest_neighbours_over_full_shards(spark):
