@@ -57,14 +57,18 @@ def fallback_lines(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no", "para_no", order.cast("long").alias("line_no"), "text", F.lit(0.0).alias("size"))
 
 
-def page_markdown(lines: DataFrame, options: Options = Options()) -> DataFrame:
-    """doc_id, page_no, markdown of pages given as lines; a column shift of the lines deepens size headings."""
+def made_blocks(lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """The blocks of pages given as lines, with markdown where there is any; a column shift of the lines deepens size headings."""
     carry = ("shift",) if "shift" in lines.columns else ()
     shift = F.col("shift") if carry else 0
     blocks = B.regroup(lines, options, carry)
     clean = blocks.withColumn("lines", F.filter(F.transform("lines", T.normalize_line), lambda x: x != ""))
-    made = with_markdown(clean, options, shift).where("markdown <> ''")
-    joined = made.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "markdown"))).alias("x"))
+    return with_markdown(clean, options, shift).where("markdown <> ''")
+
+
+def page_markdown(lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id, page_no, markdown of pages given as lines; a column shift of the lines deepens size headings."""
+    joined = made_blocks(lines, options).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "markdown"))).alias("x"))
     return joined.select("doc_id", "page_no", F.array_join(F.transform("x", lambda s: s["markdown"]), "\n\n").alias("markdown"))
 
 
@@ -90,19 +94,32 @@ def meta_line(source: Column, pages: Column, lang: str, confidence: Column, from
 
 
 def build_documents(pages: DataFrame, lines: DataFrame, at: Column, options: Options = Options()) -> DataFrame:
-    """doc_id, markdown of each document of ``pages`` (doc_id, page_no, name, confidence, from_layer)."""
-    heads = pages.groupBy("doc_id").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("n"), average_confidence(F.col("confidence")).alias("c"), F.bool_or("from_layer").alias("layer"))
-    shifted = lines.join(heads.select("doc_id", F.when((F.col("n") > 1) & F.lit(options.page_marks), 1).otherwise(0).alias("shift")), "doc_id")
-    made = pages.select("doc_id", "page_no").join(page_markdown(shifted, options), ["doc_id", "page_no"], "left")
-    body = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("markdown", F.lit(EMPTY_PAGE)).alias("md")))).alias("x"))
+    """doc_id, markdown of each document of ``pages`` (doc_id, page_no, name, confidence, from_layer).
+
+    Lines are grouped by page, pages by document, and meet the document's head as one row; lines that are dealt by doc_id beforehand are not
+    shuffled again. A page without lines says so; lines of pages that aren't there are left out.
+    """
+    heads = pages.groupBy("doc_id").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("n"), average_confidence(F.col("confidence")).alias("c"), F.bool_or("from_layer").alias("layer"), F.array_sort(F.collect_list("page_no")).alias("numbers"))
+    blocks = made_blocks(lines, options)
+    # whether a size heading goes a level deeper in a document of several pages is known at its head only
+    block = F.struct("block_no", "markdown", ((F.size("lines") > 0) & F.col("heading").between(1, 5)).alias("deeper"))
+    by_page = blocks.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    made = by_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "blocks"))).alias("x"))
     marks = (F.col("n") > 1) & F.lit(options.page_marks)
+    text_of = lambda p: F.array_join(F.transform(p["blocks"], lambda b: F.concat(F.when(marks & b["deeper"], "#").otherwise(""), b["markdown"])), "\n\n")
+    body = heads.join(made, "doc_id", "left")
+    known = F.map_from_arrays(F.transform("x", lambda p: p["page_no"]), F.transform("x", text_of))
+    every = F.transform("numbers", lambda k: F.struct(k.alias("page_no"), F.coalesce(F.try_element_at("known", k), F.lit(EMPTY_PAGE)).alias("md")))
+    whole = F.transform("x", lambda p: F.struct(p["page_no"].alias("page_no"), text_of(p).alias("md")))  # all pages have blocks, as most documents' do
+    same = F.coalesce(F.transform("x", lambda p: p["page_no"]) == F.col("numbers"), F.lit(False))
+    body = body.withColumn("known", F.when(~same, F.coalesce(known, F.map_from_arrays(F.array().cast("array<long>"), F.array().cast("array<string>"))))).withColumn("x", F.when(same, whole).otherwise(every))
     numbered = F.transform("x", lambda s: F.concat(F.lit("## "), s["page_no"].cast("string"), F.lit(". oldal\n\n"), s["md"]))
     text = F.array_join(F.when(marks, numbered).otherwise(F.transform("x", lambda s: s["md"])), "\n\n")
     title = T.base_name(F.col("name"))
     parts = [F.concat(F.lit("# "), title), meta_line(F.col("name"), F.col("n"), options.lang, F.col("c"), F.col("layer"), at), text]
     if options.front_matter:
         parts.insert(0, front_matter(title, F.col("name"), F.col("n"), options.lang, F.col("c"), at))
-    return body.join(heads, "doc_id").select("doc_id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("markdown"))
+    return body.select("doc_id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("markdown"))
 
 
 def combine(documents: DataFrame, order: str = "doc_id") -> DataFrame:

@@ -24,7 +24,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Short lines in the places of headings and unfinished ends lose the punctuation at their end; no line loses words.
     """
     words = F.split(F.regexp_replace("text", r"^\s+|\s+\z", ""), r"\s+")
-    base = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", words.alias("w"))
+    # dealt before it grows: all that follows goes by document or by page of one
+    base = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S")).repartition("doc_id").select("doc_id", words.alias("w"))
     cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {LINE_WORDS} as int)")), lambda k: F.struct(k.alias("ln"), F.array_join(F.slice(F.col("w"), k * LINE_WORDS + 1, F.lit(LINE_WORDS)), " ").alias("raw")))
     rows = base.select("doc_id", F.explode_outer(cut).alias("x")).select("doc_id", F.col("x.ln").cast("long").alias("ln"), "x.raw")
     stem = r"'[^\\p{L}]+\\z'"
