@@ -15,7 +15,7 @@ from .common import documents, forget, release, written
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 9 << 20
 #: Overlaps within a group are found by bins of so many bytes.
 BIN = 64
 #: A text is cut before a single space between two of these; tokens of neither tokenizer reach over such a place.
@@ -281,6 +281,7 @@ def align_tokens(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK
     units = encoded(listed.select("unit").distinct())
     coded = written(units.withColumn("uid", F.monotonically_increasing_id()), "units")
     spark = docs.sparkSession
+    release(spark)
     with one_dealing(spark):
         groups, links = align_units(coded.where("sound").select("uid", "a", "b"))
         row = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
