@@ -97,9 +97,10 @@ def build_documents(pages: DataFrame, lines: DataFrame, at: Column, options: Opt
     """doc_id, markdown of each document of ``pages`` (doc_id, page_no, name, confidence, from_layer).
 
     Lines are grouped by page, pages by document, and meet the document's head as one row; lines that are dealt by doc_id beforehand are not
-    shuffled again. A page without lines says so; lines of pages that aren't there are left out.
+    shuffled again. A page without lines says so; lines of pages that aren't there are left out. A document without pages is
+    given by one row whose page_no is null, and has a head only.
     """
-    heads = pages.groupBy("doc_id").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("n"), average_confidence(F.col("confidence")).alias("c"), F.bool_or("from_layer").alias("layer"), F.array_sort(F.collect_list("page_no")).alias("numbers"))
+    heads = pages.groupBy("doc_id").agg(F.first("name").alias("name"), F.count("page_no").alias("n"), average_confidence(F.col("confidence")).alias("c"), F.bool_or("from_layer").alias("layer"), F.array_sort(F.collect_list("page_no")).alias("numbers"))
     blocks = made_blocks(lines, options)
     # whether a size heading goes a level deeper in a document of several pages is known at its head only
     block = F.struct("block_no", "markdown", ((F.size("lines") > 0) & F.col("heading").between(1, 5)).alias("deeper"))
@@ -116,7 +117,7 @@ def build_documents(pages: DataFrame, lines: DataFrame, at: Column, options: Opt
     numbered = F.transform("x", lambda s: F.concat(F.lit("## "), s["page_no"].cast("string"), F.lit(". oldal\n\n"), s["md"]))
     text = F.array_join(F.when(marks, numbered).otherwise(F.transform("x", lambda s: s["md"])), "\n\n")
     title = T.base_name(F.col("name"))
-    parts = [F.concat(F.lit("# "), title), meta_line(F.col("name"), F.col("n"), options.lang, F.col("c"), F.col("layer"), at), text]
+    parts = [F.concat(F.lit("# "), title), meta_line(F.col("name"), F.col("n"), options.lang, F.col("c"), F.col("layer"), at), F.when(F.size("numbers") > 0, text)]
     if options.front_matter:
         parts.insert(0, front_matter(title, F.col("name"), F.col("n"), options.lang, F.col("c"), at))
     return body.select("doc_id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("markdown"))

@@ -41,7 +41,7 @@ def turned(w: Column, h: Column, rotation: Column, scale: Column) -> tuple[Colum
 
 
 def rotate_pixels(pixels: DataFrame) -> DataFrame:
-    """Pixels (x, y) of images (w, h) turned clockwise by rotation; white where nothing was (alpha is not kept)."""
+    """Pixels (x, y) of images (w, h) turned clockwise by rotation; transparency is laid on white before, by ``strips.on_white``."""
     x, y, w, h, turn = (F.col(c) for c in ("x", "y", "w", "h", "rotation"))
     new_x = F.when(turn == 90, h - 1 - y).when(turn == 180, w - 1 - x).when(turn == 270, y).otherwise(x)
     new_y = F.when(turn == 90, x).when(turn == 180, h - 1 - y).when(turn == 270, w - 1 - x).otherwise(y)
@@ -69,11 +69,13 @@ def contrast_bounds(hist: DataFrame) -> DataFrame:
     return ends.select("image_id", F.when(flat, 0).otherwise(F.col("lo")).alias("lo"), F.when(flat, 255).otherwise(F.col("hi")).alias("hi"))
 
 
-def stretch(values: DataFrame, bounds: DataFrame) -> DataFrame:
+def stretched(v: Column, lo: Column, hi: Column) -> Column:
     """Brightness spread over the whole range, halves to even."""
-    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
-    out = F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("v") - F.col("lo")) * 255 / span))
-    return values.join(bounds, "image_id").select("image_id", "p", F.rint(out).cast("int").alias("v"))
+    return F.rint(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (v - lo) * 255 / F.greatest(hi - lo, F.lit(1))))).cast("int")
+
+
+def stretch(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    return values.join(bounds, "image_id").select("image_id", "p", stretched(F.col("v"), F.col("lo"), F.col("hi")).alias("v"))
 
 
 def otsu(hist: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import block_queries, convert_queries, page_queries, run_queries, text_queries
+from . import block_queries, convert_queries, page_queries, run_queries, strip_queries, text_queries
 
-PARTS = (text_queries, block_queries, page_queries, convert_queries, run_queries)
+PARTS = (text_queries, block_queries, page_queries, convert_queries, run_queries, strip_queries)
 
 
 def queries() -> dict:

@@ -26,5 +26,24 @@ def with_content(spark: SparkSession, files: DataFrame, folder: str) -> DataFram
     return files.join(spark.read.format("binaryFile").load(folder).select("path", "content"), "path")
 
 
+#: How files of each format begin, in hexadecimal (fixed values of the formats).
+FIRST_BYTES = {
+    "application/pdf": "^25504446",
+    "image/png": "^89504E470D0A1A0A",
+    "image/jpeg": "^FFD8FF",
+    "image/gif": "^474946383[79]61",
+    "image/bmp": "^424D",
+    "image/webp": "^52494646.{8}57454250",
+    "image/tiff": "^(49492A00|4D4D002A)",
+    "image/x-portable-anymap": "^503[1-7](09|0A|0D|20|23)",
+}
+
+
+def format_by_bytes(content: Column) -> Column:
+    """The type that a file's first bytes tell, whatever its name says; null for others, and for empty and null contents."""
+    head = F.hex(F.substring(content, 1, 16))
+    return F.coalesce(*[F.when(head.rlike(pattern), kind) for kind, pattern in FIRST_BYTES.items()])
+
+
 def decodable(name: Column) -> Column:
     return ~name.rlike(UNDECODED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,3 +48,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Paths of what a folder holds; none where it isn't there. For folders of known, few entries."""
     at, store = _at(spark, path)
     return sorted(s.getPath().toString() for s in store.listStatus(at)) if store.exists(at) else []
+
+
+def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a table in a new folder of the shared place, and the folder. What made them isn't run again, whatever is lost."""
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path

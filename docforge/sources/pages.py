@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from docforge.functions.text import WS
 from docforge.operators.convert import ITEM, LEAST_LAYER, MAX_SIDE, _limited, as_ppm, enhanced
+from docforge.operators.strips import composited
 from docforge.options import Options
 
 #: Bytes of a file for each task that reads it, about.
@@ -89,7 +90,7 @@ class _PageReader(DataSourceReader):
         if self.options.pdf_text and visible_units(i["str"] for i in items) >= LEAST_LAYER:
             return said, k, [tuple(i.values()) for i in items], None, None
         scale = _limited(self.options.dpi / 72, (page.width, page.height), MAX_SIDE)
-        drawn = np.asarray(page.render(scale, (page.rotation + self.options.rotation) % 360), np.uint8)
+        drawn = composited(np.asarray(page.render(scale, (page.rotation + self.options.rotation) % 360), np.uint8))
         return said, k, None, as_ppm(enhanced(drawn, self.options)), None
 
 

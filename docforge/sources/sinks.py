@@ -39,7 +39,7 @@ def write_each(documents: DataFrame, folder: str) -> None:
 
 
 class StagedFiles(DataSource):
-    """The sink ``docforge_files``: rows (name, content) as files of a folder, staged by the tasks and there for all to see only once all are written.
+    """The sink ``docforge_files``: rows (name, content: text or binary) as files of a folder, staged by the tasks and there for all to see only once all are written.
 
     Option ``path``: a URI that all tasks reach. A task writes its files to a folder of its own below ``path``/.pending; when all tasks are done the driver writes
     the list of these folders, one entry a task, which decides the write, and ``publish`` moves the files. A failed or cancelled write drops what
@@ -77,7 +77,7 @@ class _StagedWriter(DataSourceWriter):
         store.create_dir(f"{root}/{own}", recursive=True)
         for name, content in rows:
             with store.open_output_stream(f"{root}/{own}/{name}") as out:
-                out.write((content or "").encode())
+                out.write(content.encode() if isinstance(content, str) else bytes(content or b""))
         return _Staged(own)
 
     def commit(self, messages: list) -> None:
