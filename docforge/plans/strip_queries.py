@@ -136,7 +136,7 @@ def _(spark, d):
     given = images(spark, d).select(F.regexp_replace("name", "png", "pnm").alias("name"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
     given.write.format("docforge_files").option("path", folder).mode("append").save()
     publish(spark, folder)
-    read = spark.read.format("docforge_strips").option("path", folder).option("slice_bytes", 16384).option("strip_bytes", 512).load()
+    read = spark.read.format("docforge_strips").option("path", folder).option("slice_bytes", 32768).option("strip_bytes", 512).load()
     seen = S.pixels(read.where("error IS NULL").withColumnRenamed("path", "image_id")).select(F.col("image_id").alias("name"), "p", F.lit(None).cast("string").alias("error"), "r", "g", "b")
     failed = read.where("error IS NOT NULL").select(F.col("path").alias("name"), F.lit(None).cast("long").alias("p"), "error", *[F.lit(None).cast("int").alias(c) for c in ("r", "g", "b")])
     return seen.unionByName(failed)
