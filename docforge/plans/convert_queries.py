@@ -15,10 +15,12 @@ from docforge.operators import convert as C
 from docforge.operators import files as FI
 from docforge.operators import run as U
 from docforge.options import Options
+from docforge.sources import netpbm
 
 from . import block_queries as BQ
 from . import duck as D
 from . import fixtures as X
+from . import page_queries as PQ
 
 QUERIES, SQL = {}, {}
 PLAIN = Options(gray=False, contrast=False, upscale=False)
@@ -33,12 +35,12 @@ def query(name, sql):
 
 
 class Page:
-    """A page without a text layer, drawn as the bytes of its lines."""
+    """A page with the items of its layer, if it has one, drawn as the bytes of its lines."""
 
-    items, width, height, rotation = (), 100, 100, 0
+    width, height, rotation = 100, 100, 0
 
     def __init__(self, said: dict):
-        self.said = said
+        self.said, self.items = said, said.get("items") or ()
 
     def render(self, scale: float, rotation: int) -> np.ndarray:
         body = json.dumps(self.said).encode()
@@ -93,6 +95,43 @@ def _(spark, d):
     return C.to_markdown(pdfs(spark, d), engine, reader, decoder, F.lit(BQ.AT).cast("timestamp"), PLAIN)
 
 
+def of_all_kinds(spark, d):
+    """doc_id, name, mime, content: every third document of one page as an image, of which every other can't be decoded; all others as PDFs in which every
+    fourth page has a layer; of these every fiftieth is damaged."""
+    lines = X.lines(spark, d).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "para_no", "text", "size"))).alias("lines"))
+    k = F.col("doc_id") * 37 + F.col("page_no") * 11
+    items = X.items(spark, d).where(k % 4 == 0).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("item_idx", "str", "transform", "width", "height"))).alias("items"))
+    pages = lines.join(items, ["doc_id", "page_no"], "left").select("doc_id", F.struct("page_no", (k % 101).alias("confidence"), "lines", "items").alias("page"))
+    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    image = (F.col("doc_id") % 3 == 0) & (F.size("pages") == 1)
+    said = F.encode(F.to_json(F.get("pages", F.lit(0))), "UTF-8")
+    size = F.octet_length(said)
+    drawn = F.concat(F.encode(F.concat(F.lit("P6 "), F.ceil(size / 3).cast("string"), F.lit(" 1 255\n")), "UTF-8"), said, F.encode(F.repeat(F.lit(" "), F.pmod(-size, F.lit(3))), "UTF-8"))
+    content = F.when(image & (F.col("doc_id") % 2 == 0), drawn).when(image, F.concat(F.encode(F.lit("II*\n"), "UTF-8"), said)).when(F.col("doc_id") % 50 == 7, F.encode(F.lit("%"), "UTF-8")).otherwise(F.encode(F.to_json("pages"), "UTF-8"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(image, ".png").otherwise(".pdf"))
+    return docs.select("doc_id", name.alias("name"), F.when(image, "image/png").otherwise("application/pdf").alias("mime"), content.alias("content"))
+
+
+#: Pages take their rows of placed items where these are enough, and their lines where they are recognised.
+MIXED = (
+    "WITH given AS (" + PQ.ROWS + " SELECT doc_id, page_no, para_no, row_no AS line_no, text, size FROM paras), plain AS (WITH " + X.LINES_SQL + f""" SELECT * FROM lines),
+kinds AS (SELECT doc_id, doc_id % 3 = 0 AND max(page_no) = 1 AS image FROM plain GROUP BY doc_id), enough AS (SELECT doc_id, page_no FROM given JOIN kinds USING (doc_id) WHERE {K} % 4 = 0 AND NOT image
+ GROUP BY doc_id, page_no HAVING {D.visible_length("string_agg(text, chr(10) ORDER BY line_no)")} >= 40),
+lines AS (SELECT * FROM plain ANTI JOIN enough USING (doc_id, page_no) UNION ALL BY NAME SELECT * FROM given SEMI JOIN enough USING (doc_id, page_no)),
+pages_ AS (SELECT DISTINCT l.doc_id, l.page_no, 'doc_' || l.doc_id || CASE WHEN image THEN '.png' ELSE '.pdf' END AS name, e.doc_id IS NOT NULL AS from_layer FROM lines l JOIN kinds USING (doc_id) LEFT JOIN enough e ON l.doc_id = e.doc_id AND l.page_no = e.page_no),
+pg AS (SELECT *, CASE WHEN NOT from_layer THEN {K} % 101 END AS confidence FROM pages_)"""
+    + BQ.BUILD[BQ.BUILD.index(",\nhd AS"):]
+    + f""", pt AS (SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY doc_id, page_no),
+pc AS (SELECT doc_id, CAST(sum({D.utf16_length('t')}) AS BIGINT) AS chars FROM pt GROUP BY doc_id), al AS (SELECT *, doc_id % 50 <> 7 OR image AS ok FROM docs JOIN hd USING (doc_id) JOIN pc USING (doc_id) JOIN kinds USING (doc_id))
+SELECT doc_id, name, ok, CASE WHEN NOT ok THEN 'damaged' END AS error, CASE WHEN ok THEN markdown END AS markdown, CASE WHEN ok THEN n END AS pages, CASE WHEN ok THEN chars END AS chars, CASE WHEN ok THEN c END AS confidence, CASE WHEN ok THEN layer END AS from_layer FROM al"""
+)
+
+
+@query("files_of_all_kinds", MIXED)
+def _(spark, d):
+    return C.to_markdown(of_all_kinds(spark, d), engine, reader, netpbm.decoder, F.lit(BQ.AT).cast("timestamp"), PLAIN, max_side=1 << 40)
+
+
 @query("edited_results", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'edited ' || doc_id ELSE text END AS markdown FROM documents")
 def _(spark, d):
     docs = X.table(spark, d, "documents")

@@ -14,7 +14,8 @@ from docforge.operators.strips import STRIP_BYTES
 SLICE_BYTES = 64 << 20
 #: The most bytes of a header, comments included.
 HEAD_BYTES = 4096
-_PLAIN = re.compile(rb"P([56])(?:\s+|\s*#[^\n]*\n\s*)+(\d+)(?:\s+|\s*#[^\n]*\n\s*)+(\d+)(?:\s+|\s*#[^\n]*\n\s*)+(\d+)\s")
+_APART = rb"(?:\s|#[^\n]*\n)+"
+_PLAIN = re.compile(rb"P([56])" + _APART + rb"(\d+)" + _APART + rb"(\d+)" + _APART + rb"(\d+)\s")
 _NAMED = re.compile(rb"P7\n(?:[^\n]*\n)*?ENDHDR\n")
 
 

@@ -92,7 +92,7 @@ def test_hot_image_in_many_tasks(spark, images, monkeypatch):
 def test_headers():
     assert netpbm.header(b"P5\n#a\n3 2\n255\n......") == (3, 2, 1, 14)
     assert netpbm.header(b"P7\nWIDTH 1\n# x\nHEIGHT 2\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n")[:3] == (1, 2, 4)
-    for bad in (b"", b"P6", b"P3 1 1 255 0", b"P6 1 1 65535\n", b"\x89PNG"):
+    for bad in (b"", b"P6", b"P3 1 1 255 0", b"P6" + b" " * 4000, b"P6" + b" #\n" * 1300, b"P6 1", b"P6 1 1 65535\n", b"\x89PNG"):
         with pytest.raises(ValueError):
             netpbm.header(bad)
     assert netpbm.decoder()(b"P5 2 1 255\n\x01\x02").tolist() == [[[1, 1, 1], [2, 2, 2]]]
