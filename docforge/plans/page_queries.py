@@ -9,7 +9,8 @@ from docforge.operators import layout as L
 from docforge.operators import ocr as O
 from docforge.operators import raster as R
 from docforge.operators import run as U
-from docforge.sources import binary
+from docforge.sources import binary, folders
+from docforge.sources.sinks import StagedFiles, publish
 
 from . import duck as D
 from . import fixtures as X
@@ -33,9 +34,20 @@ FILES = "WITH " + X.FILES_SQL + f""", classified AS (SELECT *, CASE WHEN {PDF} T
 admitted AS (SELECT * FROM classified WHERE kind IS NOT NULL), deduped AS (SELECT * FROM admitted QUALIFY row_number() OVER (PARTITION BY name, size ORDER BY seq) = 1) """
 
 
-@query("scan_files")
+_TYPED = " ".join(f"WHEN '{e}' THEN '{t}'" for e, t in FI.DEVICE_TYPES.items())
+
+
+@query("scan_files", f"""WITH f AS (SELECT 'doc_' || doc_id || {list(X.EXTENSIONS)}[doc_id % {len(X.EXTENSIONS)} + 1] AS name, coalesce(strlen(text), 0) AS size FROM documents)
+SELECT name, CASE lower(regexp_extract(name, '[.]([^.]*)$', 1)) {_TYPED} ELSE '{FI.UNKNOWN_TYPE}' END AS mime, size FROM f""")
 def _(spark, d):
-    return binary.scan(spark, d, "*.parquet").select("name", "mime", "size")
+    """Each document as a file; the scan lists them without their contents."""
+    folder = folders.scratch(spark, "scanned")
+    spark.dataSource.register(StagedFiles)
+    k = F.col("doc_id") % len(X.EXTENSIONS)
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, X.EXTENSIONS)), (k + 1).cast("int")))
+    X.table(spark, d, "documents").select(name.alias("name"), F.col("text").alias("content")).write.format("docforge_files").option("path", folder).mode("append").save()
+    publish(spark, folder)
+    return binary.scan(spark, folder).select("name", "mime", "size")
 
 
 @query("classify_files", FILES + "SELECT seq, kind FROM classified")
