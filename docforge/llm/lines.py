@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parted, written
+from .common import documents, holding, parted, written
 
 #: What a unit is, with what separates it from the next: all units together are the whole text.
 UNITS = {"line": r"(?s).*?(?:\n|\z)", "sentence": r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|\z)", "paragraph": r"(?s).*?(?:\n{2,}|\z)"}
 BLANKS = "[\\x20\\x09-\\x0D]+"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The least words of a run of repeated units that is removed. Short lines and stock phrases recur by chance or for good
 #: reason; half of a passage of fifty words is what is left of it where both ends are cut in the middle of a sentence.
 LEAST_WORDS = 25
 
 
-def _cut(batches):
-    """Arrow batches (text, spans, ...) with the kept text in place of the spans."""
-    for batch in batches:
-        kept = []
-        for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parts, last = [], 0
-            for s in spans or ():
-                parts.append(text[last : s["start"]])
-                last = s["end"]
-            kept.append("".join([*parts, text[last:]]))
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *batch.columns[1:]], batch.schema.names)
+def _cutter(unit: str, least_words: int):
+    """Arrow batches (text, numbers of its units with an earlier occurrence, ...) with what is kept, the units removed and their spans in place of both."""
+    pattern = re.compile(UNITS[unit].replace(r"\z", r"\Z"))
+
+    def runs(text: str, gone: set[int]):
+        """(start, end, units, words) of each run of units in ``gone``; blank units break none."""
+        at, start, stop, n, words = 0, 0, 0, 0, 0
+        for no, piece in enumerate(x for x in pattern.findall(text) if x):
+            at += len(piece)
+            if no in gone:
+                start, stop, n, words = (start if n else at - len(piece)), at, n + 1, words + len(WORD.findall(piece))
+            elif n and WORD.search(piece):
+                yield start, stop, n, words
+                n, words = 0, 0
+        if n:
+            yield start, stop, n, words
+
+    def run(batches):
+        for batch in batches:
+            kept, n_removed, spans = [], [], []
+            for text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [x for x in runs(text, set(gone)) if x[3] >= least_words] if gone else []
+                edges = [0, *(e for start, end, _, _ in own for e in (start, end)), len(text)]
+                kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                n_removed.append(sum(x[2] for x in own))
+                spans.append(",".join(f"{start}:{end}" for start, end, _, _ in own))
+            arrays = [pa.array(kept, pa.string()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.string()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["kept_text", "n_removed", "removed_spans", *batch.schema.names[2:]])
+
+    return run
 
 
 def repeated_units(docs: DataFrame, unit: str = "sentence", payload: bool = False, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -38,9 +60,10 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", payload: bool = Fals
     repeated unit goes, however short.
 
     Digests of normalised units are grouped with partial aggregation, so a unit that a third of all rows hold costs one row
-    a task; its places meet the result in a join of two plain tables, which adaptive execution splits where a
-    digest is frequent. Only digests and numbers are shuffled; a text moves only if it may lose something. Rows are numbered
-    once and written, and removed runs go back by row, so null and equal ids are as good as distinct ones.
+    a task. Of all units' places only those whose digest a bitmap of the repeated ones holds are joined with the earliest, in a join of
+    two plain tables, which adaptive execution splits where a digest is frequent. What comes back for a row are the numbers of its own
+    units to go, if they have words enough for a run; only such a row's text moves, and is cut where it then lies. Rows are numbered
+    once and written, so null and equal ids are as good as distinct ones.
 
     Result for each row: doc_id, n_units, n_removed (units), removed_spans (start:end of the removed runs in the original
     text, in characters, end exclusive, joined by commas), kept_text (the rest, in order). A null or empty text has no
@@ -55,38 +78,20 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", payload: bool = Fals
     base = written(base, "rows")  # numbered once: a later scan of the input may split it otherwise
     low = F.translate(F.col("raw"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     norm = F.regexp_replace(F.regexp_replace(low, BLANKS, " "), "^ | $", "")
-    units = base.select("_unit_row", "doc_id", F.posexplode(pieces(F.col("_unit_text"))).alias("no", "raw")).select("_unit_row", "doc_id", "no", F.length("raw").alias("size"), norm.alias("norm"))
-    full = F.col("norm") != ""
-    digest = F.when(full, F.unhex(F.md5(F.col("norm").cast("binary"))))
-    words = F.when(full, F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).otherwise(0)
-    keyed = written(units.select("_unit_row", "doc_id", "no", "size", words.alias("words"), digest.alias("digest")), "units")
+    units = base.select("_unit_row", "doc_id", F.posexplode(pieces(F.col("_unit_text"))).alias("no", "raw")).select("_unit_row", "doc_id", "no", norm.alias("norm")).where("norm <> ''")
+    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    keyed = written(units.select("_unit_row", "doc_id", "no", words.alias("words"), F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest")), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_unit_row", "no")
-    first = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = keyed.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = written(first.select("digest", F.col("first._unit_row").alias("first_row"), F.col("first.no").alias("first_no")), "first")
-    gone = (F.col("_unit_row") != F.col("first_row")) | (F.col("no") != F.col("first_no"))
-    flagged = keyed.join(first, "digest", "left").select("_unit_row", "no", "size", "words", F.col("digest").isNull().alias("blank"), F.coalesce(gone, F.lit(False)).alias("gone"))
-    own = Window.partitionBy("_unit_row").orderBy("no")
-    placed = flagged.select(
-        "_unit_row", "size", "words", "gone",
-        F.sum(F.col("size").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("end"),
-        F.sum((~F.col("gone") & ~F.col("blank")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
-    )
-    runs = placed.groupBy("_unit_row", "run").agg(
-        F.min(F.when(F.col("gone"), F.col("end") - F.col("size"))).alias("start"),
-        F.max(F.when(F.col("gone"), F.col("end"))).alias("end"),
-        F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("words"),
-        F.count_if("gone").alias("n_gone"),
-    )
-    removed = runs.where((F.col("n_gone") > 0) & (F.col("words") >= least_words)).groupBy("_unit_row")
-    removed = written(removed.agg(F.sum("n_gone").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_unit_spans")), "spans")
-    maybe, others = parted(base, "_unit_row", removed.select("_unit_row"))  # texts that lose nothing stay where they are
-    cut = maybe.join(removed, "_unit_row", "left").select("_unit_text", "_unit_spans", "doc_id", *extra, "n_units", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
-    cut = cut.mapInArrow(_cut, cut.schema)
-    said = F.array_join(F.transform("_unit_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    later = holding(keyed, "digest", first.select("digest")).join(first, "digest").where((F.col("_unit_row") != F.col("first_row")) | (F.col("no") != F.col("first_no")))
+    gone = later.groupBy("_unit_row").agg(F.collect_list("no").alias("_unit_gone"), F.sum("words").alias("words")).where(F.col("words") >= least_words)
+    gone = written(gone.select("_unit_row", "_unit_gone"), "gone")
+    maybe, others = parted(base, "_unit_row", gone.select("_unit_row"))  # texts that lose nothing stay where they are
     columns = ["doc_id", *extra, "n_units"]
-    kept = F.col("_unit_text").alias("kept_text")
-    cut = cut.select(*columns, "n_removed", F.coalesce(said, F.lit("")).alias("removed_spans"), kept)
-    return cut.unionByName(others.select(*columns, F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed_spans"), kept))
+    shape = others.select(F.col("_unit_text").alias("kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed_spans"), *columns)
+    cut = maybe.join(gone, "_unit_row", "left").select("_unit_text", "_unit_gone", *columns).mapInArrow(_cutter(unit, least_words), shape.schema)
+    return cut.unionByName(shape).select(*columns, "n_removed", "removed_spans", "kept_text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
