@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, holding, parted, written
 
-#: What a unit is, with what separates it from the next: all units together are the whole text.
-UNITS = {"line": r"(?s).*?(?:\n|\z)", "sentence": r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|\z)", "paragraph": r"(?s).*?(?:\n{2,}|\z)"}
+#: What ends a unit, if not the text's end: all units together are the whole text.
+ENDS = {"line": r"\n", "sentence": r"[.!?][\x20\x09-\x0D]+|\n", "paragraph": r"\n{2,}"}
 BLANKS = "[\\x20\\x09-\\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The least words of a run of repeated units that is removed. Short lines and stock phrases recur by chance or for good
@@ -21,16 +22,16 @@ LEAST_WORDS = 25
 
 def _cutter(unit: str, least_words: int):
     """Arrow batches (text, numbers of its units with an earlier occurrence, ...) with what is kept, the units removed and their spans in place of both."""
-    pattern = re.compile(UNITS[unit].replace(r"\z", r"\Z"))
+    end_of = re.compile(ENDS[unit])
 
     def runs(text: str, gone: set[int]):
         """(start, end, units, words) of each run of units in ``gone``; blank units break none."""
         at, start, stop, n, words = 0, 0, 0, 0, 0
-        for no, piece in enumerate(x for x in pattern.findall(text) if x):
-            at += len(piece)
+        for no, end in enumerate(itertools.chain((m.end() for m in end_of.finditer(text)), [len(text)])):
+            before, at = at, end
             if no in gone:
-                start, stop, n, words = (start if n else at - len(piece)), at, n + 1, words + len(WORD.findall(piece))
-            elif n and WORD.search(piece):
+                start, stop, n, words = (start if n else before), at, n + 1, words + len(WORD.findall(text, before, at))
+            elif n and WORD.search(text, before, at):
                 yield start, stop, n, words
                 n, words = 0, 0
         if n:
@@ -73,14 +74,14 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", payload: bool = Fals
     """
     extra = [c for c in docs.columns if payload and c.lower() not in ("doc_id", "text", "n_units", "n_removed", "removed_spans", "kept_text") and not c.lower().startswith("_unit")]
     text = F.coalesce("text", F.lit(""))
-    pieces = lambda c: F.filter(F.regexp_extract_all(c, F.lit(UNITS[unit]), F.lit(0)), lambda x: x != "")
+    pieces = lambda c: F.filter(F.regexp_extract_all(c, F.lit(f"(?s).*?(?:{ENDS[unit]}|\\z)"), F.lit(0)), lambda x: x != "")
     base = docs.select(F.monotonically_increasing_id().alias("_unit_row"), "doc_id", *extra, text.alias("_unit_text"), F.size(pieces(text)).cast("long").alias("n_units"))
     base = written(base, "rows")  # numbered once: a later scan of the input may split it otherwise
-    low = F.translate(F.col("raw"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    norm = F.regexp_replace(F.regexp_replace(low, BLANKS, " "), "^ | $", "")
-    units = base.select("_unit_row", "doc_id", F.posexplode(pieces(F.col("_unit_text"))).alias("no", "raw")).select("_unit_row", "doc_id", "no", norm.alias("norm")).where("norm <> ''")
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    keyed = written(units.select("_unit_row", "doc_id", "no", words.alias("words"), F.unhex(F.md5(F.col("norm").cast("binary"))).alias("digest")), "units")
+    low = F.translate("_unit_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(pieces(low), lambda x: F.filter(F.split(x, BLANKS), lambda w: w != ""))  # an array each, so that no unit is split twice
+    unit_of = F.transform(words, lambda w: F.struct(F.size(w).alias("words"), F.unhex(F.md5(F.array_join(w, " ").cast("binary"))).alias("digest")))
+    units = base.select("_unit_row", "doc_id", F.posexplode(unit_of).alias("no", "unit")).where("unit.words > 0")
+    keyed = written(units.select("_unit_row", "doc_id", "no", "unit.words", "unit.digest"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_unit_row", "no")
     first = keyed.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = written(first.select("digest", F.col("first._unit_row").alias("first_row"), F.col("first.no").alias("first_no")), "first")
