@@ -21,13 +21,13 @@ END = U(0x3C6EF372FE94F82B)
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 20 << 20
 #: Chains of Gibbs sweeps, all started with a table for each dish; sweeps of a chain that are dropped before the one that counts.
 CHAINS, BURN_IN = 3, 1
-#: Up to so many customers a dish's tables are drawn from their whole conditional distribution, beyond from its saddle point.
-EXACT = 1024
+#: Up to so many customers a dish's Stirling numbers come from their recurrence, beyond from an integral of so many points.
+EXACT, POINTS = 1024, 64
 STRENGTH = 1.0
 FOLDS, HELD = 5, 1
 #: All stages pass rows of one shape: what a row is, the group that takes it next, its place there, packed arrays, numbers to be summed.
 SHAPE = "kind int, key long, part long, body binary, sums array<long>"
-BLOCK, WORDS, IDS, COUNTS, PAIRS, STATE, INDEX, ASKED, REPLY, TABLES, SCORES = range(11)
+BLOCK, WORDS, IDS, COUNTS, PAIRS, STATE, INDEX, ASKED, REPLY, TABLES, SCORES, ROOT = range(12)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -72,15 +72,47 @@ def _log_stirling(discount: float, most: int) -> list[np.ndarray]:
     return rows
 
 
-def draw_tables(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator, exact: int = EXACT) -> np.ndarray:
+def _saddle(ratio: np.ndarray, discount: float) -> np.ndarray:
+    """log y, where r = 1 - y is the point at which tables that hold ``ratio`` customers on average are drawn with weights r ** size."""
+    low, high = np.full(len(ratio), -700.0), np.zeros(len(ratio))
+    for _ in range(60):
+        y = (low + high) / 2
+        over = discount * -np.expm1(y) * np.exp((discount - 1) * y) > ratio * -np.expm1(discount * y)
+        low, high = np.where(over, y, low), np.where(over, high, y)
+    return low
+
+
+def _log_share(c: float, t: np.ndarray, discount: float) -> np.ndarray:
+    """log(S(c, t) * t! / c!) for many customers ``c``: a coefficient of a power, as an integral around its singular point.
+
+    The numbers S have the generating function ((1 - (1 - z) ** d) / d) ** t / t!. With z = exp(-s) its coefficient is an integral
+    over s on a parabola around the negative axis, or over an arc where its vertex, the saddle, lies far out. Both are sums of
+    POINTS terms whose error falls exponentially.
+    """
+    near = np.clip(-np.log1p(-np.exp(_saddle(c / t, discount))), 10 / c, 700.0)
+    bent = near < 0.3
+    log_g = lambda s: np.log(-np.expm1(discount * np.log1p(-np.exp(-s))) / discount)
+    h = 1e-3 * near
+    curve = np.abs(t * (log_g(near + h) - 2 * log_g(near) + log_g(near - h))) / h**2
+    far = np.where(bent, np.minimum(6.0, 12 / np.sqrt(c * near)), np.minimum(np.pi, 12 / np.sqrt(np.maximum(curve, 1e-9))))
+    phi = far[:, None] * np.arange(POINTS + 1) / POINTS
+    s = np.where(bent[:, None], near[:, None] * (1 + 1j * phi) ** 2, near[:, None] + 1j * phi)
+    power = t[:, None] * log_g(s) + c * s
+    top = power[:, 0].real
+    terms = (np.exp(power - top[:, None]) * np.where(bent[:, None], 2 * near[:, None] * (1 + 1j * phi), 1)).real
+    terms[:, [0, -1]] /= 2
+    return np.where(t < c, top + np.log(np.maximum(terms.sum(axis=1) * far / POINTS / np.pi, 1e-300)), 0.0)
+
+
+def draw_tables(counts: np.ndarray, others: np.ndarray, chance: np.ndarray, discount: float, rng: np.random.Generator, exact: int = EXACT) -> np.ndarray:
     """A Gibbs draw of the number of tables of each dish, given everything outside the dish.
 
-    ``counts``: customers of the dish; ``fresh``: the weight of a new table, (strength + discount * tables of the
-    restaurant) * probability in the parent. The seating of all customers of a dish is one block of the sampler: with the
-    sizes of the tables summed out, t tables have weight S(c, t) * fresh ** t, where S is the generalised Stirling number.
-    So a draw has no starting point to forget and costs as much as the dish has customers. Beyond ``exact`` customers
-    1 + a binomial number is drawn, with the mean and variance of the same conditional at its saddle point (a Poisson number
-    in the limit), which costs the same for any count.
+    ``counts``: customers of the dish; ``others``: tables of the other dishes of its restaurant; ``chance``: its probability in
+    the parent. The seating of all customers of a dish is one block of the sampler: with the sizes of the tables summed out, t
+    tables have weight S(c, t) * chance ** t * the product over i < t of (strength + discount * (others + i)), where S is the
+    generalised Stirling number. So a draw has no starting point to forget. Up to ``exact`` customers S comes from its
+    recurrence; beyond, from ``_log_share`` for all t within 14 standard deviations and 40 tables of the conditional's saddle
+    point. Both give the same distribution.
     """
     out = np.minimum(counts, 1).astype(np.int64)
     mid = np.flatnonzero((counts > 1) & (counts <= exact))
@@ -90,27 +122,29 @@ def draw_tables(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.
     edges = [*first.tolist(), len(mid)]
     for c, a, b in zip(sizes.tolist(), edges[:-1], edges[1:], strict=True):
         step = max(1, (1 << 20) // c)
-        t = np.arange(1, c + 1)
+        i = np.arange(c)
         for at in range(a, b, step):
             own = mid[at : min(at + step, b)]
-            weight = np.log(fresh[own])[:, None] * t + rows[c]
+            weight = np.cumsum(np.log((STRENGTH + discount * (others[own][:, None] + i)) * chance[own][:, None]), axis=1) + rows[c]
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             out[own] = 1 + (weight < (rng.random(len(own)) * weight[:, -1])[:, None]).sum(axis=1)
     big = np.flatnonzero(counts > exact)
-    if len(big):
-        c, a, d = counts[big].astype(np.float64), fresh[big], discount
-        low, high = np.full(len(big), -700.0), np.zeros(len(big))  # log y, where x = 1 - y solves a * x * y ** (d - 1) = c
-        for _ in range(60):
-            mean = (low + high) / 2
-            over = a * -np.expm1(mean) * np.exp((d - 1) * mean) > c
-            low, high = np.where(over, mean, low), np.where(over, high, mean)
-        y = np.exp(low)
-        mean = np.maximum(a * (1 - y**d) / d, 1e-300)
-        spread = np.clip(mean - c * y / (1 - d * (1 - y)), 1e-12 * mean, mean)
-        share = 1 - spread / mean
-        few = share < 1e-3
-        more = np.where(few, rng.poisson(np.where(few, mean, 0)), rng.binomial(np.rint(np.where(few, 0, mean / np.maximum(share, 1e-3))).astype(np.int64), np.clip(share, 0, 1)))
-        out[big] = np.minimum(1 + more, counts[big])
+    c = counts[big].astype(np.float64)
+    table = lambda t: (STRENGTH + discount * (others[big] + t)) * chance[big]  # noqa: E731  weight of one more table at t tables
+    low, high = np.ones(len(big)), c  # the number of tables at which the saddle point of the weights lies
+    for _ in range(40):
+        t = (low + high) / 2
+        y = np.exp(_saddle(c / t, discount))
+        more = table(t) * (1 - y**discount) / discount > t
+        low, high = np.where(more, t, low), np.where(more, high, t)
+    wide = 40 + 14 * np.sqrt(low * (1 + low * discount * chance[big] / table(low)))
+    first, last = np.maximum(1, np.floor(low - wide)).astype(np.int64), np.minimum(c, np.ceil(low + wide)).astype(np.int64)
+    for n, k in enumerate(big.tolist()):
+        t = np.arange(first[n], last[n] + 1)
+        weight = np.cumsum(np.log((STRENGTH + discount * (others[k] + t - 1)) * chance[k] / t))
+        weight += np.concatenate([_log_share(c[n], t[i : i + 4096].astype(np.float64), discount) for i in range(0, len(t), 4096)])
+        weight = np.cumsum(np.exp(weight - weight.max()))
+        out[k] = t[np.searchsorted(weight, rng.random() * weight[-1], side="right")]
     return out
 
 
@@ -279,8 +313,10 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
     Tokens are lower-cased (A-Z) words and one end. Restaurants of one-word contexts share the root restaurant, whose
     own parent is uniform over the training tokens and one unknown. Training texts (crc32 of the id
     modulo 5 not 1; null ids learn) give each restaurant its customers. Seating starts with one table for each dish; in a sweep
-    each dish's tables are drawn given the restaurant's tables and the root's probabilities of the sweep before
-    (``draw_tables``), then the root's are drawn under them. ``chains`` chains of ``burn_in`` dropped sweeps and one that
+    each dish's tables are drawn from their conditional given the other dishes' tables of its restaurant and the root's probabilities
+    (``draw_tables``), then the root's are drawn under them in the same way. All dishes of a sweep are drawn side by side, so "given" means as the
+    sweep before left them, and the root's probabilities still hold the dish's own tables of that sweep: a parallel sampler, and not one that moves a dish at a time; tests hold its scores against a sampler that seats one
+    customer at a time. ``chains`` chains of ``burn_in`` dropped sweeps and one that
     counts run side by side, and the predictive probabilities of the chains are averaged. Discounts follow from how
     many pairs, and words, are met once and twice.
 
@@ -319,8 +355,11 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
     rate = _rate(*total(merged, STATE, 2))
     release(spark)
 
-    def root(asked: DataFrame, sweep: int, n: int) -> tuple[DataFrame, dict]:
-        """Answers to all shards from the root restaurants of ``n`` chains, and the totals that make them probabilities."""
+    def root(asked: DataFrame, sweep: int, n: int, drawn: DataFrame | None = None, whole: np.ndarray | None = None) -> tuple[DataFrame, dict]:
+        """Answers to all shards from the root restaurants of ``n`` chains, and the totals that make them probabilities.
+
+        ``drawn`` has each word's root tables of the sweep before, ``whole`` the chains' sums of them; at first each word has one.
+        """
 
         def reply(table: pa.Table) -> pa.Table:
             home, parts = table["key"][0].as_py(), _parts(table, ASKED)
@@ -328,18 +367,22 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
             rng = np.random.default_rng((2, sweep, home))
             rank = [np.cumsum(p[0]) for _, p in parts]
             every = np.concatenate(rank) if parts else np.zeros(0, np.int64)
-            mass, contexts, sums = [], [], []
+            mass, contexts, sums, kept = [], [], [], []
+            last = [t for _, p in _parts(table, ROOT) for t in p] or [np.ones(len(count), np.uint32)]
             for k in range(n):
                 dish, context = (np.bincount(every, weights=np.concatenate([p[i].reshape(n, -1)[k] for _, p in parts]) if parts else None, minlength=len(count)) for i in (1, 2))
                 customers = dish.astype(np.int64)
-                tables = draw_tables(customers, np.full(len(count), (STRENGTH + root_rate * n_known) / (n_known + 1)), root_rate, rng)
+                before = last[k % len(last)].astype(np.int64)
+                total_before = n_known if whole is None else whole[k % len(whole)]
+                tables = draw_tables(customers, np.maximum(total_before - before, 0), np.full(len(count), 1 / (n_known + 1)), root_rate, rng)
+                kept.append(tables.astype(np.uint32))
                 mass.append(customers - root_rate * tables)
                 contexts.append(context.astype(np.int64))
                 sums += [int(customers.sum()), int(tables.sum())]
             items = [(REPLY, s, home, _pack(count[r], np.concatenate([x[r] for x in mass]), np.concatenate([x[r] for x in contexts])), sums if i == 0 else None) for i, ((s, _), r) in enumerate(zip(parts, rank, strict=True))]
-            return _rows(items)
+            return _rows([*items, (ROOT, home, 0, _pack(*kept), None)])
 
-        replies = written(grouped(reply, of(asked, ASKED), of(numbered, COUNTS)), "replies")
+        replies = written(grouped(reply, of(asked, ASKED), of(numbered, COUNTS), *([of(drawn, ROOT)] if drawn else [])), "replies")
         sums = np.array(total(replies, REPLY, 2 * n), np.float64).reshape(n, 2)
         release(spark)
         return replies, {"customers": sums[:, 0], "tables": sums[:, 1], "known": n_known, "rate": root_rate}
@@ -353,7 +396,11 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
             own = own_shard(table)
             _, chance, context = own.told(table, sums, n)
             rng = np.random.default_rng((1, number, own.key))
-            tables = [draw_tables(own.count, ((STRENGTH + rate * context[k % n])[own.left]) * chance[k % n][own.right], rate, rng) for k in range(chains)]
+            last = [t for _, p in _parts(table, TABLES) for t in p] or [np.minimum(own.count, 1)]
+            tables = []
+            for k in range(chains):
+                others = context[k % n][own.left] - last[k % len(last)].astype(np.int64)
+                tables.append(draw_tables(own.count, others, chance[k % n][own.right], rate, rng))
             return _rows([(TABLES, own.key, 0, _pack(*[t.astype(np.uint32) for t in tables]), None), *own.ask(np.stack(tables))])
 
         return run
@@ -361,12 +408,13 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
     replies, sums = root(merged, 0, 1)
     asked = merged
     for number in range(1, burn_in + 2):
-        before, asked = asked, written(grouped(sweep_of(number, sums, 1 if number == 1 else chains), of(merged, STATE), replies), "sweep")
-        forget(spark, replies)
+        last = [] if number == 1 else [of(asked, TABLES)]
+        before, asked = asked, written(grouped(sweep_of(number, sums, 1 if number == 1 else chains), of(merged, STATE), of(replies, REPLY), *last), "sweep")
         if number > 1:
             forget(spark, before)
         release(spark)
-        replies, sums = root(asked, number, chains)
+        answered, (replies, sums) = replies, root(asked, number, chains, replies, sums["tables"])
+        forget(spark, answered)
 
     def judge(table: pa.Table) -> pa.Table:
         own = own_shard(table)
@@ -384,7 +432,7 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
         score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=log, minlength=len(sizes))
         return pa.table({"doc_id": pa.array(ids, mask=~known), "held_out": ~train, "n_tokens": sizes.astype(np.int64), "n_known": met, "base_score": flat, "score": score})
 
-    scored = written(grouped(judge, of(merged, STATE, INDEX), of(asked, TABLES), replies), "scores")
+    scored = written(grouped(judge, of(merged, STATE, INDEX), of(asked, TABLES), of(replies, REPLY)), "scores")
     for table in (merged, asked, replies, numbered):
         forget(spark, table)
     release(spark)

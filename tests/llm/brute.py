@@ -164,7 +164,7 @@ def gibbs_scores(rows, discount, root_discount, strength=1.0, sweeps=60, burn_in
 
 
 def mean_tables(customers, fresh, discount, moves=400_000, seed=1):
-    """The mean number of tables of one dish whose customers are moved one at a time."""
+    """The mean number of tables of one dish whose customers are moved one at a time; ``fresh`` is a number or depends on the tables."""
     rng = random.Random(seed)
     at, size, total = [0] * customers, {0: customers}, 0
     for move in range(moves):
@@ -173,7 +173,7 @@ def mean_tables(customers, fresh, discount, moves=400_000, seed=1):
         if not size[at[k]]:
             del size[at[k]]
         names = [*size, move + 1]
-        at[k] = rng.choices(names, [*(x - discount for x in size.values()), fresh])[0]
+        at[k] = rng.choices(names, [*(x - discount for x in size.values()), fresh(len(size)) if callable(fresh) else fresh])[0]
         size[at[k]] = size.get(at[k], 0) + 1
         total += len(size) * (move >= moves // 10)
     return total / (moves - moves // 10)

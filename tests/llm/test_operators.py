@@ -261,14 +261,23 @@ def test_language_model_counts_frequent_pairs_in_blocks(spark):
 
 @pytest.mark.parametrize("discount", [0.3, 0.7, 0.9])
 def test_language_model_draws_tables(discount):
-    """Draws from a dish's conditional against customers moved one by one, and its saddle point against the whole of it."""
+    """Draws from a dish's conditional against customers moved one by one, alone and beside other tables, and both ways to its weights."""
     rng = np.random.default_rng(3)
+    draw = lambda n, c, others, chance, exact=1024: pitman_yor.draw_tables(np.full(n, c), np.full(n, others), np.full(n, chance), discount, rng, exact)
+    many = 10**12  # other tables, beside which the dish's own don't count: a fixed weight of a new table
+    of = lambda fresh: fresh / (pitman_yor.STRENGTH + discount * many)
     for c, fresh in ((6, 0.5), (40, 3.0)):
-        drawn = pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, fresh), discount, rng)
-        assert drawn.mean() == pytest.approx(brute.mean_tables(c, fresh, discount), rel=0.03)
+        assert draw(20_000, c, many, of(fresh)).mean() == pytest.approx(brute.mean_tables(c, fresh, discount), rel=0.03)
+    for c, others, chance in ((6, 0, 0.5), (40, 0, 0.6), (40, 7, 0.2)):
+        grown = brute.mean_tables(c, lambda t: (pitman_yor.STRENGTH + discount * (others + t)) * chance, discount)
+        assert draw(20_000, c, others, chance).mean() == pytest.approx(grown, rel=0.04)
     for fresh in (0.05, 1.0, 100.0, 2000.0):
-        whole, saddle = (pitman_yor.draw_tables(np.full(4000, 1024), np.full(4000, fresh), discount, rng, exact) for exact in (1024, 100))
-        assert saddle.mean() == pytest.approx(whole.mean(), rel=0.05) and 1 <= saddle.min() and saddle.max() <= 1024
+        whole, far = (draw(1000, 1024, many, of(fresh), exact) for exact in (1024, 100))
+        assert far.mean() == pytest.approx(whole.mean(), rel=0.05) and 1 <= far.min() and far.max() <= 1024
+    for c in (200, 1024):
+        t = np.arange(1, c + 1)
+        want = pitman_yor._log_stirling(discount, 1024)[c] + np.array([math.lgamma(x + 1) for x in t]) - math.lgamma(c + 1)
+        assert np.abs(pitman_yor._log_share(float(c), t.astype(float), discount) - want).max() < 1e-4
 
 
 def test_language_model_against_plain_gibbs(spark):
