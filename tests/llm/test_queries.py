@@ -1,9 +1,11 @@
 """The registered corpus queries on the smallest tables, and the pipeline stage by stage."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docforge.llm import registry
@@ -67,3 +69,19 @@ def test_pipeline_stages(spark):
             assert all(brute.secrets(t)[:3] == (0, 0, 0) for t in after.values())
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert mixed.count() and mixed.where("taken <= 0").count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_pipeline_edges(spark, n):
+    """Empty tables, null ids and texts, equal ids and columns whose names clash pass every stage."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(n)
+    odd = docs.select(F.lit(None).cast("long").alias("doc_id"), *[F.col(c) if c != "text" else F.lit(None).cast("string").alias(c) for c in docs.columns[1:]]).limit(2)
+    docs = docs.unionByName(odd).unionByName(docs.limit(1)).withColumns({"Size": F.lit(1), "KEPT": F.lit("x"), "_Score": F.lit(0.5)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = Counter(r["doc_id"] for r in docs.collect())
+        docs = written(stage(spark, docs, DATA), name)
+        assert docs.columns == columns
+        after = Counter(r["doc_id"] for r in docs.collect())
+        assert after <= before and (name == "quality" or after[None] == before[None])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() <= docs.count()
