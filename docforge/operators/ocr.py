@@ -23,11 +23,13 @@ def line_sizes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("size", font_size(F.col("words")))
 
 
-def flatten(results: DataFrame) -> DataFrame:
-    """doc_id, page_no, para_no, line_no, text, size of all lines that hold text, numbered over those."""
+def flatten(results: DataFrame, blank_lines: bool = False) -> DataFrame:
+    """doc_id, page_no, para_no, line_no, text, size of all lines that hold text, numbered over those; with ``blank_lines`` of all others, too."""
     nested = F.flatten(F.transform(F.filter("blocks", lambda b: b.isNotNull()), lambda b: F.coalesce(b["paragraphs"], F.array().cast(f"array<struct<lines:array<{LINE}>>>"))))
     paras = results.select("doc_id", "page_no", F.posexplode(nested).alias("para", "p"))
-    rows = paras.select("doc_id", "page_no", "para", F.posexplode("p.lines").alias("k", "l")).select("doc_id", "page_no", "para", "k", T.squeeze(F.coalesce("l.text", F.lit(""))).alias("text"), font_size(F.col("l.words")).alias("size")).where("text <> ''")
+    rows = paras.select("doc_id", "page_no", "para", F.posexplode("p.lines").alias("k", "l")).select("doc_id", "page_no", "para", "k", T.squeeze(F.coalesce("l.text", F.lit(""))).alias("text"), font_size(F.col("l.words")).alias("size"))
+    if not blank_lines:
+        rows = rows.where("text <> ''")
     page = Window.partitionBy("doc_id", "page_no").orderBy("para")
     return rows.select("doc_id", "page_no", (F.dense_rank().over(page) - 1).cast("long").alias("para_no"), (F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("para", "k")) - 1).cast("long").alias("line_no"), "text", "size")
 
