@@ -28,9 +28,22 @@ def so_far() -> WindowSpec:
     return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def unnested(pages: DataFrame, array: Column | str, key: str) -> DataFrame:
+    """doc_id, page_no and the fields of the array's structs, a row each; ``key`` is a field that is never null.
+
+    inline_outer, since from inline Spark infers a filter on the array's size, which works the array out again below all projections.
+    """
+    return pages.select(*PAGE, F.inline_outer(array)).where(F.col(key).isNotNull())
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once, however often f and its lambdas name it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def upper_median(values: Column) -> Column:
     """The element at half of the sorted array, upwards; 0 for none."""
-    return F.coalesce(F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
+    return F.coalesce(F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
 
 
 def upper_median_by(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -2,76 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
-from docforge.operators.blocks import upper_median
+from docforge.operators.blocks import let, unnested, upper_median
 
 SAME_ROW, LEAST_SPACE, PARAGRAPH_GAP = 2, 1, 1.4
 PAGE = ("doc_id", "page_no")
 
 
+def _known(c):
+    return F.when(F.isnan(c) | (c == 0), None).otherwise(c)
+
+
+def _usable(i) -> tuple:
+    """x, y, width and size of a placed item; a size of 0 is unknown."""
+    t = i["transform"]
+    size = F.coalesce(_known(F.abs(F.get(t, F.lit(3)))), _known(i["height"]), F.lit(0.0))
+    return F.get(t, F.lit(4)), F.get(t, F.lit(5)), F.coalesce(i["width"], F.lit(0.0)), size
+
+
 def usable_items(items: DataFrame) -> DataFrame:
     """doc_id, page_no, item_idx, str, x, y, width, size of items that hold text; a size of 0 is unknown."""
-    known = lambda c: F.when(F.isnan(c) | (c == 0), None).otherwise(c)
-    t = F.col("transform")
-    return items.where("length(str) > 0").select(
-        *PAGE, "item_idx", "str", F.get(t, F.lit(4)).alias("x"), F.get(t, F.lit(5)).alias("y"), F.coalesce("width", F.lit(0.0)).alias("width"),
-        F.coalesce(known(F.abs(F.get(t, F.lit(3)))), known(F.col("height")), F.lit(0.0)).alias("size"),
-    )
+    x, y, width, size = _usable({c: F.col(c) for c in ("transform", "width", "height")})
+    return items.where("length(str) > 0").select(*PAGE, "item_idx", "str", x.alias("x"), y.alias("y"), width.alias("width"), size.alias("size"))
 
 
-def with_bands(items: DataFrame) -> DataFrame:
-    """Adds band: items go top down; one further than two points from the first of its row opens the next.
+def page_rows(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, rows (row_no, y, text, size) of pages with items (item_idx, str, transform, width, height).
 
-    A page is folded in one pass that carries the row's first height, since comparing with the item before would let
-    a row drift. Pages are the unit, so the array is bounded by a page.
+    Items go top down; one further than two points from the first of its row opens the next. A page is folded in one pass that carries the
+    row's first height, since comparing with the item before would let a row drift. A row's items go from left to right,
+    spaced where they stand apart. Pages are the unit: what is held and sorted is bounded by a page.
     """
-    down = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("ny"), "x", "item_idx", "str", "y", "width", "size")))
-    pages = items.groupBy(*PAGE).agg(down.alias("a"))
-    start = F.struct(F.lit(0).alias("band"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("bands"))
+
+    def usable(i):
+        x, y, width, size = _usable(i)
+        return F.struct((-y).alias("ny"), x.alias("x"), i["item_idx"].alias("item_idx"), i["str"].alias("str"), y.alias("y"), width.alias("width"), size.alias("size"))
+
+    down = F.sort_array(F.transform(F.filter("items", lambda i: F.length(i["str"]) > 0), usable))
+    sorted_ = pages.select(*PAGE, down.alias("a"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("opens"))
 
     def step(s, i):
         opens = s["anchor"].isNull() | (F.abs(i["y"] - s["anchor"]) > SAME_ROW)
-        band = F.when(opens, s["band"] + 1).otherwise(s["band"])
-        return F.struct(band.alias("band"), F.when(opens, i["y"]).otherwise(s["anchor"]).alias("anchor"), F.array_append(s["bands"], band).alias("bands"))
+        return F.struct((s["i"] + 1).alias("i"), F.when(opens, i["y"]).otherwise(s["anchor"]).alias("anchor"), F.when(opens, F.array_append(s["opens"], s["i"])).otherwise(s["opens"]).alias("opens"))
+
+    banded = sorted_.select(*PAGE, "a", F.aggregate("a", start, step)["opens"].alias("o"))
+    item = lambda i: F.struct(*[i[c].alias(c) for c in ("x", "item_idx", "str", "y", "width", "size")])
+    band = lambda s, k: F.sort_array(F.transform(F.slice("a", s + 1, F.coalesce(F.get("o", k + 1), F.size("a")) - s), item))
+
+    def piece(own):
+        def spaced(i, k):
+            before = F.get(own, k - 1)
+            apart = F.coalesce((i["x"] - (before["x"] + before["width"]) > LEAST_SPACE) & ~before["str"].rlike(f"[{T.WS}]\\z"), F.lit(False))
+            return F.concat(F.when(apart, " ").otherwise(""), i["str"])
 
-    banded = pages.select(*PAGE, "a", F.aggregate("a", start, step)["bands"].alias("b"))
-    return banded.select(*PAGE, F.explode_outer(F.arrays_zip("a", "b")).alias("z")).select(*PAGE, "z.a.item_idx", "z.a.str", "z.a.x", "z.a.y", "z.a.width", "z.a.size", F.col("z.b").alias("band"))
+        return spaced
+
+    def row(own):
+        sizes = F.transform(F.filter(own, lambda i: i["size"] > 0), lambda i: i["size"])
+        return F.struct(F.get(own, F.lit(0))["y"].alias("y"), T.squeeze(F.array_join(F.transform(own, piece(own)), "")).alias("text"), upper_median(sizes).alias("size"))
+
+    made = banded.select(*PAGE, F.filter(F.transform(F.transform("o", band), row), lambda r: r["text"] != "").alias("r"))
+    numbered = F.transform("r", lambda r, k: F.struct((k + 1).cast("long").alias("row_no"), r["y"].alias("y"), r["text"].alias("text"), r["size"].alias("size")))
+    return made.select(*PAGE, numbered.alias("rows"))
+
+
+def _paged(rows_: DataFrame, name: str, *columns: str) -> DataFrame:
+    return rows_.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def rows(items: DataFrame) -> DataFrame:
-    """doc_id, page_no, row_no, y, text, size: items of a row from left to right, spaced where they stand apart."""
-    own = Window.partitionBy(*PAGE, "band").orderBy("x", "item_idx")
-    end, before = F.lag(F.col("x") + F.col("width")).over(own), F.lag("str").over(own)
-    space = F.coalesce((F.col("x") - end > LEAST_SPACE) & ~before.rlike(f"[{T.WS}]\\z"), F.lit(False))
-    placed = with_bands(usable_items(items)).withColumn("piece", F.concat(F.when(space, " ").otherwise(""), "str"))
-    g = placed.groupBy(*PAGE, "band").agg(F.array_sort(F.collect_list(F.struct("x", "item_idx", "piece", "y"))).alias("a"), upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size")))).alias("size"))
-    g = g.select(*PAGE, "band", F.get("a", F.lit(0))["y"].alias("y"), T.squeeze(F.array_join(F.transform("a", lambda s: s["piece"]), "")).alias("text"), "size").where("text <> ''")
-    return g.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("band")).cast("long").alias("row_no"), "y", "text", "size")
+    """doc_id, page_no, row_no, y, text, size: ``page_rows`` of items given and taken as rows."""
+    return unnested(page_rows(_paged(items, "items", "item_idx", "str", "transform", "width", "height")), "rows", "row_no")
 
 
-def with_gaps(rows_: DataFrame) -> DataFrame:
-    """Adds gap to the row above and typical, the page's median gap (0 for one row)."""
-    page = Window.partitionBy(*PAGE)
-    gapped = rows_.withColumn("gap", F.lag("y").over(page.orderBy("row_no")) - F.col("y"))
-    return gapped.withColumn("typical", upper_median(F.collect_list("gap").over(page)))
+def with_page_paragraphs(pages: DataFrame) -> DataFrame:
+    """``page_rows`` whose rows have gap, to the row above, typical, the page's median gap (0 for one row), and para_no: a gap well over the typical one opens a paragraph."""
+    zero = F.lit(0).cast("bigint")
+    gaps = F.transform("rows", lambda r, k: F.get("rows", k - 1)["y"] - r["y"])
+    told = let(gaps, lambda g: F.struct(g.alias("gaps"), upper_median(F.filter(g, lambda x: x.isNotNull())).alias("typical")))
+
+    def counted(t):
+        opens = lambda g: F.when((t["typical"] > 0) & (g > t["typical"] * PARAGRAPH_GAP), 1).otherwise(0).cast("bigint")
+        so_far = F.aggregate(t["gaps"], F.array(zero), lambda s, g: F.array_append(s, F.element_at(s, -1) + opens(g)))
+        row = lambda p: F.transform("rows", lambda r, k: F.struct(*[r[c].alias(c) for c in ("row_no", "y", "text", "size")], F.get(t["gaps"], k).alias("gap"), t["typical"].alias("typical"), F.get(p, k + 1).alias("para_no")))
+        return let(so_far, row)
+
+    return pages.withColumn("rows", let(told, counted))
 
 
 def paragraphs(rows_: DataFrame) -> DataFrame:
-    """Adds para_no: a gap well over the typical one opens a paragraph."""
-    opens = F.coalesce((F.col("typical") > 0) & (F.col("gap") > F.col("typical") * PARAGRAPH_GAP), F.lit(False)).cast("int")
-    run = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return with_gaps(rows_).withColumn("para_no", F.sum(opens).over(run))
+    """Adds gap, typical and para_no to rows; see ``with_page_paragraphs``."""
+    return unnested(with_page_paragraphs(_paged(rows_, "rows", "row_no", "y", "text", "size")), "rows", "row_no")
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, lines (line_no, para_no, text, size), which the block builders take, of pages with items."""
+    line = lambda r: F.struct(r["row_no"].alias("line_no"), r["para_no"].alias("para_no"), r["text"].alias("text"), r["size"].alias("size"))
+    return with_page_paragraphs(page_rows(pages)).select(*PAGE, F.transform("rows", line).alias("lines"))
 
 
-def lines(items: DataFrame) -> DataFrame:
-    """The lines (doc_id, page_no, para_no, line_no, text, size) that the block builders take."""
-    return paragraphs(rows(items)).select(*PAGE, "para_no", F.col("row_no").alias("line_no"), "text", "size")
+def gated(pages: DataFrame, least: int = 40) -> DataFrame:
+    """Adds visible, the layer's characters (column text) that are no white space, and from_layer: whether these are enough."""
+    return pages.withColumn("visible", T.visible_length(F.coalesce("text", F.lit("")))).withColumn("from_layer", F.col("visible") >= least)
 
 
 def text_layer(pages: DataFrame, least: int = 40) -> tuple[DataFrame, DataFrame]:
     """(pages whose layer (column text) is enough, pages left for recognition): split before any Python runs."""
-    seen = pages.withColumn("visible", T.visible_length(F.coalesce("text", F.lit(""))))
-    return seen.where(F.col("visible") >= least), seen.where(F.col("visible") < least)
+    seen = gated(pages, least)
+    return seen.where("from_layer").drop("from_layer"), seen.where("NOT from_layer").drop("from_layer")

@@ -47,14 +47,18 @@ def with_markdown(df: DataFrame, options: Options = Options(), shift: Column | i
     return df.withColumn("markdown", out.otherwise(T.escape_block_start(T.join_lines(lines, options.join, options.hyphen)))).drop("misread", "_marked")
 
 
+def fallback_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, lines (line_no, para_no, text, size) of pages (doc_id, page_no, text) without structure: paragraphs at empty lines, sizes unknown."""
+    paras = F.split(T.normalize_raw(F.coalesce("text", F.lit(""))), r"\n{2,}", -1)
+    held = lambda p: F.filter(F.transform(F.split(p, "\n", -1), T.trim), lambda t: t != "")
+    told = F.flatten(F.transform(paras, lambda p, k: F.transform(held(p), lambda t: F.struct(k.cast("long").alias("para_no"), t.alias("text")))))
+    lines = F.transform(told, lambda x, k: F.struct(k.cast("long").alias("line_no"), x["para_no"].alias("para_no"), x["text"].alias("text"), F.lit(0.0).alias("size")))
+    return pages.select("doc_id", "page_no", lines.alias("lines"))
+
+
 def fallback_lines(pages: DataFrame) -> DataFrame:
-    """Lines of pages (doc_id, page_no, text) without structure: paragraphs at empty lines, sizes unknown."""
-    parts = pages.select("doc_id", "page_no", T.normalize_raw(F.coalesce("text", F.lit(""))).alias("t"))
-    paras = parts.select("doc_id", "page_no", F.posexplode_outer(F.split("t", r"\n{2,}", -1)).alias("para_no", "p"))
-    rows = paras.select("doc_id", "page_no", F.col("para_no").cast("long"), F.posexplode_outer(F.split("p", "\n", -1)).alias("k", "raw"))
-    rows = rows.select("doc_id", "page_no", "para_no", "k", T.trim(F.col("raw")).alias("text")).where("text <> ''")
-    order = F.row_number().over(B.Window.partitionBy("doc_id", "page_no").orderBy("para_no", "k")) - 1
-    return rows.select("doc_id", "page_no", "para_no", order.cast("long").alias("line_no"), "text", F.lit(0.0).alias("size"))
+    """The lines of ``fallback_pages`` as rows."""
+    return B.unnested(fallback_pages(pages), "lines", "line_no").select("doc_id", "page_no", "para_no", "line_no", "text", "size")
 
 
 def made_blocks(lines: DataFrame, options: Options = Options()) -> DataFrame:

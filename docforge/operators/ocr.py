@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docforge.functions import text as T
-from docforge.operators.blocks import upper_median
+from docforge.operators.blocks import unnested, upper_median
 
 LINE = "struct<text:string,words:array<struct<font_size:double>>>"
 RESULT = f"text string, confidence double, blocks array<struct<paragraphs:array<struct<lines:array<{LINE}>>>>>"
@@ -25,13 +25,18 @@ def line_sizes(lines: DataFrame) -> DataFrame:
 
 def flatten(results: DataFrame, blank_lines: bool = False) -> DataFrame:
     """doc_id, page_no, para_no, line_no, text, size of all lines that hold text, numbered over those; with ``blank_lines`` of all others, too."""
-    nested = F.flatten(F.transform(F.filter("blocks", lambda b: b.isNotNull()), lambda b: F.coalesce(b["paragraphs"], F.array().cast(f"array<struct<lines:array<{LINE}>>>"))))
-    paras = results.select("doc_id", "page_no", F.posexplode(nested).alias("para", "p"))
-    rows = paras.select("doc_id", "page_no", "para", F.posexplode("p.lines").alias("k", "l")).select("doc_id", "page_no", "para", "k", T.squeeze(F.coalesce("l.text", F.lit(""))).alias("text"), font_size(F.col("l.words")).alias("size"))
-    if not blank_lines:
-        rows = rows.where("text <> ''")
-    page = Window.partitionBy("doc_id", "page_no").orderBy("para")
-    return rows.select("doc_id", "page_no", (F.dense_rank().over(page) - 1).cast("long").alias("para_no"), (F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("para", "k")) - 1).cast("long").alias("line_no"), "text", "size")
+    return unnested(flatten_pages(results, blank_lines), "lines", "line_no").select("doc_id", "page_no", "para_no", "line_no", "text", "size")
+
+
+def flatten_pages(results: DataFrame, blank_lines: bool = False) -> DataFrame:
+    """doc_id, page_no, lines (line_no, para_no, text, size) of each result, numbered within it; no lines for a page without text."""
+    none = F.array().cast(f"array<struct<lines:array<{LINE}>>>")
+    paras = F.coalesce(F.flatten(F.transform(F.filter("blocks", lambda b: b.isNotNull()), lambda b: F.coalesce(b["paragraphs"], none))), none)
+    line = lambda l: F.struct(T.squeeze(F.coalesce(l["text"], F.lit(""))).alias("text"), font_size(l["words"]).alias("size"))
+    held = lambda p: F.filter(F.transform(F.coalesce(p["lines"], F.array().cast(f"array<{LINE}>")), line), lambda x: F.lit(blank_lines) | (x["text"] != ""))
+    some = results.select("doc_id", "page_no", F.filter(F.transform(paras, held), lambda p: F.size(p) > 0).alias("_paras"))
+    told = F.flatten(F.transform("_paras", lambda p, k: F.transform(p, lambda x: F.struct(k.cast("long").alias("para_no"), x["text"].alias("text"), x["size"].alias("size")))))
+    return some.select("doc_id", "page_no", F.transform(told, lambda x, k: F.struct(k.cast("long").alias("line_no"), x["para_no"].alias("para_no"), x["text"].alias("text"), x["size"].alias("size"))).alias("lines"))
 
 
 def confidence(c: Column) -> Column:

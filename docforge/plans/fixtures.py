@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docforge.operators.blocks import unnested
+
 STARTS = (0, 3, 6, 7, 8, 9, 10, 11, 12, 14, 16, 19)
 PAGE_LINES, LINE_WORDS = 30, 8
 #: Up to so many characters a line can serve as a heading or an unfinished end, or as a heading in capitals; longer ones stay whole.
@@ -18,34 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_no, para_no, line_no, text, size: eight words a line, with headings, lists and broken words.
+def _run(array: str, first, n: int):
+    """Up to n elements of an array from ``first`` (0: its beginning); unlike slice it doesn't take the whole array apart each time."""
+    return F.transform(F.sequence(first, F.least(first + n, F.size(array)) - 1), lambda i: F.get(array, i))
+
 
-    Short lines in the places of headings and unfinished ends lose the punctuation at their end; no line loses words.
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, lines (line_no, para_no, text, size) of each page: eight words a line, with headings, lists and broken words.
+
+    Short lines in the places of headings and unfinished ends lose the punctuation at their end; no line loses words. Documents are dealt once, before they
+    grow; all that follows is a projection of one page, so no sort or window holds a task's pages at once.
     """
     words = F.split(F.regexp_replace("text", r"^\s+|\s+\z", ""), r"\s+")
-    # dealt before it grows: all that follows goes by document or by page of one
     base = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S")).repartition("doc_id").select("doc_id", words.alias("w"))
-    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {LINE_WORDS} as int)")), lambda k: F.struct(k.alias("ln"), F.array_join(F.slice(F.col("w"), k * LINE_WORDS + 1, F.lit(LINE_WORDS)), " ").alias("raw")))
-    rows = base.select("doc_id", F.explode_outer(cut).alias("x")).select("doc_id", F.col("x.ln").cast("long").alias("ln"), "x.raw")
-    stem = r"'[^\\p{L}]+\\z'"
-    rows = rows.withColumn("r", F.pmod(F.col("ln") + F.col("doc_id"), F.lit(20))).withColumn("page_no", F.floor(F.col("ln") / PAGE_LINES) + 1).withColumn("bare", F.expr(f"if(length(raw) <= {SHORT}, regexp_replace(raw, {stem}, ''), raw)"))
-    short = F.expr(f"if(length(raw) <= {CAPITALS}, upper(replace(bare, 'ß', 'ss')), raw)")
-    text = (
-        F.when(F.col("r").isin(0, 5, 2), F.col("bare"))
-        .when(F.col("r") == 6, short)
-        .when(F.col("r").isin(8, 9, 10), F.concat(F.lit("• "), "raw"))
-        .when(F.col("r").isin(12, 13), F.concat(F.lit("e "), "raw"))
-        .when(F.col("r") == 14, F.concat(F.lit("1. "), "raw"))
-        .when(F.col("r") == 15, F.concat(F.lit("2. "), "raw"))
-        .when(F.col("r").isin(3, 18), F.lower("raw"))
-        .when(F.col("r") == 17, F.concat("bare", F.lit("-")))
-        .when(F.col("r") == 19, F.concat(F.lit("# "), "raw"))
-        .otherwise(F.col("raw"))
-    )
-    size = F.when(F.col("r") == 0, 13.0).when(F.col("r") == 5, 11.0).when(F.col("ln") % 29 == 28, 0.0).otherwise(10.0)
-    order = Window.partitionBy("doc_id", "page_no").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("doc_id", "page_no", F.sum(F.when(F.col("r").isin(*STARTS), 1).otherwise(0)).over(order).alias("para_no"), F.col("ln").alias("line_no"), text.alias("text"), size.alias("size"))
+    own = PAGE_LINES * LINE_WORDS
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {own} as int)")), lambda p: F.struct(p.alias("p"), _run("w", p * own, own).alias("w")))
+    pages = base.select("doc_id", F.explode_outer(cut).alias("x")).select("doc_id", F.col("x.p").cast("long").alias("p"), "x.w")
+    # the paragraphs that begin up to a line, by the whole rounds of twenty lines and the rest
+    begun = F.array(*[F.lit(sum(s < k for s in STARTS)) for k in range(20)])
+    upto = lambda m: F.floor(m / 20) * len(STARTS) + F.get(begun, F.pmod(m, F.lit(20)).cast("int"))
+
+    def raw(k):
+        text = F.array_join(_run("w", k * LINE_WORDS, LINE_WORDS), " ")
+        return F.struct((F.col("p") * PAGE_LINES + k).alias("ln"), F.pmod(F.col("p") * PAGE_LINES + k + F.col("doc_id"), F.lit(20)).alias("r"), text.alias("raw"))
+
+    def decorated(x):
+        ln, r, whole = x["ln"], x["r"], x["raw"]
+        bare = F.when(F.length(whole) <= SHORT, F.regexp_replace(whole, r"[^\p{L}]+\z", "")).otherwise(whole)
+        short = F.when(F.length(whole) <= CAPITALS, F.upper(F.replace(bare, F.lit("ß"), F.lit("ss")))).otherwise(whole)
+        text = (
+            F.when(r.isin(0, 5, 2), bare)
+            .when(r == 6, short)
+            .when(r.isin(8, 9, 10), F.concat(F.lit("• "), whole))
+            .when(r.isin(12, 13), F.concat(F.lit("e "), whole))
+            .when(r == 14, F.concat(F.lit("1. "), whole))
+            .when(r == 15, F.concat(F.lit("2. "), whole))
+            .when(r.isin(3, 18), F.lower(whole))
+            .when(r == 17, F.concat(bare, F.lit("-")))
+            .when(r == 19, F.concat(F.lit("# "), whole))
+            .otherwise(whole)
+        )
+        size = F.when(r == 0, 13.0).when(r == 5, 11.0).when(ln % 29 == 28, 0.0).otherwise(10.0)
+        before = F.col("p") * PAGE_LINES + F.col("doc_id")
+        return F.struct(ln.alias("line_no"), (upto(ln + F.col("doc_id") + 1) - upto(before)).cast("long").alias("para_no"), text.alias("text"), size.alias("size"))
+
+    made = F.transform(F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {LINE_WORDS} as int)")), raw), decorated)
+    return pages.select("doc_id", (F.col("p") + 1).alias("page_no"), made.alias("lines"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``page_lines`` as rows: doc_id, page_no, para_no, line_no, text, size."""
+    return unnested(page_lines(spark, sf_dir), "lines", "line_no").select("doc_id", "page_no", "para_no", "line_no", "text", "size")
 
 
 LINES_SQL = f"""
@@ -61,15 +86,17 @@ lines AS (SELECT doc_id, page_no, CAST(sum(CASE WHEN r IN {STARTS} THEN 1 ELSE 0
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, text: lines with odd blanks, quotes and line ends, and no paragraph structure."""
-    own = lines(spark, sf_dir)
-    before = F.coalesce(F.lag("para_no").over(Window.partitionBy("doc_id", "page_no").orderBy("line_no")), F.col("para_no"))
     end = F.when(F.col("doc_id") % 3 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
-    head = F.when(F.col("line_no") % 7 == 0, F.concat(end, end)).when(before != F.col("para_no"), end).otherwise(F.lit(""))
-    odd = F.element_at(F.array(F.lit("\u00a0"), F.lit("\u00ad"), F.lit("\u2019"), F.lit(""), F.lit("")), (F.col("line_no") % 5 + 1).cast("int"))
-    text = F.concat(head, F.replace("text", F.lit(" a"), F.lit("  a")), odd)
-    rows = own.select("doc_id", "page_no", "line_no", text.alias("t"), end.alias("e"))
-    joined = rows.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("x"), F.first("e").alias("e"))
-    return joined.select("doc_id", "page_no", F.array_join(F.transform("x", lambda s: s["t"]), "\x01").alias("text"), "e").select("doc_id", "page_no", F.replace("text", F.lit("\x01"), F.col("e")).alias("text"))
+
+    def decorated(x, i):
+        before = F.coalesce(F.get("lines", i - 1)["para_no"], x["para_no"])
+        head = F.when(x["line_no"] % 7 == 0, F.concat(F.col("e"), F.col("e"))).when(before != x["para_no"], F.col("e")).otherwise(F.lit(""))
+        odd = F.element_at(F.array(F.lit("\u00a0"), F.lit("\u00ad"), F.lit("\u2019"), F.lit(""), F.lit("")), (x["line_no"] % 5 + 1).cast("int"))
+        return F.concat(head, F.replace(x["text"], F.lit(" a"), F.lit("  a")), odd)
+
+    rows = page_lines(spark, sf_dir).withColumn("e", end)
+    joined = F.array_join(F.transform("lines", decorated), "\x01")
+    return rows.select("doc_id", "page_no", F.replace(joined, F.lit("\x01"), F.col("e")).alias("text"))
 
 
 RAW_PAGES_SQL = LINES_SQL + """,
@@ -78,16 +105,28 @@ raw_pages AS (SELECT doc_id, page_no, replace(string_agg(CASE WHEN line_no % 7 =
   CASE line_no % 5 WHEN 0 THEN chr(160) WHEN 1 THEN chr(173) WHEN 2 THEN chr(8217) ELSE '' END, chr(1) ORDER BY line_no), chr(1), any_value(e)) AS text FROM rp GROUP BY doc_id, page_no)"""
 
 
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, items (item_idx, str, transform, width, height) of each page: placed words in shuffled order."""
+
+    def placed(x):
+        row = x["line_no"] % PAGE_LINES
+        words = F.transform(F.array(F.split(x["text"], " ", -1)), lambda w: F.transform(w, lambda t, k: F.struct(t.alias("t"), k.alias("k"), F.length(F.array_join(F.slice(w, F.lit(1), k), "")).alias("before"))))
+
+        def item(v):
+            k = v["k"]
+            left = F.lit(50.0) + v["before"] * 6 + k * 4.0 - F.floor((k + 3) / 7) * 3.5  # every seventh gap is half a point, all others four
+            y = F.lit(800.0) - row * 12 - F.floor(row / 5) * 10 - F.lit(0.5) * (k % 2)
+            idx = (k.cast("long") * 7919 + x["line_no"] * 31) % 100003
+            return F.struct(idx.alias("item_idx"), v["t"].alias("str"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), x["size"], left, y).alias("transform"), (F.length(v["t"]) * 6.0).alias("width"), F.lit(9.0).alias("height"))
+
+        return F.transform(F.get(words, F.lit(0)), item)
+
+    return page_lines(spark, sf_dir).select("doc_id", "page_no", F.flatten(F.transform("lines", placed)).alias("items"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_no, item_idx, str, transform, width, height: placed words in shuffled order."""
-    own = lines(spark, sf_dir).select("doc_id", "page_no", "line_no", "size", F.posexplode(F.split("text", " ")).alias("k", "str"))
-    w = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.when(F.col("k") % 7 == 3, 0.5).otherwise(4.0)
-    x = F.coalesce(F.sum(F.length("str") * 6 + gap).over(w), F.lit(0.0)) + 50
-    row = F.col("line_no") % PAGE_LINES
-    y = 800.0 - 12 * row - 10 * F.floor(row / 5) - F.lit(0.5) * (F.col("k") % 2)
-    idx = (F.col("k") * 7919 + F.col("line_no") * 31) % 100003
-    return own.select("doc_id", "page_no", idx.cast("long").alias("item_idx"), "str", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("size"), x, y).alias("transform"), (F.length("str") * 6.0).alias("width"), F.lit(9.0).alias("height"))
+    """The items of ``page_items`` as rows."""
+    return unnested(page_items(spark, sf_dir), "items", "item_idx")
 
 
 ITEMS_SQL = LINES_SQL + f""",
@@ -168,19 +207,26 @@ scores AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey
 
 
 
+def _words(text, size):
+    """A line's words, whose font size varies and is unknown for every sixth."""
+    return F.transform(F.split(text, " ", -1), lambda _, i: F.struct(F.when(i % 6 != 5, size + i % 3).alias("font_size")))
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with words whose font size varies, and is unknown for every sixth."""
-    words = F.transform(F.split("text", " "), lambda x, i: F.struct(F.when(i % 6 != 5, F.col("size") + i % 3).alias("font_size")))
-    return lines(spark, sf_dir).select("doc_id", "page_no", "para_no", "line_no", "text", words.alias("words"))
+    return lines(spark, sf_dir).select("doc_id", "page_no", "para_no", "line_no", "text", _words(F.col("text"), F.col("size")).alias("words"))
 
 
 def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, blocks: recognised lines nested in paragraphs, four of which make a block; texts hold odd blanks."""
-    line = F.struct(F.when(F.col("line_no") % 11 == 10, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit(" \t")))).alias("text"), "words")
-    rows_ = ocr_lines(spark, sf_dir).select("doc_id", "page_no", "para_no", "line_no", line.alias("line"))
-    paras = rows_.groupBy("doc_id", "page_no", "para_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
-    paras = paras.select("doc_id", "page_no", "para_no", F.struct(F.transform("x", lambda s: s["line"]).alias("lines")).alias("p"))
-    blocks = paras.groupBy("doc_id", "page_no", F.floor(F.col("para_no") / 4).alias("b")).agg(F.array_sort(F.collect_list(F.struct("para_no", "p"))).alias("x"))
-    blocks = blocks.select("doc_id", "page_no", "b", F.struct(F.transform("x", lambda s: s["p"]).alias("paragraphs")).alias("block"))
-    pages = blocks.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("b", "block"))).alias("x"))
-    return pages.select("doc_id", "page_no", F.transform("x", lambda s: s["block"]).alias("blocks"))
+
+    def said(x):
+        odd = F.when(x["line_no"] % 11 == 10, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), F.replace(x["text"], F.lit(" "), F.lit(" \t"))))
+        return F.struct(odd.alias("text"), _words(x["text"], x["size"]).alias("words"))
+
+    own = F.array_distinct(F.transform("lines", lambda x: x["para_no"]))
+    paras = F.transform(own, lambda p: F.struct(F.floor(p / 4).alias("b"), F.struct(F.transform(F.filter("lines", lambda x: x["para_no"] == p), said).alias("lines")).alias("p")))
+    rows = page_lines(spark, sf_dir).select("doc_id", "page_no", paras.alias("paras"))
+    numbers = F.array_distinct(F.transform("paras", lambda x: x["b"]))
+    blocks = F.transform(numbers, lambda b: F.struct(F.transform(F.filter("paras", lambda x: x["b"] == b), lambda x: x["p"]).alias("paragraphs")))
+    return rows.select("doc_id", "page_no", blocks.alias("blocks"))
