@@ -17,6 +17,8 @@ from docforge.options import Options
 
 #: Bytes of a file for each task that reads it, about.
 SLICE_BYTES = 32 << 20
+#: Bytes of whole small files for a task, about, and what opening one counts as; a folder of less than LEAST_TASKS such tasks is dealt over as many.
+TASK_BYTES, OPEN_BYTES, LEAST_TASKS = 32 << 20, 64 << 10, 16
 SPACE = re.compile(f"[{WS}]+")
 
 
@@ -26,7 +28,8 @@ class PageSource(DataSource):
     Options: ``path``, a URI that all tasks reach; ``reader``, module:function of an adapter as in ``operators.convert``, which should read
     a page's content only when it is asked for; ``extension`` (.pdf); ``slice_bytes``; ``options``, the fields of Options as JSON.
 
-    A file of k slices is k partitions, each of which takes its own run of page numbers, so no page is read twice. A page whose text layer is
+    A file of k slices is read by as many tasks, each of which takes its own run of page numbers, so no page is read twice; slices of many files share a
+    task, where they are small, so tasks grow with the bytes and not with the files. A page whose text layer is
     enough has its items and no content; any other has its drawn, enhanced image at once, so nothing is read again to draw it. A file
     that can't be read gives one row with its error (of its first slice), a page that can't be read or drawn one with its own; a file without pages gives
     none. With the option ``pushdown`` (needs spark.sql.python.filterPushdown.enabled) bounds on page_no keep other pages unread; rows of
@@ -45,8 +48,10 @@ class PageSource(DataSource):
 
 
 class _Slice(InputPartition):
-    def __init__(self, path: str, k: int, of: int):
-        self.path, self.k, self.of = path, k, of
+    """Slices, each a path, the slice's number and how many the file has."""
+
+    def __init__(self, slices: list[tuple[str, int, int]]):
+        self.slices = slices
 
 
 class _PageReader(DataSourceReader):
@@ -61,24 +66,45 @@ class _PageReader(DataSourceReader):
 
         store, root = fs.FileSystem.from_uri(self.folder)
         found = [i for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.base_name.lower().endswith(self.extension)]
-        sizes = [(i.path, max(1, -(-i.size // self.slice_bytes))) for i in sorted(found, key=lambda i: i.path)]
-        return [_Slice(path, k, of) for path, of in sizes for k in range(of)]
+        sized = [(i.path, i.size, max(1, -(-i.size // self.slice_bytes))) for i in sorted(found, key=lambda i: i.path)]
+        whole = sum(size + OPEN_BYTES * of for _, size, of in sized)
+        room = min(TASK_BYTES, whole // LEAST_TASKS)
+        # the slices of one file go to tasks of different turns, so that a large file is never read by one task alone
+        turns: dict[int, list] = {}
+        for path, size, of in sized:
+            for k in range(of):
+                turns.setdefault(k, []).append((path, k, of, size // of + OPEN_BYTES))
+        parts: list[_Slice] = []
+        for own in turns.values():
+            held = room
+            for path, k, of, cost in own:
+                if held + cost > room:
+                    parts.append(_Slice([]))
+                    held = 0
+                parts[-1].slices.append((path, k, of))
+                held += cost
+        return sorted(parts, key=lambda p: p.slices[0])
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.folder)
         module, function = self.adapter.split(":")
-        said = partition.path.rsplit("/", 1)[-1]
+        adapter = getattr(importlib.import_module(module), function)()
+        for own in partition.slices:
+            yield from self._slice(store, adapter, *own)
+
+    def _slice(self, store, adapter, path: str, number: int, of: int) -> Iterator[tuple]:
+        said = path.rsplit("/", 1)[-1]
         try:
-            with store.open_input_file(partition.path) as f:
-                pages = getattr(importlib.import_module(module), function)()(f.read())
+            with store.open_input_file(path) as f:
+                pages = adapter(f.read())
             n = len(pages)
         except Exception as e:  # noqa: BLE001  (kept as a value of the row)
-            if partition.k == 0:
+            if number == 0:
                 yield said, None, None, None, str(e)
             return
-        first, last = n * partition.k // partition.of + 1, n * (partition.k + 1) // partition.of
+        first, last = n * number // of + 1, n * (number + 1) // of
         for k in range(max(first, self.low), min(last, self.high if self.high is not None else last) + 1):
             try:
                 yield self._page(said, k, pages[k - 1])

@@ -41,3 +41,14 @@ def test_pages_are_projected_without_sorts(spark, tmp_path, name):
     plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
     nodes = [line.lstrip(" :+-*").split(" ")[0].split("(")[0] for line in plan.splitlines()]
     assert nodes.count("Exchange") == 1 and not {"Sort", "Window", "ObjectHashAggregate", "SortAggregate"} & set(nodes)
+
+
+def test_small_files_share_tasks(tmp_path):
+    from docforge.sources import pages as P
+
+    for k in range(400):
+        (tmp_path / f"f{k}.pdf").write_bytes(b"[]")
+    (tmp_path / "large.pdf").write_bytes(b"x" * 100_000)
+    parts = P._PageReader({"path": f"file://{tmp_path}", "reader": "", "slice_bytes": "16384"}).partitions()
+    assert len(parts) < 60 and len({s for p in parts for s in p.slices}) == sum(len(p.slices) for p in parts) == 407
+    assert len([p for p in parts if any("large" in s[0] for s in p.slices)]) == 7
