@@ -88,13 +88,15 @@ def numbered(c: Column) -> Column:
 
 def leading_marker(c: Column) -> Column:
     """The mark, real or suspected, or null."""
-    return F.coalesce(F.nullif(bullet(c), F.lit("")), F.nullif(suspicious(c), F.lit("")))
+    mark = F.regexp_extract(c, f"^([{BULLETS}{SUSPICIOUS}])[{WS}]+[^{WS}]", 1)
+    return F.when(mark != "", mark)
 
 
 def looks_like_heading(c: Column) -> Column:
-    letters, upper = F.regexp_count(c, F.lit(r"\p{L}")), F.regexp_count(c, F.lit(r"\p{Lu}"))
+    letters, upper = F.length(F.regexp_replace(c, r"\P{L}+", "")), F.length(F.regexp_replace(c, r"\P{Lu}+", ""))
     outline = c.rlike(f"^[0-9]+(\\.[0-9]+)*\\.?[{WS}]+\\p{{Lu}}") & (F.size(F.split(c, f"[{WS}]+", -1)) <= 9)
-    return (utf16_length(c) <= 70) & ~c.rlike(r"[.!?:;,]\z") & (letters >= 3) & ((upper >= letters * F.lit(0.75)) | outline)
+    # three capitals are three quarters of three letters, the least there have to be
+    return (utf16_length(c) <= 70) & ~c.rlike(r"[.!?:;,]\z") & (((upper >= 3) & (upper >= letters * F.lit(0.75))) | (outline & (letters >= 3)))
 
 
 def looks_unfinished(c: Column) -> Column:
@@ -111,7 +113,8 @@ def glue(out: Column, line: Column, join: bool, hyphen: bool) -> Column:
     plain = F.concat(out, F.lit(" " if join else "  \n"), line)
     if not hyphen:
         return plain
-    return F.when(out.rlike(r"\p{L}-\z") & line.rlike(r"^\p{Ll}"), F.concat(F.substring(out, F.lit(1), F.length(out) - 1), line)).otherwise(plain)
+    # the end is looked at before the text before it is searched
+    return F.when(out.endswith("-") & out.rlike(r"\p{L}-\z") & line.rlike(r"^\p{Ll}"), F.concat(F.substring(out, F.lit(1), F.length(out) - 1), line)).otherwise(plain)
 
 
 def join_lines(lines: Column, join: bool = True, hyphen: bool = True) -> Column:

@@ -43,8 +43,9 @@ def upper_median_by(rows: DataFrame, key: str, value: str, name: str) -> DataFra
 
 
 def with_base(lines: DataFrame) -> DataFrame:
-    """Adds base, the page's median size over lines of known size."""
-    return lines.withColumn("base", upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size"))).over(whole())))
+    """Adds base, the page's median size over lines of known size: of two in the middle the upper, so counted from the largest."""
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY if(size > 0, size, NULL) DESC) OVER (PARTITION BY " + ", ".join(PAGE) + ")")
+    return lines.withColumn("base", F.coalesce(median, F.lit(0.0)))
 
 
 def is_big() -> Column:
@@ -54,9 +55,11 @@ def is_big() -> Column:
 def with_split(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds heading (0, 2 or 3) and block_no: a paragraph's lines, with each big line alone."""
     big = is_big() if options.headings else F.lit(False)
-    df = with_base(lines).withColumn("big", big).withColumn("heading", F.when(~F.col("big"), 0).when(F.col("size") >= F.col("base") * HUGE, 2).otherwise(3))
-    starts = F.col("big") | F.coalesce(F.lag("big").over(order()), F.lit(True)) | ~F.lag("para_no").over(order()).eqNullSafe(F.col("para_no"))
-    return df.withColumn("starts", starts).withColumn("block_no", F.sum(F.col("starts").cast("int")).over(so_far()))
+    # the line before comes first, so that the sort by line serves the page's base too
+    df = with_base(lines.withColumn("_para", F.lag("para_no").over(order())))
+    df = df.withColumn("big", big).withColumn("heading", F.when(~F.col("big"), 0).when(F.col("size") >= F.col("base") * HUGE, 2).otherwise(3))
+    starts = F.col("big") | F.coalesce(F.lag("big").over(order()), F.lit(True)) | ~F.col("_para").eqNullSafe(F.col("para_no"))
+    return df.withColumn("starts", starts).withColumn("block_no", F.sum(F.col("starts").cast("int")).over(so_far())).drop("_para")
 
 
 def with_merge(lines: DataFrame, options: Options = Options()) -> DataFrame:
@@ -76,19 +79,27 @@ def with_groups(lines: DataFrame, options: Options = Options()) -> DataFrame:
     if not options.lists:
         return df.withColumn("marker", F.lit(None).cast("string")).withColumn("group_no", F.col("merged_no"))
     df = df.withColumn("_mark", T.leading_marker(F.col("text")))
-    own = Window.partitionBy(*PAGE, "merged_no")
+    # merged_no never falls from line to line, so that one sort serves the blocks and the page
+    own = Window.partitionBy(*PAGE, "merged_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    along = whole().orderBy("merged_no", "line_no")
     every = F.min((F.col("_mark").isNotNull() & (F.col("heading") == 0)).cast("int")).over(own) == 1
-    first = F.first("_mark").over(own.orderBy("line_no"))
-    df = df.withColumn("marker", F.when(every, first))
-    same = F.coalesce(F.col("marker") == F.lag("marker").over(order()), F.lit(False))
-    return df.withColumn("group_no", F.sum((F.col("opens") & ~same).cast("int")).over(so_far())).drop("_mark")
+    df = df.withColumn("marker", F.when(every, F.first("_mark").over(own)))
+    same = F.coalesce(F.col("marker") == F.lag("marker").over(along), F.lit(False))
+    run = along.rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("group_no", F.sum((F.col("opens") & ~same).cast("int")).over(run)).drop("_mark")
 
 
-def regroup(lines: DataFrame, options: Options = Options(), carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, page_no, block_no, heading, marker, lines (in order) of a page's blocks; columns of a page in ``carry`` stay."""
-    grouped = with_groups(lines, options).groupBy(*PAGE, F.col("group_no").alias("block_no"))
-    out = grouped.agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"), F.min(F.struct("line_no", "heading", "marker")).alias("f"), *[F.first(c).alias(c) for c in carry])
-    return out.select(*PAGE, *carry, "block_no", "f.heading", "f.marker", F.transform("x", lambda s: s["text"]).alias("lines"))
+def regroup(lines: DataFrame, options: Options = Options(), carry: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
+    """doc_id, page_no, block_no, heading, marker, lines (in order) of a page's blocks; columns of a page in ``carry`` stay.
+
+    With ``clean`` the lines are normalised, each as a row, and those without text left out.
+    """
+    df, line = with_groups(lines, options), F.struct("line_no", "text")
+    if clean:
+        df, line = df.withColumn("text", T.normalize_line(F.col("text"))), F.when(F.col("text") != "", line)
+    grouped = df.groupBy(*PAGE, F.col("group_no").alias("block_no"))
+    out = grouped.agg(F.sort_array(F.collect_list(line)).alias("x"), F.min(F.struct("line_no", "heading", "marker")).alias("f"), *[F.first(c).alias(c) for c in carry])
+    return out.select(*PAGE, *carry, "block_no", "f.heading", "f.marker", F.col("x.text").alias("lines"))
 
 
 def with_misread(df: DataFrame, lines: str = "lines") -> DataFrame:

@@ -61,15 +61,14 @@ def made_blocks(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """The blocks of pages given as lines, with markdown where there is any; a column shift of the lines deepens size headings."""
     carry = ("shift",) if "shift" in lines.columns else ()
     shift = F.col("shift") if carry else 0
-    blocks = B.regroup(lines, options, carry)
-    clean = blocks.withColumn("lines", F.filter(F.transform("lines", T.normalize_line), lambda x: x != ""))
-    return with_markdown(clean, options, shift).where("markdown <> ''")
+    # blocks without lines are those without markdown; asked for it, Spark would make each block's markdown twice
+    return with_markdown(B.regroup(lines, options, carry, clean=True).where(F.size("lines") > 0), options, shift)
 
 
 def page_markdown(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, page_no, markdown of pages given as lines; a column shift of the lines deepens size headings."""
-    joined = made_blocks(lines, options).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "markdown"))).alias("x"))
-    return joined.select("doc_id", "page_no", F.array_join(F.transform("x", lambda s: s["markdown"]), "\n\n").alias("markdown"))
+    joined = made_blocks(lines, options).groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("block_no", "markdown"))).alias("x"))
+    return joined.select("doc_id", "page_no", F.array_join("x.markdown", "\n\n").alias("markdown"))
 
 
 def average_confidence(c: Column) -> Column:
@@ -100,12 +99,12 @@ def build_documents(pages: DataFrame, lines: DataFrame, at: Column, options: Opt
     shuffled again. A page without lines says so; lines of pages that aren't there are left out. A document without pages is
     given by one row whose page_no is null, and has a head only.
     """
-    heads = pages.groupBy("doc_id").agg(F.first("name").alias("name"), F.count("page_no").alias("n"), average_confidence(F.col("confidence")).alias("c"), F.bool_or("from_layer").alias("layer"), F.array_sort(F.collect_list("page_no")).alias("numbers"))
+    heads = pages.groupBy("doc_id").agg(F.first("name").alias("name"), F.count("page_no").alias("n"), average_confidence(F.col("confidence")).alias("c"), F.bool_or("from_layer").alias("layer"), F.sort_array(F.collect_list("page_no")).alias("numbers"))
     blocks = made_blocks(lines, options)
     # whether a size heading goes a level deeper in a document of several pages is known at its head only
     block = F.struct("block_no", "markdown", ((F.size("lines") > 0) & F.col("heading").between(1, 5)).alias("deeper"))
-    by_page = blocks.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    made = by_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "blocks"))).alias("x"))
+    by_page = blocks.groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
+    made = by_page.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "blocks"))).alias("x"))
     marks = (F.col("n") > 1) & F.lit(options.page_marks)
     text_of = lambda p: F.array_join(F.transform(p["blocks"], lambda b: F.concat(F.when(marks & b["deeper"], "#").otherwise(""), b["markdown"])), "\n\n")
     body = heads.join(made, "doc_id", "left")
@@ -125,8 +124,8 @@ def build_documents(pages: DataFrame, lines: DataFrame, at: Column, options: Opt
 
 def combine(documents: DataFrame, order: str = "doc_id") -> DataFrame:
     """One row: all documents in order, set apart by rules. ``combined_pieces`` has no row that grows with the table."""
-    whole = documents.agg(F.array_sort(F.collect_list(F.struct(order, T.trim(F.col("markdown")).alias("t")))).alias("x"))
-    return whole.select(F.concat(F.array_join(F.transform("x", lambda s: s["t"]), "\n\n---\n\n"), F.lit("\n")).alias("markdown"))
+    whole = documents.agg(F.sort_array(F.collect_list(F.struct(order, T.trim(F.col("markdown")).alias("t")))).alias("x"))
+    return whole.select(F.concat(F.array_join("x.t", "\n\n---\n\n"), F.lit("\n")).alias("markdown"))
 
 
 def combined_pieces(documents: DataFrame, order: str = "doc_id") -> DataFrame:

@@ -110,7 +110,7 @@ def _(spark, d):
 
 
 def clean_blocks(spark, d):
-    return B.regroup(X.lines(spark, d)).withColumn("lines", F.filter(F.transform("lines", T.normalize_line), lambda x: x != ""))
+    return B.regroup(X.lines(spark, d), clean=True)
 
 
 @query("block_markdown", REGROUP + "," + markdown_sql("regrouped") + " SELECT doc_id, page_no, CAST(block_no AS BIGINT) AS block_no, markdown FROM made")
@@ -151,8 +151,7 @@ def _(spark, d):
 
 def pages(spark, d):
     k = F.col("doc_id") * 37 + F.col("page_no") * 11
-    got = X.lines(spark, d).groupBy("doc_id", "page_no").agg(F.first("doc_id").alias("_"))
-    return got.select("doc_id", "page_no", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), F.when(k % 4 != 0, k % 101).alias("confidence"), (k % 4 == 0).alias("from_layer"))
+    return X.pages(spark, d).select("doc_id", "page_no", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), F.when(k % 4 != 0, k % 101).alias("confidence"), (k % 4 == 0).alias("from_layer"))
 
 
 PAGES_SQL = """pg AS (SELECT DISTINCT doc_id, page_no, 'doc_' || doc_id || '.pdf' AS name, CASE WHEN (doc_id * 37 + page_no * 11) % 4 <> 0 THEN (doc_id * 37 + page_no * 11) % 101 END AS confidence, (doc_id * 37 + page_no * 11) % 4 = 0 AS from_layer FROM lines),

@@ -5,31 +5,44 @@ The tables hold plain prose, so each derivation decorates it with what the opera
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docforge.sources import folders
+
 STARTS = (0, 3, 6, 7, 8, 9, 10, 11, 12, 14, 16, 19)
 PAGE_LINES, LINE_WORDS = 30, 8
 #: Up to so many characters a line can serve as a heading or an unfinished end, or as a heading in capitals; longer ones stay whole.
 SHORT, CAPITALS = 60, 40
+#: Bytes of the table ``documents``, as it lies compressed, that one task takes.
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Documents by doc_id, in so many parts that a part's size doesn't grow with the table; of a small table Spark chooses their number."""
+    n = math.ceil(folders.size(spark, f"{sf_dir}/documents.parquet") / PART_BYTES)
+    return docs.repartition(n, "doc_id") if n > spark.sparkContext.defaultParallelism else docs.repartition("doc_id")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, para_no, line_no, text, size: eight words a line, with headings, lists and broken words.
 
     Short lines in the places of headings and unfinished ends lose the punctuation at their end; no line loses words.
     """
-    words = F.split(F.regexp_replace("text", r"^\s+|\s+\z", ""), r"\s+")
     # dealt before it grows: all that follows goes by document or by page of one
-    base = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S")).repartition("doc_id").select("doc_id", words.alias("w"))
-    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(w) - 1) div {LINE_WORDS} as int)")), lambda k: F.struct(k.alias("ln"), F.array_join(F.slice(F.col("w"), k * LINE_WORDS + 1, F.lit(LINE_WORDS)), " ").alias("raw")))
-    rows = base.select("doc_id", F.explode_outer(cut).alias("x")).select("doc_id", F.col("x.ln").cast("long").alias("ln"), "x.raw")
+    base = dealt(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S")))
+    # one pass over the text; cutting an array of words line by line would copy it for each
+    cut = F.regexp_extract_all("text", F.lit(rf"\S++(?:\s++\S++){{0,{LINE_WORDS - 1}}}"), F.lit(0))
+    rows = base.select("doc_id", F.posexplode_outer(cut).alias("ln", "raw")).select("doc_id", F.col("ln").cast("long").alias("ln"), F.regexp_replace("raw", r"\s{2,}|[\t-\r]", " ").alias("raw"))
     stem = r"'[^\\p{L}]+\\z'"
-    rows = rows.withColumn("r", F.pmod(F.col("ln") + F.col("doc_id"), F.lit(20))).withColumn("page_no", F.floor(F.col("ln") / PAGE_LINES) + 1).withColumn("bare", F.expr(f"if(length(raw) <= {SHORT}, regexp_replace(raw, {stem}, ''), raw)"))
+    rows = rows.withColumn("r", F.pmod(F.col("ln") + F.col("doc_id"), F.lit(20))).withColumn("page_no", F.floor(F.col("ln") / PAGE_LINES) + 1)
+    rows = rows.withColumn("bare", F.when(F.col("r").isin(0, 2, 5, 6, 17), F.expr(f"if(length(raw) <= {SHORT}, regexp_replace(raw, {stem}, ''), raw)")))
     short = F.expr(f"if(length(raw) <= {CAPITALS}, upper(replace(bare, 'ß', 'ss')), raw)")
     text = (
         F.when(F.col("r").isin(0, 5, 2), F.col("bare"))
@@ -44,8 +57,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("raw"))
     )
     size = F.when(F.col("r") == 0, 13.0).when(F.col("r") == 5, 11.0).when(F.col("ln") % 29 == 28, 0.0).otherwise(10.0)
-    order = Window.partitionBy("doc_id", "page_no").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("doc_id", "page_no", F.sum(F.when(F.col("r").isin(*STARTS), 1).otherwise(0)).over(order).alias("para_no"), F.col("ln").alias("line_no"), text.alias("text"), size.alias("size"))
+    # how many lines of a page open a paragraph follows from where it begins
+    upto = lambda k: F.expr(f"({k} - pmod({k}, 20)) div 20 * {len(STARTS)}") + F.get(F.array(*[F.lit(sum(s <= r for s in STARTS)) for r in range(20)]), F.expr(f"cast(pmod({k}, 20) as int)"))
+    para = upto("(ln + doc_id)") - upto(f"((page_no - 1) * {PAGE_LINES} + doc_id - 1)")
+    return rows.select("doc_id", "page_no", F.coalesce(para, F.lit(0).cast("long")).alias("para_no"), F.col("ln").alias("line_no"), text.alias("text"), size.alias("size"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no of all pages that ``lines`` has, by the number of words alone."""
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    counted = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).groupBy("doc_id").agg(F.max(words).alias("n"))
+    return counted.select("doc_id", F.explode_outer(F.sequence(F.lit(1).cast("long"), F.expr(f"(n - 1) div {LINE_WORDS * PAGE_LINES} + 1"))).alias("page_no"))
 
 
 LINES_SQL = f"""
