@@ -34,18 +34,25 @@ def visible_length(c: Column) -> Column:
     return utf16_length(F.regexp_replace(c, f"[{WS}]+", ""))
 
 
+def _plain(c: Column) -> Column:
+    """Quotes and blanks in their plain form; the soft hyphen has no counterpart and goes."""
+    for a, b in (("\u2018", "'"), ("\u2019", "'"), ("\u00a0", " "), ("\u00ad", "")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def normalize_raw(c: Column) -> Column:
     """One form of line ends, quotes and blanks; at most one empty line in a row."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.translate(c, "\u2018\u2019\u00a0\u00ad", "'' ")  # the soft hyphen has no counterpart and goes
-    lines = F.transform(F.split(c, "\n", -1), lambda x: trim(F.regexp_replace(x, r"[ \t]{2,}", " ")))
+    lines = F.transform(F.split(_plain(c), "\n", -1), lambda x: trim(F.regexp_replace(x, r"[ \t]{2,}", " ")))
     return trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def normalize_line(c: Column) -> Column:
     """``normalize_raw`` of a text without line ends."""
-    c = F.translate(c, "\u2018\u2019\u00a0\u00ad", "'' ")
-    return trim(F.regexp_replace(c, r"[ \t]{2,}", " "))
+    c = _plain(c)
+    # most lines have nothing to replace, and one search tells
+    return F.when(c.rlike(f"[ \\t]{{2}}|^[{WS}]|[{WS}]\\z"), trim(F.regexp_replace(c, r"[ \t]{2,}", " "))).otherwise(c)
 
 
 def base_name(c: Column) -> Column:

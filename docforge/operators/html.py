@@ -31,4 +31,4 @@ def to_html(markdown: Column) -> Column:
     rest = F.regexp_replace(markdown, rule, "")
     blocks = F.filter(F.transform(F.split(rest, r"\n{2,}", -1), T.trim), lambda b: b != "")
     body = F.array_join(F.transform(blocks, block_html), "\n")
-    return F.concat_ws("\n", F.when(has, F.concat(F.lit("<pre><code>"), T.escape_html(front), F.lit("</code></pre>"))), F.when(body != "", body))
+    return F.concat_ws("\n", F.when(has, F.concat(F.lit("<pre><code>"), T.escape_html(front), F.lit("</code></pre>"))), F.when(F.size(blocks) > 0, body))

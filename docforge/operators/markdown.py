@@ -50,11 +50,10 @@ def with_markdown(df: DataFrame, options: Options = Options(), shift: Column | i
 def fallback_lines(pages: DataFrame) -> DataFrame:
     """Lines of pages (doc_id, page_no, text) without structure: paragraphs at empty lines, sizes unknown."""
     parts = pages.select("doc_id", "page_no", T.normalize_raw(F.coalesce("text", F.lit(""))).alias("t"))
-    paras = parts.select("doc_id", "page_no", F.posexplode_outer(F.split("t", r"\n{2,}", -1)).alias("para_no", "p"))
-    rows = paras.select("doc_id", "page_no", F.col("para_no").cast("long"), F.posexplode_outer(F.split("p", "\n", -1)).alias("k", "raw"))
-    rows = rows.select("doc_id", "page_no", "para_no", "k", T.trim(F.col("raw")).alias("text")).where("text <> ''")
-    order = F.row_number().over(B.Window.partitionBy("doc_id", "page_no").orderBy("para_no", "k")) - 1
-    return rows.select("doc_id", "page_no", "para_no", order.cast("long").alias("line_no"), "text", F.lit(0.0).alias("size"))
+    # the lines are trimmed already, and their places in the array number them
+    own = lambda p, k: F.transform(F.filter(F.split(p, "\n", -1), lambda x: x != ""), lambda x: F.struct(k.cast("long").alias("para_no"), x.alias("text")))
+    rows = parts.select("doc_id", "page_no", F.posexplode_outer(F.flatten(F.transform(F.split("t", r"\n{2,}", -1), own))).alias("line_no", "x")).where("line_no IS NOT NULL")
+    return rows.select("doc_id", "page_no", "x.para_no", F.col("line_no").cast("long").alias("line_no"), "x.text", F.lit(0.0).alias("size"))
 
 
 def made_blocks(lines: DataFrame, options: Options = Options()) -> DataFrame:

@@ -10,24 +10,22 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docforge.sources import folders
-
 STARTS = (0, 3, 6, 7, 8, 9, 10, 11, 12, 14, 16, 19)
 PAGE_LINES, LINE_WORDS = 30, 8
 #: Up to so many characters a line can serve as a heading or an unfinished end, or as a heading in capitals; longer ones stay whole.
 SHORT, CAPITALS = 60, 40
-#: Bytes of the table ``documents``, as it lies compressed, that one task takes.
-PART_BYTES = 4 << 20
+#: Bytes of text that one task takes.
+PART_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Documents by doc_id, in so many parts that a part's size doesn't grow with the table; of a small table Spark chooses their number."""
-    n = math.ceil(folders.size(spark, f"{sf_dir}/documents.parquet") / PART_BYTES)
-    return docs.repartition(n, "doc_id") if n > spark.sparkContext.defaultParallelism else docs.repartition("doc_id")
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents by doc_id, in so many parts that a part's text doesn't grow with the table; of a small table Spark chooses their number."""
+    n = math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PART_BYTES)
+    return docs.repartition(n, "doc_id") if n > docs.sparkSession.sparkContext.defaultParallelism else docs.repartition("doc_id")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Short lines in the places of headings and unfinished ends lose the punctuation at their end; no line loses words.
     """
     # dealt before it grows: all that follows goes by document or by page of one
-    base = dealt(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S")))
+    base = dealt(table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S")))
     # one pass over the text; cutting an array of words line by line would copy it for each
     cut = F.regexp_extract_all("text", F.lit(rf"\S++(?:\s++\S++){{0,{LINE_WORDS - 1}}}"), F.lit(0))
     rows = base.select("doc_id", F.posexplode_outer(cut).alias("ln", "raw")).select("doc_id", F.col("ln").cast("long").alias("ln"), F.regexp_replace("raw", r"\s{2,}|[\t-\r]", " ").alias("raw"))
@@ -84,14 +82,14 @@ lines AS (SELECT doc_id, page_no, CAST(sum(CASE WHEN r IN {STARTS} THEN 1 ELSE 0
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, text: lines with odd blanks, quotes and line ends, and no paragraph structure."""
     own = lines(spark, sf_dir)
-    before = F.coalesce(F.lag("para_no").over(Window.partitionBy("doc_id", "page_no").orderBy("line_no")), F.col("para_no"))
+    opens = F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(20)).isin(*STARTS) & (F.col("line_no") % PAGE_LINES != 0)  # a paragraph that isn't the page's first
     end = F.when(F.col("doc_id") % 3 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
-    head = F.when(F.col("line_no") % 7 == 0, F.concat(end, end)).when(before != F.col("para_no"), end).otherwise(F.lit(""))
+    head = F.when(F.col("line_no") % 7 == 0, F.concat(end, end)).when(opens, end).otherwise(F.lit(""))
     odd = F.element_at(F.array(F.lit("\u00a0"), F.lit("\u00ad"), F.lit("\u2019"), F.lit(""), F.lit("")), (F.col("line_no") % 5 + 1).cast("int"))
     text = F.concat(head, F.replace("text", F.lit(" a"), F.lit("  a")), odd)
     rows = own.select("doc_id", "page_no", "line_no", text.alias("t"), end.alias("e"))
-    joined = rows.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("x"), F.first("e").alias("e"))
-    return joined.select("doc_id", "page_no", F.array_join(F.transform("x", lambda s: s["t"]), "\x01").alias("text"), "e").select("doc_id", "page_no", F.replace("text", F.lit("\x01"), F.col("e")).alias("text"))
+    joined = rows.groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "t"))).alias("x"), F.first("e").alias("e"))
+    return joined.select("doc_id", "page_no", F.array_join("x.t", "\x01").alias("text"), "e").select("doc_id", "page_no", F.replace("text", F.lit("\x01"), F.col("e")).alias("text"))
 
 
 RAW_PAGES_SQL = LINES_SQL + """,

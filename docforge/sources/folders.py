@@ -29,12 +29,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
-def size(spark: SparkSession, path: str) -> int:
-    """Bytes of the files at a path, a folder's with all it holds."""
-    at, store = _at(spark, path)
-    return store.getContentSummary(at).getLength()
-
-
 def move(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a folder to one that isn't there yet; False, and the source deleted, where it is."""
     (a, store), (b, _) = _at(spark, source), _at(spark, target)
