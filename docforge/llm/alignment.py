@@ -7,10 +7,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernel
 from .common import documents, forget, release, written
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -66,7 +68,7 @@ def _second_encoder():
 
 
 def encoded(units: DataFrame) -> DataFrame:
-    """unit, a, b, sound of distinct units: packed tokens of both tokenizers, and whether both give back the unit's own bytes."""
+    """places, a, b, sound of distinct units (unit, places): packed tokens of both tokenizers, and whether both give back the unit's own bytes."""
 
     def encode(batches):
         sides = None
@@ -78,9 +80,9 @@ def encoded(units: DataFrame) -> DataFrame:
                 ids = encoder(texts)
                 sound &= np.array([None not in (own := [values[i] for i in t]) and b"".join(own) == b" " + u.encode() for t, u in zip(ids, texts, strict=True)], bool)
                 packed.append(pa.array([[len(values[i] or b"") << ID_BITS | i for i in t] for t in ids], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *packed, pa.array(sound)], ["unit", "a", "b", "sound"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *packed, pa.array(sound)], ["places", "a", "b", "sound"])
 
-    return units.mapInArrow(encode, "unit string, a array<int>, b array<int>, sound boolean")
+    return units.mapInArrow(encode, f"places {units.schema['places'].dataType.simpleString()}, a array<int>, b array<int>, sound boolean")
 
 
 def _tokens(coded: DataFrame, side: str) -> DataFrame:
@@ -140,7 +142,10 @@ def one_dealing(spark: SparkSession):
 
 
 def _packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, ids, sizes, slots, units: documents packed to blocks, each text as the numbers of its units in the block's own list of distinct units."""
+    """block, ids, slots, units: documents packed to blocks, each text as the numbers of its units in the block's own list of distinct units.
+
+    Frequent units have small numbers, so that most bytes of the packed numbers are alike.
+    """
 
     def pack(batches):
         number = TaskContext.get().partitionId() << 32
@@ -167,12 +172,17 @@ def _packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             yield row(number, ids, sizes, slots, units)
 
     def row(number, ids, sizes, slots, units):
-        whole = [[number], [pa.concat_arrays(ids)], [np.concatenate(sizes).tobytes()], [np.concatenate(slots).tobytes()], [list(units)]]
-        return pa.RecordBatch.from_arrays([pa.array(w, t) for w, t in zip(whole, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())), strict=True)], ["block", "ids", "sizes", "slots", "units"])
+        every = np.concatenate(slots)
+        order = np.argsort(-np.bincount(every, minlength=len(units)), kind="stable")
+        rank = np.empty(len(units), np.uint32)
+        rank[order] = np.arange(len(units), dtype=np.uint32)
+        listed = pa.array(list(units), pa.string()).take(pa.array(order))
+        whole = [[number], [pa.concat_arrays(ids)], [kernel.pack(np.concatenate(sizes), rank[every])], [listed]]
+        return pa.RecordBatch.from_arrays([pa.array(w, t) for w, t in zip(whole, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())), strict=True)], ["block", "ids", "slots", "units"])
 
     text = F.coalesce("text", F.lit(""))
     cut = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SEAM))
-    return docs.select(F.col("doc_id").cast("long"), cut, F.octet_length(text)).mapInArrow(pack, "block long, ids array<long>, sizes binary, slots binary, units array<string>")
+    return docs.select(F.col("doc_id").cast("long"), cut, F.octet_length(text)).mapInArrow(pack, "block long, ids array<long>, slots binary, units array<string>")
 
 
 def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -182,16 +192,66 @@ def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _parcels(batches):
-    """Rows of units' results, sorted by home, as one compressed parcel for each home and batch."""
+    """Rows of units' results, sorted by home and slot, as one packed parcel for each home: slots, sound, how many groups and links, the groups' sizes, the tokens, the links."""
+
+    def parcel(rows: list[pa.RecordBatch]) -> bytes:
+        own = pa.Table.from_batches(rows).combine_chunks()
+        lists = {c: own.column(c).combine_chunks() for c in _LISTS}
+        lists = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in lists.items()}
+        counts = [lists[c].value_lengths().to_numpy().astype(np.uint32) for c in ("n_a", "at_a")]
+        slots, sound = own.column("slot").to_numpy(), own.column("sound").to_numpy()
+        return kernel.pack(np.diff(slots, prepend=np.int32(0)).astype(np.uint32), sound.astype(np.uint8), *counts, *(lists[c].flatten().to_numpy().astype(np.uint32) for c in _LISTS))
+
+    homes, parcels, held, home = [], [], [], None
     for batch in batches:
-        home = batch.column(0).to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(home[1:] != home[:-1]) + 1, [len(home)]]) if len(home) else np.zeros(1, int)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            sink = pa.BufferOutputStream()
-            part = pa.record_batch(batch.columns[1:], names=batch.schema.names[1:]).slice(a, b - a)
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([int(home[a])]), pa.array([sink.getvalue().to_pybytes()])], ["home", "parcel"])
+        own = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            if held and home != int(own[x]):
+                homes.append(home)
+                parcels.append(parcel(held))
+                held = []
+            home = int(own[x])
+            held.append(batch.slice(x, y - x))
+        if parcels:
+            yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(parcels, pa.binary())], ["home", "parcel"])
+            homes, parcels = [], []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([parcel(held)], pa.binary())], ["home", "parcel"])
+
+
+class _Units:
+    """The results of a block's units, by their slots, from parcels."""
+
+    def __init__(self, parcels: list[bytes]):
+        parts = [kernel.unpack(p) for p in parcels] or [[np.zeros(0, np.uint32)] * (4 + len(_LISTS))]
+        slots = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts])
+        held = {}
+        for i, c in enumerate(("sound", "groups", "links", *_LISTS), 1):  # one after the other, so that a block's results are held once
+            held[c] = np.concatenate([p[i] for p in parts])
+            for p in parts:
+                p[i] = None
+        order = np.argsort(slots)
+        groups, links = (held.pop(c).astype(np.int64) for c in ("groups", "links"))
+        self.sound, self.n_groups, self.n_links = held.pop("sound")[order] > 0, groups[order], links[order]
+        at = np.concatenate([[0], np.cumsum(groups)])
+        own = _ranges(at[:-1][order], self.n_groups)
+        self.sizes, self.n, self.tokens = {}, {}, {}
+        for s in "ab":
+            ends = np.concatenate([[0], np.cumsum(held[f"n_{s}"], dtype=np.int64)])
+            self.sizes[s] = held.pop(f"n_{s}")[own]
+            self.n[s] = np.diff(ends[at])[order]
+            self.tokens[s] = held.pop(s)[_ranges(ends[at][:-1][order], self.n[s])]
+        own = _ranges(np.concatenate([[0], np.cumsum(links)])[:-1][order], self.n_links)
+        first = {s: np.repeat(np.cumsum(self.n[s]) - self.n[s], self.n_links) for s in "ab"}
+        a, b = (self.tokens[s][first[s] + held.pop(f"at_{s}")[own]].astype(np.int64) for s in "ab")
+        self.pairs = a << 32 | b
+
+    def said(self) -> list[str]:
+        """The groups of each unit as text."""
+        listed = lambda sizes, values, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values), by)
+        sides = [listed(self.sizes[s], pa.array(self.tokens[s]).cast(pa.string()), ",") for s in "ab"]
+        return listed(self.n_groups, pc.binary_join_element_wise(*sides, "|"), ";").to_pylist()
 
 
 def _composed(digest: bool):
@@ -202,18 +262,14 @@ def _composed(digest: bool):
         if not blocks.num_rows:
             return OF_BLOCK.empty_table()
         ids = blocks.column("ids")[0].as_py()
-        found = pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in found.column("parcel")]) if found.num_rows else _FOUND.empty_table()
-        sizes, slots = (np.frombuffer(blocks.column(c)[0].as_py(), np.int32).astype(np.int64) for c in ("sizes", "slots"))
-        order = np.argsort(found.column("slot").to_numpy()) if found.num_rows else np.zeros(0, np.int64)
-        sound = found.column("sound").to_numpy()[order]
-        counts = {c: found.column(c).to_numpy()[order].astype(np.int64) for c in ("n_a", "n_b", "n_groups")}
-        strings = found.column("groups").take(pa.array(order)).to_pylist()
-        links = found.column("links").take(pa.array(order)).combine_chunks()
-        links = links.combine_chunks() if isinstance(links, pa.ChunkedArray) else links
-        held = links.flatten().to_numpy()
-        n_links = np.asarray(links.value_lengths().fill_null(0)).astype(np.int64)
+        units = _Units(found.column("parcel").to_pylist())
+        sizes, slots = kernel.unpack(blocks.column("slots")[0].as_py())
+        sound, n_links, strings = units.sound, units.n_links, units.said()
+        counts = {"n_a": units.n["a"], "n_b": units.n["b"], "n_groups": units.n_groups}
         starts = np.concatenate([[0], np.cumsum(n_links)])
-        pairs, index = np.unique(held, return_inverse=True)
+        pairs, index = np.unique(units.pairs, return_inverse=True)
+        index = index.astype(np.int32)
+        del units
         first = np.concatenate([[0], np.cumsum(sizes)])
         texts, sums, ends, ats, times = [], [], [], [], []
         for d in range(len(ids)):
@@ -229,10 +285,10 @@ def _composed(digest: bool):
             every = _ranges(starts[kinds], n_links[kinds])
             which, back = np.unique(index[every], return_inverse=True)
             ats.append(which)
-            times.append(np.bincount(back, np.repeat(n, n_links[kinds]), len(which)).astype(np.int64))
+            times.append(np.bincount(back, np.repeat(n, n_links[kinds]), len(which)).astype(np.int32))
             ends.append(len(which))
             sums.append((*(int((counts[c][kinds] * n).sum()) for c in ("n_a", "n_b", "n_groups")), int((n_links[kinds] * n).sum())))
-        at = np.concatenate(ats) if ats else np.zeros(0, np.int64)
+        at = np.concatenate(ats) if ats else np.zeros(0, np.int32)
         docs = np.bincount(at, minlength=len(pairs))
         seen = docs > 0  # units of texts without tokens have pairs that nothing holds
         place = np.cumsum(seen) - 1
@@ -243,7 +299,8 @@ def _composed(digest: bool):
 
 
 _LONGS = pa.list_(pa.int64())
-_FOUND = pa.schema([("slot", pa.int32()), ("sound", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", _LONGS)])
+#: Of a unit: tokens of each of its groups, the tokens, and the numbers in the unit of the tokens that each link joins.
+_LISTS = ("n_a", "n_b", "a", "b", "at_a", "at_b")
 OF_BLOCK = pa.schema([("block", pa.int64()), ("ids", _LONGS), ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("n_links", _LONGS), ("groups", pa.list_(pa.string())), ("pairs", _LONGS), ("docs", _LONGS), ("ends", pa.binary()), ("at", pa.binary()), ("times", pa.binary())])
 
 
@@ -278,25 +335,26 @@ def align_tokens(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK
     """
     blocks = written(_packed_blocks(docs, block_bytes), "token-blocks")
     listed = blocks.select("block", F.posexplode("units").alias("slot", "unit"))
-    units = encoded(listed.select("unit").distinct())
+    places = F.collect_list(F.struct("block", "slot")).alias("places")  # one for each block that has the unit
+    units = encoded(listed.groupBy("unit").agg(places).select("unit", "places"))
     coded = written(units.withColumn("uid", F.monotonically_increasing_id()), "units")
     spark = docs.sparkSession
     release(spark)
     with one_dealing(spark):
         groups, links = align_units(coded.where("sound").select("uid", "a", "b"))
-        row = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
-        every = F.array_sort(F.collect_list(F.struct("grp", row.alias("said"))))
-        said = groups.groupBy("uid").agg(F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(every, lambda x: x["said"]), ";").alias("groups"))
-        pair = F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")
-        linked = links.groupBy("uid").agg(F.collect_list(pair).alias("links"))
-        known = coded.select("uid", "unit", "sound").repartition("uid")
+        every = F.array_sort(F.collect_list(F.struct("grp", "a", "b"))).alias("every")
+        of = lambda c: F.transform("every", lambda x: x[c])
+        said = groups.groupBy("uid").agg(every).select("uid", *[F.transform(of(s), F.size).alias(f"n_{s}") for s in ("a", "b")], *[F.flatten(of(s)).alias(s) for s in ("a", "b")])
+        pairs = F.collect_list(F.struct("a_pos", "b_pos"))
+        linked = links.groupBy("uid").agg(pairs.alias("every")).select("uid", *[of(f"{s}_pos").alias(f"at_{s}") for s in ("a", "b")])
+        known = coded.select("uid", "places", "sound").repartition("uid")
         results = written(known.join(said, "uid", "left").join(linked, "uid", "left").drop("uid"), "unit-results")
     forget(spark, coded)
     release(spark)
-    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups")}
-    found = listed.join(results, "unit").select(F.col("block").alias("home"), "slot", "sound", *zero.values(), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    lists = [F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in _LISTS]
+    found = results.select(F.explode("places").alias("at"), "sound", *lists).select(F.col("at.block").alias("home"), "at.slot", "sound", *_LISTS)
     of_block = "block long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, pairs array<long>, docs array<long>, ends binary, at binary, times binary"
-    made = written(blocks.select("block", "ids", "sizes", "slots").groupBy("block").cogroup(found.sortWithinPartitions("home").mapInArrow(_parcels, "home long, parcel binary").groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
+    made = written(blocks.select("block", "ids", "slots").groupBy("block").cogroup(found.sortWithinPartitions("home", "slot").mapInArrow(_parcels, "home long, parcel binary").groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
     forget(spark, results)
     forget(spark, blocks)
     release(spark)

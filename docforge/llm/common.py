@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -164,8 +165,13 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are out of reach."""
+    """Let Spark's cleaner drop the shuffle files of plans that are out of reach.
+
+    A plan is within reach until Spark's listeners have seen its end, so what a first collection finds too early goes with the second.
+    """
     import gc
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U = np.uint64
 SLICE_BYTES = 1 << 20
@@ -118,3 +119,22 @@ def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Sorted distinct values of each text, and where each text's begin."""
     parts = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte by byte of their items, so that leading zeros take no room."""
+    head = b"".join(x.dtype.str.encode().ljust(8) + len(x).to_bytes(8, "little") for x in arrays)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays).to_bytes(8, "little"), head, *planes]))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, out = int.from_bytes(raw[:8], "little"), []
+    at = 8 + 16 * n
+    for i in range(n):
+        kind, size = np.dtype(raw[8 + 16 * i : 16 + 16 * i].strip().decode()), int.from_bytes(raw[16 + 16 * i : 24 + 16 * i], "little")
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
+    return out

@@ -7,13 +7,14 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
 from .common import documents, forget, release, written
 from .kernel import U
+from .kernel import pack as _pack
+from .kernel import unpack as _unpack
 
 #: The token that ends every text and is the context of the next first word.
 END = U(0x3C6EF372FE94F82B)
@@ -30,25 +31,6 @@ SHAPE = "kind int, key long, part long, body binary, sums array<long>"
 BLOCK, WORDS, IDS, COUNTS, PAIRS, STATE, INDEX, ASKED, REPLY, TABLES, SCORES, ROOT = range(12)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value, byte by byte of their items, so that leading zeros take no room."""
-    head = b"".join(x.dtype.str.encode().ljust(8) + len(x).to_bytes(8, "little") for x in arrays)
-    planes = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays).to_bytes(8, "little"), head, *planes]))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, out = int.from_bytes(raw[:8], "little"), []
-    at = 8 + 16 * n
-    for i in range(n):
-        kind, size = np.dtype(raw[8 + 16 * i : 16 + 16 * i].strip().decode()), int.from_bytes(raw[16 + 16 * i : 24 + 16 * i], "little")
-        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += size * kind.itemsize
-    return out
-
-
 def _rows(items: Iterable[tuple]) -> pa.Table:
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
     columns = list(zip(*items, strict=True)) or [()] * len(kinds)

@@ -72,3 +72,23 @@ def test_seams_cut_where_both_tokenizers_do(text):
 
 
 ENCODERS = []
+
+
+def test_blocks_and_parcels_are_small(spark):
+    """A block's texts take no more than two bytes a unit, and units' results as parcels give back what was packed."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    block = alignment._packed_blocks(table.coalesce(1), 6 << 20).first()
+    sizes, slots = alignment.kernel.unpack(bytes(block["slots"]))
+    assert sizes.sum() == len(slots) > 10_000 and len(block["slots"]) <= 2 * len(slots)
+    assert (np.diff(np.bincount(slots, minlength=len(block["units"]))) <= 0).all()
+    import pyarrow as pa
+
+    rows = [(5, 0, True, [1, 2], [1, 1], [7, 8, 9], [70, 90], [0, 1, 2], [0, 1, 1]), (5, 1, False, [], [], [], [], [], []), (5, 3, True, [1], [1], [4], [40], [0], [0]), (6, 0, True, [1], [2], [1], [10, 11], [0, 0], [0, 1])]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.list_(pa.int32())] * 6]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["home", "slot", "sound", *alignment._LISTS])
+    made = pa.Table.from_batches(alignment._parcels(iter([batch.slice(0, 1), batch.slice(1, 3)])))
+    assert made.column("home").to_pylist() == [5, 6]
+    units = alignment._Units(made.column("parcel").to_pylist()[:1])
+    assert units.said() == ["7|70;8,9|90", "", "4|40"] and units.sound.tolist() == [True, False, True]
+    assert [divmod(p, 1 << 32) for p in units.pairs.tolist()] == [(7, 70), (8, 90), (9, 90), (4, 40)] and units.n_links.tolist() == [3, 0, 1]
+    assert alignment._Units([]).said() == []
