@@ -12,6 +12,8 @@ from docforge.operators.strips import STRIP_BYTES
 
 #: Bytes of a file for each task that reads it, about.
 SLICE_BYTES = 64 << 20
+#: What opening a file counts for, in bytes, when slices are dealt to tasks; slices' bytes in a task, where slices are small.
+OPEN_BYTES, TOGETHER = 128 << 10, 2048
 #: The most bytes of a header, comments included.
 HEAD_BYTES = 4096
 _APART = rb"(?:\s|#[^\n]*\n)+"
@@ -50,8 +52,8 @@ def decoder():
 class StripSource(DataSource):
     """The source ``docforge_strips``: path, y, w, h, channels, pixels, error of the portable pixmaps of a folder.
 
-    Options: ``path``, a URI that all tasks reach; ``slice_bytes``; ``strip_bytes``. A file of k slices is k partitions; each seeks to its
-    own lines, so no task holds more than a strip. Small files share a partition up to ``slice_bytes``. A file whose header can't be read or whose pixels end early gives one row with its error and no
+    Options: ``path``, a URI that all tasks reach; ``slice_bytes``; ``strip_bytes``. A file of k slices is in k partitions; each seeks to its
+    own lines, so no task holds more than a strip. Slices of many files share a partition, up to SLICE_BYTES (or TOGETHER slices where these are small), with OPEN_BYTES for each. A file whose header can't be read or whose pixels end early gives one row with its error and no
     strips; one without pixels gives none.
     """
 
@@ -83,19 +85,10 @@ class _StripReader(DataSourceReader):
 
         store, root = fs.FileSystem.from_uri(self.folder)
         found = [i for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and re.search(r"(?i)\.(pnm|p[gpa]m)\Z", i.base_name)]
-        parts: list[list] = [[]]
-        room = self.slice_bytes
-        for i in sorted(found, key=lambda i: i.path):
-            of = max(1, -(-i.size // self.slice_bytes))
-            if of > 1:
-                parts[:0] = [[(i.path, i.size, k, of)] for k in range(of)]
-                continue
-            if i.size > room:
-                parts.append([])
-                room = self.slice_bytes
-            parts[-1].append((i.path, i.size, 0, 1))
-            room -= i.size
-        return [_Slices(p) for p in parts if p]
+        slices = [(i.path, i.size, k, of) for i in sorted(found, key=lambda i: i.path) for of in [max(1, -(-i.size // self.slice_bytes))] for k in range(of)]
+        whole = sum(i.size for i in found) + OPEN_BYTES * len(slices)
+        parts = max(-(-whole // min(SLICE_BYTES, TOGETHER * self.slice_bytes)), max((of for _, _, _, of in slices), default=0))
+        return [_Slices(slices[k::parts]) for k in range(parts)]  # slices of one file follow each other, so no two share a partition
 
     def read(self, partition: _Slices) -> Iterator[tuple]:
         from pyarrow import fs
