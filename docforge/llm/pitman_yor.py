@@ -335,6 +335,8 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
     release(spark)
     merged = written(grouped(lambda t: _merged(t, shards), of(paired, PAIRS)), "shards")
     rate = _rate(*total(merged, STATE, 2))
+    texts = written(of(paired, BLOCK), "texts")  # the pairs beside them are in the shards now
+    forget(spark, paired)
     release(spark)
 
     def root(asked: DataFrame, sweep: int, n: int, drawn: DataFrame | None = None, whole: np.ndarray | None = None) -> tuple[DataFrame, dict]:
@@ -418,7 +420,7 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, chains: int = C
     for table in (merged, asked, replies, numbered):
         forget(spark, table)
     release(spark)
-    whole = of(paired, BLOCK).unionByName(scored).groupBy("key").applyInArrow(by_text, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    whole = texts.unionByName(scored).groupBy("key").applyInArrow(by_text, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -517,3 +517,14 @@ def test_suffix_array(monkeypatch, wide):
         text = np.tile(text[: max(1, len(text) // 7)], 8) if k % 3 == 0 else text
         assert suffixes.suffix_array(text, alphabet).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
     assert len(suffixes.suffix_array(np.zeros(0, np.int64), 4)) == 0
+
+
+def test_language_model_drops_pairs_once_merged(spark, docs):
+    """The pairs that blocks sent to shards aren't kept on disk beside the shards; the texts are."""
+    import os
+
+    shared = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    scored = pitman_yor.score_texts(docs.select("doc_id", "text"))
+    left = sorted(f.split("-")[0] for f in set(os.listdir(shared)) - before)
+    assert left == ["scores", "texts"] and scored.count() == docs.count()
