@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,13 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_BYTES = 6 << 20
 #: Overlaps within a group are found by bins of so many bytes.
 BIN = 64
-#: A text is cut before a single space between two of these; tokens of neither tokenizer reach over such a place.
-SEAM = r"(?<=[\p{L}\p{N}\p{P}\p{S}])\x20(?=[\p{L}\p{N}\p{P}\p{S}])"
+#: A place of a unit is its block and its slot there in one long: 20 bits for the block's task, 16 for its number there, the rest for the slot.
+SLOT_BITS = 27
+#: Links of so many documents are sorted at once in a block, about.
+LINKS = 1 << 20
+#: A text is cut before a single space between two of these; tokens of neither tokenizer reach over such a place. The space stands first, so
+#: that nothing else is looked at around it.
+SEAM = r"\x20(?<=[\p{L}\p{N}\p{P}\p{S}]\x20)(?=[\p{L}\p{N}\p{P}\p{S}])"
 #: A token is an id and its bytes in one int.
 ID_BITS = 17
 #: Below this code point the ranks' own encoder splits texts as the tokenizer's file does, for certain; it is five times as fast.
@@ -67,22 +73,101 @@ def _second_encoder():
     return lambda units: model.encode(units, num_threads=1), values
 
 
+def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """``counts`` of ``values`` after each other as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _lists(column: pa.Array, kind: type) -> pa.Array:
+    """A binary column of numbers as one of lists, over the same bytes."""
+    _, ends, held = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(held, kind, ends[-1] // size) if ends[-1] else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends // size, pa.int32()), pa.array(values))
+
+
 def encoded(units: DataFrame) -> DataFrame:
-    """places, a, b, sound of distinct units (unit, places): packed tokens of both tokenizers, and whether both give back the unit's own bytes."""
+    """places, a, b, shape, sound of distinct units (unit, places): ids of both tokenizers' tokens as binaries of uint16, the tokens' lengths, and
+    whether both give back the unit's own bytes. A unit that isn't sound has neither tokens nor a shape.
+
+    A shape is a binary of uint16: how many tokens the first side has (two numbers), their lengths in bytes, and those of the other side.
+    """
 
     def encode(batches):
         sides = None
         for batch in batches:
-            sides = sides or (_first_encoder(), _second_encoder())
+            if sides is None:
+                sides = []
+                for encoder, values in (_first_encoder(), _second_encoder()):
+                    if len(values) > 1 << 16:
+                        raise ValueError("ids take more than 16 bits")
+                    sides.append((encoder, [v or b"" for v in values], np.array([v is None for v in values]), np.array([len(v or b"") for v in values], np.uint32)))
             texts = batch.column(0).to_pylist()
-            packed, sound = [], np.ones(len(texts), bool)
-            for encoder, values in sides:
+            wanted = [b" " + u.encode() for u in texts]
+            sound, found = np.ones(len(texts), bool), []
+            for encoder, values, lost, sizes in sides:
                 ids = encoder(texts)
-                sound &= np.array([None not in (own := [values[i] for i in t]) and b"".join(own) == b" " + u.encode() for t, u in zip(ids, texts, strict=True)], bool)
-                packed.append(pa.array([[len(values[i] or b"") << ID_BITS | i for i in t] for t in ids], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *packed, pa.array(sound)], ["places", "a", "b", "sound"])
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+                of = np.repeat(np.arange(len(n)), n)
+                sound[of[lost[flat]]] = False
+                said = b"".join(map(values.__getitem__, flat.tolist()))
+                ends = np.cumsum(np.bincount(of, sizes[flat], len(n)).astype(np.int64)).tolist()
+                sound &= np.fromiter((said[x:y] == w for x, y, w in zip([0, *ends], ends, wanted)), bool, len(n))
+                found.append((flat, n, of, sizes))
+            held = []
+            for flat, n, of, sizes in found:
+                flat = flat[sound[of]]
+                held.append((flat.astype(np.uint16), np.where(sound, n, 0), sizes[flat]))
+            (a, n_a, size_a), (b, n_b, size_b) = held
+            whole = np.where(sound, 2 + n_a + n_b, 0)
+            first = np.cumsum(whole) - whole
+            shape = np.empty(int(whole.sum()), np.uint16)
+            shape[first[sound]], shape[first[sound] + 1] = n_a[sound] & 0xFFFF, n_a[sound] >> 16
+            shape[_ranges(first + 2, n_a)], shape[_ranges(first + 2 + n_a, n_b)] = size_a, size_b
+            yield pa.RecordBatch.from_arrays([batch.column(1), _binaries(a, n_a), _binaries(b, n_b), _binaries(shape, whole), pa.array(sound)], ["places", "a", "b", "shape", "sound"])
+
+    return units.mapInArrow(encode, f"places {units.schema['places'].dataType.simpleString()}, a binary, b binary, shape binary, sound boolean")
+
+
+def _shaped(batches):
+    """uid, shape, a, b of shapes (uid, shape): tokens of such lengths, with 0 for their ids."""
+    for batch in batches:
+        sides = {"a": [], "b": []}
+        for shape in batch.column(1).to_pylist():
+            low, high, *sizes = np.frombuffer(shape, np.uint16).tolist()
+            n = high << 16 | low
+            for side, own in (("a", sizes[:n]), ("b", sizes[n:])):
+                sides[side].append([x << ID_BITS for x in own])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in sides.values())], ["uid", "shape", "a", "b"])
+
+
+def _told(batches):
+    """Columns of lists as binaries of int32."""
+    for batch in batches:
+        lists = [x.cast(pa.list_(pa.int32())) for x in batch.columns[1:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(_binaries(x.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x in lists)], batch.schema.names)
+
 
-    return units.mapInArrow(encode, f"places {units.schema['places'].dataType.simpleString()}, a array<int>, b array<int>, sound boolean")
+def align_shapes(shapes: DataFrame) -> DataFrame:
+    """shape, n_a, n_b, at_a, at_b of distinct shapes: the groups' numbers of tokens and the numbers of the tokens that each link joins, as binaries of int32.
+
+    Where tokens end and overlap follows from their lengths alone, so units of equal lengths share the groups and links of one.
+    """
+    numbered = written(shapes.withColumn("uid", F.monotonically_increasing_id()).select("uid", "shape"), "shapes")
+    with one_dealing(shapes.sparkSession):
+        coded = numbered.mapInArrow(_shaped, "uid long, shape binary, a array<int>, b array<int>")
+        groups, links = align_units(coded.select("uid", "a", "b"))
+        every = F.array_sort(F.collect_list(F.struct("grp", F.size("a").alias("n_a"), F.size("b").alias("n_b")))).alias("every")
+        of = lambda c: F.transform("every", lambda x: x[c]).alias(c)
+        said = groups.groupBy("uid").agg(every).select("uid", of("n_a"), of("n_b"))
+        linked = links.groupBy("uid").agg(F.collect_list(F.struct(F.col("a_pos").alias("at_a"), F.col("b_pos").alias("at_b"))).alias("every")).select("uid", of("at_a"), of("at_b"))
+        both = numbered.repartition("uid").join(said, "uid").join(linked, "uid").select("shape", "n_a", "n_b", "at_a", "at_b")
+        aligned = written(both.mapInArrow(_told, "shape binary, n_a binary, n_b binary, at_a binary, at_b binary"), "aligned-shapes")
+    forget(shapes.sparkSession, numbered)
+    return aligned
 
 
 def _tokens(coded: DataFrame, side: str) -> DataFrame:
@@ -148,7 +233,7 @@ def _packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """
 
     def pack(batches):
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 16
         ids, units, slots, sizes, size = [], {}, [], [], 0
         for batch in batches:
             lists, grown = batch.column(1), np.cumsum(batch.column(2).to_numpy())
@@ -172,6 +257,8 @@ def _packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             yield row(number, ids, sizes, slots, units)
 
     def row(number, ids, sizes, slots, units):
+        if len(units) >> SLOT_BITS or (number & 0xFFFF) == 0xFFFF:
+            raise ValueError("places take more than 63 bits")
         every = np.concatenate(slots)
         order = np.argsort(-np.bincount(every, minlength=len(units)), kind="stable")
         rank = np.empty(len(units), np.uint32)
@@ -220,6 +307,18 @@ def _parcels(batches):
         yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([parcel(held)], pa.binary())], ["home", "parcel"])
 
 
+def _packed(batches):
+    """``_parcels`` of rows (place, sound, and binaries for lists) sorted by place."""
+    for_lists = [np.uint16 if c in "ab" else np.int32 for c in _LISTS]
+
+    def rows(batch):
+        place = batch.column(0).to_numpy()
+        home, slot = pa.array(place >> SLOT_BITS), pa.array((place & ((1 << SLOT_BITS) - 1)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([home, slot, batch.column(1), *map(_lists, batch.columns[2:], for_lists)], ["home", "slot", "sound", *_LISTS])
+
+    return _parcels(map(rows, batches))
+
+
 class _Units:
     """The results of a block's units, by their slots, from parcels."""
 
@@ -270,29 +369,32 @@ def _composed(digest: bool):
         pairs, index = np.unique(units.pairs, return_inverse=True)
         index = index.astype(np.int32)
         del units
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        texts, sums, ends, ats, times = [], [], [], [], []
-        for d in range(len(ids)):
-            own = slots[first[d] : first[d + 1]]
-            if not len(own) or not sound[own].all():
-                texts.append("")
-                sums.append((0, 0, 0, 0))
-                ends.append(0)
-                continue
-            said = ";".join([strings[u] for u in own.tolist()])
-            texts.append(hashlib.sha256(said.encode()).hexdigest() if digest else said)
-            kinds, n = np.unique(own, return_counts=True)
-            every = _ranges(starts[kinds], n_links[kinds])
-            which, back = np.unique(index[every], return_inverse=True)
-            ats.append(which)
-            times.append(np.bincount(back, np.repeat(n, n_links[kinds]), len(which)).astype(np.int32))
-            ends.append(len(which))
-            sums.append((*(int((counts[c][kinds] * n).sum()) for c in ("n_a", "n_b", "n_groups")), int((n_links[kinds] * n).sum())))
+        first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        summed = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[slots], dtype=np.int64)])[first])  # noqa: E731  (of each document)
+        kept = (sizes > 0) & (summed(~sound) == 0)
+        sums = [np.where(kept, summed(c), 0) for c in (*counts.values(), n_links)]
+        texts = []
+        for x, y, whole in zip(first[:-1].tolist(), first[1:].tolist(), kept.tolist(), strict=True):
+            said = ";".join([strings[u] for u in slots[x:y].tolist()]) if whole else ""
+            texts.append(hashlib.sha256(said.encode()).hexdigest() if digest and whole else said)
+        del strings
+        ends, ats, times = np.zeros(len(ids), np.int64), [], []
+        linked, d = np.concatenate([[0], np.cumsum(sums[3])]), 0
+        while d < len(ids):  # the links of some documents at a time, sorted by document and pair
+            to = max(d + 1, int(np.searchsorted(linked, linked[d] + LINKS, "right")) - 1)
+            own = slots[first[d] : first[to]][np.repeat(kept[d:to], sizes[d:to])]
+            held = np.repeat(np.arange(to - d), sums[3][d:to]) << 32 | index[_ranges(starts[own], n_links[own])]
+            held.sort()
+            new = np.flatnonzero(np.diff(held, prepend=-1))
+            ends[d:to] = np.bincount(held[new] >> 32, minlength=to - d)
+            ats.append((held[new] & 0xFFFFFFFF).astype(np.int32))
+            times.append(np.diff(np.append(new, len(held))).astype(np.int32))
+            d = to
         at = np.concatenate(ats) if ats else np.zeros(0, np.int32)
         docs = np.bincount(at, minlength=len(pairs))
         seen = docs > 0  # units of texts without tokens have pairs that nothing holds
         place = np.cumsum(seen) - 1
-        columns = [key[0].as_py(), ids, *([s[k] for s in sums] for k in range(4)), texts, pairs[seen], docs[seen], np.array(ends, np.int64).tobytes(), place[at].astype(np.int32).tobytes(), (np.concatenate(times) if times else at).astype(np.int32).tobytes()]
+        columns = [key[0].as_py(), ids, *sums, texts, pairs[seen], docs[seen], ends.tobytes(), place[at].astype(np.int32).tobytes(), (np.concatenate(times) if times else at).astype(np.int32).tobytes()]
         return pa.Table.from_arrays([pa.array([c], OF_BLOCK.field(n).type) for n, c in zip(names, columns, strict=True)], names)
 
     return compose
@@ -325,8 +427,8 @@ def align_tokens(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK
     where both end, links of overlapping tokens, links whose pair is in as many documents as any of its first token, the sum of the
     links' document counts, and the groups as ``a1,a2|b1;a3|b2,b3`` (with ``digest`` their sha256).
 
-    Texts are cut at seams, places where both tokenizers cut whatever stands around, and each distinct unit is encoded and aligned once,
-    by joins and windows on tokens (``align_units``). Documents go in blocks of about ``block_bytes`` with the distinct units of each; a block
+    Texts are cut at seams, places where both tokenizers cut whatever stands around, and each distinct unit is encoded once. Units whose tokens
+    have the same lengths are aligned once, by joins and windows on tokens (``align_shapes``, ``align_units``). Documents go in blocks of about ``block_bytes`` with the distinct units of each; a block
     gets its units' results, counts its distinct pairs, and gets the corpus-wide counts of these back. So a frequent unit or
     pair is one row a block, and tasks hold a block and its results.
 
@@ -335,27 +437,23 @@ def align_tokens(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK
     """
     blocks = written(_packed_blocks(docs, block_bytes), "token-blocks")
     listed = blocks.select("block", F.posexplode("units").alias("slot", "unit"))
-    places = F.collect_list(F.struct("block", "slot")).alias("places")  # one for each block that has the unit
-    units = encoded(listed.groupBy("unit").agg(places).select("unit", "places"))
-    coded = written(units.withColumn("uid", F.monotonically_increasing_id()), "units")
+    places = F.collect_list(F.shiftleft("block", SLOT_BITS) + F.col("slot")).alias("places")  # one for each block that has the unit
+    coded = written(encoded(listed.groupBy("unit").agg(places).select("unit", "places")), "units")
     spark = docs.sparkSession
     release(spark)
-    with one_dealing(spark):
-        groups, links = align_units(coded.where("sound").select("uid", "a", "b"))
-        every = F.array_sort(F.collect_list(F.struct("grp", "a", "b"))).alias("every")
-        of = lambda c: F.transform("every", lambda x: x[c])
-        said = groups.groupBy("uid").agg(every).select("uid", *[F.transform(of(s), F.size).alias(f"n_{s}") for s in ("a", "b")], *[F.flatten(of(s)).alias(s) for s in ("a", "b")])
-        pairs = F.collect_list(F.struct("a_pos", "b_pos"))
-        linked = links.groupBy("uid").agg(pairs.alias("every")).select("uid", *[of(f"{s}_pos").alias(f"at_{s}") for s in ("a", "b")])
-        known = coded.select("uid", "places", "sound").repartition("uid")
-        results = written(known.join(said, "uid", "left").join(linked, "uid", "left").drop("uid"), "unit-results")
+    sound = coded.where("sound")
+    aligned = align_shapes(sound.select("shape").distinct())
+    release(spark)
+    joined = sound.join(aligned, "shape").select("places", "sound", *_LISTS)
+    lost = coded.where("NOT sound").select("places", "sound", "a", "b", *[F.lit(b"").alias(c) for c in _LISTS if c not in "ab"])
+    found = joined.unionByName(lost).select(F.explode("places").alias("place"), "sound", *_LISTS)
+    parcels = written(found.sortWithinPartitions("place").mapInArrow(_packed, "home long, parcel binary"), "parcels")
     forget(spark, coded)
+    forget(spark, aligned)
     release(spark)
-    lists = [F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in _LISTS]
-    found = results.select(F.explode("places").alias("at"), "sound", *lists).select(F.col("at.block").alias("home"), "at.slot", "sound", *_LISTS)
     of_block = "block long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, pairs array<long>, docs array<long>, ends binary, at binary, times binary"
-    made = written(blocks.select("block", "ids", "slots").groupBy("block").cogroup(found.sortWithinPartitions("home", "slot").mapInArrow(_parcels, "home long, parcel binary").groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
-    forget(spark, results)
+    made = written(blocks.select("block", "ids", "slots").groupBy("block").cogroup(parcels.groupBy("home")).applyInArrow(_composed(digest), of_block), "composed")
+    forget(spark, parcels)
     forget(spark, blocks)
     release(spark)
     kinds = made.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("slot", "x")).select("block", "slot", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))

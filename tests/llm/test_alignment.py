@@ -92,3 +92,26 @@ def test_blocks_and_parcels_are_small(spark):
     assert units.said() == ["7|70;8,9|90", "", "4|40"] and units.sound.tolist() == [True, False, True]
     assert [divmod(p, 1 << 32) for p in units.pairs.tolist()] == [(7, 70), (8, 90), (9, 90), (4, 40)] and units.n_links.tolist() == [3, 0, 1]
     assert alignment._Units([]).said() == []
+
+
+def test_units_of_equal_lengths_share_an_alignment(spark, monkeypatch):
+    """Joins and windows run over distinct lengths of tokens, not over units; a unit that isn't sound has no shape."""
+    seen, plain = [], alignment.align_units
+    monkeypatch.setattr(alignment, "align_units", lambda coded: (seen.append(coded.count()), plain(coded))[1])
+    rows = spark.createDataFrame([(1, " ".join(f"{x}{y}" for x in "abcdefghijk" for y in "abcdefghijk")), (2, "a ▁x")], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.align_tokens(rows, digest=True).collect()}
+    assert got == brute.alignment([tuple(r) for r in rows.collect()])
+    assert len(seen) == 1 and 0 < seen[0] < 20  # of 121 units
+    units = spark.createDataFrame([("hello", [1]), ("world", [2]), ("▁x", [3])], "unit string, places array<long>")
+    coded = {r["places"][0]: r for r in alignment.encoded(units).collect()}
+    assert [bytes(coded[3][c]) for c in ("a", "b", "shape")] == [b""] * 3 and not coded[3]["sound"]
+    assert bytes(coded[1]["shape"])[:4] == bytes([len(coded[1]["a"]) // 2, 0, 0, 0])
+
+
+def test_binaries_as_lists():
+    import pyarrow as pa
+
+    column = alignment._binaries(np.arange(6, dtype=np.int32), np.array([2, 0, 3, 1]))
+    assert alignment._lists(column, np.int32).to_pylist() == [[0, 1], [], [2, 3, 4], [5]]
+    assert alignment._lists(column.slice(1, 2), np.int32).to_pylist() == [[], [2, 3, 4]]
+    assert alignment._lists(pa.array([], pa.binary()), np.uint16).to_pylist() == []
