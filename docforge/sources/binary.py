@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docforge.operators.files import DEVICE_TYPES, mime_by_extension
 
+from . import folders
+
 #: Formats that image decoders commonly lack; their bytes go to recognition as they are.
 UNDECODED = r"(?i)\.(tiff?|pnm)\z"
 
@@ -21,6 +26,29 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return _named(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
 
 
+def scan_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """``scan`` of the files in the folders that ``folder`` holds (``publish`` by parts): each is listed by a task, so the driver holds the names of the folders only.
+
+    As in ``scan``, names that begin with . or _ are left out. ``folder`` is a URI that all tasks reach.
+    """
+    parts = [p for p in folders.children(spark, folder) if not p.rsplit("/", 1)[-1].startswith((".", "_"))]
+
+    def listed(batches: Iterator[pa.RecordBatch]):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                found = [i for i in store.get_file_info(fs.FileSelector(f"{root}/{part.rsplit('/', 1)[-1]}")) if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
+                for at in range(0, len(found), 10_000):
+                    own = found[at : at + 10_000]
+                    columns = [f"{part}/{i.base_name}" for i in own], [i.size for i in own], [i.mtime_ns // 1000 for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.timestamp("us", "UTC")), strict=True)], ["path", "length", "modificationTime"])
+
+    given = spark.createDataFrame([(p,) for p in parts], "part string").repartition(max(1, len(parts)))
+    return _named(given.mapInArrow(listed, "path string, length long, modificationTime timestamp"))
+
+
 def with_content(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """Adds content, read only for the files that are left."""
     return files.join(spark.read.format("binaryFile").load(folder).select("path", "content"), "path")

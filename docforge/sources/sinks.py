@@ -95,10 +95,13 @@ class _StagedWriter(DataSourceWriter):
             store.delete_dir(f"{root}/{self.staging}")
 
 
-def publish(spark: SparkSession, folder: str) -> None:
+def publish(spark: SparkSession, folder: str, by_parts: bool = False) -> None:
     """Move the files of every decided write of ``folder`` to their places, a task for each staged folder, and clear what is left over.
 
     May be run again after a crash: what was moved stays, what wasn't is moved then. Of two writes with one name the later replaces the file.
+
+    With ``by_parts`` each staged folder is moved as it is, to ``folder``/part-..., so that no folder holds more files than one task wrote and
+    moves grow with the tasks, not with the files; files of one name in two parts both stay then. It takes a file system that renames folders.
     """
     from pyarrow import fs
 
@@ -116,6 +119,9 @@ def publish(spark: SparkSession, folder: str) -> None:
                 for own in batch.column(0).to_pylist():
                     if store.get_file_info(f"{root}/{own}").type == fs.FileType.NotFound:
                         continue
+                    if by_parts:
+                        store.move(f"{root}/{own}", f"{root}/part-{own.rsplit('/', 1)[-1]}")
+                        continue
                     for entry in store.get_file_info(fs.FileSelector(f"{root}/{own}")):
                         store.move(entry.path, f"{root}/{entry.base_name}")
                 yield batch
