@@ -28,7 +28,7 @@ def with_bands(items: DataFrame) -> DataFrame:
     A page is folded in one pass that carries the row's first height, since comparing with the item before would let
     a row drift. Pages are the unit, so the array is bounded by a page.
     """
-    down = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("ny"), "x", "item_idx", "str", "y", "width", "size")))
+    down = F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("ny"), "x", "item_idx", "str", "y", "width", "size")))
     pages = items.groupBy(*PAGE).agg(down.alias("a"))
     start = F.struct(F.lit(0).alias("band"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("bands"))
 
@@ -47,7 +47,7 @@ def rows(items: DataFrame) -> DataFrame:
     end, before = F.lag(F.col("x") + F.col("width")).over(own), F.lag("str").over(own)
     space = F.coalesce((F.col("x") - end > LEAST_SPACE) & ~before.rlike(f"[{T.WS}]\\z"), F.lit(False))
     placed = with_bands(usable_items(items)).withColumn("piece", F.concat(F.when(space, " ").otherwise(""), "str"))
-    g = placed.groupBy(*PAGE, "band").agg(F.array_sort(F.collect_list(F.struct("x", "item_idx", "piece", "y"))).alias("a"), upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size")))).alias("size"))
+    g = placed.groupBy(*PAGE, "band").agg(F.sort_array(F.collect_list(F.struct("x", "item_idx", "piece", "y"))).alias("a"), upper_median(F.collect_list(F.when(F.col("size") > 0, F.col("size")))).alias("size"))
     g = g.select(*PAGE, "band", F.get("a", F.lit(0))["y"].alias("y"), T.squeeze(F.array_join(F.transform("a", lambda s: s["piece"]), "")).alias("text"), "size").where("text <> ''")
     return g.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("band")).cast("long").alias("row_no"), "y", "text", "size")
 

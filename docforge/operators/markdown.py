@@ -47,13 +47,17 @@ def with_markdown(df: DataFrame, options: Options = Options(), shift: Column | i
     return df.withColumn("markdown", out.otherwise(T.escape_block_start(T.join_lines(lines, options.join, options.hyphen)))).drop("misread", "_marked")
 
 
+def page_lines(text: Column) -> Column:
+    """para_no, text, size of the lines of a page's text without structure, as an array in order: paragraphs at empty lines, sizes unknown."""
+    # the lines are trimmed already, and their places in the array number them
+    own = lambda p, k: F.transform(F.filter(F.split(p, "\n", -1), lambda x: x != ""), lambda x: F.struct(k.cast("long").alias("para_no"), x.alias("text"), F.lit(0.0).alias("size")))
+    return F.flatten(F.transform(F.split(T.normalize_raw(F.coalesce(text, F.lit(""))), r"\n{2,}", -1), own))
+
+
 def fallback_lines(pages: DataFrame) -> DataFrame:
     """Lines of pages (doc_id, page_no, text) without structure: paragraphs at empty lines, sizes unknown."""
-    parts = pages.select("doc_id", "page_no", T.normalize_raw(F.coalesce("text", F.lit(""))).alias("t"))
-    # the lines are trimmed already, and their places in the array number them
-    own = lambda p, k: F.transform(F.filter(F.split(p, "\n", -1), lambda x: x != ""), lambda x: F.struct(k.cast("long").alias("para_no"), x.alias("text")))
-    rows = parts.select("doc_id", "page_no", F.posexplode_outer(F.flatten(F.transform(F.split("t", r"\n{2,}", -1), own))).alias("line_no", "x")).where("line_no IS NOT NULL")
-    return rows.select("doc_id", "page_no", "x.para_no", F.col("line_no").cast("long").alias("line_no"), "x.text", F.lit(0.0).alias("size"))
+    rows = pages.select("doc_id", "page_no", F.posexplode_outer(page_lines(F.col("text"))).alias("line_no", "x")).where("line_no IS NOT NULL")
+    return rows.select("doc_id", "page_no", "x.para_no", F.col("line_no").cast("long").alias("line_no"), "x.text", "x.size")
 
 
 def made_blocks(lines: DataFrame, options: Options = Options()) -> DataFrame:

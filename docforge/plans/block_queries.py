@@ -104,7 +104,7 @@ def _(spark, d):
 
 @query("misread_bullet", REGROUP + f", mb AS (SELECT doc_id, page_no, para_no, list(text ORDER BY line_no) AS ls FROM lines GROUP BY ALL) SELECT doc_id, page_no, para_no, {D.misread('ls')} AS misread FROM mb")
 def _(spark, d):
-    g = X.lines(spark, d).groupBy("doc_id", "page_no", "para_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
+    g = X.lines(spark, d).groupBy("doc_id", "page_no", "para_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("x"))
     g = g.select("doc_id", "page_no", "para_no", F.transform("x", lambda s: s["text"]).alias("lines"))
     return B.with_misread(g).select("doc_id", "page_no", "para_no", "misread")
 

@@ -198,9 +198,9 @@ def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, blocks: recognised lines nested in paragraphs, four of which make a block; texts hold odd blanks."""
     line = F.struct(F.when(F.col("line_no") % 11 == 10, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit(" \t")))).alias("text"), "words")
     rows_ = ocr_lines(spark, sf_dir).select("doc_id", "page_no", "para_no", "line_no", line.alias("line"))
-    paras = rows_.groupBy("doc_id", "page_no", "para_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    paras = rows_.groupBy("doc_id", "page_no", "para_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     paras = paras.select("doc_id", "page_no", "para_no", F.struct(F.transform("x", lambda s: s["line"]).alias("lines")).alias("p"))
-    blocks = paras.groupBy("doc_id", "page_no", F.floor(F.col("para_no") / 4).alias("b")).agg(F.array_sort(F.collect_list(F.struct("para_no", "p"))).alias("x"))
+    blocks = paras.groupBy("doc_id", "page_no", F.floor(F.col("para_no") / 4).alias("b")).agg(F.sort_array(F.collect_list(F.struct("para_no", "p"))).alias("x"))
     blocks = blocks.select("doc_id", "page_no", "b", F.struct(F.transform("x", lambda s: s["p"]).alias("paragraphs")).alias("block"))
-    pages = blocks.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("b", "block"))).alias("x"))
+    pages = blocks.groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("b", "block"))).alias("x"))
     return pages.select("doc_id", "page_no", F.transform("x", lambda s: s["block"]).alias("blocks"))

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 import importlib
 import json
-import re
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from docforge.functions.text import WS
-from docforge.operators.convert import ITEM, LEAST_LAYER, MAX_SIDE, _limited, as_ppm, enhanced
-from docforge.operators.strips import composited
+from docforge.operators.convert import ITEM, LEAST_LAYER, drawn, visible_units
 from docforge.options import Options
 
 #: Bytes of a file for each task that reads it, about.
 SLICE_BYTES = 32 << 20
 #: Bytes of whole small files for a task, about, and what opening one counts as; a folder of less than LEAST_TASKS such tasks is dealt over as many.
 TASK_BYTES, OPEN_BYTES, LEAST_TASKS = 32 << 20, 64 << 10, 16
-SPACE = re.compile(f"[{WS}]+")
 
 
 class PageSource(DataSource):
@@ -115,9 +110,7 @@ class _PageReader(DataSourceReader):
         items = [{"str": i.get("str"), "transform": i.get("transform"), "width": i.get("width"), "height": i.get("height")} for i in page.items]
         if self.options.pdf_text and visible_units(i["str"] for i in items) >= LEAST_LAYER:
             return said, k, [tuple(i.values()) for i in items], None, None
-        scale = _limited(self.options.dpi / 72, (page.width, page.height), MAX_SIDE)
-        drawn = composited(np.asarray(page.render(scale, (page.rotation + self.options.rotation) % 360), np.uint8))
-        return said, k, None, as_ppm(enhanced(drawn, self.options)), None
+        return said, k, None, drawn(page, self.options), None
 
 
 class _NarrowedReader(_PageReader):
@@ -131,8 +124,3 @@ class _NarrowedReader(_PageReader):
                 self.low = max(self.low, f.value + bounds[0])
             if bounds[1] is not None:
                 self.high = min(self.high if self.high is not None else f.value + bounds[1], f.value + bounds[1])
-
-
-def visible_units(texts) -> int:
-    """UTF-16 units of the texts that are no white space; what a page's lines keep of them."""
-    return sum(len(SPACE.sub("", t).encode("utf-16-le")) // 2 for t in texts if t)
