@@ -7,8 +7,10 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from docforge.sources.folders import children, delete, move
 
 #: Files of a chunk, about: what one job converts and commits, and what a cancelled run can lose.
 CHUNK_FILES = 10_000
+#: Files that hold a chunk's contents, about.
+CHUNK_PARTS = 8
 #: Shares of a file's progress. Where opening, a page's drawing and its recognition end, and the page part as a whole.
 OPENED, PAGES, DRAWN, READ = 0.02, 0.96, 0.1, 0.15
 PREPARED, SEEN, SEEN_SHARE, BUILT = 0.05, 0.1, 0.85, 0.98
@@ -77,17 +81,18 @@ class BatchRun:
     with ``ok``; it may give none for files that it doesn't take. Results
     lie in ``target``/results, one folder a chunk, with key and options digest beside them: they are the ledger, too. Keys that are in the ledger under the
     same options are not converted again; of files with one key the first by doc_id is converted once and all of them share its result (``results``). A chunk is
-    written aside and moved into place in one step, so a job that fails, is cancelled or loses the driver leaves no part of it.
+    written aside and moved into place in one step, so a job that fails, is cancelled or loses the driver leaves no part of it. ``at_once`` chunks run side
+    by side, so that the cluster isn't idle at the ends of each; where one fails, those beside it are finished and no other is begun.
 
     ``cancel`` may be called from any thread: it cancels the running job by its tag and keeps all chunks that are committed. Errors of single files are values
     (``ok`` false) and stay in the ledger, unless ``retry_failed``.
     """
 
-    def __init__(self, spark: SparkSession, target: str, convert: Callable[[DataFrame], DataFrame], options: Options = Options(), chunk_files: int = CHUNK_FILES, retry_failed: bool = False, on_progress: Callable[[float], None] | None = None):
+    def __init__(self, spark: SparkSession, target: str, convert: Callable[[DataFrame], DataFrame], options: Options = Options(), chunk_files: int = CHUNK_FILES, retry_failed: bool = False, on_progress: Callable[[float], None] | None = None, at_once: int = 1):
         self.spark, self.target, self.convert = spark, target.rstrip("/"), convert
         self.digest, self.chunk_files, self.retry_failed, self.on_progress = options_digest(options), chunk_files, retry_failed, on_progress
         self.tag = f"docforge-{uuid.uuid4().hex}"
-        self._cancelled = threading.Event()
+        self.at_once, self._cancelled, self._noting = at_once, threading.Event(), threading.Lock()
         self.progress: list[tuple[float, float]] = []
 
     def cancel(self) -> None:
@@ -110,7 +115,8 @@ class BatchRun:
         context.addJobTag(self.tag)
         succeeded = failed = skipped = 0
         try:
-            keyed = files.withColumn("key", content_key())
+            files.select("doc_id", content_key().alias("key")).write.parquet(f"{aside}/keys")
+            keyed = spark.read.parquet(f"{aside}/keys")
             first = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
             known = self.ledger()
             if known is not None:
@@ -118,26 +124,47 @@ class BatchRun:
                 first = first.join(mine.select("key"), "key", "left_anti")
             first.write.parquet(f"{aside}/todo")
             todo = spark.read.parquet(f"{aside}/todo")
-            total, offered = todo.count(), files.count()
-            skipped = offered - (todo.agg(F.sum("n")).first()[0] or 0)
+            counted = todo.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+            total, skipped = counted["total"], keyed.count() - counted["n"]
             chunks = max(1, -(-total // self.chunk_files))
             self._note(began, 0.0)
-            chunk = F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk")
-            if total:  # contents are dealt once, so that a chunk reads its own alone
-                keyed.join(todo.select("key", "doc_id"), ["key", "doc_id"], "left_semi").select("*", chunk).write.partitionBy("chunk").parquet(f"{aside}/files")
-            for k in range(chunks if total else 0):
-                if self._cancelled.is_set():
-                    break
-                own = spark.read.parquet(f"{aside}/files").where(F.col("chunk") == k).drop("chunk")
-                with self._watched(began, k / chunks, 1 / chunks):
+            parts = {}
+            if total:  # contents are dealt once, each chunk to a few files of its own folder, so that a chunk reads its own alone
+                dealt = files.join(todo.select("doc_id", "key", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk")), "doc_id")
+                dealt.repartition("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNK_PARTS))).write.partitionBy("chunk").parquet(f"{aside}/files")
+                parts = {p.rsplit("/", 1)[-1]: p for p in children(spark, f"{aside}/files") if "chunk=" in p}
+                shape = dealt.drop("chunk").schema
+            state, stop = {"done": 0, "running": 0}, threading.Event()
+
+            def one(part: str) -> tuple[int, int]:
+                if self._cancelled.is_set() or stop.is_set():
+                    return 0, 0
+                state["running"] += 1
+                try:
+                    own = spark.read.schema(shape).parquet(parts[part])
                     keys = own.select("doc_id", "key", F.lit(self.digest).alias("options"))
-                    self.convert(own).join(keys, "doc_id").drop("doc_id").write.parquet(f"{aside}/chunk-{k}")
-                if self._cancelled.is_set():
-                    break
-                counts = spark.read.parquet(f"{aside}/chunk-{k}").agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad")).first()
-                move(spark, f"{aside}/chunk-{k}", f"{self.target}/results/{uuid.uuid4().hex}")
-                succeeded, failed = succeeded + counts["good"], failed + counts["bad"]
-                self._note(began, (k + 1) / chunks)
+                    self.convert(own).join(keys, "doc_id").drop("doc_id").write.parquet(f"{aside}/{part}")
+                    if self._cancelled.is_set():
+                        return 0, 0
+                    counts = spark.read.parquet(f"{aside}/{part}").agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad")).first()
+                    move(spark, f"{aside}/{part}", f"{self.target}/results/{uuid.uuid4().hex}")
+                    state["done"] += 1
+                    self._note(began, state["done"] / len(parts))
+                    return counts["good"], counts["bad"]
+                except Exception:
+                    stop.set()
+                    raise
+                finally:
+                    state["running"] -= 1
+
+            with self._watched(began, lambda: (state["done"] / len(parts), state["running"] / len(parts)) if parts else (0.0, 0.0)), ThreadPoolExecutor(self.at_once) as pool:
+                for made in [pool.submit(inheritable_thread_target(spark)(one), part) for part in parts]:
+                    try:
+                        good, bad = made.result()
+                        succeeded, failed = succeeded + good, failed + bad
+                    except Exception:
+                        if not self._cancelled.is_set():
+                            raise  # when the chunks beside it are committed
             if not total:
                 self._note(began, 1.0)
         except Exception:
@@ -156,13 +183,14 @@ class BatchRun:
         return files.select("doc_id", content_key().alias("key")).join(mine.drop("options"), "key").drop("key")
 
     def _note(self, began: float, fraction: float) -> None:
-        last = self.progress[-1][1] if self.progress else 0.0
-        self.progress.append((time.monotonic() - began, max(last, min(1.0, fraction))))
-        if self.on_progress:
-            self.on_progress(self.progress[-1][1])
-
-    def _watched(self, began: float, base: float, share: float):
-        """Note how many tasks of the tagged jobs are done while a chunk runs."""
+        with self._noting:
+            last = self.progress[-1][1] if self.progress else 0.0
+            self.progress.append((time.monotonic() - began, max(last, min(1.0, fraction))))
+            if self.on_progress:
+                self.on_progress(self.progress[-1][1])
+
+    def _watched(self, began: float, at: Callable[[], tuple[float, float]]):
+        """Note how many tasks of the tagged jobs are done while chunks run; ``at`` gives the shares of the run that are done and under way."""
         run = self
 
         class Watch:
@@ -172,10 +200,9 @@ class BatchRun:
                 self.thread.start()
 
             def look(self):
-                seen = 0.0
                 while not self.stop.wait(0.2):
-                    seen = max(seen, run._tasks_done())
-                    run._note(began, base + share * 0.99 * seen)
+                    base, share = at()
+                    run._note(began, base + share * 0.99 * run._tasks_done())
 
             def __exit__(self, *_):
                 self.stop.set()
