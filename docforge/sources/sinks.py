@@ -14,6 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from docforge.operators.markdown import combined_pieces
 from docforge.operators.run import unique_output_names
 
+#: In a staged folder, how many files and bytes it holds, so that nobody has to list it to know.
+HELD = ".held"
+
 
 def write_each(documents: DataFrame, folder: str) -> None:
     """One file a document (file_id, name, markdown): its output name in ``folder``, its text and nothing else as content.
@@ -75,9 +78,14 @@ class _StagedWriter(DataSourceWriter):
         store, root = self._open()
         own = f"{self.staging}/{uuid.uuid4().hex}"
         store.create_dir(f"{root}/{own}", recursive=True)
+        files = size = 0
         for name, content in rows:
+            content = content.encode() if isinstance(content, str) else bytes(content or b"")
             with store.open_output_stream(f"{root}/{own}/{name}") as out:
-                out.write(content.encode() if isinstance(content, str) else bytes(content or b""))
+                out.write(content)
+            files, size = files + 1, size + len(content)
+        with store.open_output_stream(f"{root}/{own}/{HELD}") as out:
+            out.write(b"%d %d" % (files, size))
         return _Staged(own)
 
     def commit(self, messages: list) -> None:
@@ -123,7 +131,8 @@ def publish(spark: SparkSession, folder: str, by_parts: bool = False) -> None:
                         store.move(f"{root}/{own}", f"{root}/part-{own.rsplit('/', 1)[-1]}")
                         continue
                     for entry in store.get_file_info(fs.FileSelector(f"{root}/{own}")):
-                        store.move(entry.path, f"{root}/{entry.base_name}")
+                        if entry.base_name != HELD:
+                            store.move(entry.path, f"{root}/{entry.base_name}")
                 yield batch
 
         if staged:
